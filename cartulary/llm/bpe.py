@@ -190,8 +190,8 @@ def _load(raw: bytes) -> BacktrackingBPE:
     return _LOADED[name]
 
 
-def bpe_round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each input row: id, n_tokens, ids (little-endian unsigned 32-bit) and decoded (the text of the ids).
+def bpe_round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", carry: list[str] = ()) -> DataFrame:
+    """One row for each input row: id, the columns to carry, n_tokens, ids (little-endian unsigned 32-bit) and decoded (the text of the ids).
 
     vocabulary is the path of a byte-level BPE file; the file (a few MB, whatever the data) is
     broadcast. Strings of its added tokens in a text become their ids. A null or empty text has no
@@ -213,11 +213,13 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
                 if size >= _BATCH or i + 1 == batch.num_rows:
                     decoded = [bpe.decode(x).decode("utf-8", "replace") for x in ids]
                     counts = [len(x) // 4 for x in ids]
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(first, len(ids)), pa.array(counts, pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], ["id", "n_tokens", "ids", "decoded"]
-                    )
+                    kept = [batch.column(0), *batch.columns[2:]]
+                    arrays = [*(c.slice(first, len(ids)) for c in kept), pa.array(counts, pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())]
+                    yield pa.RecordBatch.from_arrays(arrays, names)
                     ids, size, first = [], 0, i + 1
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, ids binary, decoded string")
-    return out.withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_{k}") for k, c in enumerate(carry)])
+    kinds = {f: rows.schema[f].dataType.simpleString() for f in rows.columns if f != "_text"}
+    names = [*kinds, "n_tokens", "ids", "decoded"]
+    out = rows.mapInArrow(run, ", ".join(f"`{f}` {k}" for f, k in kinds.items()) + ", n_tokens long, ids binary, decoded string")
+    return out.toDF(id_col, *carry, "n_tokens", "ids", "decoded")

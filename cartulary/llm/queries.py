@@ -2,27 +2,48 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartulary.llm.bpe import bpe_round_trip
 from cartulary.llm.mixing import MIX_SQL, mix
+from cartulary.llm.secrets import scan_secrets
 from cartulary.llm.simhash import simhash_components
+from cartulary.llm.toxicity import score_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates with their spans and the forest's verdict; the value itself is shown by its digest only."""
+    found = scan_secrets(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", "length", F.sha2("value", 256).alias("value_sha256"), "score", "secret")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of four-word shingles, linked at four differing bits or fewer."""
     return simhash_components(_table(spark, sf_dir, "documents"))
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each text's ids and of the text that they decode to."""
+    coded = bpe_round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores with the nearest examples as evidence."""
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources weigh 1, 2, 3, repeating; a document may come up to three times."""
     return mix(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op9_mix": op9_mix}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_simhash, op6_bpe, op8_toxicity, op9_mix)}
 
 ORACLES = {"op9_mix": MIX_SQL}

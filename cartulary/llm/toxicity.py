@@ -141,8 +141,9 @@ def score_toxicity(
     threshold: float = 0.3,
     examples: int = EXAMPLES,
     terms: int = TERMS,
+    carry: list[str] = (),
 ) -> DataFrame:
-    """One row for each input row: id, held_out, score, predicted, and the evidence: ids and cosines of the nearest examples.
+    """One row for each input row: id, the columns to carry, held_out, score, predicted, and the evidence: ids and cosines of the nearest examples.
 
     Labels are read only of rows whose crc32(id as text) mod folds is not held_out. The classifier
     is a bounded sample: the `examples` labelled rows whose ids hash lowest (equal texts are one
@@ -227,11 +228,16 @@ def score_toxicity(
                     done[tf] = (s, [names[r] for r in near[:3]], [float(c) for c in cos[:3]])
                 for column, value in zip(out, done[tf]):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.float64()), pa.array(out[1], pa.list_(batch.column(0).type)), pa.array(out[2], pa.list_(pa.float64()))], ["id", "score", "nearest", "cosines"])
+            found = [pa.array(out[0], pa.float64()), pa.array(out[1], pa.list_(batch.column(0).type)), pa.array(out[2], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *found], ["id", *kept, "score", "nearest", "cosines"])
 
-    scored = rows.mapInArrow(score, f"id {kind}, score double, nearest array<{kind}>, cosines array<double>")
+    whole = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"_{k}") for k, c in enumerate(carry)])
+    kept = whole.columns[2:]
+    types = ", ".join([f"id {kind}", *(f"`{c}` {whole.schema[c].dataType.simpleString()}" for c in kept)])
+    scored = whole.mapInArrow(score, f"{types}, score double, nearest array<{kind}>, cosines array<double>")
     fold = F.coalesce(crc_fold(F.col("id"), folds) == held_out, F.lit(False))
-    return scored.select(F.col("id").alias(id_col), fold.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "nearest", "cosines")
+    columns = [F.col(k).alias(c) for k, c in zip(kept, carry)]
+    return scored.select(F.col("id").alias(id_col), *columns, fold.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "nearest", "cosines")
 
 
 _BUILT: dict = {}
