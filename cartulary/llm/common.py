@@ -72,20 +72,25 @@ def crc_fold(doc_id: Column, folds: int) -> Column:
 # --- groups too large for one task -------------------------------------------------------------
 
 
-def tiled(rows: DataFrame, keys: list[str], ident: list[str], tile: int = TILE) -> DataFrame:
+def tiled(rows: DataFrame, keys: list[str], ident: list[str], tile: int = TILE, deal: bool = True) -> DataFrame:
     """Deal the rows of each group of two or more into tiles of at most about 2 * tile rows.
 
     A group of m rows is cut into c = ceil(m / tile) parts by a hash of ident, and every pair of
     parts meets in the tile (i, j), i <= j. Adds _i, _j and _own (the row's part). Rows of
-    groups of one are gone: they meet nothing.
+    groups of one are gone: they meet nothing. With deal, each tile is in one task, in one run.
     """
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m")).where("_m > 1")
     parts = F.ceil(F.col("_m") / tile)
     out = rows.join(sizes, keys).withColumn("_own", F.pmod(F.xxhash64(*ident), parts).cast("int"))
     out = out.withColumn("_other", F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))))
     out = out.select(*rows.columns, "_own", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"))
-    deal = [*keys, "_i", "_j"]
-    return out.repartition(*deal).sortWithinPartitions(*deal)
+    return dealt(out, keys) if deal else out
+
+
+def dealt(tiles: DataFrame, keys: list[str]) -> DataFrame:
+    """Each tile in one task, in one run."""
+    by = [*keys, "_i", "_j"]
+    return tiles.repartition(*by).sortWithinPartitions(*by)
 
 
 def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 100_000) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
