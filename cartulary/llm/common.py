@@ -59,6 +59,19 @@ class Workspace:
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_RESIDENT: dict = {}
+
+
+def resident(owner: str, key, make: Callable):
+    """What an operator keeps in a worker between tasks (vocabularies, indexes, model slices). Only one operator's is kept: the worker outlives the operator."""
+    if _RESIDENT.get("owner") != owner:
+        _RESIDENT.clear()
+        _RESIDENT["owner"] = owner
+    if key not in _RESIDENT:
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words of a text with A-Z lower-cased. bytes.lower() and bytes.split() know ASCII only, as the definition does."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

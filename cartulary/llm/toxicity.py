@@ -6,12 +6,13 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartulary.llm.common import Workspace, crc_fold
+from cartulary.llm.common import Workspace, crc_fold, resident
 
 #: Labelled rows that the classifier is fitted on, at most: those whose ids hash lowest.
 EXAMPLES = 12_288
@@ -23,7 +24,8 @@ NEIGHBOURS = 15
 BLOCK = 64
 #: Bytes at which words are also cut, so that a stem counts in every word that starts with it.
 _STEMS = (6, 7, 8)
-_KEPT_WORDS = 1 << 18
+#: Results kept in a task for texts of the same terms, and counts gathered in one before they are sent on.
+_KEPT, _GATHERED = 1 << 13, 200_000
 
 _FOLD = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c >= 128 else c + 32 if 65 <= c < 91 else 32 for c in range(256))
 
@@ -37,23 +39,22 @@ def terms_of(word: bytes) -> list[bytes]:
     return [b"=" + word, *(b"^" + word[:n] for n in _STEMS if len(word) >= n)]
 
 
-class _Terms(dict):
-    """Word -> numbers of its terms in the vocabulary."""
+class Terms:
+    """Counts the terms of a vocabulary in a text: one Aho-Corasick pass over its folded bytes, where a term is a word or its start after a space."""
 
     def __init__(self, vocabulary: dict[bytes, int]):
-        super().__init__()
-        self.vocabulary = vocabulary
-
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) >= _KEPT_WORDS:
-            self.clear()
-        found = tuple(self.vocabulary[t] for t in terms_of(word) if t in self.vocabulary)
-        self[word] = found
-        return found
+        self.matches = ahocorasick.Automaton()
+        for term, number in vocabulary.items():
+            pattern = b" " + term[1:] + (b" " if term[:1] == b"=" else b"")
+            self.matches.add_word(pattern.decode("latin-1"), number)
+        if vocabulary:
+            self.matches.make_automaton()
 
     def count(self, text: str | None) -> tuple[tuple[int, int], ...]:
-        tf = Counter(t for found in filter(None, map(self.__getitem__, words(text))) for t in found)
-        return tuple(sorted(tf.items()))
+        if not text or not len(self.matches):
+            return ()
+        folded = " " + text.encode("utf-8", "surrogatepass").translate(_FOLD).decode("latin-1") + " "
+        return tuple(sorted(Counter([t for _, t in self.matches.iter(folded)]).items()))
 
 
 class BlockMaxIndex:
@@ -64,8 +65,9 @@ class BlockMaxIndex:
     exact top k (ties: lower example first).
     """
 
-    def __init__(self, counts: list[tuple[tuple[int, int], ...]], labels: list[int], idf: np.ndarray, k: int = NEIGHBOURS):
-        self.idf, self.k, self.labels = idf, k, np.array(labels, np.float64)
+    def __init__(self, counts: list[tuple[tuple[int, int], ...]], labels: list[int], idf: np.ndarray, k: int = NEIGHBOURS, line: tuple[float, float] = (1.0, 0.0)):
+        self.slope, self.shift = line
+        self.counts, self.idf, self.k, self.labels = counts, idf, k, np.array(labels, np.float64)
         blocks = max(1, -(-len(counts) // BLOCK))
         self.weights = np.zeros((blocks * BLOCK, len(idf)), np.float32)
         for row, c in enumerate(counts):
@@ -74,11 +76,9 @@ class BlockMaxIndex:
         self.weights = self.weights.reshape(blocks, BLOCK, len(idf))
         self.most = self.weights.max(1)
         empty = np.array([not c for c in counts], bool)
-        self.slope, self.shift = 1.0, 0.0
         # A text without a term has no neighbours: the rate among such examples stands for it.
         self.none = (self.labels[empty].sum() + 0.5) / (empty.sum() + 1) if len(counts) else 0.5
         self.rate = (self.labels.sum() + 0.5) / (len(counts) + 1)
-        self._calibrate(counts)
 
     def vector(self, counts: tuple[tuple[int, int], ...]) -> tuple[np.ndarray, np.ndarray]:
         t = np.array([c[0] for c in counts], np.int64)
@@ -106,11 +106,11 @@ class BlockMaxIndex:
         w = 1 / (1.1 - scores)
         return float((w @ self.labels[rows] + self.rate) / (w.sum() + 1))
 
-    def _calibrate(self, counts: list[tuple[tuple[int, int], ...]]) -> None:
+    def calibrate(self) -> tuple[float, float]:
         """Platt's line over the log odds of leave-one-out votes, by Newton steps with a weak prior at the identity."""
-        own = [(self.vote(*self.nearest(c, r)), self.labels[r]) for r, c in enumerate(counts) if c]
+        own = [(self.vote(*self.nearest(c, r)), self.labels[r]) for r, c in enumerate(self.counts) if c]
         if len({y for _, y in own}) < 2:
-            return
+            return 1.0, 0.0
         v, y = np.array(own).T
         x = np.column_stack([np.log(v / (1 - v)), np.ones(len(v))])
         start = beta = np.array([1.0, 0.0])
@@ -118,8 +118,7 @@ class BlockMaxIndex:
             p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
             step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + np.eye(2), x.T @ (y - p) - (beta - start))
             beta = beta + np.clip(step, -1, 1)
-        if beta[0] > 0:
-            self.slope, self.shift = map(float, beta)
+        return (float(beta[0]), float(beta[1])) if beta[0] > 0 else (1.0, 0.0)
 
     def score(self, counts: tuple[tuple[int, int], ...]) -> tuple[float, np.ndarray, np.ndarray]:
         rows, scores = self.nearest(counts) if counts else (np.zeros(0, np.int64), np.zeros(0))
@@ -141,15 +140,14 @@ def score_toxicity(
     threshold: float = 0.3,
     examples: int = EXAMPLES,
     terms: int = TERMS,
-    carry: list[str] = (),
 ) -> DataFrame:
-    """One row for each input row: id, the columns to carry, held_out, score, predicted, and the evidence: ids and cosines of the nearest examples.
+    """One row for each input row: id, held_out, score, predicted, and the evidence: ids and cosines of the nearest examples.
 
     Labels are read only of rows whose crc32(id as text) mod folds is not held_out. The classifier
     is a bounded sample: the `examples` labelled rows whose ids hash lowest (equal texts are one
     example), over the `terms` terms (words and word starts) of the highest chi-square in them. Document frequencies count all
-    documents. So the index has examples x terms weights at most, whatever the data, and every text
-    is scored whole, where it lies, without a shuffle.
+    documents. So the index has examples x terms weights at most, whatever the data, and no text is
+    shuffled.
 
     A null or empty text, and one without any of the terms, scores the smoothed rate of such
     examples. Null ids are never held out and never examples; an id labelled more than once counts
@@ -169,13 +167,21 @@ def score_toxicity(
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
+
+        def out():
+            names = sorted(seen[0].keys() | seen[1].keys())
+            for k in range(0, len(names), 50_000):
+                part = names[k : k + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), *(pa.array([s[t] for t in part], pa.int64()) for s in seen)], ["term", "clean", "toxic"])
+            seen[0].clear()
+            seen[1].clear()
+
         for batch in batches:
-            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen[label > 0].update({t for w in set(words(text)) for t in terms_of(w)})
-        names = sorted(seen[0].keys() | seen[1].keys())
-        for k in range(0, len(names), 50_000):
-            part = names[k : k + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), *(pa.array([s[t] for t in part], pa.int64()) for s in seen)], ["term", "clean", "toxic"])
+            for i in range(batch.num_rows):
+                seen[batch.column(0)[i].as_py() > 0].update({t for w in set(words(batch.column(1)[i].as_py())) for t in terms_of(w)})
+                if len(seen[0]) + len(seen[1]) > _GATHERED:
+                    yield from out()
+        yield from out()
 
     counts = sample.select("label", "text").mapInArrow(classes, "term binary, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("a"), F.sum("toxic").alias("b"))
     total = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("label") > 0).cast("long")), F.lit(0))).first()
@@ -186,67 +192,42 @@ def score_toxicity(
     best = counts.where((hit >= 3) & (hit < n) & toxic).withColumn("chi", chi).where(F.col("chi") > CHI).orderBy(F.desc("chi"), "term").limit(terms).select("term").collect()
     vocabulary = {bytes(r["term"]): k for k, r in enumerate(best)}
 
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, df, seen = _Terms(vocabulary), np.zeros(len(vocabulary) + 1, np.int64), 0
-        for batch in batches:
-            for i in range(batch.num_rows):
-                own = {t for f in filter(None, map(found.__getitem__, set(words(batch.column(0)[i].as_py())))) for t in f}
-                df[list(own)] += 1
-                seen += 1
-        df[-1] = seen
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(df))), pa.array(df)], ["t", "df"])
-
-    df = np.zeros(len(vocabulary) + 1)
-    for r in rows.select("text").mapInArrow(frequencies, "t long, df long").groupBy("t").agg(F.sum("df").alias("df")).collect():
-        df[r["t"]] = r["df"]
-    idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = _Terms(vocabulary)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Terms(vocabulary)
         for batch in batches:
-            tf = [found.count(x) for x in batch.column(2).to_pylist()]
+            tf = [found.count(batch.column(1)[i].as_py()) for i in range(batch.num_rows)]
             arrays = [pa.array([[c[k] for c in x] for x in tf], pa.list_(pa.int64())) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["id", "label", "t", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["id", "t", "n"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    known_rows = sample.select("id", "label", "text").mapInArrow(vectors, f"id {kind}, label int, t array<long>, n array<long>").collect()
-    known_rows.sort(key=lambda r: str(r["id"]))
-    names = [r["id"] for r in known_rows]
-    fitted = spark.sparkContext.broadcast((vocabulary, idf, [tuple(zip(r["t"], r["n"])) for r in known_rows], [int(r["label"] > 0) for r in known_rows], names))
+    counted = work.stage(rows.mapInArrow(count, f"id {kind}, t array<long>, n array<long>"), "counts")
+    df, total = np.zeros(len(vocabulary)), counted.count()
+    for r in counted.select(F.explode("t").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")).collect():
+        df[r["t"]] = r["df"]
+    idf = np.log((1 + total) / (1 + df)) + 1
+    fitted_rows = sample.select("id", "text").mapInArrow(count, f"id {kind}, t array<long>, n array<long>").join(sample.select("id", "label"), "id").collect()
+    fitted_rows.sort(key=lambda r: str(r["id"]))
+    examples_of = [tuple(zip(r["t"], r["n"])) for r in fitted_rows], [int(r["label"] > 0) for r in fitted_rows]
+    line, this = BlockMaxIndex(*examples_of, idf).calibrate(), work.root
+    fitted = spark.sparkContext.broadcast((*examples_of, idf, line, [r["id"] for r in fitted_rows]))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, idf, counts, truth, names = fitted.value
-        index, found, done = _index(fitted.id if hasattr(fitted, "id") else id(fitted), counts, truth, idf), _Terms(vocabulary), {}
+        counts, truth, idf, line, names = fitted.value
+        index, done = resident("toxicity", this, lambda: BlockMaxIndex(counts, truth, idf, line=line)), {}
         for batch in batches:
             out: tuple[list, list, list] = ([], [], [])
-            for i in range(batch.num_rows):
-                tf = found.count(batch.column(1)[i].as_py())
+            for t, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                tf = tuple(zip(t, n))
                 if tf not in done:
-                    if len(done) >= _KEPT_WORDS // 4:
+                    if len(done) >= _KEPT:
                         done.clear()
                     s, near, cos = index.score(tf)
                     done[tf] = (s, [names[r] for r in near[:3]], [float(c) for c in cos[:3]])
                 for column, value in zip(out, done[tf]):
                     column.append(value)
             found = [pa.array(out[0], pa.float64()), pa.array(out[1], pa.list_(batch.column(0).type)), pa.array(out[2], pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *found], ["id", *kept, "score", "nearest", "cosines"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *found], ["id", "score", "nearest", "cosines"])
 
-    whole = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"_{k}") for k, c in enumerate(carry)])
-    kept = whole.columns[2:]
-    types = ", ".join([f"id {kind}", *(f"`{c}` {whole.schema[c].dataType.simpleString()}" for c in kept)])
-    scored = whole.mapInArrow(score, f"{types}, score double, nearest array<{kind}>, cosines array<double>")
+    scored = counted.mapInArrow(score, f"id {kind}, score double, nearest array<{kind}>, cosines array<double>")
     fold = F.coalesce(crc_fold(F.col("id"), folds) == held_out, F.lit(False))
-    columns = [F.col(k).alias(c) for k, c in zip(kept, carry)]
-    return scored.select(F.col("id").alias(id_col), *columns, fold.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "nearest", "cosines")
-
-
-_BUILT: dict = {}
-
-
-def _index(name, counts, labels, idf) -> BlockMaxIndex:
-    """One index a worker, kept between tasks."""
-    key = (name, len(counts), float(idf.sum()))
-    if key not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key] = BlockMaxIndex(counts, labels, idf)
-    return _BUILT[key]
+    return scored.select(F.col("id").alias(id_col), fold.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "nearest", "cosines")
