@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from cartulary.plans import graph_queries, item_queries, rank_queries, report_queries, state_queries, text_queries, vector_queries  # noqa: F401
+from cartulary.plans.base import ORACLES, QUERIES
+
 FLAGSHIP = "keyword_card_topk"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
