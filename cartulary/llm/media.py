@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from cartulary.llm.common import Workspace
 from cartulary.llm.files import Reader, open_store, part_number, written_whole
 
-#: Samples of an image's row; payloads are padded to whole rows.
-WIDTH = 64
+#: Payloads are padded to whole multiples of so many bytes.
+PAD = 64
 #: A shard is closed when it holds so many bytes.
 SHARD = 64 << 20
 #: Bytes from a PNG's start that hold its signature and header chunk.
@@ -30,11 +30,11 @@ def _chunk(kind: bytes, data: bytes) -> bytes:
 
 
 def to_png(payload: bytes) -> bytes:
-    """A grey image of 8-bit samples, WIDTH a row: lossless, and the same bytes for the same payload."""
-    rows = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
-    lines = np.zeros((len(rows), WIDTH + 1), np.uint8)  # each begins with its filter, 0: none
-    lines[:, 1:] = rows
-    return _SIGNATURE + _chunk(b"IHDR", struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 0, 0, 0, 0)) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + _chunk(b"IEND", b"")
+    """A grey image of one row of 8-bit samples: lossless, and the same bytes for the same payload.
+
+    One row, as each begins with a byte for its filter, which would break up what repeats.
+    """
+    return _SIGNATURE + _chunk(b"IHDR", struct.pack(">IIBBBBB", len(payload), 1, 8, 0, 0, 0, 0)) + _chunk(b"IDAT", zlib.compress(b"\0" + payload, 6)) + _chunk(b"IEND", b"")
 
 
 def png_header(start: bytes) -> tuple[int, int, int]:
@@ -75,7 +75,7 @@ def store_media(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = open_store(folder)
-        placed: dict[str, tuple[str, int, int]] = {}
+        placed: dict[bytes, tuple[str, int, int]] = {}
         shard = writer = out = None
         at = count = 0
 
@@ -87,8 +87,8 @@ def store_media(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
             rows = []
             for text in batch.column(1):
                 text = (text.as_py() or "").encode()
-                payload = text + b"\0" * (-len(text) % WIDTH or (0 if text else WIDTH))
-                digest = hashlib.sha256(payload).hexdigest()
+                payload = text + b"\0" * (-len(text) % PAD or (0 if text else PAD))
+                digest = hashlib.sha256(payload).digest()
                 if digest not in placed:
                     if out is not None and at >= SHARD:
                         close()
@@ -99,7 +99,7 @@ def store_media(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
                         writer = written_whole(store, f"{root}/{shard}")
                         out = writer.__enter__()
                     media = to_png(payload)
-                    member = tarfile.TarInfo(f"{digest}.png")
+                    member = tarfile.TarInfo(f"{digest.hex()}.png")
                     member.size = len(media)
                     out.write(member.tobuf(tarfile.USTAR_FORMAT) + media + b"\0" * (-len(media) % 512))
                     placed[digest] = (shard, at + 512, len(media))
@@ -113,7 +113,7 @@ def store_media(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, n_bytes long, payload_bytes long, digest string, shard string, offset long, length long").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, f"id {kind}, n_bytes long, payload_bytes long, digest binary, shard string, offset long, length long").withColumnRenamed("id", id_col)
 
 
 def _in_order(places: DataFrame) -> DataFrame:
@@ -133,11 +133,11 @@ def media_headers(places: DataFrame, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in zip(*found))], ["digest", "width", "height", "bits"])
         reader.close()
 
-    return _in_order(places).mapInArrow(run, "digest string, width long, height long, bits long")
+    return _in_order(places).mapInArrow(run, "digest binary, width long, height long, bits long")
 
 
 def media_features(places: DataFrame, folder: str) -> DataFrame:
-    """Of each payload, from its stored bytes: payload_sha256, tail_crc32 (of the last row), media_bytes, media_sha256, width, height, feature.
+    """Of each payload, from its stored bytes: payload_sha256, tail_crc32 (of the last PAD bytes), media_bytes, media_sha256, width, height, feature.
 
     Width and height come from a read of the header alone, the rest from a read of the member.
     """
@@ -150,12 +150,12 @@ def media_features(places: DataFrame, folder: str) -> DataFrame:
                 width, height, _ = png_header(reader.read(shard, offset, HEADER))
                 media = reader.read(shard, offset, length)
                 payload = from_png(media)
-                rows.append((hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), width, height, features(payload)))
+                rows.append((hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), len(media), hashlib.sha256(media).hexdigest(), width, height, features(payload)))
             if rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in zip(*rows))], ["digest", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "width", "height", "feature"])
         reader.close()
 
-    kinds = "digest string, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, width long, height long, feature string"
+    kinds = "digest binary, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, width long, height long, feature string"
     return _in_order(places).mapInArrow(run, kinds)
 
 
@@ -168,5 +168,4 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     work = Workspace(docs.sparkSession, "media")
     folder = work.path("shards")
     rows = work.stage(store_media(docs, folder, id_col, text_col), "rows")
-    found = work.stage(media_features(rows, folder), "features")
-    return rows.join(found, "digest")
+    return rows.join(media_features(rows, folder), "digest")
