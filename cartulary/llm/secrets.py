@@ -213,7 +213,8 @@ def scan_secrets(
     """
     trees = grow_forest(labelled_findings(docs.sparkSession) if findings is None else findings)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(path_col).cast("string").alias("_path")).where(F.col("_text").rlike(CANDIDATE))
-    found = rows.select(F.col("_id"), F.explode(findings_of(F.col("_text"), F.col("_path"), trees, threshold)).alias("_f"))
+    # explode_outer: before explode, Spark would filter by the size of the array, and so compute it twice
+    found = rows.select(F.col("_id"), F.explode_outer(findings_of(F.col("_text"), F.col("_path"), trees, threshold)).alias("_f")).where("_f is not null")
     return found.select(F.col("_id").alias(id_col), "_f.start", "_f.length", "_f.value", "_f.left", "_f.right", "_f.score", "_f.secret")
 
 
