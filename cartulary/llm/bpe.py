@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers.pre_tokenizers import ByteLevel
 
+from cartulary.llm.common import resident
+
 #: White space as Unicode has it. Python's own \s also takes U+001C to U+001F.
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Runs that no piece crosses: a word with the space before it, or white space.
@@ -95,7 +97,7 @@ class BacktrackingBPE:
         parts = [table.get(i, b"") for i in range(max(table) + 1)]
         self.blob = np.frombuffer(b"".join(parts), np.uint8)
         self.offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
-        self.compatible = lru_cache(1 << 17)(self._compatible)
+        self.compatible = lru_cache(1 << 16)(self._compatible)
         self.cut = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
         self.chars = str.maketrans({c: chr(b) for c, b in chars.items()})
         self.pieces = _Cache(self._encode_piece)
@@ -180,14 +182,8 @@ class BacktrackingBPE:
         return b"".join(out)
 
 
-_LOADED: dict[str, BacktrackingBPE] = {}
-
-
 def _load(raw: bytes) -> BacktrackingBPE:
-    name = hashlib.sha1(raw).hexdigest()
-    if name not in _LOADED:
-        _LOADED[name] = BacktrackingBPE(raw)
-    return _LOADED[name]
+    return resident("bpe", hashlib.sha1(raw).hexdigest(), lambda: BacktrackingBPE(raw))
 
 
 def bpe_round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", carry: list[str] = ()) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow.dataset as ds
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartulary.llm.common import Workspace, crc_fold
+from cartulary.llm.common import Workspace, crc_fold, resident
 from cartulary.llm.files import open_store
 
 #: Bytes of context. With the predicted byte they fill 48 bits, which leaves 16 for a document's number in its chunk.
@@ -226,26 +226,19 @@ class Trie:
         return out
 
 
-_LOADED: dict = {}
-
-
 def _slice(root: str, kind: int, k: int, slices: int, pairs) -> tuple | Trie:
     """A slice of the model; a kind that is one slice is kept between tasks."""
-    if (root, kind) in _LOADED:
-        return _LOADED[root, kind]
-    store, path = open_store(root)
-    table = ds.dataset(f"{path}/kind={kind}/slice={k}", filesystem=store, format="parquet").to_table(columns=["key", "n"])
-    key, n = table.column("key").to_numpy().view(np.uint64), table.column("n").to_numpy()
-    if kind:
-        made = Trie(key, n, pairs)
-    else:
+
+    def load():
+        store, path = open_store(root)
+        table = ds.dataset(f"{path}/kind={kind}/slice={k}", filesystem=store, format="parquet").to_table(columns=["key", "n"])
+        key, n = table.column("key").to_numpy().view(np.uint64), table.column("n").to_numpy()
+        if kind:
+            return Trie(key, n, pairs)
         order = np.argsort(key)
-        made = (key[order], n[order])
-    if slices == 1:
-        for old in [x for x in _LOADED if x[0] != root]:
-            del _LOADED[old]
-        _LOADED[root, kind] = made
-    return made
+        return key[order], n[order]
+
+    return resident(f"ppm {root}", kind, load) if slices == 1 else load()
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, folds: int = 7, held_out: int = 2) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cartulary.llm.common import Workspace
+from cartulary.llm.common import Workspace, resident
 from cartulary.llm.files import Reader, open_store, part_number, written_whole
 
 #: (ids in a word, bits of each) by selector: the selector takes the word's upper 4 bits.
@@ -23,7 +23,7 @@ _WIDEST = 20
 #: Ids of a block. Blocks decode alone.
 BLOCK = 1 << 16
 _MAGIC = b"S8B1"
-_KEPT_WORDS = 1 << 18
+_KEPT_WORDS = 1 << 17
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -148,14 +148,9 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, id_col: str = "d
     return ordered.mapInArrow(run, "file string, docs long, ids long")
 
 
-_TOKENIZERS: dict[int, _Words] = {}
-
-
 def _tokenizer(raw: bytes) -> _Words:
-    key = zlib.crc32(raw)
-    if key not in _TOKENIZERS:
-        _TOKENIZERS[key] = _Words(Tokenizer.from_str(json.dumps(json.loads(raw) | {"truncation": None, "padding": None})))
-    return _TOKENIZERS[key]
+    whole = lambda: Tokenizer.from_str(json.dumps(json.loads(raw) | {"truncation": None, "padding": None}))
+    return resident("tokens", zlib.crc32(raw), lambda: _Words(whole()))
 
 
 def read_file(reader: Reader, name: str) -> Iterator[tuple[int | None, int, np.ndarray]]:
