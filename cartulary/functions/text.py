@@ -133,14 +133,23 @@ def digest_id(text: Column, size: int = 12) -> Column:
     return F.left(F.md5(text), F.lit(size))
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def best_window(text: Column, tokens: Column, size: int = 30, max_len: int = 200) -> Column:
-    """The run of `size` words that scores best (the first of equals), cut to max_len; a short text whole."""
-    clean = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\n+", " "))
-    words = F.filter(F.split(clean, r"\s+"), lambda w: w != "")
-    last = F.greatest(F.size(words) - size - 1, F.lit(0))
-    scored = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(phrase_score(tokens, F.array_join(F.slice(words, i + 1, F.lit(size)), " ")).alias("s"), (-i).alias("i")))
-    best = F.array_max(scored)
-    start = F.when(best.s > 0, -best.i).otherwise(F.lit(0))
-    snippet = F.array_join(F.slice(words, start + 1, F.lit(size)), " ")
-    cut = F.when(F.length(snippet) > max_len, F.concat(F.left(snippet, F.lit(max_len - 1)), F.lit("…"))).otherwise(snippet)
-    return F.when(F.length(clean) <= max_len, clean).otherwise(cut)
+    """The run of `size` words that holds the largest share of the tokens (the first of equals), cut to max_len; a short text whole.
+
+    Each word is looked at once: it marks the tokens that it holds, and a window counts its marks.
+    """
+
+    def windows(words: Column) -> Column:
+        low = F.transform(words, lambda w: F.filter(tokens, lambda t: F.contains(F.lower(w), t)))
+        return let(low, lambda marks: let(F.array_max(F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - size - 1, F.lit(0))), lambda i: F.struct(F.size(F.array_distinct(F.flatten(F.slice(marks, i + 1, F.lit(size))))).alias("s"), (-i).alias("i")))), lambda best: F.array_join(F.slice(words, -best.i + 1, F.lit(size)), " ")))
+
+    def shown(clean: Column) -> Column:
+        cut = let(windows(F.filter(F.split(clean, r"\s+"), lambda w: w != "")), lambda s: F.when(F.length(s) > max_len, F.concat(F.left(s, F.lit(max_len - 1)), F.lit("…"))).otherwise(s))
+        return F.when(F.length(clean) <= max_len, clean).otherwise(cut)
+
+    return let(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\n+", " ")), shown)

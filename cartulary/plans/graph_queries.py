@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cartulary.operators.graph import betweenness
 from cartulary.plans.base import query
 from cartulary.sources.records import items
 
-_EDGES = "edges AS (SELECT 'card:' || id AS a, 'topic:' || category AS b FROM items WHERE NOT excluded AND doc_id < 60 UNION SELECT 'card:' || id, 'tag:' || tag FROM (SELECT id, unnest(tags) AS tag FROM items WHERE NOT excluded AND doc_id < 60))"
+_EDGES = """sampled AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY doc_id) AS rn FROM items WHERE NOT excluded) WHERE rn <= 150 ORDER BY rn, category LIMIT 250),
+edges AS (SELECT 'card:' || id AS a, 'topic:' || category AS b FROM sampled UNION SELECT 'card:' || id, 'tag:' || tag FROM (SELECT id, unnest(tags) AS tag FROM sampled))"""
 
 
 def _edges(spark, sf_dir):
-    """A report's graph shows a bounded set of cards: here the first sixty, as the sampling operator would."""
-    i = items(spark, sf_dir).where("not excluded and doc_id < 60")
+    """A report's graph shows a balanced sample of cards, 150 of a category and 250 in all."""
+    w = Window.partitionBy("category").orderBy("doc_id")
+    i = items(spark, sf_dir).where("not excluded").withColumn("rn", F.row_number().over(w)).where("rn <= 150").orderBy("rn", "category").limit(250)
     topics = i.select(F.concat(F.lit("card:"), "id").alias("a"), F.concat(F.lit("topic:"), "category").alias("b"))
     tags = i.select(F.concat(F.lit("card:"), "id").alias("a"), F.explode("tags").alias("t")).select("a", F.concat(F.lit("tag:"), "t").alias("b"))
     return topics.union(tags).distinct()

@@ -214,10 +214,10 @@ def unlabelled(spark, sf_dir):
     return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti").select("doc_id")
 
 
-@query("SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN d.doc_id IS NULL THEN 'gone' WHEN l.doc_id IS NULL THEN 'new' WHEN l.quality = 0 THEN 'changed' ELSE 'same' END AS state FROM (SELECT doc_id FROM documents WHERE doc_id % 10 <> 3) d FULL JOIN labels l ON d.doc_id = l.doc_id")
+@query("SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN d.doc_id IS NULL THEN 'gone' WHEN l.doc_id IS NULL THEN 'new' WHEN l.quality = 0 THEN 'changed' ELSE 'same' END AS state FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id")
 def incremental_scan(spark, sf_dir):
     """A listing against the index: new, changed, same, gone."""
-    now = table(spark, sf_dir, "documents").where("doc_id % 10 <> 3").select("doc_id", F.lit(True).alias("here"))
+    now = table(spark, sf_dir, "documents").select("doc_id", F.lit(True).alias("here"))
     old = table(spark, sf_dir, "labels").select("doc_id", "quality")
     state = F.when(F.col("here").isNull(), "gone").when(F.col("quality").isNull(), "new").when(F.col("quality") == 0, "changed").otherwise("same")
     return now.join(old, "doc_id", "full_outer").select("doc_id", state.alias("state"))
@@ -231,11 +231,11 @@ def turns_with_sessions(spark, sf_dir):
     return c.where("role = 'user'").join(f, "conv_id").select("conv_id", "turn", "n", "roles")
 
 
-@query("SELECT a, b, shared FROM (SELECT x.id AS a, y.id AS b, count(*) AS shared, row_number() OVER (PARTITION BY x.id ORDER BY count(*) DESC, y.id) AS r FROM (SELECT id, unnest(tags) AS tag FROM items WHERE doc_id < 300) x JOIN (SELECT id, unnest(tags) AS tag FROM items WHERE doc_id < 300) y ON x.tag = y.tag AND x.id <> y.id GROUP BY x.id, y.id) WHERE r <= 3", items=True)
+@query("SELECT a, b, shared FROM (SELECT x.id AS a, y.id AS b, count(*) AS shared, row_number() OVER (PARTITION BY x.id ORDER BY count(*) DESC, y.id) AS r FROM (SELECT id, unnest(tags) AS tag FROM items WHERE doc_id % 100 = 0) x JOIN (SELECT id, unnest(tags) AS tag FROM items) y ON x.tag = y.tag AND x.id <> y.id GROUP BY x.id, y.id) WHERE r <= 3", items=True)
 def related_by_tags(spark, sf_dir):
-    """The three items that share most tags. The operator serves the page being shown: a stated set of items."""
-    t = items(spark, sf_dir).where("doc_id < 300").select("id", F.explode("tags").alias("tag"))
-    pairs = t.select(F.col("id").alias("a"), "tag").join(t.select(F.col("id").alias("b"), "tag"), "tag").where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    """The three items that share most tags. A search: queries are the items whose id is divisible by 100."""
+    t = items(spark, sf_dir).select("doc_id", "id", F.explode("tags").alias("tag"))
+    pairs = t.where("doc_id % 100 = 0").select(F.col("id").alias("a"), "tag").join(t.select(F.col("id").alias("b"), "tag"), "tag").where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
     w = Window.partitionBy("a").orderBy(F.desc("shared"), "b")
     return pairs.withColumn("r", F.row_number().over(w)).where("r <= 3").select("a", "b", "shared")
 

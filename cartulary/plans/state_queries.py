@@ -73,11 +73,11 @@ def promotion_gate(spark, sf_dir):
     return rows.select("candidate_id", promotable(F.col("status"), F.col("episodes"), F.col("traces")).alias("passes"))
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id % 4 = 0 AND doc_id NOT IN (SELECT doc_id FROM labels)")
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def idempotent_append(spark, sf_dir):
     """Rows of unseen ids only."""
     store = table(spark, sf_dir, "labels").select("doc_id", F.lit("x").alias("sha"))
-    new, _ = append_new(store, table(spark, sf_dir, "documents").where("doc_id % 4 = 0").select("doc_id", F.lit("x").alias("sha")), "doc_id", "sha")
+    new, _ = append_new(store, table(spark, sf_dir, "documents").select("doc_id", F.lit("x").alias("sha")), "doc_id", "sha")
     return new.select("doc_id")
 
 

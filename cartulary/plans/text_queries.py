@@ -119,5 +119,5 @@ def mapped_text(spark, sf_dir):
 @query()
 def best_excerpts(spark, sf_dir):
     """The 30-word window of each text that matches a query best."""
-    words = T.tokenize(F.lit("the of and from there"))
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", T.best_window(F.left("text", F.lit(3000)), words).alias("excerpt"))
+    words = F.array(*[F.lit(w) for w in ("the", "of", "and", "from", "there")])
+    return table(spark, sf_dir, "documents").select("doc_id", T.best_window(F.col("text"), words).alias("excerpt"))

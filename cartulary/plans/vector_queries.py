@@ -15,33 +15,36 @@ _V = "embedding::DOUBLE[]"
 _PAIR, _NEAR = 0.3, 0.2
 
 
-def _queries(e):
-    """The query vectors: those of the first eight ids, a fixed set, so broadcasting them is bounded."""
-    return F.broadcast(e.where("vec_id < 8").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv")))
+_BLOCK = 256
 
 
-@query(f"SELECT vec_id, round(sqrt(list_sum(list_transform({_V}, x -> x * x))), 6) AS norm, round(list_sum(list_transform({_V}, x -> x * x)) / list_sum(list_transform({_V}, x -> x * x)), 6) AS unit_norm, len(embedding) = 64 AS valid FROM embeddings")
+def _against_all(e):
+    """(q, vec_id, similarity) of the query vectors, those whose id is divisible by 100, against all others, in blocks of at most about _BLOCK query vectors."""
+    q = e.where("vec_id % 100 = 0").select(F.struct(F.col("vec_id").alias("q"), unit(F.col("embedding")).alias("v")).alias("x"), F.floor(F.col("vec_id") / (100 * _BLOCK)).alias("block"))
+    blocks = q.groupBy("block").agg(F.collect_list("x").alias("xs"))
+    pairs = e.select("vec_id", unit(F.col("embedding")).alias("u")).crossJoin(blocks)
+    near = F.filter(F.transform("xs", lambda x: F.struct(x.q.alias("q"), F.round(dot(x.v, F.col("u")), 6).alias("similarity"))), lambda x: (x.q != F.col("vec_id")) & (x.similarity >= _NEAR))
+    return pairs.select("vec_id", F.inline(near)).select("q", "vec_id", "similarity")
+
+
+@query(f"SELECT vec_id, round(sqrt(list_sum(list_transform({_V}, lambda x: x * x))), 6) AS norm, round(list_sum(list_transform({_V}, lambda x: x * x)) / list_sum(list_transform({_V}, lambda x: x * x)), 6) AS unit_norm, len(embedding) = 64 AS valid FROM embeddings")
 def vector_norms(spark, sf_dir):
     """F13, F14, S09, S10, S17."""
     v = F.col("embedding")
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(norm(v), 6).alias("norm"), F.round(dot(unit(v), unit(v)), 6).alias("unit_norm"), is_vector(v, 64).alias("valid"))
 
 
-@query(f"SELECT q, vec_id, similarity FROM (SELECT a.vec_id AS q, b.vec_id, round(list_cosine_similarity(a.{_V}, b.{_V}), 6) AS similarity, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.{_V}, b.{_V}), 6) DESC, b.vec_id) AS r FROM embeddings a, embeddings b WHERE a.vec_id < 8 AND a.vec_id <> b.vec_id AND round(list_cosine_similarity(a.{_V}, b.{_V}), 6) >= {_NEAR}) WHERE r <= 10")
+@query(f"SELECT q, vec_id, similarity FROM (SELECT a.vec_id AS q, b.vec_id, round(list_cosine_similarity(a.{_V}, b.{_V}), 6) AS similarity, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.{_V}, b.{_V}), 6) DESC, b.vec_id) AS r FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND round(list_cosine_similarity(a.{_V}, b.{_V}), 6) >= {_NEAR}) WHERE r <= 10")
 def semantic_topk(spark, sf_dir):
     """The ten nearest vectors of each query above a floor."""
-    e = table(spark, sf_dir, "embeddings")
-    sim = e.join(_queries(e), F.col("vec_id") != F.col("q")).select("q", "vec_id", F.round(cosine(F.col("qv"), F.col("embedding")), 6).alias("similarity"))
-    return top_in_group(sim.where(F.col("similarity") >= _NEAR), ["q"], 10, F.desc("similarity"), "vec_id").select("q", "vec_id", "similarity")
+    return top_in_group(_against_all(table(spark, sf_dir, "embeddings")), ["q"], 10, F.desc("similarity"), "vec_id").select("q", "vec_id", "similarity")
 
 
-@query(f"SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.{_V}, b.{_V}), 6) AS similarity FROM embeddings a, embeddings b WHERE a.label = b.label AND a.vec_id < b.vec_id AND round(list_cosine_similarity(a.{_V}, b.{_V}), 6) >= {_PAIR} ORDER BY 3 DESC, 1, 2 LIMIT 10")
+@query(f"SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.{_V}, b.{_V}), 6) AS similarity FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND round(list_cosine_similarity(a.{_V}, b.{_V}), 6) >= {_PAIR} ORDER BY 3 DESC, 1, 2 LIMIT 10")
 def conflict_pairs(spark, sf_dir):
-    """The ten most alike pairs within a topic (equi-join on the label, then cosine of unit vectors)."""
-    e = table(spark, sf_dir, "embeddings").select("label", "vec_id", unit(F.col("embedding")).alias("u"))
-    other = e.select("label", F.col("vec_id").alias("b"), F.col("u").alias("w"))
-    pairs = e.join(other, "label").where("vec_id < b").select(F.col("vec_id").alias("a"), "b", F.round(dot(F.col("u"), F.col("w")), 6).alias("similarity"))
-    return pairs.where(F.col("similarity") >= _PAIR).orderBy(F.desc("similarity"), "a", "b").limit(10)
+    """The ten most alike pairs of a query vector and another. (The limit is the operator's; op5 links all rows.)"""
+    pairs = _against_all(table(spark, sf_dir, "embeddings")).where(F.col("similarity") >= _PAIR)
+    return pairs.select(F.col("q").alias("a"), F.col("vec_id").alias("b"), "similarity").orderBy(F.desc("similarity"), "a", "b").limit(10)
 
 
 @query(f"SELECT label, count(*) AS n, round(max(list_cosine_similarity({_V}, qv::DOUBLE[])), 6) AS best, arg_min(vec_id, (-round(list_cosine_similarity({_V}, qv::DOUBLE[]), 6), vec_id)) AS vec_id FROM embeddings, (SELECT embedding AS qv FROM embeddings WHERE vec_id = 0) GROUP BY label")
@@ -54,19 +57,19 @@ def best_per_topic(spark, sf_dir):
 
 
 _ABSORB = f"""SELECT c.vec_id, c.label, max(CASE WHEN s.vec_id % 4 <> 0 THEN round(list_cosine_similarity(c.{_V}, s.{_V}), 6) END) AS relevance, max(CASE WHEN s.vec_id % 4 = 0 THEN round(list_cosine_similarity(c.{_V}, s.{_V}), 6) END) AS redundancy
-  FROM (SELECT * FROM embeddings WHERE vec_id % 3 = 0) c JOIN (SELECT * FROM embeddings WHERE vec_id % 3 <> 0) s ON c.label = s.label GROUP BY c.vec_id, c.label"""
+  FROM (SELECT * FROM embeddings WHERE vec_id % 100 = 0) c JOIN (SELECT * FROM embeddings WHERE vec_id % 100 <> 0) s ON c.label = s.label GROUP BY c.vec_id, c.label"""
 
 
 def _absorbed(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", unit(F.col("embedding")).alias("u"))
-    s = e.where("vec_id % 3 <> 0").select(F.col("vec_id").alias("sid"), "label", F.col("u").alias("su"))
+    s = e.where("vec_id % 100 <> 0").select(F.col("vec_id").alias("sid"), "label", F.col("u").alias("su"))
     sim = F.round(dot(F.col("u"), F.col("su")), 6)
-    return e.where("vec_id % 3 = 0").join(s, "label").groupBy("vec_id", "label").agg(F.max(F.when(F.col("sid") % 4 != 0, sim)).alias("relevance"), F.max(F.when(F.col("sid") % 4 == 0, sim)).alias("redundancy"))
+    return e.where("vec_id % 100 = 0").join(s, "label").groupBy("vec_id", "label").agg(F.max(F.when(F.col("sid") % 4 != 0, sim)).alias("relevance"), F.max(F.when(F.col("sid") % 4 == 0, sim)).alias("redundancy"))
 
 
 @query(f"SELECT * EXCLUDE r, CASE WHEN relevance IS NULL THEN 'skip' WHEN relevance < 0.1 THEN 'off_topic' WHEN redundancy > 0.25 THEN 'redundant' WHEN r > 25 THEN 'over_cap' ELSE 'allow' END AS decision FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY relevance DESC NULLS LAST, vec_id) AS r FROM ({_ABSORB}))")
 def absorb_gate(spark, sf_dir, relevance: float = 0.1, redundancy: float = 0.25, cap: int = 25):
-    """Relevance to a topic's sections, redundancy with what it has, a cap on each topic. (The cap is the operator's.)"""
+    """Relevance to a topic's sections, redundancy with what it has, a cap on each topic. Candidates are the query set; the cap is the operator's."""
     w = Window.partitionBy("label").orderBy(F.col("relevance").desc_nulls_last(), "vec_id")
     out = _absorbed(spark, sf_dir).withColumn("r", F.row_number().over(w))
     decision = F.when(F.col("relevance").isNull(), "skip").when(F.col("relevance") < relevance, "off_topic").when(F.col("redundancy") > redundancy, "redundant").when(F.col("r") > cap, "over_cap").otherwise("allow")

@@ -12,10 +12,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from cartulary.operators.state import TERMINAL
 
 
-def event_stream(spark, path: str, files: int = 1) -> DataFrame:
-    """The events of a folder as a stream; ts as a timestamp with time zone, which watermarks need."""
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+def event_stream(spark, folder: str, glob: str = "events*.parquet", files: int = 1) -> DataFrame:
+    """The events in a folder's files as a stream; ts as a timestamp with time zone, which watermarks need."""
+    schema = spark.read.option("pathGlobFilter", glob).parquet(folder).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", glob).parquet(folder)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def usage(events: DataFrame) -> DataFrame:
