@@ -95,11 +95,11 @@ def conversation_recall(spark, sf_dir):
     return R.top(latest.where(hits > 0).select("conv_id", "turn", F.round(0.65 * (hits / 2.0), 4).cast("double").alias("score")), 20, F.desc("score"), F.desc("conv_id"), F.desc("turn"))
 
 
-@query("SELECT doc_id, round(0.6 * rel + 0.4 * least(sig / 5.0, 1), 4)::DOUBLE AS score FROM (SELECT doc_id, len(regexp_extract_all(text, '(?i)(but|however|not)')) AS sig, (contains(lower(text), 'the')::INT + contains(lower(text), 'scum')::INT) / 2.0 AS rel FROM documents) WHERE sig > 0 AND rel >= 0.15 ORDER BY score DESC, doc_id LIMIT 50")
+@query("SELECT doc_id, round(0.6 * rel + 0.4 * least(sig / 5.0, 1), 4)::DOUBLE AS score FROM (SELECT doc_id, len(regexp_extract_all(text, '(?i)(and|that|der)')) AS sig, (contains(lower(text), 'the')::INT + contains(lower(text), 'scum')::INT) / 2.0 AS rel FROM documents) WHERE sig > 0 AND rel >= 0.15 ORDER BY score DESC, doc_id LIMIT 50")
 def contrarian_recall(spark, sf_dir):
     """Texts with signal words, by relevance and signals."""
     words = F.array(F.lit("the"), F.lit("scum"))
-    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_count("text", F.lit("(?i)(but|however|not)")).alias("sig"), T.hit_fraction(words, F.col("text")).alias("rel"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_count("text", F.lit("(?i)(and|that|der)")).alias("sig"), T.hit_fraction(words, F.col("text")).alias("rel"))
     return R.top(d.where("sig > 0 and rel >= 0.15").select("doc_id", F.round(0.6 * F.col("rel") + 0.4 * F.least(F.col("sig") / 5.0, F.lit(1)), 4).cast("double").alias("score")), 50, F.desc("score"), "doc_id")
 
 
