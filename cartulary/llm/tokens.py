@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from cartulary.llm.bpe import _Cache
 from cartulary.llm.common import Workspace, resident
 from cartulary.llm.files import Reader, open_store, part_number, written_whole
 
@@ -23,7 +25,6 @@ _WIDEST = 20
 #: Ids of a block. Blocks decode alone.
 BLOCK = 1 << 16
 _MAGIC = b"S8B1"
-_KEPT_WORDS = 1 << 17
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -78,19 +79,32 @@ def unpack(block: bytes) -> np.ndarray:
     return out
 
 
-class _Words(dict):
-    """Word -> its ids as bytes. Ids of a text are those of its words: the tokenizer drops white space and joins nothing across it."""
+#: ASCII letters, then marks that belong to no contraction: two pieces to the tokenizer, whatever stands between them.
+_PLAIN = re.compile(rb"([A-Za-z]+)([^A-Za-z0-9'\x00-\x20\x7f-\xff]*)")
+
+
+class _Words:
+    """Word -> its ids as bytes. Ids of a text are those of its words: the tokenizer drops white space and joins nothing across it.
+
+    It lower-cases, and takes letters and the marks after them apart, so plain words are kept by their lower-cased letters.
+    """
 
     def __init__(self, tokenizer: Tokenizer):
-        super().__init__()
         self.encode = tokenizer.encode
+        self.pieces, self.words = _Cache(self._library), _Cache(self._word)
+
+    def _library(self, piece: bytes) -> bytes:
+        return np.array(self.encode(piece.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        plain = _PLAIN.fullmatch(word)
+        if not plain:
+            return self._library(word)
+        letters = self.pieces[plain[1].lower()]
+        return letters + self.pieces[plain[2]] if plain[2] else letters
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= _KEPT_WORDS:
-            self.clear()
-        ids = np.array(self.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        self[word] = ids
-        return ids
+    def __getitem__(self, word: bytes) -> bytes:
+        return self.words[word]
 
 
 def write_tokens(docs: DataFrame, vocabulary: str, folder: str, id_col: str = "doc_id", text_col: str = "text", *, end_id: int = 2) -> DataFrame:
@@ -131,7 +145,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, id_col: str = "d
             while batch is not None:
                 for i in range(batch.num_rows):
                     key, text = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                    coded = b"".join(map(words.__getitem__, text.encode().split())) if text else b""
+                    coded = b"".join(map(words.words.__getitem__, text.encode().split())) if text else b""
                     ids.append(key or 0)
                     nulls.append(key is None)
                     sizes.append(len(coded) // 4 + 1)
