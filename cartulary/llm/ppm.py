@@ -27,6 +27,7 @@ _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 _RANDOM = np.random.default_rng(20_240_229)
 _TABLE = _RANDOM.integers(0, 1 << 64, (64, 256), np.uint64)
 _ODD = _RANDOM.integers(0, 1 << 64, 4096, np.uint64) | np.uint64(1)
+_ODD[0] = 1  # a word's first 64 bytes count the same whether or not a longer word is near
 #: The key of the token that ends a text.
 END = int(_RANDOM.integers(0, 1 << 63))
 

@@ -150,6 +150,22 @@ def test_ppm_is_a_distribution_and_base_is_exact(spark, docs, monkeypatch):
     assert sliced == sorted((str(r.doc_id), round(r.score, 6), round(r.base_score, 6)) for r in whole)
 
 
+def test_ppm_words_beside_a_long_word(spark):
+    long = "https://example.org/" + "x" * 80
+    texts = ["the cat", f"the {long} cat", "the dog", f"{long} the", "a dog", long[:-1] + "y"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6, "doc_id")
+    counts = {}
+    for k, t in enumerate(texts):
+        if zlib.crc32(str(k).encode()) % 7 != 2:
+            for w in [*words_of(t), None]:
+                counts[w] = counts.get(w, 0) + 1
+    total = sum(counts.values())
+    for r in ppm.score_texts(table).collect():
+        found = [counts.get(w, 0) for w in [*words_of(texts[r.doc_id]), None]]
+        assert r.n_known == sum(c > 0 for c in found)
+        assert abs(r.base_score - sum(np.log10((c + 1) / (total + len(counts) + 1)) for c in found)) < 1e-9
+
+
 def test_pivots_recall_and_odd_vectors(spark):
     rng = np.random.default_rng(4)
     base = rng.standard_normal((300, 32))
