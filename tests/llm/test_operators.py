@@ -19,6 +19,7 @@ from cartulary.llm.mixing import mix
 from cartulary.llm.pivots import pivot_links, unit
 from cartulary.llm.secrets import redact_secrets, scan_secrets
 from cartulary.llm.toxicity import BlockMaxIndex, score_toxicity
+from corpus_pipeline import keep_distinct
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, extra string, id string"
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -64,6 +65,44 @@ def test_simhash_equals_brute_force(docs):
             assert got[r.doc_id, f"{prints[i]:016x}"] == (min(ids) if ids else None)
 
 
+def test_near_copies_equal_brute_force(spark):
+    rng = np.random.default_rng(6)
+    word = np.array([f"w{k}" for k in range(4000)])
+    boiler = " ".join(rng.choice(word, 60))
+    texts = ["", None, " ", "one two", "ONE two", "a b c d e f g h", "a b c d e f g h i", boiler]
+    for _ in range(60):
+        base = rng.choice(word, rng.integers(30, 300))
+        texts.append(" ".join(base))
+        for share in (0.01, 0.02, 0.022, 0.025, 0.03):
+            other = base.copy()
+            at = rng.random(len(base)) < share
+            other[at] = rng.choice(word, at.sum())
+            texts.append(" ".join(other))
+        texts.append(f"{boiler} {' '.join(base[:40])}")
+    texts += [" ".join([*word[:400], f"copy{k}"]) for k in range(600)]
+    sets = []
+    for t in texts:
+        w = words_of(t)
+        sets.append({b" ".join(w[i : i + 5]) for i in range(len(w) - 4)} or ({b" ".join(w)} if w else set()))
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    rows = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in [*enumerate(texts), (0, texts[0])]], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    assert {r.doc_id for r in keep_distinct(spark, rows, "").collect()} == {i for i in range(len(texts)) if top(i) == i}
+    got = simhash.jaccard_components(rows).collect()
+    assert len(got) == len(texts) + 1
+    assert {r.doc_id: r.component_id for r in got} == {i: top(i) for i in range(len(texts))}
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(30)] + [(100, k) for k in range(101, 140)] + [(7, 7)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long"), Workspace(spark, "t")).collect()}
