@@ -1,4 +1,4 @@
-"""Mixing sources to target weights: Sainte-Lague apportionment of equal-token blocks.
+"""Mixing sources to target weights: Sainte-Lague apportionment of words.
 
 DataFrame functions only.
 """
@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 
 from cartulary.llm.common import WORD, Workspace
 
-#: The mix is cut into so many equal-token blocks (one word each if it has fewer words).
-BLOCKS = 1 << 20
-
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
@@ -77,13 +74,14 @@ def mix(
 
     size counts the words of the text (null: 0); target is the words that the row's source should
     give; taken the words that the mix takes of the row, repeats counted. The mix has as many words
-    as the table. It is cut into BLOCKS blocks of equally many words, which Sainte-Lague gives to
-    sources by target, and in turn to a source's shards by size. A source of n rows has about
+    as the table. Each is a seat, which Sainte-Lague gives to sources by target, and in turn to a
+    source's shards by size; all but about two a part are sure in closed form, so their number
+    costs nothing. A source of n rows has about
     sqrt(n) shards of sqrt(n) rows, by a seeded hash of the id, so neither a shard's rows nor a
     source's shards are many, however large the source. In a shard the rows stand in seeded order
     as one ring of words; whole turns of the quota take every row, and the rest is one arc that
-    starts at a seeded place. Thus taken differs from most * size by nothing more than the cap
-    allows: a shard's quota is at most most * (its words).
+    starts at a seeded place. A source thus gives its target to within rounding, and a shard at
+    most most * (its words).
 
     Null sources are one source, the last. Rows of no words take nothing. Null ids hash as the
     text 'null'; rows of one id stand together in the order of size, and equal rows are
@@ -93,20 +91,19 @@ def mix(
     rows = work.stage(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "sizes")
     by_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_n"))
     sources = source_targets(by_source, most, weights)
-    block = F.greatest(F.lit(1.0), F.sum("source_size").over(Window.partitionBy()) / F.lit(float(BLOCKS)))
-    sources = sources.withColumn("_block", block).withColumn("_total", F.round(F.sum("target").over(Window.partitionBy()) / F.col("_block")).cast("long"))
-    sources = sources.withColumn("_cap", F.floor(most * F.col("source_size") / F.col("_block")).cast("long")).withColumn("_all", F.lit(0))
+    sources = sources.withColumn("_total", F.round(F.sum("target").over(Window.partitionBy())).cast("long"))
+    sources = sources.withColumn("_cap", F.floor(most * F.col("source_size")).cast("long")).withColumn("_all", F.lit(0))
     sources = apportion(sources, ["_all"], "target", "_total", [F.col("source").asc_nulls_last()], "_cap", "_seats")
-    sources = work.stage(sources.withColumn("_shards", F.ceil(F.sqrt("_n")).cast("long")).select("source", "source_size", "target", "_block", "_seats", "_shards"), "quotas")
+    sources = work.stage(sources.withColumn("_shards", F.ceil(F.sqrt("_n")).cast("long")).select("source", "source_size", "target", "_seats", "_shards"), "quotas")
 
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit("null"))))
     number = F.conv(F.substring(key, 1, 12), 16, 10).cast("long")
     placed = rows.join(sources, rows.source.eqNullSafe(sources.source)).drop(sources.source)
     placed = placed.withColumn("_key", key).withColumn("_shard", F.pmod(number, F.col("_shards")))
-    shards = placed.groupBy("source", "_shard", "_block", "_seats").agg(F.sum("size").alias("_words"))
-    shards = shards.withColumn("_cap", F.floor(most * F.col("_words") / F.col("_block")).cast("long")).withColumn("_votes", F.col("_words").cast("double"))
+    shards = placed.groupBy("source", "_shard", "_seats").agg(F.sum("size").alias("_words"))
+    shards = shards.withColumn("_cap", F.floor(most * F.col("_words")).cast("long")).withColumn("_votes", F.col("_words").cast("double"))
     shards = apportion(shards, ["source"], "_votes", "_seats", [F.col("_shard")], "_cap", "_quota")
-    shards = shards.select(F.col("source").alias("_s"), F.col("_shard").alias("_h"), "_words", F.floor(F.col("_quota") * F.col("_block")).cast("long").alias("_quota"))
+    shards = shards.select(F.col("source").alias("_s"), F.col("_shard").alias("_h"), "_words", "_quota")
 
     ring = Window.partitionBy("source", "_shard").orderBy("_key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = placed.withColumn("_end", F.sum("size").over(ring))
@@ -121,7 +118,8 @@ def mix(
     return placed.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken"))
 
 
-#: The same in DuckDB's SQL, over the table documents, with the defaults above.
+#: The same in DuckDB's SQL, over the table documents, with the defaults above. Its seats are blocks of
+#: total / 2^20 words, so it is equal up to 2^20 words in all; beyond, it still rounds quotas down to blocks.
 MIX_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents

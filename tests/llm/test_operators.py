@@ -118,6 +118,16 @@ def test_mix_takes_targets(spark, docs):
     assert sum(r["taken"] for r in rows) <= sum(r["size"] for r in rows) + len(rows)
 
 
+def test_mix_meets_targets_beyond_a_million_words(spark):
+    rows = [(k, "w " * 20_000, "big") for k in range(150)] + [(1000 + k, "w " * (1 + k % 3), f"tiny{k % 7}") for k in range(60)]
+    found = mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    of = {k: s for k, _, s in rows}
+    for name in set(of.values()):
+        mine = [r for r in found if of[r["doc_id"]] == name]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 1
+        assert all(r["taken"] <= 3 * r["size"] for r in mine)
+
+
 BPE = BacktrackingBPE(open(BYTE_BPE, "rb").read())
 LIBRARY = Tokenizer.from_file(BYTE_BPE)
 
