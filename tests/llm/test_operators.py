@@ -2,6 +2,7 @@
 
 import hashlib
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -19,7 +20,7 @@ from cartulary.llm.mixing import mix
 from cartulary.llm.pivots import pivot_links, unit
 from cartulary.llm.secrets import redact_secrets, scan_secrets
 from cartulary.llm.toxicity import BlockMaxIndex, score_toxicity
-from corpus_pipeline import keep_distinct
+from corpus_pipeline import keep_distinct, mix_sources
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, extra string, id string"
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -128,6 +129,17 @@ def test_mix_meets_targets_beyond_a_million_words(spark):
         assert all(r["taken"] <= 3 * r["size"] for r in mine)
 
 
+def test_pipeline_mix_keeps_texts_whole(spark):
+    rows = [(k, " ".join(f"d{k}w{j}" for j in range(5 + k % 40)), "en", f"s{k % 3}", 0) for k in range(900)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    text, out = {r[0]: r[1] for r in rows}, mix_sources(spark, table, "").collect()
+    assert all(r.text == text[r.doc_id] and r.n_chars == len(r.text) for r in out)
+    assert max(Counter(r.doc_id for r in out).values()) <= 3
+    want = {r["doc_id"]: r["target"] for r in mix(table).collect()}
+    for k in range(3):
+        assert abs(sum(len(r.text.split()) for r in out if r.source == f"s{k}") - want[k]) <= 10
+
+
 BPE = BacktrackingBPE(open(BYTE_BPE, "rb").read())
 LIBRARY = Tokenizer.from_file(BYTE_BPE)
 
