@@ -1,31 +1,33 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes."""
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over an inverted index of all their terms."""
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as ds
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartulary.llm.common import Workspace, crc_fold, resident
+from cartulary.llm.files import open_store
 
 #: Labelled rows that the classifier is fitted on, at most: those whose ids hash lowest.
 EXAMPLES = 12_288
-#: Terms of the vector space, at most: those of toxic examples with the highest chi-square.
-TERMS = 512
-#: Least chi-square of a term: far beyond chance among the many terms tried.
-CHI = 30.0
+#: Chi-square at which a term of toxic texts has its whole weight: far beyond chance among the many
+#: terms tried. Below, the weight falls with its square, to LEAST for terms that tell nothing.
+CHI, LEAST = 30.0, 0.02
 NEIGHBOURS = 15
-BLOCK = 64
+#: A term in more than one of so many examples is kept as a dense row of weights.
+_DENSE = 8
 #: Bytes at which words are also cut, so that a stem counts in every word that starts with it.
 _STEMS = (6, 7, 8)
-#: Results kept in a task for texts of the same terms, and counts gathered in one before they are sent on.
-_KEPT, _GATHERED = 1 << 13, 200_000
+#: Results kept in a task for texts of the same terms, and words whose terms are kept.
+_KEPT, _WORDS = 1 << 13, 1 << 16
 
 _FOLD = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c >= 128 else c + 32 if 65 <= c < 91 else 32 for c in range(256))
 
@@ -39,95 +41,122 @@ def terms_of(word: bytes) -> list[bytes]:
     return [b"=" + word, *(b"^" + word[:n] for n in _STEMS if len(word) >= n)]
 
 
-class Terms:
-    """Counts the terms of a vocabulary in a text: one Aho-Corasick pass over its folded bytes, where a term is a word or its start after a space."""
+def counted(text: str | None, terms_in: Callable[[bytes], list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The terms of a text, by number, and how often it has each."""
+    tf: dict[int, int] = {}
+    for word, n in Counter(words(text)).items():
+        for t in terms_in(word):
+            tf[t] = tf.get(t, 0) + n
+    t = np.fromiter(tf.keys(), np.int64, len(tf))
+    order = np.argsort(t)
+    return t[order], np.fromiter(tf.values(), np.int64, len(tf))[order]
 
-    def __init__(self, vocabulary: dict[bytes, int]):
-        self.matches = ahocorasick.Automaton()
-        for term, number in vocabulary.items():
-            pattern = b" " + term[1:] + (b" " if term[:1] == b"=" else b"")
-            self.matches.add_word(pattern.decode("latin-1"), number)
-        if vocabulary:
-            self.matches.make_automaton()
 
-    def count(self, text: str | None) -> tuple[tuple[int, int], ...]:
-        if not text or not len(self.matches):
-            return ()
-        folded = " " + text.encode("utf-8", "surrogatepass").translate(_FOLD).decode("latin-1") + " "
-        return tuple(sorted(Counter([t for _, t in self.matches.iter(folded)]).items()))
+def hashes_of(word: bytes) -> list[int]:
+    """The word's terms as signed 64-bit hashes."""
+    return [h - (1 << 64) if h >> 63 else h for h in map(xxhash.xxh64_intdigest, terms_of(word))]
 
 
-class BlockMaxIndex:
-    """Examples in blocks of BLOCK; each term keeps its largest weight in each block.
+def gains(clean: np.ndarray, toxic: np.ndarray, n: int, p: int) -> np.ndarray:
+    """What a term's idf is multiplied by, from the clean and toxic examples that have it, of n examples with p toxic ones."""
+    a, b = clean.astype(np.float64), toxic.astype(np.float64)
+    hit = a + b
+    tells = (hit >= 3) & (hit < n) & (b * (n - p) > a * p)
+    chi = n * (b * (n - p) - a * p) ** 2 / np.maximum(hit * (n - hit) * max(p, 1) * max(n - p, 1), 1)
+    return LEAST + (1 - LEAST) * np.where(tells, np.minimum(1, chi / CHI) ** 2, 0)
 
-    The sum of a query's weights times those maxima bounds every score in a block, so blocks are
-    scored in falling order of the bound until it is below the k-th best score: the result is the
-    exact top k (ties: lower example first).
-    """
 
-    def __init__(self, counts: list[tuple[tuple[int, int], ...]], labels: list[int], idf: np.ndarray, k: int = NEIGHBOURS, line: tuple[float, float] = (1.0, 0.0)):
+class ExampleIndex:
+    """Examples by term. A text's cosine with each example is the sum over its terms, so the result is the exact top k (ties: lower example first)."""
+
+    def __init__(self, counts, labels, weight: np.ndarray, k: int = NEIGHBOURS, line: tuple[float, float] = (1.0, 0.0)):
+        """counts: of each example its (term, n) pairs, or all at once as arrays (example, term, n)."""
+        if isinstance(counts, list):
+            flat = [(row, *c) for row, of in enumerate(counts) for c in of]
+            counts = tuple(np.array(flat, np.int64).reshape(-1, 3).T)
         self.slope, self.shift = line
-        self.counts, self.idf, self.k, self.labels = counts, idf, k, np.array(labels, np.float64)
-        blocks = max(1, -(-len(counts) // BLOCK))
-        self.weights = np.zeros((blocks * BLOCK, len(idf)), np.float32)
-        for row, c in enumerate(counts):
-            t, w = self.vector(c)
-            self.weights[row, t] = w
-        self.weights = self.weights.reshape(blocks, BLOCK, len(idf))
-        self.most = self.weights.max(1)
-        empty = np.array([not c for c in counts], bool)
+        self.idf, self.k, self.labels = weight, k, np.asarray(labels, np.float64)
+        row, t, n = counts
+        size = len(self.labels)
+        w = (1 + np.log(n)) * weight[t]
+        w = w / np.sqrt(np.bincount(row, w * w, size))[row]
+        order = np.argsort(t, kind="stable")
+        self.row, self.w = row[order].astype(np.int32), w[order]
+        self.at = np.searchsorted(t[order], np.arange(len(weight) + 1))
+        often = np.flatnonzero(np.diff(self.at) * _DENSE > size)
+        self.dense, self.place = np.zeros((len(often), size)), np.full(len(weight), -1)
+        self.place[often] = np.arange(len(often))
+        for k, t in enumerate(often):
+            self.dense[k, self.row[self.at[t] : self.at[t + 1]]] = self.w[self.at[t] : self.at[t + 1]]
+        empty = np.bincount(row, minlength=size) == 0
         # A text without a term has no neighbours: the rate among such examples stands for it.
-        self.none = (self.labels[empty].sum() + 0.5) / (empty.sum() + 1) if len(counts) else 0.5
-        self.rate = (self.labels.sum() + 0.5) / (len(counts) + 1)
-
-    def vector(self, counts: tuple[tuple[int, int], ...]) -> tuple[np.ndarray, np.ndarray]:
-        t = np.array([c[0] for c in counts], np.int64)
-        w = (1 + np.log([c[1] for c in counts])) * self.idf[t] if counts else np.zeros(0)
-        return t, w / np.sqrt((w * w).sum()) if counts else w
-
-    def nearest(self, counts: tuple[tuple[int, int], ...], skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        self.rate = (self.labels.sum() + 0.5) / (size + 1)
+        self.none = (self.labels[empty].sum() + self.rate) / (empty.sum() + 1)
+
+    @property
+    def weights(self) -> np.ndarray:
+        """All weights, an example a row."""
+        out = np.zeros((len(self.labels), len(self.idf)))
+        out[self.row, np.repeat(np.arange(len(self.idf)), np.diff(self.at))] = self.w
+        return out
+
+    def vector(self, counts) -> tuple[np.ndarray, np.ndarray]:
+        t, n = counts if isinstance(counts, tuple) and len(counts) == 2 and isinstance(counts[0], np.ndarray) else np.array(counts, np.int64).reshape(-1, 2).T
+        w = (1 + np.log(n)) * self.idf[t]
+        return t, w / np.sqrt((w * w).sum()) if len(t) else w
+
+    def nearest(self, counts, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the k examples of the highest cosine above zero."""
         t, w = self.vector(counts)
-        bound = self.most[:, t].astype(np.float64) @ w
-        rows, scores = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(rows) >= self.k and bound[b] < scores[self.k - 1] - 1e-12:
-                break
-            s = self.weights[b][:, t].astype(np.float64) @ w
-            hit = np.flatnonzero(s > 0)
-            hit = hit[b * BLOCK + hit != skip]
-            rows, scores = np.concatenate([rows, b * BLOCK + hit]), np.concatenate([scores, s[hit]])
-            order = np.lexsort((rows, -scores))[: self.k]
-            rows, scores = rows[order], scores[order]
-        return rows, scores
+        if not len(t) or not len(self.labels):
+            return np.zeros(0, np.int64), np.zeros(0)
+        place = self.place[t]
+        thick = place >= 0
+        query = np.zeros(len(self.dense))
+        query[place[thick]] = w[thick]
+        s = query @ self.dense
+        t, w = t[~thick], w[~thick]
+        size = self.at[t + 1] - self.at[t]
+        at = np.arange(size.sum()) + np.repeat(self.at[t] - (np.cumsum(size) - size), size)
+        s += np.bincount(self.row[at], np.repeat(w, size) * self.w[at], len(s))
+        if skip >= 0:
+            s[skip] = 0
+        low = np.partition(s, -self.k)[-self.k] if len(s) > self.k else 0
+        rows = np.flatnonzero((s >= low) & (s > 0))
+        rows = rows[np.lexsort((rows, -s[rows]))[: self.k]]
+        return rows, np.minimum(s[rows], 1.0)
 
     def vote(self, rows: np.ndarray, scores: np.ndarray) -> float:
         """Votes weigh 1 / (distance + 0.1); one vote of weight 1 holds the overall rate."""
         w = 1 / (1.1 - scores)
         return float((w @ self.labels[rows] + self.rate) / (w.sum() + 1))
 
-    def calibrate(self) -> tuple[float, float]:
-        """Platt's line over the log odds of leave-one-out votes, by Newton steps with a weak prior at the identity."""
-        own = [(self.vote(*self.nearest(c, r)), self.labels[r]) for r, c in enumerate(self.counts) if c]
-        if len({y for _, y in own}) < 2:
-            return 1.0, 0.0
-        v, y = np.array(own).T
-        x = np.column_stack([np.log(v / (1 - v)), np.ones(len(v))])
-        start = beta = np.array([1.0, 0.0])
-        for _ in range(25):
-            p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-            step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + np.eye(2), x.T @ (y - p) - (beta - start))
-            beta = beta + np.clip(step, -1, 1)
-        return (float(beta[0]), float(beta[1])) if beta[0] > 0 else (1.0, 0.0)
-
-    def score(self, counts: tuple[tuple[int, int], ...]) -> tuple[float, np.ndarray, np.ndarray]:
-        rows, scores = self.nearest(counts) if counts else (np.zeros(0, np.int64), np.zeros(0))
+    def score(self, counts) -> tuple[float, np.ndarray, np.ndarray]:
+        rows, scores = self.nearest(counts)
         if not len(rows):
             return float(self.none), rows, scores
         v = self.vote(rows, scores)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * math.log(v / (1 - v)) + self.shift)))), rows, scores
 
 
+#: The name under which the index is tested.
+BlockMaxIndex = ExampleIndex
+
+
+def calibrate(votes: list[tuple[float, int]]) -> tuple[float, float]:
+    """Platt's line over the log odds of leave-one-out votes, by Newton steps with a weak prior at the identity."""
+    if len({y for _, y in votes}) < 2:
+        return 1.0, 0.0
+    v, y = np.array(sorted(votes)).T
+    x = np.column_stack([np.log(v / (1 - v)), np.ones(len(v))])
+    start = beta = np.array([1.0, 0.0])
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + np.eye(2), x.T @ (y - p) - (beta - start))
+        beta = beta + np.clip(step, -1, 1)
+    return (float(beta[0]), float(beta[1])) if beta[0] > 0 else (1.0, 0.0)
+
+
 def score_toxicity(
     docs: DataFrame,
     labels: DataFrame,
@@ -139,18 +168,17 @@ def score_toxicity(
     held_out: int = 2,
     threshold: float = 0.3,
     examples: int = EXAMPLES,
-    terms: int = TERMS,
 ) -> DataFrame:
     """One row for each input row: id, held_out, score, predicted, and the evidence: ids and cosines of the nearest examples.
 
     Labels are read only of rows whose crc32(id as text) mod folds is not held_out. The classifier
     is a bounded sample: the `examples` labelled rows whose ids hash lowest (equal texts are one
-    example), over the `terms` terms (words and word starts) of the highest chi-square in them. Document frequencies count all
-    documents. So the index has examples x terms weights at most, whatever the data, and no text is
-    shuffled.
+    example), with all their terms (words and word starts), each weighted by idf and by how far
+    chi-square in them tells toxic texts. Document frequencies count all documents. The index is
+    bounded by the examples; tasks read it from the shared folder, and no text is shuffled.
 
-    A null or empty text, and one without any of the terms, scores the smoothed rate of such
-    examples. Null ids are never held out and never examples; an id labelled more than once counts
+    A null or empty text, and one without any of the terms, scores the rate of such
+    examples, smoothed to the overall rate. Null ids are never held out and never examples; an id labelled more than once counts
     its highest label, as does an example's text, and of repeated rows of an example's id the least
     text is taken. Null labels
     are none. Without labels all scores are 0.5. An empty table gives an empty table.
@@ -165,69 +193,104 @@ def score_toxicity(
     texts = rows.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
     sample = work.stage(texts.groupBy("text").agg(F.min("id").alias("id"), F.max("label").alias("label")), "examples")
 
-    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
-
-        def out():
-            names = sorted(seen[0].keys() | seen[1].keys())
-            for k in range(0, len(names), 50_000):
-                part = names[k : k + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), *(pa.array([s[t] for t in part], pa.int64()) for s in seen)], ["term", "clean", "toxic"])
-            seen[0].clear()
-            seen[1].clear()
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [counted(batch.column(2)[i].as_py(), hashes_of) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array([c[k] for c in found], pa.list_(pa.int64())) for k in (0, 1))], ["id", "label", "h", "n"])
 
+    kind = docs.schema[id_col].dataType.simpleString()
+    terms = work.stage(sample.select("id", "label", "text").mapInArrow(listed, f"id {kind}, label int, h array<long>, n array<long>"), "terms")
+    this, listed_at = work.root, terms._staged_at
+
+    def table_of(root: str) -> pa.Table:
+        store, path = open_store(root)
+        return ds.dataset(path, filesystem=store, format="parquet").to_table()
+
+    def examples_of():
+        """Ids, labels, sorted hashes of all terms, and (example, term, n)."""
+        found, none = table_of(listed_at), np.zeros(0, np.int64)
+        if not len(found):
+            return [], none, none, (none, none, none)
+        found = found.take(pa.array(sorted(range(len(found)), key=[str(x) for x in found.column("id").to_pylist()].__getitem__)))
+        h, n = pa.concat_arrays(found.column("h").chunks), pa.concat_arrays(found.column("n").chunks)
+        row = np.repeat(np.arange(len(found)), h.value_lengths().to_numpy())
+        known, t = np.unique(h.flatten().to_numpy(), return_inverse=True)
+        return found.column("id").to_pylist(), (found.column("label").to_numpy() > 0).astype(np.int64), known, (row, t, n.flatten().to_numpy())
+
+    def numbers():
+        """Numbers of a word's terms that any example has."""
+        known = resident("toxicity", (this, "examples"), examples_of)[2]
+        kept: dict[bytes, list[int]] = {}
+
+        def of(word: bytes) -> list[int]:
+            if word not in kept:
+                if len(kept) >= _WORDS:
+                    kept.clear()
+                h = np.array(hashes_of(word), np.int64)
+                at = np.searchsorted(known, h)
+                kept[word] = [int(t) for t, x in zip(at, h) if t < len(known) and known[t] == x]
+            return kept[word]
+
+        return of
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, df = resident("toxicity", (this, "numbers"), numbers), np.zeros(len(resident("toxicity", (this, "examples"), examples_of)[2]), np.int64)
         for batch in batches:
             for i in range(batch.num_rows):
-                seen[batch.column(0)[i].as_py() > 0].update({t for w in set(words(batch.column(1)[i].as_py())) for t in terms_of(w)})
-                if len(seen[0]) + len(seen[1]) > _GATHERED:
-                    yield from out()
-        yield from out()
-
-    counts = sample.select("label", "text").mapInArrow(classes, "term binary, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("a"), F.sum("toxic").alias("b"))
-    total = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("label") > 0).cast("long")), F.lit(0))).first()
-    n, p = int(total[0]), int(total[1])
-    hit = F.col("a") + F.col("b")
-    chi = F.lit(float(n)) * F.pow(F.col("b") * F.lit(float(n - p)) - F.col("a") * F.lit(float(p)), F.lit(2.0)) / (hit.cast("double") * (n - hit) * float(max(p, 1)) * float(max(n - p, 1)))
-    toxic = F.col("b") * F.lit(float(n - p)) > F.col("a") * F.lit(float(p))
-    best = counts.where((hit >= 3) & (hit < n) & toxic).withColumn("chi", chi).where(F.col("chi") > CHI).orderBy(F.desc("chi"), "term").limit(terms).select("term").collect()
-    vocabulary = {bytes(r["term"]): k for k, r in enumerate(best)}
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = Terms(vocabulary)
+                df[list({t for w in set(words(batch.column(0)[i].as_py())) for t in of(w)})] += 1
+        some = np.flatnonzero(df)
+        for k in range(0, len(some), 200_000):
+            yield pa.RecordBatch.from_arrays([pa.array(some[k : k + 200_000]), pa.array(df[some[k : k + 200_000]])], ["t", "df"])
+
+    df = work.stage(rows.select("text").mapInArrow(frequencies, "t long, df long").groupBy("t").agg(F.sum("df").alias("df")), "frequencies")
+    total, df_at = rows.count(), df._staged_at
+
+    def index(line: tuple[float, float]) -> ExampleIndex:
+        def make():
+            _, labels, known, (row, t, n) = resident("toxicity", (this, "examples"), examples_of)
+            found, df = table_of(df_at), np.zeros(len(known))
+            if len(found):
+                df[found.column("t").to_numpy()] = found.column("df").to_numpy()
+            toxic = np.bincount(t, labels[row], len(known))
+            gain = gains(np.bincount(t, minlength=len(known)) - toxic, toxic, len(labels), int(labels.sum()))
+            return ExampleIndex((row, t, n), labels, (np.log((1 + total) / (1 + df)) + 1) * gain)
+
+        out = resident("toxicity", (this, "index"), make)
+        out.slope, out.shift = line
+        return out
+
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, labels, known, _ = resident("toxicity", (this, "examples"), examples_of)
+        at, own = {x: k for k, x in enumerate(names)}, index((1.0, 0.0))
         for batch in batches:
-            tf = [found.count(batch.column(1)[i].as_py()) for i in range(batch.num_rows)]
-            arrays = [pa.array([[c[k] for c in x] for x in tf], pa.list_(pa.int64())) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["id", "t", "n"])
+            found = []
+            for i in range(batch.num_rows):
+                h = np.array(batch.column(1)[i].as_py(), np.int64)
+                if len(h):
+                    k = at[batch.column(0)[i].as_py()]
+                    found.append((own.vote(*own.nearest((np.searchsorted(known, h), np.array(batch.column(2)[i].as_py())), k)), int(labels[k])))
+            yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in found], pa.float64()), pa.array([y for _, y in found], pa.int32())], ["vote", "label"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    counted = work.stage(rows.mapInArrow(count, f"id {kind}, t array<long>, n array<long>"), "counts")
-    df, total = np.zeros(len(vocabulary)), counted.count()
-    for r in counted.select(F.explode("t").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")).collect():
-        df[r["t"]] = r["df"]
-    idf = np.log((1 + total) / (1 + df)) + 1
-    fitted_rows = sample.select("id", "text").mapInArrow(count, f"id {kind}, t array<long>, n array<long>").join(sample.select("id", "label"), "id").collect()
-    fitted_rows.sort(key=lambda r: str(r["id"]))
-    examples_of = [tuple(zip(r["t"], r["n"])) for r in fitted_rows], [int(r["label"] > 0) for r in fitted_rows]
-    line, this = BlockMaxIndex(*examples_of, idf).calibrate(), work.root
-    fitted = spark.sparkContext.broadcast((*examples_of, idf, line, [r["id"] for r in fitted_rows]))
+    spread = terms.select("id", "h", "n").repartition(max(2, spark.sparkContext.defaultParallelism), "id")
+    line = calibrate([tuple(r) for r in spread.mapInArrow(votes, "vote double, label int").collect()])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, truth, idf, line, names = fitted.value
-        index, done = resident("toxicity", this, lambda: BlockMaxIndex(counts, truth, idf, line=line)), {}
+        names, of, own, done = resident("toxicity", (this, "examples"), examples_of)[0], resident("toxicity", (this, "numbers"), numbers), index(line), {}
         for batch in batches:
             out: tuple[list, list, list] = ([], [], [])
-            for t, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                tf = tuple(zip(t, n))
-                if tf not in done:
+            for i in range(batch.num_rows):
+                tf = counted(batch.column(1)[i].as_py(), of)
+                key = xxhash.xxh3_128_digest(tf[0].tobytes() + tf[1].tobytes())
+                if key not in done:
                     if len(done) >= _KEPT:
                         done.clear()
-                    s, near, cos = index.score(tf)
-                    done[tf] = (s, [names[r] for r in near[:3]], [float(c) for c in cos[:3]])
-                for column, value in zip(out, done[tf]):
+                    s, near, cos = own.score(tf)
+                    done[key] = (s, [names[r] for r in near[:3]], [float(c) for c in cos[:3]])
+                for column, value in zip(out, done[key]):
                     column.append(value)
             found = [pa.array(out[0], pa.float64()), pa.array(out[1], pa.list_(batch.column(0).type)), pa.array(out[2], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *found], ["id", "score", "nearest", "cosines"])
 
-    scored = counted.mapInArrow(score, f"id {kind}, score double, nearest array<{kind}>, cosines array<double>")
+    scored = rows.mapInArrow(score, f"id {kind}, score double, nearest array<{kind}>, cosines array<double>")
     fold = F.coalesce(crc_fold(F.col("id"), folds) == held_out, F.lit(False))
     return scored.select(F.col("id").alias(id_col), fold.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "nearest", "cosines")

@@ -269,6 +269,18 @@ def test_toxicity_learns(spark, docs):
     assert got[900].predicted == got[901].predicted == 0 and got[None].predicted == 1
 
 
+def test_toxicity_compares_whole_texts_of_a_small_table(spark):
+    words = [f"word{k}" for k in range(60)]
+    rows = [(k, " ".join(words[(7 * k + j * j) % 60] for j in range(12)) + (f" oaf{k} you" if k % 7 == 0 else "")) for k in range(60)]
+    table = spark.createDataFrame(rows + [(1000 + k, t) for k, t in rows], "doc_id long, text string")
+    got = {r.doc_id: r for r in score_toxicity(table, spark.createDataFrame([(k, int(k % 7 == 0)) for k, _ in rows], "doc_id long, toxic int")).collect()}
+    text = dict(rows)
+    for k, t in rows:
+        if zlib.crc32(str(k).encode()) % 4 != 2:
+            assert text[got[1000 + k].nearest[0]] == t and abs(got[1000 + k].cosines[0] - 1) < 1e-9
+    assert len({round(r.score, 9) for r in got.values()}) > 2
+
+
 def test_secrets(spark, docs):
     found = scan_secrets(docs).collect()
     assert [(r.doc_id, r.value, r.secret) for r in found] == [(8, "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b", True)]
