@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartulary.llm.common import TILE, Workspace, components, dealt, pairs_in_runs, stars, tiled, whole_runs, words_of
+from cartulary.llm.common import TILE, Workspace, components, dealt, pairs_in_runs, resident, stars, tiled, whole_runs, words_of
 
 #: Shingles whose bits are counted at once, so a very long text needs no more memory.
 _AT_ONCE = 16_384
@@ -194,8 +194,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     often.sort(key=lambda r: r["h"] % (1 << 64))
     common = spark.sparkContext.broadcast((np.array([r["h"] for r in often], np.int64).view(np.uint64), np.array([r["n"] for r in often], np.int64)))
 
+    this = work.root
+
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, n = common.value
+        known, n = resident("nearcopies", this, lambda: common.value)  # what an operator before kept in the worker goes
         for batch in batches:
             sets, first = sets_of(batch), []
             for h in sets:

@@ -194,7 +194,7 @@ def score_toxicity(
     sample = work.stage(texts.groupBy("text").agg(F.min("id").alias("id"), F.max("label").alias("label")), "examples")
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
             found = [counted(batch.column(2)[i].as_py(), hashes_of) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array([c[k] for c in found], pa.list_(pa.int64())) for k in (0, 1))], ["id", "label", "h", "n"])
 
@@ -215,7 +215,7 @@ def score_toxicity(
         h, n = pa.concat_arrays(found.column("h").chunks), pa.concat_arrays(found.column("n").chunks)
         row = np.repeat(np.arange(len(found)), h.value_lengths().to_numpy())
         known, t = np.unique(h.flatten().to_numpy(), return_inverse=True)
-        return found.column("id").to_pylist(), (found.column("label").to_numpy() > 0).astype(np.int64), known, (row, t, n.flatten().to_numpy())
+        return found.column("id").to_pylist(), (found.column("label").to_numpy() > 0).astype(np.int64), known, (row.astype(np.int32), t.astype(np.int32), n.flatten().to_numpy().astype(np.int32))
 
     def numbers():
         """Numbers of a word's terms that any example has."""
