@@ -94,7 +94,7 @@ def identify_languages(
     kind = pages.schema[id_col].dataType.simpleString()
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))
-    tag = F.lower(F.regexp_extract("html", r"(?i)<html\b[^>]{0,1000}?\blang\s*=\s*[\"']?([A-Za-z]{2,3})(?![A-Za-z])", 1))
+    tag = F.lower(F.regexp_extract("html", r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})(?![A-Za-z])", 1))
     rows = rows.select("id", F.when(host != "", host).alias("host"), F.when(tag != "", tag).alias("declared"), "html")
     if not langs:
         return rows.select(F.col("id").alias(id_col), "host", "declared", *[F.lit(None).cast(t).alias(n) for n, t in (("text_lang", "string"), ("lang", "string"), ("posterior", "double"), ("host_prior", "double"))])
@@ -127,8 +127,8 @@ def identify_languages(
     by_host = each.where("host is not null").groupBy("host", "suffix").agg(*[F.sum(c).alias(f"h{k}") for k, c in enumerate(r)], F.count(F.lit(1)).alias("n"))
     by_host = by_host.join(by_suffix, "suffix").drop("suffix")
     joined = each.join(by_host, "host", "left")
-    heard = F.create_map(*[x for d, v in declares.items() for x in (F.lit(d), F.array(*[F.lit(float(y)) for y in v]))]) if declares else F.lit(None).cast("map<string,array<double>>")
-    joined = joined.withColumn("d", F.element_at(heard, F.col("declared")))
+    heard = spark.createDataFrame([(d, v.tolist()) for d, v in declares.items()], "declared string, d array<double>")
+    joined = joined.join(F.broadcast(heard), "declared", "left")
     prior = [F.coalesce((F.col(f"h{k}") - F.col(f"r{k}") + HOST_SMOOTHING * F.col(f"s{k}")) / (F.col("n") - 1 + HOST_SMOOTHING), F.lit(float(overall[k]))) for k in range(len(langs))]
     joined = joined.select("*", *[F.greatest(p, F.lit(1e-12)).alias(f"p{k}") for k, p in enumerate(prior)])
     logs = [F.col(f"l{k}") + F.log(f"p{k}") + F.coalesce(F.element_at("d", k + 1), F.lit(0.0)) for k in range(len(langs))]
