@@ -26,8 +26,8 @@ _CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]")
 _PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 #: Characters whose classes every Unicode version agrees on; others are cut by the tokenizers library.
 _OLD = re.compile("[\0-\u024f]*")
-#: Entries of a generation of the caches; two generations are kept.
-_CACHED = 1 << 18
+#: Bytes of a generation of the caches, at about _ENTRY beside an entry's own; two generations are kept. Longer keys are not.
+_CACHED, _ENTRY, _LONG = 48 << 20, 160, 1 << 10
 #: Bytes of text in one output batch.
 _BATCH = 4 << 20
 
@@ -37,14 +37,17 @@ class _Cache(dict):
 
     def __init__(self, make):
         super().__init__()
-        self.make, self.older = make, {}
+        self.make, self.older, self.room = make, {}, _CACHED
 
     def __missing__(self, key):
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= _CACHED:
-            self.older = dict(self)
+        if len(key) > _LONG:
+            return value
+        self.room -= len(key) + len(value) + _ENTRY
+        if self.room < 0:
+            self.older, self.room = dict(self), _CACHED
             self.clear()
         self[key] = value
         return value
@@ -189,12 +192,15 @@ def _load(raw: bytes) -> BacktrackingBPE:
 def bpe_round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", carry: list[str] = ()) -> DataFrame:
     """One row for each input row: id, the columns to carry, n_tokens, ids (little-endian unsigned 32-bit) and decoded (the text of the ids).
 
+    A column to carry that has the name of the id or of a result gives way to it.
+
     vocabulary is the path of a byte-level BPE file; the file (a few MB, whatever the data) is
     broadcast. Strings of its added tokens in a text become their ids. A null or empty text has no
     ids and decodes to the empty text. Rows are independent: there is no shuffle, ids may be null
     or repeat, and an empty table gives an empty table. Bytes that are not UTF-8 after decoding
     become U+FFFD.
     """
+    carry = [c for c in carry if c not in (id_col, "n_tokens", "ids", "decoded")]
     with open(vocabulary, "rb") as f:
         raw = docs.sparkSession.sparkContext.broadcast(f.read())
 
