@@ -20,6 +20,8 @@ from cartulary.llm.files import Reader, open_store, part_number, written_whole
 PAD = 64
 #: A shard is closed when it holds so many bytes.
 SHARD = 64 << 20
+#: Members that begin in one stretch of so many bytes are read by one task.
+_STRETCH = 1 << 20
 #: Bytes from a PNG's start that hold its signature and header chunk.
 HEADER = 33
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -119,7 +121,7 @@ def store_media(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
 def _in_order(places: DataFrame) -> DataFrame:
     """One place of each digest, in tasks that read a stretch of a shard each."""
     one = places.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("p")).select("digest", "p.shard", "p.offset", "p.length")
-    return one.repartition("shard", F.floor(F.col("offset") / F.lit(SHARD // 8))).sortWithinPartitions("shard", "offset")
+    return one.repartition("shard", F.floor(F.col("offset") / F.lit(_STRETCH))).sortWithinPartitions("shard", "offset")
 
 
 def media_headers(places: DataFrame, folder: str) -> DataFrame:
@@ -137,30 +139,26 @@ def media_headers(places: DataFrame, folder: str) -> DataFrame:
 
 
 def media_features(places: DataFrame, folder: str) -> DataFrame:
-    """Of each payload, from its stored bytes: payload_sha256, tail_crc32 (of the last PAD bytes), media_bytes, media_sha256, width, height, feature.
-
-    Width and height come from a read of the header alone, the rest from a read of the member.
-    """
+    """Of each payload, from its stored bytes: payload_sha256, tail_crc32 (of the last PAD bytes), media_bytes, media_sha256, feature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(folder)
         for batch in batches:
             rows = []
             for shard, offset, length in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
-                width, height, _ = png_header(reader.read(shard, offset, HEADER))
                 media = reader.read(shard, offset, length)
                 payload = from_png(media)
-                rows.append((hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), len(media), hashlib.sha256(media).hexdigest(), width, height, features(payload)))
+                rows.append((hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), len(media), hashlib.sha256(media).hexdigest(), features(payload)))
             if rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in zip(*rows))], ["digest", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "width", "height", "feature"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in zip(*rows))], ["digest", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
         reader.close()
 
-    kinds = "digest binary, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, width long, height long, feature string"
+    kinds = "digest binary, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     return _in_order(places).mapInArrow(run, kinds)
 
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """store_media to a new place in the shared folder, joined with media_features: one row for each input row.
+    """store_media to a new place in the shared folder, joined with media_headers and media_features: one row for each input row.
 
     A null or empty text is one row of zeros. Rows of equal texts get equal values. Null ids and
     repeated rows are kept; an empty table gives an empty table.
@@ -168,4 +166,4 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     work = Workspace(docs.sparkSession, "media")
     folder = work.path("shards")
     rows = work.stage(store_media(docs, folder, id_col, text_col), "rows")
-    return rows.join(media_features(rows, folder), "digest")
+    return rows.join(media_headers(rows, folder), "digest").join(media_features(rows, folder), "digest")
