@@ -187,8 +187,10 @@ def components(edges: DataFrame, work: Workspace, a: str = "a", b: str = "b") ->
     """(node, root) of every node with an edge; root is the smallest node reachable.
 
     Alternates large-star and small-star (Kiveris et al., 2014), each a grouped minimum and an
-    equi-join, so a node with very many edges is a row for each edge and never a list. Rounds
-    grow with the logarithm of the longest chain. Each round is staged in the shared folder.
+    equi-join, so a node with very many edges is a row for each edge and never a list. The minima
+    are staged before they are joined, so that both sides are plain shuffles, and Spark can split
+    such a node's rows over tasks. Rounds grow with the logarithm of the longest chain. Each round
+    is staged in the shared folder.
     """
     pair = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     now = work.stage(pair, "edges")
@@ -196,11 +198,12 @@ def components(edges: DataFrame, work: Workspace, a: str = "a", b: str = "b") ->
     while (found := now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()) != mark:
         mark = found
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = work.stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "minima")
+        large = work.stage(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        least = work.stage(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = work.stage(small.union(least).distinct(), "stars")
-        work.drop(now)
+        for gone in (now, low, large, least):
+            work.drop(gone)
         now = new
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
