@@ -82,6 +82,25 @@ def crc_fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
+def stretches(lo: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from lo on, size of them, of each pair, one after the other."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(lo - (ends - size), size)
+
+
+def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of strings without nulls, and where each begins (with the end)."""
+    column = column.cast(pa.large_string())
+    offsets, data = column.buffers()[1:]
+    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    return (np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8))[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def strings_of(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """The column of strings that bytes_of takes apart."""
+    return pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(data)])
+
+
 # --- groups too large for one task -------------------------------------------------------------
 
 

@@ -10,12 +10,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cartulary.llm.bpe import _Cache
-from cartulary.llm.common import Workspace, resident
+from cartulary.llm.common import Workspace, bytes_of, resident, stretches, strings_of
 from cartulary.llm.files import Reader, open_store, part_number, written_whole
 
 #: (ids in a word, bits of each) by selector: the selector takes the word's upper 4 bits.
@@ -34,16 +34,17 @@ def pack(ids: np.ndarray) -> bytes:
     far = np.flatnonzero(ids >> np.uint32(_WIDEST))
     plain = ids.astype(np.uint64)
     plain[far] = 0
-    width = np.zeros(n, np.uint8)
-    for b in range(_WIDEST):
-        width += plain >> np.uint64(b) > 0
-    left = n - np.arange(n)
+    width = np.zeros(n + 64, np.uint8)  # what a word holds beyond the last id is zeros
+    width[:n] = np.frexp(plain.astype(np.float64))[1]
     choice = np.full(n, len(SLOTS) - 1, np.uint8)
+    widest, reach = width, 1  # of the next `reach` ids
     for s in range(len(SLOTS) - 2, -1, -1):  # the last that fits is the fullest
         count, bits = SLOTS[s]
-        stop = np.where(width > bits, np.arange(n), 2 * n + 64)
-        run = np.minimum.accumulate(stop[::-1])[::-1] - np.arange(n)
-        choice[run >= np.minimum(count, left)] = s
+        while reach < count:
+            step = min(reach, count - reach)
+            widest = np.maximum(widest[: len(widest) - step], widest[step:])
+            reach += step
+        choice[widest[:n] <= bits] = s
     step = np.array([c for c, _ in SLOTS])[choice].tolist()
     at, k = [], 0
     while k < n:
@@ -79,32 +80,123 @@ def unpack(block: bytes) -> np.ndarray:
     return out
 
 
-#: ASCII letters, then marks that belong to no contraction: two pieces to the tokenizer, whatever stands between them.
-_PLAIN = re.compile(rb"([A-Za-z]+)([^A-Za-z0-9'\x00-\x20\x7f-\xff]*)")
+#: Bytes of text that are encoded at once.
+_CHUNK = 6 << 20
+#: Words that the library gets in one call, and words whose ids are kept between calls.
+_CALL, _KNOWN = 2_000, 400_000
+#: Marks after a letter are a piece of their own to the tokenizer; the apostrophe, which contractions begin with, is not among them.
+_LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class _Words:
-    """Word -> its ids as bytes. Ids of a text are those of its words: the tokenizer drops white space and joins nothing across it.
+    """Ids of texts by their words: the tokenizer drops white space and joins nothing across it, so a word's ids are the same everywhere.
 
-    It lower-cases, and takes letters and the marks after them apart, so plain words are kept by their lower-cased letters.
+    A chunk of texts is split and its distinct words are numbered by Arrow; the library sees each
+    word that is not known yet once, many in a call, told apart by their offsets.
     """
 
     def __init__(self, tokenizer: Tokenizer):
         self.encode = tokenizer.encode
-        self.pieces, self.words = _Cache(self._library), _Cache(self._word)
-
-    def _library(self, piece: bytes) -> bytes:
-        return np.array(self.encode(piece.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _word(self, word: bytes) -> bytes:
-        plain = _PLAIN.fullmatch(word)
-        if not plain:
-            return self._library(word)
-        letters = self.pieces[plain[1].lower()]
-        return letters + self.pieces[plain[2]] if plain[2] else letters
-
-    def __getitem__(self, word: bytes) -> bytes:
-        return self.words[word]
+        suffix = json.loads(tokenizer.to_str())["model"].get("end_of_word_suffix")
+        vocabulary = tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # whether a token ends a piece
+        self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {"": 0}
+        self.size, self.at, self.ids = np.zeros(1, np.int32), np.zeros(1, np.int32), np.zeros(0, np.uint32)
+
+    def _learn(self, words: list[str]) -> None:
+        plain = [w for w in words if w.isascii() and w.isalpha()]  # each is one piece
+        odd = [w for w in words if not (w.isascii() and w.isalpha())]
+        sizes, ids = [self.size], [self.ids]
+        for part in (own[k : k + _CALL] for own in (plain, odd) for k in range(0, len(own), _CALL)):
+            found = self.encode(" ".join(part), add_special_tokens=False)
+            ids.append(np.array(found.ids, np.uint32))
+            last = np.flatnonzero(self.ends[ids[-1]]) + 1
+            if len(last) == len(part) and part[0].isascii() and part[0].isalpha():
+                sizes.append(np.diff(last, prepend=0).astype(np.int32))
+            else:
+                starts = np.cumsum([0, *(len(w) + 1 for w in part)])
+                first = np.array([a for a, _ in found.offsets], np.int64)
+                sizes.append(np.bincount(np.searchsorted(starts, first, side="right") - 1, minlength=len(part)).astype(np.int32))
+        self.number.update(zip([*plain, *odd], range(len(self.number), len(self.number) + len(words))))
+        self.size, self.ids = np.concatenate(sizes), np.concatenate(ids)
+        self.at = np.cumsum(self.size, dtype=np.int32) - self.size
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, and the number of each text's."""
+        column = pa.array(texts, pa.large_string())
+        if not any("<|" in t for t in texts):  # an added token's string is one in lower case only
+            column = pc.ascii_lower(column)
+        split = pc.ascii_split_whitespace(column)
+        own = split.flatten().dictionary_encode()
+        # a word in two parts: up to its last letter, and marks, if it ends in such
+        words = own.dictionary
+        data, at = bytes_of(words)
+        size = np.diff(at)
+        bare = pc.ascii_rtrim(words, characters=_MARKS)
+        n = pc.binary_length(bare).to_numpy()
+        marked = (n > 0) & (n < size)
+        marked[marked] = _LETTER[data[at[:-1][marked] + n[marked] - 1]]
+        marked &= ~pc.match_substring(words, "<|").to_numpy(zero_copy_only=False)
+        stems = pc.if_else(pa.array(marked), bare, words).dictionary_encode()
+        tail = np.concatenate([[0], np.cumsum((size - n)[marked])])
+        tails = strings_of(data[stretches((at[:-1] + n)[marked], (size - n)[marked])], tail).dictionary_encode()
+        parts = [*stems.dictionary.to_pylist(), *tails.dictionary.to_pylist()]
+        if len(self.number) > _KNOWN:
+            self._forget()
+        new = [*(set(parts) - self.number.keys())]
+        if new:
+            self._learn(new)
+        number = np.fromiter(map(self.number.__getitem__, parts), np.int32, len(parts))
+        code = np.zeros((len(words), 2), np.int32)
+        code[:, 0] = number[stems.indices.to_numpy()]
+        code[marked, 1] = number[len(stems.dictionary) + tails.indices.to_numpy()]
+        known, _ = _taken(self.ids, self.at[code.ravel()], self.size[code.ravel()])
+        size = self.size[code].sum(1, dtype=np.int32)
+        place = own.indices.to_numpy()
+        ids, ends = _taken(known, (np.cumsum(size, dtype=np.int32) - size)[place], size[place])
+        to = split.offsets.to_numpy()
+        return ids, np.diff(ends[to - to[0]])
+
+
+def _taken(values: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of values that begin at `at`, one after the other, and where each ends (with 0 first)."""
+    ends = np.concatenate([np.zeros(1, np.int32), np.cumsum(size, dtype=np.int32)])
+    return values[np.arange(ends[-1], dtype=np.int32) + np.repeat(at - ends[:-1], size)], ends
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str], list[int]]]:
+    """Ids, pieces of text and the pieces of each id's text: rows of about _CHUNK bytes; longer texts are cut at white space."""
+    for batch in batches:
+        keys, pieces, counts, size = [], [], [], 0
+        for i in range(batch.num_rows):
+            text = batch.column(1)[i].as_py() or ""
+            cut = [text] if len(text) <= _CHUNK else _cut(text)
+            keys.append(batch.column(0)[i].as_py())
+            pieces += cut
+            counts.append(len(cut))
+            size += len(text)
+            if size >= _CHUNK or i + 1 == batch.num_rows:
+                yield keys, pieces, counts
+                keys, pieces, counts, size = [], [], [], 0
+
+
+def _cut(text: str) -> list[str]:
+    """Pieces of about _CHUNK characters that end before ASCII white space."""
+    out, at = [], 0
+    while len(text) - at > _CHUNK:
+        gap = _GAP.search(text, at + _CHUNK)
+        cut = gap.start() if gap else len(text)
+        out.append(text[at:cut])
+        at = cut
+    return [*out, text[at:]]
+
+
+_GAP = re.compile("[\t-\r ]")
 
 
 def write_tokens(docs: DataFrame, vocabulary: str, folder: str, id_col: str = "doc_id", text_col: str = "text", *, end_id: int = 2) -> DataFrame:
@@ -114,44 +206,45 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, id_col: str = "d
     documents (id, whether it is null, number of ids), then the blocks' offsets, and a fixed tail.
     The file's range is one task's; ids are gathered a block at a time. vocabulary is the path of a
     tokenizer of the tokenizers library that splits at white space and drops it. An empty table
-    gives no file.
+    gives no file. Ids are whole numbers; others are refused.
     """
+    if docs.schema[id_col].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{id_col} is no whole number")
     with open(vocabulary, "rb") as f:
         raw = docs.sparkSession.sparkContext.broadcast(f.read())
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batch = next((b for b in batches if b.num_rows), None)
-        if batch is None:
+        stretches = _stretches(batches)
+        part = next(stretches, None)
+        if part is None:
             return
         words = _tokenizer(raw.value)
         store, root = open_store(folder)
         name = f"part-{part_number():06d}.s8b"
-        ids, nulls, sizes, offsets, held, at = [], [], [], [], bytearray(), 4
+        ids, nulls, sizes, offsets, held, at = [], [], [], [], np.zeros(0, np.uint32), 4
         with written_whole(store, f"{root}/{name}") as out:
             out.write(_MAGIC)
 
             def flush(least: int):
-                nonlocal at
+                nonlocal at, held
                 done = 0
                 while len(held) - done >= least and len(held) > done:
-                    block = pack(np.frombuffer(bytes(held[done : done + 4 * BLOCK]), "<u4"))
+                    block = pack(held[done : done + BLOCK])
                     out.write(block)
                     offsets.append(at)
                     at += len(block)
-                    done += 4 * BLOCK
-                del held[:done]
-
-            while batch is not None:
-                for i in range(batch.num_rows):
-                    key, text = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                    coded = b"".join(map(words.words.__getitem__, text.encode().split())) if text else b""
-                    ids.append(key or 0)
-                    nulls.append(key is None)
-                    sizes.append(len(coded) // 4 + 1)
-                    held += coded + end
-                    flush(4 * BLOCK)
-                batch = next(batches, None)
+                    done += BLOCK
+                held = held[done:]
+
+            while part is not None:
+                keys, pieces, counts = part
+                coded, each = words(pieces)
+                size = np.add.reduceat(each, np.cumsum(counts) - counts)
+                ids += [k or 0 for k in keys]
+                nulls += [k is None for k in keys]
+                sizes += (size + 1).tolist()
+                held = np.concatenate([held, np.insert(coded, np.cumsum(size), np.uint32(end_id))])
+                flush(BLOCK)
+                part = next(stretches, None)
             flush(1)
             out.write(np.array(ids, "<i8").tobytes() + np.array(nulls, "u1").tobytes() + np.array(sizes, "<u4").tobytes() + np.array([*offsets, at], "<u8").tobytes())
             out.write(struct.pack("<QQ", len(ids), len(offsets)) + _MAGIC)
