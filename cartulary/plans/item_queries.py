@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cartulary.functions import predicates as P
 from cartulary.operators.items import canonical_score, first_seen, identity, index_score, keep_best, mark_duplicates
 from cartulary.plans.base import query
-from cartulary.sources.records import items, table
+from cartulary.sources.records import items, messages, notes, table
 
 _STATUS = r"(regexp_matches(trim(source_url), 'https?://(x|twitter)\.com/[^\s/]+/status/[0-9]{15,20}(\b|/|\?)') OR regexp_matches(trim(source_url), 'https?://x\.com/i/status/[0-9]{15,20}(\b|/|\?)'))"
 _VALID = rf"(regexp_matches(trim(source_url), '^https?://') AND (NOT (contains(source_url, 'x.com') OR contains(source_url, 'twitter.com')) OR {_STATUS}))"
@@ -77,25 +77,91 @@ def hidden_results(spark, sf_dir):
     return items(spark, sf_dir).select("id", P.hidden_result(c("title"), c("summary"), c("category"), c("excluded"), c("source_url")).alias("hidden"))
 
 
-@query("SELECT page_id, contains(lower(html), 'access denied') OR contains(lower(html), 'captcha') AS junk, len(trim(html)) < 80 AS short FROM pages")
+def _any(of: str, marks: tuple[str, ...], low: bool = False) -> str:
+    x = f"lower({of})" if low else of
+    return "(" + " OR ".join(f"contains({x}, '{m.replace(chr(39), chr(39) * 2)}')" for m in marks) + ")"
+
+
+def _number(of: str, marks: tuple[str, ...]) -> str:
+    return "(" + " + ".join(f"contains({of}, '{m.replace(chr(39), chr(39) * 2)}')::INT" for m in marks) + ")"
+
+
+#: Pages and exports, some of them with what stands on pages without an article.
+_EXPORTS = "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'Log in to X ' || html WHEN 1 THEN 'Create account Trending now ' || html WHEN 2 THEN '---' || chr(10) || 'a: Sign in to X' || chr(10) || '---' || html WHEN 3 THEN left(html, 60) ELSE html END AS text FROM pages"
+
+
+@query(f"SELECT page_id, {_any('body', P.JUNK)} AS junk, {_number('text', P.BAD_EXPORT)} >= 2 OR len(trim(text)) < 80 AS low_value, {_any('text', P.BAD_EXPORT)} AS bad_export FROM (SELECT *, CASE WHEN starts_with(text, '---') THEN regexp_replace(text, '\\A---(?s:.*?)---', '') ELSE text END AS body FROM ({_EXPORTS}))".replace("\\\\", "\\"))
 def junk_pages(spark, sf_dir):
     """P06, P07, P31."""
-    h = F.col("html")
-    return table(spark, sf_dir, "pages").select("page_id", P.any_of(h, ("access denied", "captcha")).alias("junk"), (F.length(F.trim("html")) < 80).alias("short"))
+    rows = spark.sql(_EXPORTS.replace("FROM pages", "FROM {pages}"), pages=table(spark, sf_dir, "pages"))
+    t = F.col("text")
+    return rows.select("page_id", P.is_junk_page(t).alias("junk"), P.is_low_value(t).alias("low_value"), P.is_bad_export(t).alias("bad_export"))
+
+
+_ACK = "(len(trim(message)) <= 4 AND lower(trim(message)) IN (" + ", ".join(f"'{a}'" for a in P.ACKNOWLEDGEMENTS) + "))"
+_SKIP = f"CASE WHEN {_ACK} THEN 'acknowledgement' WHEN regexp_matches(message, '(?i){'|'.join(P.GREETINGS)}') THEN 'greeting' ELSE '' END"
+_INFO = "(len(lower(trim(message))) + 2 * len(regexp_extract_all(lower(trim(message)), '[一-鿿]')))"
+_OFF = f"({_ACK} OR ({_INFO} <= 8 AND NOT {_any('trim(message)', P.DOMAINS, low=True)}) OR regexp_matches(message, '(?i){'|'.join(P.SUPPRESS)}'))"
 
 
-@query("SELECT conv_id, turn, contains(lower(text), 'heartbeat') OR contains(lower(text), 'delivery') OR contains(lower(text), 'cron:') AS noise, CASE WHEN len(trim(text)) <= 4 AND lower(trim(text)) IN ('ok', 'yes', 'no') THEN 'acknowledgement' ELSE '' END AS skip, len(trim(text)) <= 8 AND NOT contains(lower(text), 'wiki') AS suppressed FROM conversations")
+@query(f"SELECT conv_id, turn, {_any('message', P.NOISE, low=True)} AS noise, {_SKIP} AS skip, {_OFF} AS suppressed FROM messages", views=("messages",))
 def message_gates(spark, sf_dir):
     """P08, P15, P17."""
-    t = F.col("text")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", P.is_noise(t).alias("noise"), F.when(P.skip_reason(t) == "acknowledgement", "acknowledgement").otherwise("").alias("skip"), P.suppressed(t, ("wiki",)).alias("suppressed"))
+    t = F.col("message")
+    return messages(spark, sf_dir).select("conv_id", "turn", P.is_noise(t).alias("noise"), P.skip_reason(t).alias("skip"), P.suppressed(t).alias("suppressed"))
+
+
+_INTENT = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(message, '(?i){p}') THEN '{n}' END" for n, p in P.INTENTS.items()) + "], lambda x: x IS NOT NULL), ',')"
+_BOOST = "CASE conv_id % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 0.1 ELSE 0.0 END::DOUBLE"
 
 
-@query("SELECT * FROM (VALUES ('怎麼設計 workflow', 'howto', ''), ('哈哈', '', ''), ('值不值得比較', 'strategy', ''), ('ok', '', 'acknowledgement'), ('早安', '', 'greeting')) v(message, intents, skip)")
+@query(
+    f"""SELECT conv_id, turn, intents, CASE WHEN trim(message) = '' THEN 'empty_input' WHEN (len(trim(message)) <= 8 AND lower(trim(message)) IN ('ok', '好', '收到', '謝謝', 'thanks')) OR regexp_matches(message, '{P.NEGATIVE}') THEN 'casual_or_ack'
+  WHEN intents <> '' OR boost >= 0.35 THEN array_to_string(list_filter([CASE WHEN intents <> '' THEN 'intent:' || intents END, CASE WHEN boost >= 0.35 THEN 'topic_boost:' || boost END], lambda x: x IS NOT NULL), ';') ELSE 'no_trigger' END AS reason
+  FROM (SELECT *, {_INTENT} AS intents, {_BOOST} AS boost FROM messages)""",
+    views=("messages",),
+)
 def message_intents(spark, sf_dir):
-    """P17, P18, R17."""
-    rows = spark.sql("SELECT * FROM VALUES ('怎麼設計 workflow'), ('哈哈'), ('值不值得比較'), ('ok'), ('早安') v(message)")
-    return rows.select("message", F.array_join(P.intents(F.col("message")), ",").alias("intents"), P.skip_reason(F.col("message")).alias("skip"))
+    """Intents, negative cases, and whether recall runs, for every message. The topic boost is made up from the conversation's number."""
+    t = F.col("message")
+    rows = messages(spark, sf_dir).withColumn("boost", F.expr("CASE conv_id % 3 WHEN 0 THEN 0.5D WHEN 1 THEN 0.1D ELSE 0.0D END"))
+    return rows.select("conv_id", "turn", F.array_join(P.intents(t), ",").alias("intents"), P.recall_gate(t, F.col("boost")).alias("reason"))
+
+
+@query(
+    r"""SELECT path, starts_with(name, '.') OR name IN ('INDEX.md', 'README.md') OR regexp_matches(name, 'search_index|vector_index|\.bak$') OR contains(path, 'notebooklm_exports/') AS skipped, regexp_matches(lower(trim(head)), '^(tweet\s+)?[0-9]{15,20}$') AS needs_title,
+  lower(trim(head)) IN ('', '待整理', '待補充', 'tbd', 'todo', 'n/a', 'untitled', '(untitled)') AS placeholder, starts_with(left(body, 200), '---') AND NOT contains(left(body, 200), 'Redirect:') AS absorbable
+  FROM (SELECT CASE doc_id % 6 WHEN 0 THEN 'memory/INDEX.md' WHEN 1 THEN path || '.bak' WHEN 2 THEN 'notebooklm_exports/' || stem || '.md' ELSE path END AS path, CASE doc_id % 6 WHEN 0 THEN 'INDEX.md' WHEN 1 THEN stem || '.md.bak' ELSE stem || '.md' END AS name,
+    CASE doc_id % 4 WHEN 0 THEN 'TODO ' WHEN 1 THEN 'tweet 123456789012345678' ELSE head END AS head, CASE WHEN doc_id % 11 = 0 THEN replace(body, 'type: x-knowledge-card', 'Redirect: other') ELSE body END AS body FROM notes)""",
+    views=("notes",),
+)
+def file_gates(spark, sf_dir):
+    """Which files a queue passes over, which titles want another, which texts are placeholders, which topics absorb."""
+    n = notes(spark, sf_dir).selectExpr(
+        "CASE doc_id % 6 WHEN 0 THEN 'memory/INDEX.md' WHEN 1 THEN path || '.bak' WHEN 2 THEN 'notebooklm_exports/' || stem || '.md' ELSE path END AS path",
+        "CASE doc_id % 4 WHEN 0 THEN 'TODO ' WHEN 1 THEN 'tweet 123456789012345678' ELSE head END AS head",
+        "CASE WHEN doc_id % 11 = 0 THEN replace(body, 'type: x-knowledge-card', 'Redirect: other') ELSE body END AS body",
+    )
+    return n.select("path", P.skipped_path(F.col("path")).alias("skipped"), P.needs_title(F.col("head")).alias("needs_title"), P.is_placeholder(F.col("head")).alias("placeholder"), P.absorbable(F.col("body")).alias("absorbable"))
+
+
+@query(
+    r"""SELECT path, regexp_matches(body, '\A\s*(<think>(?s:.*?)</think>)?\s*---') AND contains(body, 'type: x-knowledge-card') AND kind IN ('x-bookmark', 'youtube', 'github_fork', 'github_star', 'local-paper', 'pubmed') AND regexp_matches(url, '^https?://[^\s/]+')
+    AND NOT (kind = 'x-bookmark' AND NOT regexp_matches(url, '/(status|i/status)/[0-9]{15,20}')) AND NOT (lower(trim(head)) IN ('', '待整理', '待補充', 'tbd', 'todo', 'n/a', 'untitled', '(untitled)') AND doc_id % 2 = 0) AS valid, len(head) > 5 AND lang <> '' AS in_graph
+  FROM (SELECT *, CASE WHEN contains(body, 'source_type: ') THEN CASE doc_id % 3 WHEN 1 THEN 'youtube' ELSE 'x-bookmark' END ELSE '' END AS kind, CASE doc_id % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'https://x.com/i/status/123456789012345678' ELSE 'https://example.org/' || doc_id END AS url FROM notes)""",
+    views=("notes",),
+)
+def orphan_cards(spark, sf_dir):
+    """Cards that may get an index row, and items that a graph takes."""
+    n = notes(spark, sf_dir).selectExpr("*", "replace(body, 'source_type: card', 'source_type: ' || CASE doc_id % 3 WHEN 1 THEN 'youtube' ELSE 'x-bookmark' END) AS b", "CASE doc_id % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'https://x.com/i/status/123456789012345678' ELSE 'https://example.org/' || doc_id END AS url", "CASE WHEN doc_id % 2 = 0 THEN 'TBD' ELSE 'said' END AS summary")
+    return n.select("path", P.valid_orphan(F.col("b"), F.col("stem"), F.col("url"), F.col("head"), F.col("summary")).alias("valid"), P.graph_eligible(F.col("head"), F.col("summary"), F.col("lang")).alias("in_graph"))
+
+
+@query("SELECT event_id, CASE WHEN given IS NULL THEN 10 WHEN regexp_matches(given, '^-?[0-9]+$') AND TRY_CAST(given AS BIGINT) BETWEEN 1 AND 50 THEN TRY_CAST(given AS BIGINT) END AS value, CASE WHEN given IS NULL THEN NULL WHEN NOT regexp_matches(given, '^-?[0-9]+$') THEN 'must be an integer' WHEN NOT (TRY_CAST(given AS BIGINT) BETWEEN 1 AND 50) THEN 'must be between 1 and 50' END AS error FROM (SELECT event_id, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'true' WHEN 2 THEN '1.5' ELSE json_extract_string(props, '$.k') END AS given FROM events)")
+def bounded_limits(spark, sf_dir):
+    """Limits as they come in requests: whole numbers within bounds; no booleans, fractions or text."""
+    e = table(spark, sf_dir, "events").withColumn("given", F.expr("CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'true' WHEN 2 THEN '1.5' ELSE get_json_object(props, '$.k') END"))
+    return e.select("event_id", P.bounded(F.col("given"), 1, 50, 10).alias("b")).select("event_id", "b.value", "b.error")
 
 
 @query("SELECT vec_id, label, CASE WHEN vec_id % 5 = 0 THEN NULL ELSE round(embedding[1]::DOUBLE + 0.5, 6) END AS similarity FROM embeddings WHERE vec_id % 5 = 0 OR round(embedding[1]::DOUBLE + 0.5, 6) >= 0.55")

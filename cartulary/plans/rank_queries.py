@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from cartulary.functions import text as T
 from cartulary.functions.predicates import hidden_result
 from cartulary.operators import ranking as R
+from cartulary.operators import router as W
 from cartulary.plans.base import query
-from cartulary.sources.records import items, table
+from cartulary.plans.item_queries import _OFF
+from cartulary.sources.records import items, messages, table
 
 _TERMS = ["the", "tion"]
 
@@ -146,10 +148,35 @@ def profile_boost(spark, sf_dir):
     return i.join(weight.where("weight >= 0.2"), "category").select("id", F.col("category").alias("matched"), F.round("weight", 4).alias("boost"))
 
 
-@query("SELECT * FROM (VALUES ('目前進度做到哪', 'hard', 0.8::DOUBLE), ('有沒有參考案例', 'soft', 0.66::DOUBLE), ('ok', 'suppress', 0.95::DOUBLE), ('tell me about the garden', 'soft', 0.3::DOUBLE)) v(message, trigger, confidence)")
-def message_triggers(spark, sf_dir):
-    """Class and confidence of a message."""
-    from cartulary.operators.router import route
+def _hit_list(patterns: tuple[str, ...]) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(message, '(?i){p}') THEN '{p[:40]}' END" for p in patterns) + "], lambda x: x IS NOT NULL)"
+
+
+_ROUTED = f"""SELECT *, CASE WHEN trigger = 'suppress' THEN 0.95 WHEN trigger = 'hard' THEN least(0.6 + 0.1 * len(hard), 0.95) WHEN len(soft) > 0 THEN least(0.5 + 0.08 * len(soft), 0.9) ELSE 0.3 END::DOUBLE AS c FROM (
+  SELECT *, CASE WHEN off THEN 'suppress' WHEN len(hard) > 0 THEN 'hard' ELSE 'soft' END AS trigger FROM (SELECT conv_id, turn, message, {_OFF} AS off, {_hit_list(W.named(W.HARD))} AS hard, {_hit_list(W.named(W.SOFT))} AS soft FROM messages))"""
 
-    rows = spark.sql("SELECT * FROM VALUES ('目前進度做到哪'), ('有沒有參考案例'), ('ok'), ('tell me about the garden') v(message)")
-    return route(rows, "message").select("message", "trigger", "confidence")
+
+@query(
+    f"""SELECT conv_id, turn, trigger, CASE trigger WHEN 'suppress' THEN 'suppress' WHEN 'hard' THEN 'continuity' ELSE 'brainstorming' END AS state, round(c, 4) AS confidence, CASE WHEN trigger = 'suppress' THEN 'suppress' WHEN trigger = 'hard' THEN array_to_string(hard[1:3], ' ') WHEN len(soft) > 0 THEN array_to_string(soft[1:3], ' ') ELSE 'default_light_scan' END AS rules,
+  CASE WHEN trigger = 'suppress' THEN '' WHEN trigger = 'hard' THEN 'memory,wiki,card,action' ELSE array_to_string(list_filter(['wiki', CASE WHEN c >= 0.4 THEN 'card' END, CASE WHEN c >= 0.55 THEN 'contrarian' END], lambda x: x IS NOT NULL), ',') END AS layers,
+  CASE WHEN trigger = 'suppress' THEN 'none' WHEN trigger = 'hard' THEN CASE WHEN conv_id % 4 > 0 THEN 'inline_injection' ELSE 'none' END WHEN conv_id % 3 = 0 AND turn % 2 = 0 THEN 'none' WHEN conv_id % 3 >= 2 OR (conv_id % 3 = 0 AND c >= 0.6) THEN 'side_hint' ELSE 'expandable_hint' END AS mode,
+  CASE WHEN trigger = 'suppress' THEN '' WHEN regexp_matches(message, '[一-鿿]') THEN left(trim(message), 60) END AS cjk_query FROM ({_ROUTED})""",
+    views=("messages",),
+)
+def message_triggers(spark, sf_dir):
+    """Of every message the class, state, confidence, rules, layers, and how results would reach it (their numbers are made up from those of the turn)."""
+    rows = W.route(messages(spark, sf_dir), "message")
+    c = F.col
+    mode = W.delivery(c("trigger"), c("confidence"), c("conv_id") % 4, (c("conv_id") % 3).cast("double"), c("turn") % 2, F.lit(0))
+    cjk = F.when(c("trigger") == "suppress", "").when(c("message").rlike("[一-鿿]"), c("suggested_query"))
+    return rows.select("conv_id", "turn", "trigger", "state", "confidence", F.array_join("rules", " ").alias("rules"), F.array_join("layers", ",").alias("layers"), mode.alias("mode"), cjk.alias("cjk_query"))
+
+
+@query(
+    f"SELECT day, trigger, count(*) AS n, count(*) FILTER (c >= 0.4) AS recalled FROM (SELECT *, conv_id % 7 AS day FROM ({_ROUTED})) GROUP BY ALL",
+    views=("messages",),
+)
+def recall_telemetry(spark, sf_dir):
+    """What recall did, counted by day and class (days are made up from the conversation's number)."""
+    rows = W.route(messages(spark, sf_dir), "message").withColumn("day", F.col("conv_id") % 7)
+    return rows.groupBy("day", "trigger").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("confidence") >= 0.4).alias("recalled"))
