@@ -1,20 +1,23 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over an inverted index of all their terms."""
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index of all their terms."""
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.dataset as ds
 import xxhash
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartulary.llm.common import Workspace, crc_fold, resident
-from cartulary.llm.files import open_store
+from cartulary.llm.common import Workspace, bytes_of, crc_fold, resident, stretches, strings_of
+from cartulary.llm.files import open_store, written_whole
 
 #: Labelled rows that the classifier is fitted on, at most: those whose ids hash lowest.
 EXAMPLES = 12_288
@@ -22,14 +25,18 @@ EXAMPLES = 12_288
 #: terms tried. Below, the weight falls with its square, to LEAST for terms that tell nothing.
 CHI, LEAST = 30.0, 0.02
 NEIGHBOURS = 15
-#: A term in more than one of so many examples is kept as a dense row of weights.
-_DENSE = 8
+#: Examples of a block. A term in more than one of _OFTEN examples is a dense column, with its maximum in each block.
+BLOCK, _OFTEN = 128, 32
 #: Bytes at which words are also cut, so that a stem counts in every word that starts with it.
 _STEMS = (6, 7, 8)
-#: Results kept in a task for texts of the same terms, and words whose terms are kept.
-_KEPT, _WORDS = 1 << 13, 1 << 16
+#: Bytes of text whose terms are counted at once, texts searched at once (255 at most, and an index of under 2^24 examples, as they are sorted packed), and results that a task keeps.
+_CHUNK, _AT_ONCE, _KEPT = 4 << 20, 192, 1 << 13
 
 _FOLD = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c >= 128 else c + 32 if 65 <= c < 91 else 32 for c in range(256))
+_FOLDED = np.frombuffer(_FOLD, np.uint8)
+_RANDOM = np.random.default_rng(20_240_307)
+_TABLE, _ODD = _RANDOM.integers(0, 1 << 64, (64, 256), np.uint64), _RANDOM.integers(0, 1 << 64, 2, np.uint64) | np.uint64(1)
+_NONE = np.zeros(0, np.int64)
 
 
 def words(text: str | None) -> list[bytes]:
@@ -41,20 +48,90 @@ def terms_of(word: bytes) -> list[bytes]:
     return [b"=" + word, *(b"^" + word[:n] for n in _STEMS if len(word) >= n)]
 
 
-def counted(text: str | None, terms_in: Callable[[bytes], list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """The terms of a text, by number, and how often it has each."""
-    tf: dict[int, int] = {}
-    for word, n in Counter(words(text)).items():
-        for t in terms_in(word):
-            tf[t] = tf.get(t, 0) + n
-    t = np.fromiter(tf.keys(), np.int64, len(tf))
-    order = np.argsort(t)
-    return t[order], np.fromiter(tf.values(), np.int64, len(tf))[order]
-
-
-def hashes_of(word: bytes) -> list[int]:
-    """The word's terms as signed 64-bit hashes."""
-    return [h - (1 << 64) if h >> 63 else h for h in map(xxhash.xxh64_intdigest, terms_of(word))]
+def _summed(doc: np.ndarray, t: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """n summed by (doc, t), in that order."""
+    if not len(doc):
+        return doc, t, n
+    span, bits = int(t.max()) + 1, int(n.max()).bit_length()
+    key = doc * span + t
+    if int(key.max()).bit_length() + bits < 63:
+        packed = np.sort((key << bits) | n)
+        key, n = packed >> bits, packed & ((1 << bits) - 1)
+    else:
+        order = np.argsort(key)
+        key, n = key[order], n[order]
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    key = key[starts]
+    return key // span, key % span, np.add.reduceat(n, starts)
+
+
+def term_hashes(found: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Signed 64-bit hashes of the terms of words, and each one's word.
+
+    A hash sums random numbers drawn for (place, byte), beyond 64 places times an odd number for
+    each turn; a stem's is the sum of its bytes, so all come from one running sum.
+    """
+    data, at = bytes_of(found)
+    place = np.arange(len(data)) - np.repeat(at[:-1], np.diff(at))
+    drawn = _TABLE[place & 63, data]
+    if len(place) and place.max() > 63:
+        drawn = drawn * (((place >> 6).astype(np.uint64) * _ODD[0]) | np.uint64(1))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(drawn, dtype=np.uint64)])
+    hashes, owners = [(total[at[1:]] - total[at[:-1]]) * _ODD[1]], [np.arange(len(found))]
+    for n in _STEMS:
+        own = np.flatnonzero(np.diff(at) >= n)
+        hashes.append((total[at[own] + n] - total[at[own]]) * _ODD[1] + np.uint64(n))
+        owners.append(own)
+    hashes[0] = np.where(np.diff(at) > 0, hashes[0], np.uint64(0))
+    return np.concatenate(hashes).view(np.int64), np.concatenate(owners)
+
+
+def term_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, word, n) of the texts' distinct words, in order, then the hashes of the words' terms and each one's word."""
+    data, at = bytes_of(pc.fill_null(texts, ""))
+    split = pc.ascii_split_whitespace(strings_of(_FOLDED[data], at))
+    own = split.flatten().dictionary_encode()
+    doc = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
+    return *_summed(doc, own.indices.to_numpy().astype(np.int64), np.ones(len(doc), np.int64)), *term_hashes(own.dictionary)
+
+
+def counted(texts: pa.Array, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term, n) in order: the term's hash, or its number in the sorted hashes that are known, without others."""
+    doc, word, n, h, owner = term_counts(texts)
+    keep = h != 0
+    if known is not None:
+        at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
+        keep &= known[at] == h if len(known) else False
+    order = np.flatnonzero(keep)
+    order = order[np.argsort(owner[order], kind="stable")]
+    ends = np.searchsorted(owner[order], np.arange(int(word.max(initial=-1)) + 2))
+    size = (ends[1:] - ends[:-1])[word]
+    at_term = order[stretches(ends[:-1][word], size)]
+    t = h if known is None else at
+    if known is not None:
+        return _summed(np.repeat(doc, size), t[at_term], np.repeat(n, size))
+    distinct, number = np.unique(t[at_term], return_inverse=True)
+    doc, number, n = _summed(np.repeat(doc, size), number, np.repeat(n, size))
+    return doc, distinct[number], n
+
+
+def counted_whole(texts: pa.Array, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """counted, of a text of more than _CHUNK bytes by pieces that end where a word does."""
+    data, at = bytes_of(pc.fill_null(texts, ""))
+    if len(data) <= 2 * _CHUNK:
+        return counted(texts, known)
+    out = []
+    for k in range(len(at) - 1):
+        own, lo = data[at[k] : at[k + 1]], 0
+        while lo < len(own):
+            hi = lo + _CHUNK
+            while hi < len(own) and _FOLDED[own[hi]] != 32:
+                hi += 1
+            piece = pa.array([own[lo:hi].tobytes()], pa.binary()).cast(pa.large_string())
+            doc, t, n = counted(piece, known)
+            out.append((doc + k, t, n))
+            lo = hi
+    return _summed(*(np.concatenate([_NONE, *c]) for c in zip(*out)))
 
 
 def gains(clean: np.ndarray, toxic: np.ndarray, n: int, p: int) -> np.ndarray:
@@ -66,81 +143,189 @@ def gains(clean: np.ndarray, toxic: np.ndarray, n: int, p: int) -> np.ndarray:
     return LEAST + (1 - LEAST) * np.where(tells, np.minimum(1, chi / CHI) ** 2, 0)
 
 
-class ExampleIndex:
-    """Examples by term. A text's cosine with each example is the sum over its terms, so the result is the exact top k (ties: lower example first)."""
+def _alike(rows: np.ndarray) -> np.ndarray:
+    """An order of the rows in which like ones are near: halves by the direction of the greatest spread, again and again."""
+    rng, todo, out = np.random.default_rng(7), [np.arange(len(rows))], []
+    while todo:
+        own = todo.pop()
+        if len(own) <= BLOCK or not rows.shape[1]:
+            out.append(own)
+            continue
+        x = rows[own]
+        x -= x.mean(0)
+        v = rng.standard_normal(x.shape[1]).astype(rows.dtype)
+        for _ in range(4):
+            v = x.T @ (x @ v)
+            v /= np.linalg.norm(v) + 1e-30
+        own = own[np.argsort(x @ v, kind="stable")]
+        todo += [own[len(own) // 2 :], own[: len(own) // 2]]
+    return np.concatenate([_NONE, *out])
+
+
+class BlockMaxIndex:
+    """Examples by term, in blocks of like ones.
+
+    Postings of rare terms are summed for all examples; of common terms each block has the
+    maxima, which bound what its examples can add. The two blocks of the highest bounds are summed
+    whole, and then every block whose bound reaches the k-th best cosine so far; the others hold
+    nothing better. Those sums are in single precision, so all within its error of the k-th best
+    are summed again in double: the result is the exact top k (ties: the lower example first).
+    """
+
+    ARRAYS = ("labels", "idf", "at", "row", "w", "place", "ends", "column", "weight", "order")
 
     def __init__(self, counts, labels, weight: np.ndarray, k: int = NEIGHBOURS, line: tuple[float, float] = (1.0, 0.0)):
         """counts: of each example its (term, n) pairs, or all at once as arrays (example, term, n)."""
         if isinstance(counts, list):
             flat = [(row, *c) for row, of in enumerate(counts) for c in of]
             counts = tuple(np.array(flat, np.int64).reshape(-1, 3).T)
-        self.slope, self.shift = line
-        self.idf, self.k, self.labels = weight, k, np.asarray(labels, np.float64)
         row, t, n = counts
-        size = len(self.labels)
+        size, terms = len(labels), len(weight)
         w = (1 + np.log(n)) * weight[t]
         w = w / np.sqrt(np.bincount(row, w * w, size))[row]
-        order = np.argsort(t, kind="stable")
-        self.row, self.w = row[order].astype(np.int32), w[order]
-        self.at = np.searchsorted(t[order], np.arange(len(weight) + 1))
-        often = np.flatnonzero(np.diff(self.at) * _DENSE > size)
-        self.dense, self.place = np.zeros((len(often), size)), np.full(len(weight), -1)
-        self.place[often] = np.arange(len(often))
-        for k, t in enumerate(often):
-            self.dense[k, self.row[self.at[t] : self.at[t + 1]]] = self.w[self.at[t] : self.at[t + 1]]
-        empty = np.bincount(row, minlength=size) == 0
+        df = np.bincount(t, minlength=terms)
+        often = np.flatnonzero(df * _OFTEN > size)
+        place = np.full(terms, -1, np.int32)
+        place[often] = np.arange(len(often))
+        thick = place[t] >= 0
+        dense = np.zeros((size, len(often)), np.float32)
+        dense[row[thick], place[t[thick]]] = w[thick]
+        order = _alike(dense)  # position -> example
+        at = np.empty(size, np.int32)
+        at[order] = np.arange(size)
+        del dense
+        # the common terms' weights by position, the rare terms' postings by term
+        by = np.flatnonzero(thick)[np.lexsort((place[t[thick]], at[row[thick]]))]
+        common = {"ends": np.searchsorted(at[row[by]], np.arange(size + 1)), "column": place[t[by]], "weight": w[by]}
+        by = np.flatnonzero(~thick)[np.argsort(t[~thick], kind="stable")]
+        small = np.int16 if size <= 1 << 15 else np.int32
+        starts = np.concatenate([[0], np.cumsum(np.where(place >= 0, 0, df))])
+        self._set(line, k, labels=np.asarray(labels, np.float64), idf=weight, at=starts, row=at[row[by]].astype(small), w=w[by], place=place, order=order, **common)
+        empty = np.bincount(counts[0], minlength=size) == 0
         # A text without a term has no neighbours: the rate among such examples stands for it.
-        self.rate = (self.labels.sum() + 0.5) / (size + 1)
         self.none = (self.labels[empty].sum() + self.rate) / (empty.sum() + 1)
 
+    def _set(self, line, k: int, **arrays: np.ndarray) -> None:
+        self.slope, self.shift = line
+        self.k = k
+        for name in self.ARRAYS:
+            setattr(self, name, arrays[name])
+        self.rate = (self.labels.sum() + 0.5) / (len(self.labels) + 1)
+        size, dims = len(self.labels), int(self.place.max(initial=-1)) + 1
+        blocks = -(-size // BLOCK)
+        self.dense = np.zeros((blocks * BLOCK, dims), np.float32)
+        self.dense[np.repeat(np.arange(size), np.diff(self.ends)), self.column] = self.weight
+        self.most = self.dense.reshape(blocks, BLOCK, -1).max(1).T.copy() if size else np.zeros((dims, 0), np.float32)
+
+    @classmethod
+    def of(cls, arrays: dict[str, np.ndarray], k: int = NEIGHBOURS) -> BlockMaxIndex:
+        out = cls.__new__(cls)
+        out._set((1.0, 0.0), k, **arrays)
+        out.none = float(arrays["none"][0])
+        return out
+
+    def arrays(self) -> dict[str, np.ndarray]:
+        return {name: getattr(self, name) for name in self.ARRAYS} | {"none": np.array([self.none])}
+
     @property
     def weights(self) -> np.ndarray:
         """All weights, an example a row."""
-        out = np.zeros((len(self.labels), len(self.idf)))
+        size = len(self.labels)
+        out = np.zeros((size, len(self.idf)))
+        out[np.repeat(np.arange(size), np.diff(self.ends)), np.flatnonzero(self.place >= 0)[self.column]] = self.weight
         out[self.row, np.repeat(np.arange(len(self.idf)), np.diff(self.at))] = self.w
-        return out
+        back = np.empty(size, np.int64)
+        back[self.order] = np.arange(size)
+        return out[back]
 
-    def vector(self, counts) -> tuple[np.ndarray, np.ndarray]:
-        t, n = counts if isinstance(counts, tuple) and len(counts) == 2 and isinstance(counts[0], np.ndarray) else np.array(counts, np.int64).reshape(-1, 2).T
+    def unit(self, doc: np.ndarray, t: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The weights of texts' terms, each text's of length 1."""
         w = (1 + np.log(n)) * self.idf[t]
-        return t, w / np.sqrt((w * w).sum()) if len(t) else w
-
-    def nearest(self, counts, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and cosines of the k examples of the highest cosine above zero."""
-        t, w = self.vector(counts)
-        if not len(t) or not len(self.labels):
-            return np.zeros(0, np.int64), np.zeros(0)
+        return w / np.sqrt(np.bincount(doc, w * w))[doc] if len(w) else w
+
+    def search(self, doc: np.ndarray, t: np.ndarray, w: np.ndarray, m: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, example, cosine) of the k examples of the highest cosine above zero of each of m texts, best first. skip: an example that a text passes over."""
+        size, (dims, blocks) = len(self.labels), self.most.shape
+        if not size or not m:
+            return _NONE, _NONE, np.zeros(0)
+        error = np.float32((dims + 16) * 2.0**-23)
         place = self.place[t]
         thick = place >= 0
-        query = np.zeros(len(self.dense))
-        query[place[thick]] = w[thick]
-        s = query @ self.dense
-        t, w = t[~thick], w[~thick]
-        size = self.at[t + 1] - self.at[t]
-        at = np.arange(size.sum()) + np.repeat(self.at[t] - (np.cumsum(size) - size), size)
-        s += np.bincount(self.row[at], np.repeat(w, size) * self.w[at], len(s))
-        if skip >= 0:
-            s[skip] = 0
-        low = np.partition(s, -self.k)[-self.k] if len(s) > self.k else 0
-        rows = np.flatnonzero((s >= low) & (s > 0))
-        rows = rows[np.lexsort((rows, -s[rows]))[: self.k]]
-        return rows, np.minimum(s[rows], 1.0)
-
-    def vote(self, rows: np.ndarray, scores: np.ndarray) -> float:
-        """Votes weigh 1 / (distance + 0.1); one vote of weight 1 holds the overall rate."""
-        w = 1 / (1.1 - scores)
-        return float((w @ self.labels[rows] + self.rate) / (w.sum() + 1))
+        query = np.zeros((m, dims))
+        query[doc[thick], place[thick]] = w[thick]
+        single = query.astype(np.float32)
+        rare = np.full((m, blocks * BLOCK), -9.0)
+        doc, t, w = doc[~thick], t[~thick], w[~thick]
+        ends = np.searchsorted(doc, np.arange(m + 1))
+        lo = self.at[t]
+        n = self.at[t + 1] - lo
+        for q in range(m):
+            own = slice(ends[q], ends[q + 1])
+            at = stretches(lo[own], n[own])
+            rare[q, :size] = np.bincount(self.row[at], np.repeat(w[own], n[own]) * self.w[at], size)
+        if skip is not None:
+            back = np.empty(size, np.int64)
+            back[self.order] = np.arange(size)
+            rare[np.arange(m), back[skip]] = -9.0
+        near = rare.astype(np.float32).reshape(m, blocks, BLOCK)
+        bound = near.max(2) + single @ self.most + error
+
+        def fill(these: np.ndarray) -> None:
+            for b in np.flatnonzero(these.any(0)):
+                own = np.flatnonzero(these[:, b])
+                near[own, b] += single[own] @ self.dense[b * BLOCK : (b + 1) * BLOCK].T
+
+        some = min(2, blocks)
+        first = np.argpartition(-bound, some - 1, axis=1)[:, :some]
+        live = np.zeros((m, blocks), bool)
+        live[np.arange(m)[:, None], first] = True
+        fill(live)
+        best = near[np.arange(m)[:, None], first].reshape(m, -1)
+        low = np.maximum(np.partition(best, -self.k, axis=1)[:, -self.k], 0) - 2 * error
+        more = (bound >= low[:, None]) & ~live
+        fill(more)
+        text, block = np.nonzero(live | more)
+        kept = near[text, block]
+        pair, row = np.nonzero((kept >= low[text][:, None]) & (kept > -1))
+        # of each text, those within the error of its k-th best; a cosine's bits, as those above zero, sort like it
+        bits = np.maximum(kept[pair, row], np.float32(0)).view(np.int32).astype(np.int64)
+        packed = np.sort((((text[pair] << 31) | (0x7FFFFFFF - bits)) << 24) | (block[pair] * BLOCK + row))
+        text, at, value = packed >> 55, packed & 0xFFFFFF, (0x7FFFFFFF - ((packed >> 24) & 0x7FFFFFFF)).astype(np.int32).view(np.float32)
+        starts = np.searchsorted(text, np.arange(m + 1))
+        last = value[np.minimum(starts[:-1] + self.k, np.maximum(starts[1:], 1)) - 1] if len(value) else np.zeros(m, np.float32)
+        close = value >= last[text] - 2 * error
+        text, at = text[close], at[close]
+        cosine = rare[text, at]
+        sizes = self.ends[at + 1] - self.ends[at]
+        own = stretches(self.ends[at], sizes)
+        pair = np.repeat(np.arange(len(at)), sizes)
+        cosine += np.bincount(pair, query[text[pair], self.column[own]] * self.weight[own], len(at))
+        example = self.order[at]
+        by = np.lexsort((example, -np.round(cosine, 12), text))
+        by = by[cosine[by] > 0]
+        text, example, cosine = text[by], example[by], np.minimum(cosine[by], 1.0)
+        keep = np.arange(len(text)) - np.searchsorted(text, text) < self.k
+        return text[keep], example[keep], cosine[keep]
 
-    def score(self, counts) -> tuple[float, np.ndarray, np.ndarray]:
-        rows, scores = self.nearest(counts)
-        if not len(rows):
-            return float(self.none), rows, scores
-        v = self.vote(rows, scores)
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * math.log(v / (1 - v)) + self.shift)))), rows, scores
+    def vector(self, counts) -> tuple[np.ndarray, np.ndarray]:
+        t, n = np.array(counts, np.int64).reshape(-1, 2).T
+        return t, self.unit(np.zeros(len(t), np.int64), t, n)
 
+    def nearest(self, counts, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and cosines of the k examples nearest to one text."""
+        t, w = self.vector(counts)
+        _, rows, cosines = self.search(np.zeros(len(t), np.int64), t, w, 1, None if skip < 0 else np.array([skip]))
+        return rows, cosines
 
-#: The name under which the index is tested.
-BlockMaxIndex = ExampleIndex
+    def votes(self, text: np.ndarray, example: np.ndarray, cosine: np.ndarray, m: int) -> np.ndarray:
+        """Votes weigh 1 / (distance + 0.1); one vote of weight 1 holds the overall rate."""
+        w = 1 / (1.1 - cosine)
+        return (np.bincount(text, w * self.labels[example], m) + self.rate) / (np.bincount(text, w, m) + 1)
+
+    def scores(self, text: np.ndarray, example: np.ndarray, cosine: np.ndarray, m: int) -> np.ndarray:
+        v = self.votes(text, example, cosine, m)
+        p = 1 / (1 + np.exp(-np.clip(self.slope * np.log(v / (1 - v)) + self.shift, -30, 30)))
+        return np.where(np.bincount(text, minlength=m) > 0, p, self.none)
 
 
 def calibrate(votes: list[tuple[float, int]]) -> tuple[float, float]:
@@ -157,6 +342,35 @@ def calibrate(votes: list[tuple[float, int]]) -> tuple[float, float]:
     return (float(beta[0]), float(beta[1])) if beta[0] > 0 else (1.0, 0.0)
 
 
+def save_arrays(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
+    """Arrays in one file of the shared folder: a line that lists them, then their bytes at multiples of 64."""
+    listed, at = {}, 0
+    for k, a in arrays.items():
+        listed[k] = (a.dtype.str, list(a.shape), at)
+        at += a.nbytes + -a.nbytes % 64
+    head = json.dumps(listed).encode()
+    store, root = open_store(folder)
+    with written_whole(store, f"{root}/{name}") as out:
+        out.write(len(head).to_bytes(64, "little") + head + b" " * (-len(head) % 64))
+        for a in arrays.values():
+            out.write(np.ascontiguousarray(a).data.cast("B") if a.size else b"")
+            out.write(b"\0" * (-a.nbytes % 64))
+
+
+def load_arrays(folder: str, name: str) -> dict[str, np.ndarray]:
+    """What save_arrays wrote; of a local file the pages that are used, shared by the workers of a machine."""
+    store, root = open_store(folder)
+    if isinstance(store, fs.LocalFileSystem):
+        data = pa.memory_map(f"{root}/{name}").read_buffer()
+    else:
+        with store.open_input_file(f"{root}/{name}") as f:
+            data = f.read_buffer()
+    head = int.from_bytes(memoryview(data)[:64], "little")
+    base = 64 + head + -head % 64
+    listed = json.loads(bytes(memoryview(data)[64 : 64 + head]))
+    return {k: np.frombuffer(data, kind, math.prod(shape), base + at).reshape(shape) if math.prod(shape) else np.zeros(shape, kind) for k, (kind, shape, at) in listed.items()}
+
+
 def score_toxicity(
     docs: DataFrame,
     labels: DataFrame,
@@ -168,20 +382,22 @@ def score_toxicity(
     held_out: int = 2,
     threshold: float = 0.3,
     examples: int = EXAMPLES,
+    carry: list[str] = (),
 ) -> DataFrame:
-    """One row for each input row: id, held_out, score, predicted, and the evidence: ids and cosines of the nearest examples.
+    """One row for each input row: id, held_out, score, predicted, and the evidence: ids and cosines of the nearest examples; then the columns to carry, of which those named like the former give way.
 
     Labels are read only of rows whose crc32(id as text) mod folds is not held_out. The classifier
     is a bounded sample: the `examples` labelled rows whose ids hash lowest (equal texts are one
     example), with all their terms (words and word starts), each weighted by idf and by how far
     chi-square in them tells toxic texts. Document frequencies count all documents. The index is
-    bounded by the examples; tasks read it from the shared folder, and no text is shuffled.
-
-    A null or empty text, and one without any of the terms, scores the rate of such
-    examples, smoothed to the overall rate. Null ids are never held out and never examples; an id labelled more than once counts
-    its highest label, as does an example's text, and of repeated rows of an example's id the least
-    text is taken. Null labels
-    are none. Without labels all scores are 0.5. An empty table gives an empty table.
+    bounded by the examples; one task writes it to the shared folder, where all tasks read it, and
+    no text is shuffled but the examples'.
+
+    A null or empty text, and one without any of the terms, scores the rate of such examples,
+    smoothed to the overall rate. Null ids are never held out and never examples; an id labelled
+    more than once counts its highest label, as does an example's text, and of repeated rows of an
+    example's id the least text is taken. Null labels are none. Without labels all scores are 0.5.
+    An empty table gives an empty table.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "toxicity")
@@ -191,53 +407,80 @@ def score_toxicity(
     known = known.join(rows.select("id").where("id is not null").distinct(), "id", "left_semi")
     chosen = work.stage(known.orderBy(F.xxhash64("id"), "id").limit(examples), "chosen")
     texts = rows.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
-    sample = work.stage(texts.groupBy("text").agg(F.min("id").alias("id"), F.max("label").alias("label")), "examples")
+    kind = docs.schema[id_col].dataType.simpleString()
+    this = work.root
+
+    def chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+        """Rows of about _CHUNK bytes of text, and 4,096 at most."""
+        for batch in batches:
+            size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < batch.num_rows:
+                stop = int(np.searchsorted(size, (size[at - 1] if at else 0) + _CHUNK)) + 1
+                stop = min(max(stop, at + 1), at + 4096, batch.num_rows)
+                yield batch.slice(at, stop - at)
+                at = stop
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
-            found = [counted(batch.column(2)[i].as_py(), hashes_of) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array([c[k] for c in found], pa.list_(pa.int64())) for k in (0, 1))], ["id", "label", "h", "n"])
+        for batch in chunks(batches, 2):
+            texts = batch.column(2)
+            doc, h, n = counted(texts)
+            ends = pa.array(np.searchsorted(doc, np.arange(len(texts) + 1)), pa.int32())
+            digests = pa.array([hashlib.sha256((t or "").encode()).digest() for t in texts.to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], digests, *(pa.ListArray.from_arrays(ends, pa.array(x)) for x in (h, n))], ["id", "label", "digest", "h", "n"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    terms = work.stage(sample.select("id", "label", "text").mapInArrow(listed, f"id {kind}, label int, h array<long>, n array<long>"), "terms")
-    this, listed_at = work.root, terms._staged_at
+    terms = work.stage(texts.mapInArrow(listed, f"id {kind}, label int, digest binary, h array<long>, n array<long>"), "terms")
+    listed_at = terms._staged_at
 
     def table_of(root: str) -> pa.Table:
         store, path = open_store(root)
         return ds.dataset(path, filesystem=store, format="parquet").to_table()
 
-    def examples_of():
-        """Ids, labels, sorted hashes of all terms, and (example, term, n)."""
-        found, none = table_of(listed_at), np.zeros(0, np.int64)
-        if not len(found):
-            return [], none, none, (none, none, none)
-        found = found.take(pa.array(sorted(range(len(found)), key=[str(x) for x in found.column("id").to_pylist()].__getitem__)))
-        h, n = pa.concat_arrays(found.column("h").chunks), pa.concat_arrays(found.column("n").chunks)
-        row = np.repeat(np.arange(len(found)), h.value_lengths().to_numpy())
-        known, t = np.unique(h.flatten().to_numpy(), return_inverse=True)
-        return found.column("id").to_pylist(), (found.column("label").to_numpy() > 0).astype(np.int64), known, (row.astype(np.int32), t.astype(np.int32), n.flatten().to_numpy().astype(np.int32))
-
-    def numbers():
-        """Numbers of a word's terms that any example has."""
-        known = resident("toxicity", (this, "examples"), examples_of)[2]
-        kept: dict[bytes, list[int]] = {}
-
-        def of(word: bytes) -> list[int]:
-            if word not in kept:
-                if len(kept) >= _WORDS:
-                    kept.clear()
-                h = np.array(hashes_of(word), np.int64)
-                at = np.searchsorted(known, h)
-                kept[word] = [int(t) for t, x in zip(at, h) if t < len(known) and known[t] == x]
-            return kept[word]
-
-        return of
+    def in_one_task(make: Callable[[], dict[str, np.ndarray]], name: str) -> None:
+        """Has one task write arrays that are bounded by the examples."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    save_arrays(this, name, make())
+                yield batch
+
+        spark.range(0, 1, 1, 1).mapInArrow(run, "id long").collect()
+
+    def examples_of() -> dict[str, np.ndarray]:
+        """Ids and labels of the distinct texts, in the order of their ids; the sorted hashes of all terms; and (example, term, n)."""
+        found = table_of(listed_at)
+        names, digests = found.column("id").to_pylist(), found.column("digest").to_pylist()
+        first: dict[bytes, int] = {}
+        for r in sorted(range(len(found)), key=[str(x) for x in names].__getitem__):
+            first.setdefault(digests[r], r)
+        label = dict.fromkeys(first, 0)
+        for d, y in zip(digests, found.column("label").to_pylist()):
+            label[d] = max(label[d], int(y > 0))
+        found = found.take(pa.array(list(first.values()), pa.int64()))
+        ids = pa.RecordBatch.from_arrays([found.column("id").combine_chunks()], ["id"])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, ids.schema) as out:
+            out.write_batch(ids)
+        h = found.column("h").combine_chunks()
+        row = np.repeat(np.arange(len(found), dtype=np.int32), h.value_lengths().to_numpy(zero_copy_only=False))
+        known, t = np.unique(h.flatten().to_numpy(), return_inverse=True) if len(row) else (_NONE, _NONE)
+        n = found.column("n").combine_chunks().flatten().to_numpy() if len(row) else _NONE
+        return {"ids": np.frombuffer(sink.getvalue(), np.uint8), "labels": np.array(list(label.values()), np.int64), "known": known, "row": row, "t": t.astype(np.int32), "n": n.astype(np.int32)}
+
+    in_one_task(lambda: {k: v for k, v in examples_of().items() if k in ("ids", "labels", "known")}, "examples")
+
+    def sample() -> dict[str, np.ndarray]:
+        return resident(f"toxicity {this}", "examples", lambda: load_arrays(this, "examples"))
+
+    def ids_of() -> list:
+        return resident(f"toxicity {this}", "ids", lambda: pa.ipc.open_stream(pa.py_buffer(sample()["ids"].tobytes())).read_all().column(0).to_pylist())
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, df = resident("toxicity", (this, "numbers"), numbers), np.zeros(len(resident("toxicity", (this, "examples"), examples_of)[2]), np.int64)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                df[list({t for w in set(words(batch.column(0)[i].as_py())) for t in of(w)})] += 1
+        known = sample()["known"]
+        df = np.zeros(len(known), np.int64)
+        for batch in chunks(batches, 0):
+            df += np.bincount(counted_whole(batch.column(0), known)[1], minlength=len(df))
         some = np.flatnonzero(df)
         for k in range(0, len(some), 200_000):
             yield pa.RecordBatch.from_arrays([pa.array(some[k : k + 200_000]), pa.array(df[some[k : k + 200_000]])], ["t", "df"])
@@ -245,52 +488,67 @@ def score_toxicity(
     df = work.stage(rows.select("text").mapInArrow(frequencies, "t long, df long").groupBy("t").agg(F.sum("df").alias("df")), "frequencies")
     total, df_at = rows.count(), df._staged_at
 
-    def index(line: tuple[float, float]) -> ExampleIndex:
-        def make():
-            _, labels, known, (row, t, n) = resident("toxicity", (this, "examples"), examples_of)
-            found, df = table_of(df_at), np.zeros(len(known))
-            if len(found):
-                df[found.column("t").to_numpy()] = found.column("df").to_numpy()
-            toxic = np.bincount(t, labels[row], len(known))
-            gain = gains(np.bincount(t, minlength=len(known)) - toxic, toxic, len(labels), int(labels.sum()))
-            return ExampleIndex((row, t, n), labels, (np.log((1 + total) / (1 + df)) + 1) * gain)
-
-        out = resident("toxicity", (this, "index"), make)
+    def index_of() -> dict[str, np.ndarray]:
+        own, found = examples_of(), table_of(df_at)
+        labels, t = own["labels"], own["t"]
+        df = np.zeros(len(own["known"]))
+        if len(found):
+            df[found.column("t").to_numpy()] = found.column("df").to_numpy()
+        toxic = np.bincount(t, labels[own["row"]], len(df))
+        gain = gains(np.bincount(t, minlength=len(df)) - toxic, toxic, len(labels), int(labels.sum()))
+        return BlockMaxIndex((own["row"], t, own["n"]), labels, (np.log((1 + total) / (1 + df)) + 1) * gain).arrays()
+
+    in_one_task(index_of, "index")
+
+    def index(line: tuple[float, float] = (1.0, 0.0)) -> BlockMaxIndex:
+        out = resident(f"toxicity {this}", "index", lambda: BlockMaxIndex.of(load_arrays(this, "index")))
         out.slope, out.shift = line
         return out
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, labels, known, _ = resident("toxicity", (this, "examples"), examples_of)
-        at, own = {x: k for k, x in enumerate(names)}, index((1.0, 0.0))
-        for batch in batches:
-            found = []
-            for i in range(batch.num_rows):
-                h = np.array(batch.column(1)[i].as_py(), np.int64)
-                if len(h):
-                    k = at[batch.column(0)[i].as_py()]
-                    found.append((own.vote(*own.nearest((np.searchsorted(known, h), np.array(batch.column(2)[i].as_py())), k)), int(labels[k])))
-            yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in found], pa.float64()), pa.array([y for _, y in found], pa.int32())], ["vote", "label"])
-
-    spread = terms.select("id", "h", "n").repartition(max(2, spark.sparkContext.defaultParallelism), "id")
-    line = calibrate([tuple(r) for r in spread.mapInArrow(votes, "vote double, label int").collect()])
+        own, at, labels = index(), {x: k for k, x in enumerate(ids_of())}, sample()["labels"]
+        for batch in (b.slice(k, _AT_ONCE) for b in batches for k in range(0, b.num_rows, _AT_ONCE)):
+            mine = [(at[x], h, n) for x, h, n in zip(*(batch.column(k).to_pylist() for k in range(3))) if x in at and h]
+            doc = np.repeat(np.arange(len(mine)), [len(h) for _, h, _ in mine])
+            t = np.searchsorted(sample()["known"], np.array([x for _, h, _ in mine for x in h], np.int64))
+            w = own.unit(doc, t, np.array([x for _, _, n in mine for x in n], np.int64))
+            skip = np.array([k for k, _, _ in mine], np.int64)
+            v = own.votes(*own.search(doc, t, w, len(mine), skip), len(mine)) if mine else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.float64()), pa.array(labels[skip].astype(np.int32))], ["vote", "label"])
+
+    line = calibrate([tuple(r) for r in terms.select("id", "h", "n").mapInArrow(votes, "vote double, label int").collect()])
+    for used in (chosen, terms, df):
+        work.drop(used)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, of, own, done = resident("toxicity", (this, "examples"), examples_of)[0], resident("toxicity", (this, "numbers"), numbers), index(line), {}
-        for batch in batches:
-            out: tuple[list, list, list] = ([], [], [])
-            for i in range(batch.num_rows):
-                tf = counted(batch.column(1)[i].as_py(), of)
-                key = xxhash.xxh3_128_digest(tf[0].tobytes() + tf[1].tobytes())
-                if key not in done:
-                    if len(done) >= _KEPT:
-                        done.clear()
-                    s, near, cos = own.score(tf)
-                    done[key] = (s, [names[r] for r in near[:3]], [float(c) for c in cos[:3]])
-                for column, value in zip(out, done[key]):
-                    column.append(value)
+        names, known, own, done = ids_of(), sample()["known"], index(line), {}
+        for batch in chunks(batches, 1):
+            doc, t, n = counted_whole(batch.column(1), known)
+            ends = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+            keys = [xxhash.xxh3_128_digest(t[a:b].tobytes() + n[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:])]
+            if len(done) >= _KEPT:
+                done.clear()
+            new = {key: k for k, key in enumerate(keys) if key not in done}
+            todo = sorted(new.values())
+            for k in range(0, len(todo), _AT_ONCE):
+                part = todo[k : k + _AT_ONCE]
+                size = ends[np.array(part) + 1] - ends[part]
+                at, which = stretches(ends[part], size), np.repeat(np.arange(len(part)), size)
+                found = own.search(which, t[at], own.unit(which, t[at], n[at]), len(part))
+                scores, first = own.scores(*found, len(part)), np.searchsorted(found[0], np.arange(len(part) + 1))
+                for j, q in enumerate(part):
+                    a, b = first[j], min(first[j] + 3, first[j + 1])
+                    done[keys[q]] = (float(scores[j]), [names[r] for r in found[1][a:b]], found[2][a:b].tolist())
+            out = list(zip(*(done[key] for key in keys)))
             found = [pa.array(out[0], pa.float64()), pa.array(out[1], pa.list_(batch.column(0).type)), pa.array(out[2], pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *found], ["id", "score", "nearest", "cosines"])
-
-    scored = rows.mapInArrow(score, f"id {kind}, score double, nearest array<{kind}>, cosines array<double>")
+            yield pa.RecordBatch.from_arrays([batch.column(0), *found, *(batch.column(k) for k in places)], ["id", "score", "nearest", "cosines", *kinds])
+
+    carry = [c for c in carry if c not in (id_col, "held_out", "score", "predicted", "nearest", "cosines")]
+    others = [c for c in carry if c != text_col]
+    places = [1 if c == text_col else 2 + others.index(c) for c in carry]
+    kinds = {f"_{k}": docs.schema[c].dataType.simpleString() for k, c in enumerate(carry)}
+    whole = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"_o{k}") for k, c in enumerate(others)])
+    scored = whole.mapInArrow(score, f"id {kind}, score double, nearest array<{kind}>, cosines array<double>" + "".join(f", {n} {t}" for n, t in kinds.items()))
     fold = F.coalesce(crc_fold(F.col("id"), folds) == held_out, F.lit(False))
-    return scored.select(F.col("id").alias(id_col), fold.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "nearest", "cosines")
+    own = [F.col("id").alias(id_col), fold.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "nearest", "cosines"]
+    return scored.select(*own, *[F.col(n).alias(c) for n, c in zip(kinds, carry)])
