@@ -80,6 +80,33 @@ def strip_think(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?is)<think>.*?</think>", ""))
 
 
+# fixed values: the characters that answers come with, and what they are written as
+SIMPLIFIED = "调这条记忆终样对现时间来实际问题后还没说应该因为就已经体验处理决定创建设计发现开始结束"
+TRADITIONAL = "調這條記憶終樣對現時間來實際問題後還沒說應該因為就已經體驗處理決定創建設計發現開始結束"
+
+
+def to_traditional(text: Column) -> Column:
+    return F.translate(text, SIMPLIFIED, TRADITIONAL)
+
+
+def line_kind(line: Column) -> Column:
+    """A line that is a mere link, a bullet of over 60 characters, or prose."""
+    return F.when(line.rlike(r"^\s*-\s*\[[^\]]+\]\(https?://"), "link").when(line.rlike(r"^\s*-\s+\S") & (F.length(F.trim(line)) > 60), "bullet").otherwise("prose")
+
+
+def take_bullets(text: Column, limit: int) -> Column:
+    """The first bullets, each with the lines that continue it."""
+    starts = lambda x: F.startswith(F.trim(x), F.lit("- ")) | F.startswith(F.trim(x), F.lit("* "))
+
+    def add(done: Column, x: Column) -> Column:
+        n = F.size(done)
+        longer = F.concat(F.slice(done, F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(F.concat(F.element_at(done, -1), F.lit(" "), F.trim(x))))
+        # past the limit an empty entry marks the end
+        return F.when(starts(x), F.when(n > limit, done).otherwise(F.array_append(done, F.when(n == limit, "").otherwise(F.rtrim(x))))).when((n > 0) & (n <= limit) & (F.trim(x) != ""), longer).otherwise(done)
+
+    return F.slice(F.aggregate(F.split(text, r"\n"), F.array().cast("array<string>"), add), 1, limit)
+
+
 def slug(text: Column, size: int = 60) -> Column:
     """Lower-case words joined by hyphens, cut to size."""
     return F.left(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9一-鿿]+", "-"), "^-+|-+$", ""), F.lit(size))

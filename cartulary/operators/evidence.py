@@ -61,17 +61,6 @@ def pool(evidence: DataFrame) -> DataFrame:
     return out.select("candidate_key", "evidence_count", "eligible_evidence", "episodes", sure.alias("confidence"), decision.alias("decision"))
 
 
-def artifact_errors(a: DataFrame) -> DataFrame:
-    """Adds errors: what a schema check finds wrong with an artifact's columns."""
-    c = F.col
-    checks = [
-        (~c("artifact_id").rlike("^[A-Za-z0-9._:-]+$"), "artifact_id"), (c("candidate_key").isNull() | (c("candidate_key") == ""), "candidate_key"),
-        (~c("status").isin("pending", "hold", "review_ready", "rejected", "approved", "promoted"), "status"), (F.sha2("excerpt", 256) != c("evidence_sha256"), "evidence_sha256"),
-        (c("automatic_promotion"), "automatic_promotion"), ((c("confidence") < 0) | (c("confidence") > 1), "confidence"),
-    ]
-    return a.withColumn("errors", F.filter(F.array(*[F.when(x, F.lit(n)) for x, n in checks]), lambda e: e.isNotNull()))
-
-
 def append_new(store: DataFrame, batch: DataFrame, key: str, digest: str) -> tuple[DataFrame, DataFrame]:
     """(rows to append, conflicts): rows of unseen keys, each once; and rows whose key is known with another digest."""
     once = batch.dropDuplicates([key, digest])

@@ -61,3 +61,19 @@ def first_seen(rows: DataFrame, key: Column, order: str, ident: str) -> DataFram
     """Each row with the id of the first row of its key, if that is another."""
     first = rows.groupBy(key.alias("_key")).agg(F.min_by(ident, order).alias("_first"))
     return rows.withColumn("_key", key).join(first, "_key").select(*rows.columns, F.when(F.col("_first") != F.col(ident), F.col("_first")).alias("first_id"))
+
+
+def fuzzy_lookup(asked: DataFrame, known: DataFrame, ident: str, prefix: str = "memory/") -> DataFrame:
+    """(ident, step, found) of asked (ident, key) among known (key): the key itself, it without the prefix, with the prefix or .md, its first point vector (key#...), or the first of its file's name. Equi-joins, the first step that finds something."""
+    name = lambda c: F.regexp_extract(c, "([^/]*)$", 1)
+    key = F.col("key")
+    tries = [(1, "exact", key), (2, "prefix", F.regexp_replace(key, f"^{prefix}", "")), *[(3, "alternate", x) for x in (F.concat(F.lit(prefix), key), F.concat(F.lit(prefix), key, F.lit(".md")), F.concat(key, F.lit(".md")))]]
+    whole = asked.select(ident, F.inline(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(s).alias("step"), x.alias("try")) for p, s, x in tries])))
+    base = F.element_at(F.split(key, "#"), 1)
+    k = known.select(key.alias("found"), base.alias("base"), name(base).alias("name"), F.contains(key, F.lit("#")).alias("point"))
+    hits = whole.join(k, F.col("try") == F.col("found")).select(ident, "p", "step", "found")
+    points = k.where("point").groupBy("base").agg(F.min("found").alias("found"))
+    names = k.groupBy("name").agg(F.min("found").alias("found"))
+    hits = hits.unionByName(asked.join(points, key == F.col("base")).select(ident, F.lit(4).alias("p"), F.lit("point").alias("step"), "found"))
+    hits = hits.unionByName(asked.withColumn("name", name(key)).join(names, "name").select(ident, F.lit(5).alias("p"), F.lit("name").alias("step"), "found"))
+    return hits.groupBy(ident).agg(F.min_by(F.struct("step", "found"), F.struct("p", "found")).alias("b")).select(ident, "b.step", "b.found")

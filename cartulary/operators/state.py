@@ -64,3 +64,9 @@ def unseen(rows: DataFrame, shown: DataFrame, key: str, at: str, ttl: int) -> Da
     last = shown.groupBy(key).agg(F.max("shown_at").alias("_last"))
     fresh = F.col("_last").isNull() | (F.unix_timestamp(at) - F.unix_timestamp("_last") > ttl)
     return rows.join(last, key, "left").where(fresh).drop("_last")
+
+
+def changes(before: DataFrame, now: DataFrame, key: str) -> DataFrame:
+    """(key, change): what is new, and what has recovered."""
+    came = now.join(before, key, "left_anti").withColumn("change", F.lit("new"))
+    return came.unionByName(before.join(now, key, "left_anti").withColumn("change", F.lit("recovered")))

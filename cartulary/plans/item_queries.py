@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cartulary.functions import predicates as P
-from cartulary.operators.items import canonical_score, first_seen, identity, index_score, keep_best, mark_duplicates
+from cartulary.operators.items import canonical_score, first_seen, fuzzy_lookup, identity, index_score, keep_best, mark_duplicates
 from cartulary.plans.base import query
 from cartulary.sources.records import items, messages, notes, table
 
@@ -164,13 +164,6 @@ def bounded_limits(spark, sf_dir):
     return e.select("event_id", P.bounded(F.col("given"), 1, 50, 10).alias("b")).select("event_id", "b.value", "b.error")
 
 
-@query("SELECT vec_id, label, CASE WHEN vec_id % 5 = 0 THEN NULL ELSE round(embedding[1]::DOUBLE + 0.5, 6) END AS similarity FROM embeddings WHERE vec_id % 5 = 0 OR round(embedding[1]::DOUBLE + 0.5, 6) >= 0.55")
-def relevance_floor(spark, sf_dir):
-    """Below the floor goes, unknown stays."""
-    sim = F.when(F.col("vec_id") % 5 != 0, F.round(F.col("embedding")[0].cast("double") + 0.5, 6))
-    return table(spark, sf_dir, "embeddings").select("vec_id", "label", sim.alias("similarity")).where(P.above_floor(F.col("similarity"), 0.55))
-
-
 _IDENT = r"""CASE WHEN regexp_matches(regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\.[^.]*$', ''), '^[0-9]{15,20}$') THEN 'x:' || regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\.[^.]*$', '')
   WHEN source_url <> '' AND regexp_extract(source_url, '/(?:status|i/status)/([0-9]{15,20})', 1) <> '' THEN 'x:' || regexp_extract(source_url, '/(?:status|i/status)/([0-9]{15,20})', 1)
   WHEN source_url <> '' THEN 'url:' || source_url ELSE 'id:' || id END"""
@@ -306,15 +299,20 @@ def related_by_tags(spark, sf_dir):
     return pairs.withColumn("r", F.row_number().over(w)).where("r <= 3").select("a", "b", "shared")
 
 
-@query("SELECT k, key, found FROM (VALUES (1, 'a/1.md', 'exact'), (2, 'memory/a/2', 'prefix'), (3, 'zz/9', NULL)) v(k, key, found)")
+_ASKED_KEYS = "SELECT doc_id AS k, CASE doc_id % 6 WHEN 0 THEN path WHEN 1 THEN substr(path, 8) WHEN 2 THEN substr(path, 8, length(path) - 10) WHEN 3 THEN path WHEN 4 THEN 'old/' || stem || '.md' ELSE 'none-' || stem END AS key FROM notes"
+_KNOWN_KEYS = "SELECT CASE WHEN doc_id % 6 = 3 THEN path || '#kp' || (doc_id % 2) ELSE path END AS key FROM notes"
+
+
+@query(
+    f"""SELECT k, arg_min(step, (p, f)) AS step, arg_min(f, (p, f)) AS found FROM (SELECT a.k, a.key, s.p, s.step, n.key AS f FROM ({_ASKED_KEYS}) a JOIN (VALUES (1, 'exact'), (2, 'prefix'), (3, 'alternate'), (4, 'point'), (5, 'name')) s(p, step) ON true JOIN (SELECT key, split_part(key, '#', 1) AS base, regexp_extract(split_part(key, '#', 1), '([^/]*)$', 1) AS name, contains(key, '#') AS point FROM ({_KNOWN_KEYS})) n
+  ON CASE s.p WHEN 1 THEN n.key = a.key WHEN 2 THEN n.key = regexp_replace(a.key, '^memory/', '') WHEN 3 THEN n.key IN ('memory/' || a.key, 'memory/' || a.key || '.md', a.key || '.md') WHEN 4 THEN n.point AND n.base = a.key ELSE n.name = regexp_extract(a.key, '([^/]*)$', 1) END) GROUP BY k""",
+    views=("notes",),
+)
 def fuzzy_keys(spark, sf_dir):
-    """Exact, then without prefix, then by name; the first that is found."""
-    asked = spark.sql("SELECT * FROM VALUES (1, 'a/1.md'), (2, 'memory/a/2'), (3, 'zz/9') v(k, key)")
-    known = spark.sql("SELECT * FROM VALUES ('a/1.md'), ('a/2.md') v(path)")
-    tries = F.array(F.struct(F.lit(1).alias("p"), F.col("key").alias("t"), F.lit("exact").alias("found")), F.struct(F.lit(2).alias("p"), F.concat(F.regexp_replace("key", "^memory/", ""), F.lit(".md")).alias("t"), F.lit("prefix").alias("found")))
-    hits = asked.select("k", F.inline(tries)).join(known, F.col("t") == F.col("path"))
-    best = hits.groupBy("k").agg(F.min_by("found", "p").alias("found"))
-    return asked.join(best, "k", "left").select("k", "key", "found")
+    """A key as it is, without its prefix, in other forms, with a point's number, or by its file's name; the first that is known."""
+    n = notes(spark, sf_dir)
+    of = lambda sql: spark.sql(sql.replace("FROM notes", "FROM {n}"), n=n)
+    return fuzzy_lookup(of(_ASKED_KEYS), of(_KNOWN_KEYS), "k")
 
 
 @query("SELECT id, array_to_string(list_sort(list_distinct(list_concat(tags, ['src1', 'zz']))), ',') AS joined, list_has_any(tags, ['en', 'src1']) AS touches, array_to_string(list_sort(list_filter(tags, lambda t: t NOT IN ('en', 'de'))), ',') AS rest FROM items", items=True)

@@ -31,7 +31,7 @@ def _cards(spark, sf_dir):
 @query(f"SELECT doc_id, id, score FROM (SELECT doc_id, id, {_CARD} AS score FROM items) WHERE score >= 6 ORDER BY score DESC, doc_id LIMIT 10", items=True)
 def keyword_card_topk(spark, sf_dir):
     """The ten best cards for a query."""
-    return R.top(_cards(spark, sf_dir).where("score >= 6"), 10, F.desc("score"), "doc_id").select("doc_id", "id", "score")
+    return R.top(_cards(spark, sf_dir), 10, F.desc("score"), "doc_id").where("score >= 6").select("doc_id", "id", "score")
 
 
 @query(f"SELECT doc_id, {_CARD} AS score FROM items", items=True)
@@ -66,11 +66,11 @@ def ranking_adjustments(spark, sf_dir):
 
 @query(f"SELECT doc_id, round(({_CARD}) + 10 * {_ADJUST}, 4)::DOUBLE AS score FROM items WHERE ({_CARD}) + 10 * {_ADJUST} >= 6 AND NOT excluded AND NOT regexp_matches(trim(title), '^[0-9]{{15,20}}$') AND NOT ({_CLEAN} IN ('', '待整理') AND (source_url = '' OR category = 'general' OR regexp_matches(lower(trim(title)), '^tweet\\s+[0-9]{{15,20}}$'))) ORDER BY 2 DESC, 1 LIMIT 20", items=True)
 def keyword_recall(spark, sf_dir):
-    """Card score and adjustments, least score, hidden rows out."""
+    """Card score and adjustments, least score, hidden rows out."""
     c = F.col
-    rows = _cards(spark, sf_dir).withColumn("score", F.round(c("score") + 10 * R.adjustments(), 4).cast("double"))
-    rows = rows.where((c("score") >= 6) & ~hidden_result(c("title"), c("summary"), c("category"), c("excluded"), c("source_url")))
-    return R.top(rows, 20, F.desc("score"), "doc_id").select("doc_id", "score")
+    rows = _cards(spark, sf_dir).where(~hidden_result(c("title"), c("summary"), c("category"), c("excluded"), c("source_url")))
+    rows = rows.select("doc_id", F.round(c("score") + 10 * R.adjustments(), 4).cast("double").alias("score"))
+    return R.top(rows, 20, F.desc("score"), "doc_id").where("score >= 6")  # after the limit, so that the score is computed once
 
 
 @query("SELECT event_id, round(CASE WHEN value <= 0 THEN 0 ELSE value / (value + a) END, 4)::DOUBLE AS relevance, round(CASE WHEN value <= 0 THEN 0 ELSE value / (value + a) * w END, 4)::DOUBLE AS unified_score FROM (SELECT event_id, value, CASE event_type WHEN 'click' THEN 0.88 WHEN 'view' THEN 0.93 ELSE 0.5 END::DOUBLE AS a, CASE event_type WHEN 'click' THEN 0.85 WHEN 'view' THEN 1.0 ELSE 0.5 END::DOUBLE AS w FROM events)")
@@ -105,23 +105,6 @@ def contrarian_recall(spark, sf_dir):
     return R.top(d.where("sig > 0 and rel >= 0.15").select("doc_id", F.round(0.6 * F.col("rel") + 0.4 * F.least(F.col("sig") / 5.0, F.lit(1)), 4).cast("double").alias("score")), 50, F.desc("score"), "doc_id")
 
 
-@query("SELECT doc_id, round(2.0 * CASE WHEN contains(lower(left(text, 60)), 'the') THEN 1 ELSE 0 END + 0.5 * CASE WHEN contains(lower(text), 'the') THEN 1 ELSE 0 END, 4)::DOUBLE AS score FROM documents WHERE 2.0 * CASE WHEN contains(lower(left(text, 60)), 'the') THEN 1 ELSE 0 END + 0.5 * CASE WHEN contains(lower(text), 'the') THEN 1 ELSE 0 END >= 0.3 ORDER BY 2 DESC, 1 LIMIT 30")
-def continuity_recall(spark, sf_dir):
-    """Title and body scores by weights, a floor."""
-    words = F.array(F.lit("the"))
-    score = F.round(2.0 * T.phrase_score(words, F.left("text", F.lit(60))) + 0.5 * T.phrase_score(words, F.col("text")), 4).cast("double")
-    return R.top(table(spark, sf_dir, "documents").select("doc_id", score.alias("score")).where("score >= 0.3"), 30, F.desc("score"), "doc_id")
-
-
-@query("SELECT doc_id, round(0.65 * sim + 0.35 * kw, 6)::DOUBLE AS score FROM (SELECT e.vec_id AS doc_id, round(e.embedding[1]::DOUBLE + 0.5, 6) AS sim, (contains(lower(d.text), 'the')::INT + contains(lower(d.text), 'of')::INT) / 2.0 AS kw FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id) WHERE sim >= 0.25 ORDER BY 2 DESC, 1 LIMIT 20")
-def hybrid_recall(spark, sf_dir):
-    """Similarity and keyword share, after a cut."""
-    e, d = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "documents")
-    words = F.array(F.lit("the"), F.lit("of"))
-    j = e.join(d, e.vec_id == d.doc_id).select("doc_id", F.round(F.col("embedding")[0].cast("double") + 0.5, 6).alias("sim"), T.hit_fraction(words, F.col("text")).alias("kw"))
-    return R.top(j.where("sim >= 0.25").select("doc_id", F.round(0.65 * F.col("sim") + 0.35 * F.col("kw"), 6).alias("score")), 20, F.desc("score"), "doc_id")
-
-
 @query("SELECT 'document' AS kind, doc_id AS id, n_chars AS weight FROM documents UNION ALL SELECT 'page', page_id, len(html) FROM pages UNION ALL SELECT 'turn', conv_id * 1000 + turn, len(text) FROM conversations")
 def layer_union(spark, sf_dir):
     """Layers as one table."""

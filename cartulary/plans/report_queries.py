@@ -61,10 +61,10 @@ def index_freshness(spark, sf_dir):
     return items(spark, sf_dir).agg(n.alias("n"), F.round(100.0 * has / n, 4).alias("coverage"), F.count_if("enriched").alias("enriched_rows"), (has * 100 >= 70 * n).alias("covered"))
 
 
-@query("SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS word FROM documents WHERE lang = 'en') GROUP BY word ORDER BY n DESC, word LIMIT 25")
+@query("SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS word FROM documents) GROUP BY word ORDER BY n DESC, word LIMIT 25")
 def top_words(spark, sf_dir):
     """The twenty-five most frequent words."""
-    w = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("word"))
+    w = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("word"))
     return w.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(25)
 
 
@@ -75,35 +75,17 @@ def review_stats(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("conv_id").alias("conversations"), F.min(n).alias("shortest"), F.max(n).alias("longest"))
 
 
-_LINES = """(VALUES ('memory/2026-01-01.md', '- Candidate: Prefer short answers episode_id: ep-1'), ('memory/2026-01-02.md', '- Candidate: Prefer short answers episode_id: ep-2'),
-  ('memory/2026-01-03.md', '- Candidate: prefer short answers. episode_id: ep-1'), ('memory/dreaming/a.md', '- Candidate: Dreams repeat'), ('memory/dreaming/b.md', '- Candidate: Dreams repeat'), ('memory/2026-01-04.md', 'nothing here')) v(path, line)"""
-
-
-@query("SELECT * FROM (VALUES ('prefer_short_answers', 3::BIGINT, 3::BIGINT, 2::BIGINT, 0.89::DOUBLE, 'REVIEW_READY'), ('dreams_repeat', 2, 0, 0, 0.35, 'REJECT_SYSTEM_ECHO')) v(candidate_key, evidence_count, eligible_evidence, episodes, confidence, decision)")
-def candidate_pool(spark, sf_dir):
-    """Evidence, distinct episodes, confidence, decision."""
-    return E.pool(spark.sql(f"SELECT * FROM {_LINES}"))
-
-
-_ROUNDS = "SELECT lower(trim(regexp_replace(left(text, 40), '\\s+', ' ', 'g'))) AS key, conv_id FROM conversations"
+_ROUNDS = "SELECT lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS key, conv_id FROM conversations"
 
 
 @query(f"SELECT key, count(*) AS evidence, count(DISTINCT conv_id) AS episodes, round(least(0.99, 0.35 + 0.18 * least(count(DISTINCT conv_id), 4) + 0.06 * least(count(*), 5)), 2)::DOUBLE AS confidence FROM ({_ROUNDS}) GROUP BY key")
 def conversation_evidence(spark, sf_dir):
     """A08 over conversations: a conversation is an episode."""
-    rows = table(spark, sf_dir, "conversations").select(T.normal_statement(F.left("text", F.lit(40))).alias("key"), "conv_id")
+    rows = table(spark, sf_dir, "conversations").select(T.normal_statement(F.col("text")).alias("key"), "conv_id")
     g = rows.groupBy("key").agg(F.count(F.lit(1)).alias("evidence"), F.countDistinct("conv_id").alias("episodes"))
     return g.withColumn("confidence", E.confidence(F.col("episodes"), F.col("evidence")).cast("double"))
 
 
-@query("SELECT * FROM (VALUES ('a1', ''), ('a 2', 'artifact_id,confidence'), ('a3', 'evidence_sha256,automatic_promotion')) v(artifact_id, errors)")
-def artifact_checks(spark, sf_dir):
-    """P27, D24, D31."""
-    rows = spark.sql("""SELECT artifact_id, 'k' AS candidate_key, 'hold' AS status, 'x' AS excerpt, evidence_sha256, automatic_promotion, confidence FROM VALUES
-      ('a1', sha2('x', 256), false, 0.5), ('a 2', sha2('x', 256), false, 1.5), ('a3', 'bad', true, 0.5) v(artifact_id, evidence_sha256, automatic_promotion, confidence)""")
-    return E.artifact_errors(rows).select("artifact_id", F.array_join("errors", ",").alias("errors"))
-
-
 @query("SELECT c.category, c.n FROM (SELECT category, count(*) AS n FROM items GROUP BY category) c WHERE c.n >= 5 AND c.category NOT IN ('en', 'de')", items=True)
 def topic_gaps(spark, sf_dir):
     """Categories of five items and more that no topic covers."""

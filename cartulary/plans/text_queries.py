@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from cartulary.functions import text as T
 from cartulary.plans.base import query
-from cartulary.sources.records import items, table
+from cartulary.sources.records import items, messages, notes, table
+
 
 @query("SELECT item_id, len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_\\-]{2,}|[一-鿿]+'))) AS n_tokens, lower(regexp_extract(lower(text), '[a-z0-9_\\-]{2,}')) AS first_token FROM benchmark")
 def tokenize_queries(spark, sf_dir):
@@ -15,21 +16,27 @@ def tokenize_queries(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.size(t).cast("long").alias("n_tokens"), t[0].alias("first_token"))
 
 
-@query("SELECT k, tokens FROM (VALUES (1, '工作 作流 工作流 ai'), (2, '知識 識庫 庫管 管理 知識庫 識庫管 庫管理'), (3, '')) v(k, tokens)")
+_RUNS = "regexp_extract_all(lower(message), '[a-z0-9_\\-]{2,}|[一-鿿]+')"
+_GRAMS = "CASE WHEN regexp_matches(r, '^[一-鿿]+$') THEN list_concat(CASE WHEN len(r) <= 3 THEN [r] ELSE [] END, list_transform(range(1, greatest(len(r), 1)), lambda i: substr(r, i, 2)), list_transform(range(1, greatest(len(r) - 1, 1)), lambda i: substr(r, i, 3))) ELSE [r] END"
+
+
+@query(f"SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_filter(flatten(list_transform({_RUNS}, lambda r: {_GRAMS})), lambda t: len(t) >= 2))), ' ') AS tokens FROM messages", views=("messages",))
 def tokenize_cjk(spark, sf_dir):
-    """n-grams of CJK runs (a run of three is whole as its own 3-gram)."""
-    rows = spark.sql("SELECT * FROM VALUES (1, '工作流 AI'), (2, '知識庫管理'), (3, 'a') v(k, text)")
-    t = T.tokenize(F.col("text"))
-    two = F.filter(t, lambda x: F.length(x) == 2)
-    ordered = F.concat(F.filter(two, lambda x: x.rlike("[一-鿿]")), F.filter(t, lambda x: F.length(x) == 3), F.filter(two, lambda x: ~x.rlike("[一-鿿]")))
-    return rows.select("k", F.array_join(ordered, " ").alias("tokens"))
+    """words and n-grams of CJK runs, of every message."""
+    return messages(spark, sf_dir).select("conv_id", "turn", F.array_join(F.array_sort(T.tokenize(F.col("message"))), " ").alias("tokens"))
+
+
+_ASKED = ("怎麼", "麼設", "設計", "怎麼設", "麼設計", "workflow")
 
 
-@query("SELECT k, score FROM (VALUES (1, 1.0::DOUBLE), (2, 0.5::DOUBLE), (3, 0.0::DOUBLE)) v(k, score)")
+@query(
+    f"SELECT conv_id, turn, len(list_distinct(flatten(list_transform(list_filter([{', '.join(repr(t) for t in _ASKED)}], lambda t: contains(lower(message), t)), lambda t: CASE WHEN t = 'workflow' THEN [t] ELSE string_split(t, '') END))))::DOUBLE / 5 AS score FROM messages",
+    views=("messages",),
+)
 def overlap_scores(spark, sf_dir):
-    """CJK counts by character, Latin by word."""
-    rows = spark.sql("SELECT * FROM VALUES (1, '產品廣告', '一支產品廣告影片'), (2, 'alpha beta', 'only alpha here'), (3, 'alpha', '') v(k, q, t)")
-    return rows.select("k", T.overlap_score(T.tokenize(F.col("q")), F.col("t")).cast("double").alias("score"))
+    """how much of a question each message holds: CJK counts by character, Latin by word."""
+    asked = T.tokenize(F.lit("怎麼設計 workflow"))
+    return messages(spark, sf_dir).select("conv_id", "turn", T.overlap_score(asked, F.col("message")).cast("double").alias("score"))
 
 
 @query("SELECT doc_id, len(text) + 2 * len(regexp_extract_all(text, '[一-鿿]')) AS info_length FROM documents")
@@ -108,16 +115,51 @@ def page_lines(spark, sf_dir):
     return d.select("doc_id", (F.col("p") + 1).cast("long").alias("line_no"), line.alias("line"), F.when(F.length(line) > 60, "long").otherwise("short").alias("kind"))
 
 
-@query("SELECT doc_id, translate(left(text, 120), 'aeiou', 'AEIOU') AS mapped, regexp_replace('<think>' || left(text, 5) || '</think>' || left(text, 30), '(?is)<think>.*?</think>', '', 'g') AS plain FROM documents")
+@query(f"SELECT conv_id, turn, translate(message, '{T.SIMPLIFIED}', '{T.TRADITIONAL}') AS mapped FROM (SELECT conv_id, turn, '这条记忆终' || message || '决定设计' AS message FROM messages)", views=("messages",))
 def mapped_text(spark, sf_dir):
-    """character map; without thoughts (kept untrimmed here)."""
-    t = F.left("text", F.lit(120))
-    thought = F.concat(F.lit("<think>"), F.left("text", F.lit(5)), F.lit("</think>"), F.left("text", F.lit(30)))
-    return table(spark, sf_dir, "documents").select("doc_id", F.translate(t, "aeiou", "AEIOU").alias("mapped"), F.regexp_replace(thought, r"(?is)<think>.*?</think>", "").alias("plain"))
+    """simplified characters by the map."""
+    t = F.concat(F.lit("这条记忆终"), F.col("message"), F.lit("决定设计"))
+    return messages(spark, sf_dir).select("conv_id", "turn", T.to_traditional(t).alias("mapped"))
+
+
+@query(r"SELECT path, md5(regexp_replace(body, '(?is)<think>.*?</think>', '', 'g')) AS plain FROM notes", views=("notes",))
+def without_thoughts(spark, sf_dir):
+    """notes without thought blocks, whole (kept untrimmed here)."""
+    return notes(spark, sf_dir).select("path", F.md5(F.regexp_replace("body", r"(?is)<think>.*?</think>", "")).alias("plain"))
+
 
+_WORDS = ("the", "of", "and", "from", "there")
 
-@query()
+
+@query(
+    f"""SELECT d.doc_id, CASE WHEN len(clean) <= 200 THEN clean WHEN len(snippet) > 200 THEN left(snippet, 199) || '…' ELSE snippet END AS excerpt FROM (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\n+', ' ', 'g')) AS clean FROM documents) d LEFT JOIN (
+  SELECT b.doc_id, array_to_string(list_slice(ws, b.i, b.i + 29), ' ') AS snippet FROM (SELECT doc_id, arg_max(i, (s, -i)) AS i FROM (
+      SELECT doc_id, i, n, {' + '.join(f"max(contains(w, '{t}')::INT) OVER x" for t in _WORDS)} AS s FROM (SELECT doc_id, lower(unnest(ws)) AS w, unnest(range(1, len(ws) + 1)) AS i, len(ws) AS n FROM words) WINDOW x AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 29 FOLLOWING))
+    WHERE i <= greatest(n - 30, 1) GROUP BY doc_id) b JOIN words USING (doc_id)) s ON d.doc_id = s.doc_id""",
+    ctes=r"words AS (SELECT doc_id, list_filter(string_split_regex(trim(regexp_replace(coalesce(text, ''), '\n+', ' ', 'g')), '\s+'), lambda w: w <> '') AS ws FROM documents)",
+)
 def best_excerpts(spark, sf_dir):
     """The 30-word window of each text that matches a query best."""
-    words = F.array(*[F.lit(w) for w in ("the", "of", "and", "from", "there")])
+    words = F.array(*[F.lit(w) for w in _WORDS])
     return table(spark, sf_dir, "documents").select("doc_id", T.best_window(F.col("text"), words).alias("excerpt"))
+
+
+@query(
+    r"SELECT doc_id, count(*) FILTER (kind = 'link') AS links, count(*) FILTER (kind = 'bullet') AS bullets, count(*) FILTER (kind = 'prose') AS prose, round(count(*) FILTER (kind = 'bullet') / 8.0, 4) AS ratio FROM (SELECT doc_id, CASE WHEN regexp_matches(line, '^\s*-\s*\[[^\]]+\]\(https?://') THEN 'link' WHEN regexp_matches(line, '^\s*-\s+\S') AND len(trim(line)) > 60 THEN 'bullet' ELSE 'prose' END AS kind FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '- [a](https://x.org) ' || l WHEN 1 THEN '- ' || l ELSE l END AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents))) GROUP BY doc_id"
+)
+def page_parts(spark, sf_dir):
+    """A page's links, long bullets and prose, and what eight conclusions would condense its bullets to."""
+    line = F.expr("CASE doc_id % 3 WHEN 0 THEN '- [a](https://x.org) ' || l WHEN 1 THEN '- ' || l ELSE l END")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("l")).select("doc_id", T.line_kind(line).alias("kind"))
+    n = {k: F.count_if(F.col("kind") == k) for k in ("link", "bullet", "prose")}
+    return d.groupBy("doc_id").agg(n["link"].alias("links"), n["bullet"].alias("bullets"), n["prose"].alias("prose"), F.round(n["bullet"] / 8.0, 4).alias("ratio"))
+
+
+@query(
+    r"SELECT doc_id, k, md5(string_agg(shown, ' ' ORDER BY i)) AS bullet FROM (SELECT doc_id, i, sum(starts::INT) OVER (PARTITION BY doc_id ORDER BY i) AS k, starts, CASE WHEN starts THEN rtrim(l) ELSE trim(l) END AS shown, l FROM (SELECT *, starts_with(trim(l), '- ') OR starts_with(trim(l), '* ') AS starts FROM (SELECT doc_id, unnest(string_split(body, chr(10))) AS l, unnest(range(len(string_split(body, chr(10))))) AS i FROM notes))) WHERE k BETWEEN 1 AND 2 AND (starts OR trim(l) <> '') GROUP BY doc_id, k",
+    views=("notes",),
+)
+def first_bullets(spark, sf_dir):
+    """A page's first two bullets with their continuations."""
+    b = notes(spark, sf_dir).select("doc_id", F.posexplode(T.take_bullets(F.col("body"), 2)).alias("p", "b"))
+    return b.select("doc_id", (F.col("p") + 1).cast("long").alias("k"), F.md5("b").alias("bullet"))
