@@ -76,6 +76,13 @@ def clean_summary(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"\s+", " "))
 
 
+def suggested_title(summary: Column, nothing: tuple[str, ...] = ("", "待整理", "待補充", "###")) -> Column:
+    """The summary's first sentence, 48 characters without marks at its ends; empty under eight, or for a summary that says nothing."""
+    c = clean_summary(summary)
+    first = F.btrim(F.left(F.trim(F.split(F.split(c, "。")[0], r"\.")[0]), F.lit(48)), F.lit(" -—–_。."))
+    return F.when(c.isin(*nothing) | (F.length(c) < 10) | (F.length(first) < 8), "").otherwise(first)
+
+
 def strip_think(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?is)<think>.*?</think>", ""))
 

@@ -130,7 +130,7 @@ def distillations(spark, sf_dir):
     return out.withColumn("markers", F.array_join("markers", ","))
 
 
-_ACTIONS = "SELECT user_id AS candidate_id, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'promote' WHEN 'error' THEN 'reject' WHEN 'signup' THEN 'force' ELSE 'approve' END AS action, value > 100 AS eligible FROM events WHERE event_id % 7 < 3"
+_ACTIONS = "SELECT user_id AS candidate_id, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'promote' WHEN 'error' THEN 'reject' WHEN 'signup' THEN 'force' ELSE 'approve' END AS action, value > 100 AS eligible FROM events"
 
 
 @query(
@@ -158,11 +158,11 @@ def worker_events(spark, sf_dir):
     return T.worker_events(jobs).select("job_id", "step", "status")
 
 
-@query("SELECT user_id, count(*) AS chunks, count(*) FILTER (event_type = 'purchase') AS succeeded, count(*) = count(*) FILTER (event_type <> 'view') AS ready FROM (SELECT * FROM events WHERE event_id % 3 = 0) GROUP BY user_id")
+@query("SELECT user_id, count(*) AS chunks, count(*) FILTER (event_type = 'purchase') AS succeeded, count(*) = count(*) FILTER (event_type <> 'view') AS ready FROM events GROUP BY user_id")
 def chunk_barriers(spark, sf_dir):
     """What waits until all chunk jobs of its group have ended."""
     status = F.when(F.col("event_type") == "purchase", "succeeded").when(F.col("event_type") == "view", "running").when(F.col("event_type") == "error", "failed").otherwise("cancelled")
-    return T.ready_to_join(table(spark, sf_dir, "events").where("event_id % 3 = 0").select("user_id", status.alias("status")), "user_id")
+    return T.ready_to_join(table(spark, sf_dir, "events").select("user_id", status.alias("status")), "user_id")
 
 
 @query("SELECT id, ts FROM (SELECT event_id AS id, ts FROM events ORDER BY event_id DESC LIMIT 5000)")
