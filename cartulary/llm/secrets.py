@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,11 +23,10 @@ TREES, DEPTH = 24, 6
 #: Names that a value is assigned to.
 _NAMES = "api[_-]?key|access[_-]?key|secret|token|passw(?:or)?d|pwd|auth|credential|private[_-]?key|client[_-]?id"
 _RUN = r"A-Za-z0-9+/_\-"
-CANDIDATE = (
-    r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
-    rf"|(?<![{_RUN}])(?:(?=[A-Za-z+/_\-]{{0,64}}[0-9])[{_RUN}]{{20,}}={{0,2}}"
-    rf"|(?<=(?i:{_NAMES})[\"']?\s{{0,2}}[=:]\s{{0,2}}[\"']?)[^\s\"']{{6,}})"
-)
+#: What stands before an assigned value: an identifier that ends in a name, and the sign, however far apart.
+_ASSIGN = rf"(?i:{_NAMES})[\"']?\s*[=:]\s*[\"']?"
+#: A candidate: a value that is assigned (group 2, after group 1); a key's first line, or a run of 20 characters or more with a digit (group 3).
+CANDIDATE = rf"(?<![{_RUN}])(?:([{_RUN}]*?{_ASSIGN})([^\s\"']{{6,}})|((?=[A-Za-z+/_\-]*[0-9])[{_RUN}]{{20,}}={{0,2}}))|(-----BEGIN [A-Z ]*PRIVATE KEY-----)"
 #: Common words of identifiers and prose (fixed list).
 DICTIONARY = (
     "access account admin album alpha amber apple april array assets august authorization backup bank base before between blue board bridge button cache camera change channel charge "
@@ -36,7 +35,11 @@ DICTIONARY = (
     "forward frame front function gateway general github global green group handle header health height hello history home hosted house image import index information input instance "
     "internal issue item july june key label language large layer letter level library light line link list local login machine main manager march market master media memory message "
     "method model module monday month music name network node north note number object office option order output package page paper parent part password path people phone picture "
-    "placeholder plain platform player point policy position power press price private product profile program project public query question random record region release remote report"
+    "placeholder plain platform player point policy position power press price private product profile program project public query question random record region release remote report "
+    "repository request resource response result return review revision route sample schema school score script search second section security select sender sequence series server service "
+    "session setting shared short signal simple single social source stage standard start state static status storage store stream string style subject summary support system table target "
+    "task team template temporary test text theme thread ticket time title tool total track training transfer type unique unit update upload user value vector version video view virtual "
+    "visible volume warning watch water week weight white width window winter word work world write year yellow zone"
 ).split()
 #: Frequent letter pairs of European prose (fixed list): prose passes through them, keys rarely do.
 PAIRS = "th he in er an re nd on en at ou ed ha to or it is hi es ng ch ei ie de te ar st se le la qu ue ai eu io ti me al ra co as os ta".split()
@@ -68,7 +71,7 @@ def _features(value: Column, left: Column, right: Column, path: Column) -> dict[
         "repeats": has(low, r"(.)\1{4,}|(..)\2{3,}|012345|123456|abcdef|qwerty"),
         "stands_in": has(low, "x{5,}|\\*{4,}|your|change-?_?me|insert|redacted|" + _EXAMPLE),
         "known": has(value, "^(?:AKIA|ASIA|AIza|gh[pousr]_|xox[abprs]-|sk[-_]|eyJ|glpat-|-----BEGIN)"),
-        "assigned": has(left, rf"(?i)(?:{_NAMES})[\"']?\s{{0,2}}[=:]\s{{0,2}}[\"']?$"),
+        "assigned": has(left, rf"{_ASSIGN}$"),
         "quoted": has(left, "[\"']$"),
         "in_address": has(left, r"(?:https?://|www\.|/)\S*$"),
         "near_secret": has(near, f"(?:{_NAMES}|bearer|login)"),
@@ -129,17 +132,26 @@ def grow_forest(findings: DataFrame, seed: int = 5) -> list:
     Rows with a null value or label are left out; at most FINDINGS rows are used. With one class
     only, every tree is that class; without rows the forest calls everything a secret.
     """
+    rows = finding_features(findings)
+    classes = [r["label"] for r in rows.groupBy("label").count().collect()]
+    if len(classes) < 2:
+        return [int(classes[0]) if classes else 1]
+    return _parse(fit_forest(rows, seed).toDebugString, [c for c in rows.columns if c != "label"])
+
+
+def finding_features(findings: DataFrame) -> DataFrame:
+    """label and the features of at most FINDINGS findings, those that hash lowest."""
     rows = findings.where("value is not null and secret is not null").select("value", *[F.coalesce(c, F.lit("")).alias(c) for c in ("left", "right", "path")], F.col("secret").cast("double").alias("label"))
     work = Workspace(findings.sparkSession, "secrets")
     rows = work.stage(rows.orderBy(F.xxhash64("value", "left"), "value", "left").limit(FINDINGS), "findings")
     features = _features(F.col("value"), F.col("left"), F.col("right"), F.col("path"))
-    rows = work.stage(rows.select("label", *[c.alias(n) for n, c in features.items()]), "features")
-    classes = [r["label"] for r in rows.groupBy("label").count().collect()]
-    if len(classes) < 2:
-        return [int(classes[0]) if classes else 1]
-    table = VectorAssembler(inputCols=list(features), outputCol="features").transform(rows)
-    model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=seed, featureSubsetStrategy="sqrt").fit(table.select("label", "features"))
-    return _parse(model.toDebugString, list(features))
+    return work.stage(rows.select("label", *[c.alias(n) for n, c in features.items()]), "features")
+
+
+def fit_forest(rows: DataFrame, seed: int = 5) -> RandomForestClassificationModel:
+    """Spark's forest over finding_features."""
+    table = VectorAssembler(inputCols=[c for c in rows.columns if c != "label"], outputCol="features").transform(rows)
+    return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=seed, featureSubsetStrategy="sqrt").fit(table.select("label", "features"))
 
 
 def _parse(text: str, names: list[str]) -> list:
@@ -167,30 +179,56 @@ def forest_score(trees: list, feature) -> Column:
     return reduce(lambda a, b: a + b, [_tree(t, feature) for t in trees]) / F.lit(float(len(trees)))
 
 
-def findings_of(text: Column, path: Column, trees: list, threshold: float) -> Column:
-    """All candidates of a text in order, as an array of structs; start counts characters from 0."""
-    text, path = F.coalesce(text, F.lit("")), F.coalesce(path, F.lit(""))
-    parts = F.struct(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("found"), F.split(text, CANDIDATE, -1).alias("gaps"))
+def parts_of(text: Column) -> Column:
+    """The text in parts: what stands before the first candidate, it, what stands between it and the second, and so on.
+
+    One pass of the pattern sets a mark about each candidate. The mark's own character is written
+    as two others meanwhile.
+    """
+    mark, out, kept, own = "\u0001", "\u0002", "\u0004", "\u0003"
+    plain = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit(out), F.lit(out + kept)), F.lit(mark), F.lit(out + own))
+    marked = F.split(F.regexp_replace(plain, CANDIDATE, f"$1{mark}$2$3$4{mark}"), mark, -1)
+    return F.transform(marked, lambda p: F.replace(F.replace(p, F.lit(out + own), F.lit(mark)), F.lit(out + kept), F.lit(out)))
+
+
+def _sums(sizes: Column, block: int = 256) -> Column:
+    """The sum of the sizes before each, by blocks: an array that grows by one is copied each time."""
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(sizes) / block) - 1, F.lit(0)).cast("int")), lambda b: F.slice(sizes, b * block + 1, F.lit(block)))
+    none = F.array().cast("array<int>")
+
+    def running(xs: Column) -> Column:
+        return F.aggregate(xs, F.struct(F.lit(0).alias("end"), none.alias("at")), lambda s, x: F.struct((s.end + x).alias("end"), F.array_append(s.at, s.end).alias("at")))
+
+    def joined(b: Column) -> Column:
+        return F.flatten(F.zip_with(b, running(F.transform(b, lambda x: x.end)).at, lambda x, base: F.transform(x.at, lambda y: y + base)))
+
+    return F.transform(F.array(F.transform(blocks, running)), joined)[0]
+
+
+def _candidates(parts: Column) -> Column:
+    """(value, start, left, right) of the candidates in parts; start counts characters from 0."""
 
     def each(p: Column) -> Column:
-        sizes = F.zip_with(p.found, F.slice(p.gaps, F.lit(1), F.size(p.found)), lambda v, g: F.struct(F.length(g).alias("g"), F.length(v).alias("v")))
-        starts = F.aggregate(
-            sizes,
-            F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("at")),
-            lambda s, x: F.struct((s.end + x.g + x.v).alias("end"), F.concat(s.at, F.array(s.end + x.g)).alias("at")),
-            lambda s: s.at,
-        )
+        starts = _sums(F.transform(p, lambda x: F.length(x)))
+        at = F.filter(F.sequence(F.lit(1), F.size(p)), lambda i: (i % 2 == 0))
         return F.transform(
-            F.arrays_zip(p.found.alias("value"), starts.alias("start"), F.slice(p.gaps, F.lit(1), F.size(p.found)).alias("before"), F.slice(p.gaps, F.lit(2), F.size(p.found)).alias("after")),
-            lambda x: F.struct(x.value.alias("value"), x.start.alias("start"), F.right(x.before, F.lit(64)).alias("left"), F.left(x.after, F.lit(64)).alias("right")),
+            F.transform(F.array(starts), lambda s: F.transform(at, lambda i: F.struct(i.alias("i"), F.element_at(s, i).alias("start"))))[0],
+            lambda x: F.struct(F.element_at(p, x.i).alias("value"), x.start.alias("start"), F.right(F.element_at(p, x.i - 1), F.lit(64)).alias("left"), F.left(F.element_at(p, x.i + 1), F.lit(64)).alias("right")),
         )
 
+    none = F.array().cast("array<struct<value:string,start:int,left:string,right:string>>")
+    return F.when(F.size(parts) > 1, F.transform(F.array(parts), each)[0]).otherwise(none)
+
+
+def findings_of(parts: Column, path: Column, trees: list, threshold: float) -> Column:
+    """All candidates of a text's parts in order, judged, as an array of structs."""
+    path = F.coalesce(path, F.lit(""))
+
     def judged(x: Column) -> Column:
         seen = F.transform(F.array(F.struct(*[c.alias(n) for n, c in _features(x.value, x.left, x.right, path).items()])), lambda f: forest_score(trees, lambda n: f[n]))
         return F.struct(x.value.alias("value"), x.start.alias("start"), x.left.alias("left"), x.right.alias("right"), seen[0].alias("score"))
 
-    found = F.flatten(F.transform(F.array(parts), each))
-    scored = F.transform(found, judged)
+    scored = F.transform(_candidates(parts), judged)
     return F.transform(scored, lambda x: F.struct(x.value.alias("value"), x.start.alias("start"), F.length(x.value).alias("length"), x.left.alias("left"), x.right.alias("right"), x.score.alias("score"), (x.score >= threshold).alias("secret")))
 
 
@@ -206,27 +244,26 @@ def scan_secrets(
     """One row for each candidate: id, start and length of its span, value, left and right neighbours, score, and secret (score >= threshold).
 
     findings are labelled candidates (value, left, right, path, secret) that the forest is grown on;
-    by default labelled_findings(). The scan has no shuffle: patterns, features and forest are
+    by default labelled_findings(). The scan has no shuffle: pattern, features and forest are
     expressions over the row's own text, however long. A null or empty text has no candidates; null
     ids and paths are allowed; repeated rows give repeated findings; an empty table gives an empty
     table. Candidates do not overlap; each starts where the last one ended or later.
     """
     trees = grow_forest(labelled_findings(docs.sparkSession) if findings is None else findings)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(path_col).cast("string").alias("_path")).where(F.col("_text").rlike(CANDIDATE))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(path_col).cast("string").alias("_path"), F.transform(F.array(parts_of(F.col(text_col))), lambda p: findings_of(p, F.col(path_col).cast("string"), trees, threshold))[0].alias("_all"))
     # explode_outer: before explode, Spark would filter by the size of the array, and so compute it twice
-    found = rows.select(F.col("_id"), F.explode_outer(findings_of(F.col("_text"), F.col("_path"), trees, threshold)).alias("_f")).where("_f is not null")
+    found = rows.select(F.col("_id"), F.explode_outer("_all").alias("_f")).where("_f is not null")
     return found.select(F.col("_id").alias(id_col), "_f.start", "_f.length", "_f.value", "_f.left", "_f.right", "_f.score", "_f.secret")
 
 
 def redact_secrets(docs: DataFrame, findings: DataFrame | None = None, text_col: str = "text", path_col: str = "source", *, threshold: float = 0.5, mark: str = "[secret]") -> DataFrame:
     """The same rows and columns, with each secret in the text replaced by mark. Texts without secrets, null ones among them, are unchanged."""
     trees = grow_forest(labelled_findings(docs.sparkSession) if findings is None else findings)
-    text = F.col(text_col)
-    found = F.filter(findings_of(text, F.col(path_col).cast("string"), trees, threshold), lambda x: x.secret)
-    whole = F.aggregate(
-        found,
-        F.struct(F.lit(0).alias("end"), F.lit("").alias("out")),
-        lambda s, x: F.struct((x.start + x.length).alias("end"), F.concat(s.out, F.substr(text, s.end + 1, x.start - s.end), F.lit(mark)).alias("out")),
-        lambda s: F.concat(s.out, F.substr(text, s.end + 1)),
-    )
-    return docs.withColumn(text_col, F.when(text.rlike(CANDIDATE), whole).otherwise(text))
+    text, path = F.col(text_col), F.col(path_col).cast("string")
+
+    def masked(p: Column) -> Column:
+        verdicts = F.transform(findings_of(p, path, trees, threshold), lambda x: x.secret)
+        return F.transform(F.array(verdicts), lambda v: F.array_join(F.transform(p, lambda x, i: F.when((i % 2 == 1) & F.element_at(v, F.greatest(((i + 1) / 2).cast("int"), F.lit(1))), F.lit(mark)).otherwise(x)), ""))[0]
+
+    whole = F.transform(F.array(parts_of(text)), lambda p: F.when(F.size(p) > 1, masked(p)).otherwise(text))[0]
+    return docs.withColumn(text_col, F.when(text.isNotNull(), whole))
