@@ -26,8 +26,8 @@ _CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]")
 _PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 #: Characters whose classes every Unicode version agrees on; others are cut by the tokenizers library.
 _OLD = re.compile("[\0-\u024f]*")
-#: Bytes of a generation of the caches, at about _ENTRY beside an entry's own; two generations are kept. Longer keys are not.
-_CACHED, _ENTRY, _LONG = 48 << 20, 160, 1 << 10
+#: Bytes of a generation of the caches of runs and of pieces, at about _ENTRY beside an entry's own; two generations are kept. Longer keys are not.
+_RUNS, _PIECES, _ENTRY, _LONG = 40 << 20, 12 << 20, 160, 1 << 10
 #: Bytes of text in one output batch.
 _BATCH = 4 << 20
 
@@ -35,9 +35,9 @@ _BATCH = 4 << 20
 class _Cache(dict):
     """A dictionary that fills itself, and forgets what was not asked for in the last two generations."""
 
-    def __init__(self, make):
+    def __init__(self, make, size: int):
         super().__init__()
-        self.make, self.older, self.room = make, {}, _CACHED
+        self.make, self.older, self.size, self.room = make, {}, size, size
 
     def __missing__(self, key):
         value = self.older.get(key)
@@ -47,7 +47,7 @@ class _Cache(dict):
             return value
         self.room -= len(key) + len(value) + _ENTRY
         if self.room < 0:
-            self.older, self.room = dict(self), _CACHED
+            self.older, self.room = dict(self), self.size
             self.clear()
         self[key] = value
         return value
@@ -103,8 +103,8 @@ class BacktrackingBPE:
         self.compatible = lru_cache(1 << 16)(self._compatible)
         self.cut = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
         self.chars = str.maketrans({c: chr(b) for c, b in chars.items()})
-        self.pieces = _Cache(self._encode_piece)
-        self.chunks = _Cache(self._encode_chunk)
+        self.pieces = _Cache(self._encode_piece, _PIECES)
+        self.chunks = _Cache(self._encode_chunk, _RUNS)
 
     def _compatible(self, left: int, right: int) -> bool:
         """Whether the merges, run over the bytes of left and right together, keep the border between them.

@@ -3,6 +3,9 @@ groups, and connected components."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -62,10 +65,18 @@ class Workspace:
 _RESIDENT: dict = {}
 
 
+def trim() -> None:
+    """Gives memory that is free in this process back to the machine, where the C library can."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def resident(owner: str, key, make: Callable):
     """What an operator keeps in a worker between tasks (vocabularies, indexes, model slices). Only one operator's is kept: the worker outlives the operator."""
     if _RESIDENT.get("owner") != owner:
         _RESIDENT.clear()
+        trim()
         _RESIDENT["owner"] = owner
     if key not in _RESIDENT:
         _RESIDENT[key] = make()

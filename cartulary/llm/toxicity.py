@@ -16,7 +16,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartulary.llm.common import Workspace, bytes_of, crc_fold, resident, stretches, strings_of
+from cartulary.llm.common import Workspace, bytes_of, crc_fold, resident, stretches, strings_of, trim
 from cartulary.llm.files import open_store, written_whole
 
 #: Labelled rows that the classifier is fitted on, at most: those whose ids hash lowest.
@@ -30,7 +30,7 @@ BLOCK, _OFTEN = 128, 32
 #: Bytes at which words are also cut, so that a stem counts in every word that starts with it.
 _STEMS = (6, 7, 8)
 #: Bytes of text whose terms are counted at once, texts searched at once (255 at most, and an index of under 2^24 examples, as they are sorted packed), and results that a task keeps.
-_CHUNK, _AT_ONCE, _KEPT = 4 << 20, 192, 1 << 13
+_CHUNK, _AT_ONCE, _KEPT = 2 << 20, 128, 1 << 13
 
 _FOLD = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c >= 128 else c + 32 if 65 <= c < 91 else 32 for c in range(256))
 _FOLDED = np.frombuffer(_FOLD, np.uint8)
@@ -172,7 +172,7 @@ class BlockMaxIndex:
     are summed again in double: the result is the exact top k (ties: the lower example first).
     """
 
-    ARRAYS = ("labels", "idf", "at", "row", "w", "place", "ends", "column", "weight", "order")
+    ARRAYS = ("labels", "idf", "at", "row", "w", "place", "dense", "most", "ends", "column", "weight", "order")
 
     def __init__(self, counts, labels, weight: np.ndarray, k: int = NEIGHBOURS, line: tuple[float, float] = (1.0, 0.0)):
         """counts: of each example its (term, n) pairs, or all at once as arrays (example, term, n)."""
@@ -193,14 +193,16 @@ class BlockMaxIndex:
         order = _alike(dense)  # position -> example
         at = np.empty(size, np.int32)
         at[order] = np.arange(size)
-        del dense
         # the common terms' weights by position, the rare terms' postings by term
         by = np.flatnonzero(thick)[np.lexsort((place[t[thick]], at[row[thick]]))]
         common = {"ends": np.searchsorted(at[row[by]], np.arange(size + 1)), "column": place[t[by]], "weight": w[by]}
         by = np.flatnonzero(~thick)[np.argsort(t[~thick], kind="stable")]
         small = np.int16 if size <= 1 << 15 else np.int32
         starts = np.concatenate([[0], np.cumsum(np.where(place >= 0, 0, df))])
-        self._set(line, k, labels=np.asarray(labels, np.float64), idf=weight, at=starts, row=at[row[by]].astype(small), w=w[by], place=place, order=order, **common)
+        blocks = -(-size // BLOCK)
+        dense = np.concatenate([dense[order], np.zeros((blocks * BLOCK - size, len(often)), np.float32)])
+        most = dense.reshape(blocks, BLOCK, -1).max(1).T.copy() if size else np.zeros((len(often), 0), np.float32)
+        self._set(line, k, labels=np.asarray(labels, np.float64), idf=weight, at=starts, row=at[row[by]].astype(small), w=w[by], place=place, order=order, dense=dense, most=most, **common)
         empty = np.bincount(counts[0], minlength=size) == 0
         # A text without a term has no neighbours: the rate among such examples stands for it.
         self.none = (self.labels[empty].sum() + self.rate) / (empty.sum() + 1)
@@ -211,11 +213,6 @@ class BlockMaxIndex:
         for name in self.ARRAYS:
             setattr(self, name, arrays[name])
         self.rate = (self.labels.sum() + 0.5) / (len(self.labels) + 1)
-        size, dims = len(self.labels), int(self.place.max(initial=-1)) + 1
-        blocks = -(-size // BLOCK)
-        self.dense = np.zeros((blocks * BLOCK, dims), np.float32)
-        self.dense[np.repeat(np.arange(size), np.diff(self.ends)), self.column] = self.weight
-        self.most = self.dense.reshape(blocks, BLOCK, -1).max(1).T.copy() if size else np.zeros((dims, 0), np.float32)
 
     @classmethod
     def of(cls, arrays: dict[str, np.ndarray], k: int = NEIGHBOURS) -> BlockMaxIndex:
@@ -422,6 +419,7 @@ def score_toxicity(
                 at = stop
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident(f"toxicity {this}", "began", lambda: True)  # what an operator before kept in the worker goes
         for batch in chunks(batches, 2):
             texts = batch.column(2)
             doc, h, n = counted(texts)
@@ -443,6 +441,7 @@ def score_toxicity(
             for batch in batches:
                 if batch.num_rows:
                     save_arrays(this, name, make())
+                    trim()
                 yield batch
 
         spark.range(0, 1, 1, 1).mapInArrow(run, "id long").collect()
