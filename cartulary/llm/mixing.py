@@ -70,7 +70,7 @@ def mix(
     weights: tuple[float, ...] = (1.0, 2.0, 3.0),
     seed: int = 7,
 ) -> DataFrame:
-    """One row for each input row: id, size, source_size, target, taken.
+    """One row for each input row: id, size, source_size, target, taken, source.
 
     size counts the words of the text (null: 0); target is the words that the row's source should
     give; taken the words that the mix takes of the row, repeats counted. The mix has as many words
@@ -115,7 +115,8 @@ def mix(
     overlap = lambda lo, hi: F.greatest(F.lit(0).cast("long"), F.least(end, hi) - F.greatest(end - size, lo))
     once = F.floor(quota / words).cast("long") * size + overlap(start, start + arc) + overlap(start - words, start + arc - words)
     taken = F.when(words == 0, F.lit(0).cast("long")).otherwise(once)
-    return placed.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken"))
+    own = [F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken")]
+    return placed.select(*own, *([] if id_col == source_col else [F.col("source").alias(source_col)]))
 
 
 #: The same in DuckDB's SQL, over the table documents, with the defaults above. Its seats are blocks of

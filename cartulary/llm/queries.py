@@ -67,7 +67,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources weigh 1, 2, 3, repeating; a document may come up to three times."""
-    return mix(_table(spark, sf_dir, "documents"))
+    return mix(_table(spark, sf_dir, "documents")).drop("source")
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -155,7 +155,7 @@ _SAMPLE, _COMMON = 4_096, 65_536
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each input row: id and component_id, where pairs are linked whose shingle sets have Jaccard NEAR or more.
+    """One row for each input row: id, text_key, component_id and kept, where pairs are linked whose shingle sets have Jaccard NEAR or more.
 
     Candidates come from prefixes: with shingles in one order for all texts, two sets of Jaccard j
     share one of the first m - ceil(j m) + 1 of their m each, so no pair is lost. The order puts
@@ -165,14 +165,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     in tiles.
 
     Texts without words are copies of one another. component_id is the smallest id reachable; null
-    ids take part and are never the smallest. Repeated rows come back repeated.
+    ids take part and are never the smallest. text_key is xxhash64 of the text. kept marks one
+    (id, text_key) of each component: of the smallest id, or of the null ids where it has no other,
+    the smallest text_key. Repeated rows come back repeated.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "nearcopies")
     num, den = NEAR
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    keyed = rows.withColumn("text_key", F.xxhash64("text"))
     names = [f"w{k}" for k in range(_WORDS)]
+    this = work.root
 
     def sets_of(batch: pa.RecordBatch) -> list[np.ndarray]:
         return [np.unique(shingle_hashes(batch.column(1)[i].as_py(), SHINGLE)) for i in range(batch.num_rows)]
@@ -185,19 +189,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(flat))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident(f"nearcopies {this}", "began", lambda: True)  # what an operator before kept in the worker goes
         for batch in batches:
             sets = sets_of(batch)
             yield pa.RecordBatch.from_arrays([fid_of(sets), lists(sets)], ["fid", "hashes"])
 
-    sample = rows.where("text is not null").orderBy(F.xxhash64("text")).limit(_SAMPLE).mapInArrow(whole, "fid long, hashes array<long>")
+    # the distinct texts that hash lowest: their hashes are sorted, and no text but theirs is shuffled
+    hashed = rows.where("text is not null").withColumn("h", F.xxhash64("text"))
+    last = hashed.select("h").distinct().orderBy("h").limit(_SAMPLE).agg(F.max("h")).first()[0]
+    chosen = hashed.where(F.col("h") <= F.lit(last).cast("long")).groupBy("h").agg(F.first("text").alias("text"))
+    sample = chosen.mapInArrow(whole, "fid long, hashes array<long>")
     often = sample.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n >= 4").orderBy(F.desc("n"), "h").limit(_COMMON).collect()
     often.sort(key=lambda r: r["h"] % (1 << 64))
     common = spark.sparkContext.broadcast((np.array([r["h"] for r in often], np.int64).view(np.uint64), np.array([r["n"] for r in often], np.int64)))
 
-    this = work.root
-
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, n = resident("nearcopies", this, lambda: common.value)  # what an operator before kept in the worker goes
+        known, n = resident(f"nearcopies {this}", "common", lambda: common.value)
         for batch in batches:
             sets, first = sets_of(batch), []
             for h in sets:
@@ -208,10 +215,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     order = np.arange(len(h))
                 first.append(h[order[: len(h) + (-num * len(h) // den) + 1]] if len(h) else h)
             table = np.array([majority(h, _WORDS) for h in sets], np.uint64).reshape(-1, _WORDS).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), fid_of(sets), pa.array([len(h) for h in sets], pa.int64()), *(pa.array(table[:, k]) for k in range(_WORDS)), lists(first)], ["id", "fid", "m", *names, "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), fid_of(sets), pa.array([len(h) for h in sets], pa.int64()), *(pa.array(table[:, k]) for k in range(_WORDS)), lists(first)], ["id", "text_key", "fid", "m", *names, "prefix"])
 
-    each = work.stage(rows.mapInArrow(prints, f"id {kind}, fid long, m long, {', '.join(f'{w} long' for w in names)}, prefix array<long>"), "prints")
-    distinct = work.stage(each.groupBy("fid").agg(F.min("id").alias("first"), *(F.first(c).alias(c) for c in ["m", *names, "prefix"])), "distinct")
+    each = work.stage(keyed.mapInArrow(prints, f"id {kind}, text_key long, fid long, m long, {', '.join(f'{w} long' for w in names)}, prefix array<long>"), "prints")
+    one = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("first")
+    distinct = work.stage(each.groupBy("fid").agg(one, *(F.first(c).alias(c) for c in ["m", *names, "prefix"])), "distinct")
     met = tiled(distinct.select("fid", F.explode("prefix").alias("key")), ["key"], ["fid"], deal=False)
     met = dealt(met.join(distinct.select("fid", "m", *names), "fid"), ["key"])
 
@@ -228,7 +236,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 a, b = stars(*(np.concatenate(x) for x in zip(*found)))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    groups = work.stage(components(met.mapInArrow(candidates, "a long, b long"), work), "candidates")
+    found = work.stage(met.mapInArrow(candidates, "a long, b long"), "found")
+    groups = work.stage(components(found, work), "candidates")
+    work.drop(found)
     wanted = each.join(groups, each.fid == groups.node, "left_semi").select(F.col("id").alias("wanted")).distinct()
     sets = rows.join(wanted, F.col("id").eqNullSafe(F.col("wanted")), "left_semi").mapInArrow(whole, "fid long, hashes array<long>")
     sets = sets.groupBy("fid").agg(F.first("hashes").alias("hashes"))
@@ -255,7 +265,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 if len(out):
                     yield pa.RecordBatch.from_arrays([pa.array(fid[out]), pa.array(fid[group[out]])], ["a", "b"])
 
-    roots = work.stage(components(tiled(sets, ["root"], ["fid"]).mapInArrow(verified, "a long, b long"), work), "components")
+    found = work.stage(tiled(sets, ["root"], ["fid"]).mapInArrow(verified, "a long, b long"), "verified")
+    roots = work.stage(components(found, work), "components")
+    work.drop(found)
     linked = distinct.select("fid", "first").join(roots, F.col("fid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fid"))
-    least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    return each.select("id", "fid").join(linked.select("fid", "root"), "fid").join(least, "root").select(F.col("id").alias(id_col), "component_id")
+    least = linked.groupBy("root").agg(F.min("first").alias("least"))
+    of_set = work.stage(linked.select("fid", "root").join(least, "root").select("fid", "least"), "least")
+    kept = F.col("id").eqNullSafe(F.col("least.id")) & (F.col("text_key") == F.col("least.text_key"))
+    out = each.select("id", "text_key", "fid").join(of_set, "fid").select(F.col("id").alias(id_col), "text_key", F.col("least.id").alias("component_id"), kept.alias("kept"))
+    out = work.stage(out, "groups")
+    for used in (each, distinct, groups, sets, roots, of_set):
+        work.drop(used)
+    return out
