@@ -119,6 +119,20 @@ def slug(text: Column, size: int = 60) -> Column:
     return F.left(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9一-鿿]+", "-"), "^-+|-+$", ""), F.lit(size))
 
 
+#: Slugs by what they name: (what gives way, what stands for it, what goes besides, size).
+SLUGS = {"category": ("[^a-z0-9一-鿿]+", "-", "", 48), "artifact": ("[^a-z0-9._:-]+", "_", "", 200), "tag": (r"\s+", "-", r"[^a-z0-9_\-一-鿿]", None), "playlist": ("[^a-z0-9]+", "-", "", 80)}
+
+
+def slug_of(text: Column, kind: str) -> Column:
+    gone, joint, besides, size = SLUGS[kind]
+    out = F.regexp_replace(F.lower(F.trim(text)), gone, joint)
+    out = F.regexp_replace(out, besides, "") if besides else out
+    ends = "-_" if kind == "tag" else joint
+    out = F.regexp_replace(out, f"^[{ends}]+|[{ends}]+$", "")
+    out = F.left(out, F.lit(size)) if size else out
+    return F.when(out == "", "unknown").otherwise(out) if kind == "artifact" else out
+
+
 def normal_key(text: Column) -> Column:
     """Lower-case words joined by underscores, 160 characters at most; 'unknown' for none."""
     key = F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), r"[^\p{L}\p{N}_]+", "_"), "^_+|_+$", "")

@@ -12,6 +12,7 @@ from cartulary.functions.text import normal_key
 BASE, PER_EPISODE, PER_EVIDENCE, MOST = 0.35, 0.18, 0.06, 0.99
 
 
+# fixed values: the prompts, labels and marks in these patterns
 def evidence_type(text: Column, kind: Column) -> Column:
     """Pipeline text before system text before assistant output before derived rows before notes."""
     low = F.lower(text)

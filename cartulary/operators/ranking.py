@@ -40,6 +40,7 @@ def card_score(tokens: list[str], query: str) -> Column:
     return score + F.when(F.coalesce("summary", F.lit("")) != "", 2).otherwise(0) + F.when(F.size("tags") > 0, 1).otherwise(0)
 
 
+# fixed values: the points of these ladders
 def title_quality(title: Column, s: Settings = DEFAULT) -> Column:
     t = text_or_empty(title)
     low = F.lower(t)

@@ -269,13 +269,13 @@ def decision_routing(spark, sf_dir):
 
 @query("SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def unlabelled(spark, sf_dir):
-    """Rows without a partner."""
+    """Rows without a partner."""
     return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti").select("doc_id")
 
 
 @query("SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN d.doc_id IS NULL THEN 'gone' WHEN l.doc_id IS NULL THEN 'new' WHEN l.quality = 0 THEN 'changed' ELSE 'same' END AS state FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id")
 def incremental_scan(spark, sf_dir):
-    """A listing against the index: new, changed, same, gone."""
+    """A listing against the index: new, changed, same, gone."""
     now = table(spark, sf_dir, "documents").select("doc_id", F.lit(True).alias("here"))
     old = table(spark, sf_dir, "labels").select("doc_id", "quality")
     state = F.when(F.col("here").isNull(), "gone").when(F.col("quality").isNull(), "new").when(F.col("quality") == 0, "changed").otherwise("same")
@@ -284,7 +284,7 @@ def incremental_scan(spark, sf_dir):
 
 @query("SELECT c.conv_id, c.turn, f.n, f.roles FROM conversations c JOIN (SELECT conv_id, count(*) AS n, count(DISTINCT role) AS roles FROM conversations GROUP BY conv_id) f ON c.conv_id = f.conv_id WHERE c.role = 'user'")
 def turns_with_sessions(spark, sf_dir):
-    """Turns with their sessions' totals."""
+    """Turns with their sessions' totals."""
     c = table(spark, sf_dir, "conversations")
     f = c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("role").alias("roles"))
     return c.where("role = 'user'").join(f, "conv_id").select("conv_id", "turn", "n", "roles")
@@ -292,7 +292,7 @@ def turns_with_sessions(spark, sf_dir):
 
 @query("SELECT a, b, shared FROM (SELECT x.id AS a, y.id AS b, count(*) AS shared, row_number() OVER (PARTITION BY x.id ORDER BY count(*) DESC, y.id) AS r FROM (SELECT id, unnest(tags) AS tag FROM items WHERE doc_id % 100 = 0) x JOIN (SELECT id, unnest(tags) AS tag FROM items) y ON x.tag = y.tag AND x.id <> y.id GROUP BY x.id, y.id) WHERE r <= 3", items=True)
 def related_by_tags(spark, sf_dir):
-    """The three items that share most tags. A search: queries are the items whose id is divisible by 100."""
+    """The three items that share most tags. A search: queries are the items whose id is divisible by 100."""
     t = items(spark, sf_dir).select("doc_id", "id", F.explode("tags").alias("tag"))
     pairs = t.where("doc_id % 100 = 0").select(F.col("id").alias("a"), "tag").join(t.select(F.col("id").alias("b"), "tag"), "tag").where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
     w = Window.partitionBy("a").orderBy(F.desc("shared"), "b")
@@ -315,8 +315,20 @@ def fuzzy_keys(spark, sf_dir):
     return fuzzy_lookup(of(_ASKED_KEYS), of(_KNOWN_KEYS), "k")
 
 
-@query("SELECT id, array_to_string(list_sort(list_distinct(list_concat(tags, ['src1', 'zz']))), ',') AS joined, list_has_any(tags, ['en', 'src1']) AS touches, array_to_string(list_sort(list_filter(tags, lambda t: t NOT IN ('en', 'de'))), ',') AS rest FROM items", items=True)
+_GOOD = "list_filter(list_concat(tags, ['x', '12', 'General', 'fine']), lambda t: len(t) >= 2 AND lower(t) NOT IN (" + ", ".join(f"'{t}'" for t in P.GENERIC_TAGS) + ") AND NOT regexp_matches(t, '^[0-9]+$'))"
+
+
+@query(f"SELECT id, array_to_string(list_sort(list_distinct(list_concat(tags, ['src1', 'zz']))), ',') AS joined, list_has_any(tags, ['en', 'src1']) AS touches, array_to_string(list_sort(list_filter(tags, lambda t: t NOT IN ('en', 'de'))), ',') AS rest, array_to_string({_GOOD}, ',') AS good FROM items", items=True)
 def tag_sets(spark, sf_dir):
-    """Unions, differences and overlaps of sets."""
+    """Unions, differences and overlaps of sets; tags that say something."""
     x = F.array(F.lit("src1"), F.lit("zz"))
-    return items(spark, sf_dir).select("id", F.array_join(F.array_sort(F.array_union("tags", x)), ",").alias("joined"), F.arrays_overlap("tags", F.array(F.lit("en"), F.lit("src1"))).alias("touches"), F.array_join(F.array_sort(F.array_except("tags", F.array(F.lit("en"), F.lit("de")))), ",").alias("rest"))
+    good = P.good_tags(F.concat("tags", F.array(*map(F.lit, ("x", "12", "General", "fine")))))
+    return items(spark, sf_dir).select("id", F.array_join(F.array_sort(F.array_union("tags", x)), ",").alias("joined"), F.arrays_overlap("tags", F.array(F.lit("en"), F.lit("src1"))).alias("touches"), F.array_join(F.array_sort(F.array_except("tags", F.array(F.lit("en"), F.lit("de")))), ",").alias("rest"), F.array_join(good, ",").alias("good"))
+
+
+@query("SELECT a AS id, '## Related' || chr(10) || string_agg('- [[' || b || ']]', chr(10) ORDER BY shared DESC, b) AS block FROM (SELECT x.id AS a, y.id AS b, count(*) AS shared, row_number() OVER (PARTITION BY x.id ORDER BY count(*) DESC, y.id) AS r FROM (SELECT id, unnest(tags) AS tag FROM items WHERE doc_id % 100 = 0) x JOIN (SELECT id, unnest(tags) AS tag FROM items) y ON x.tag = y.tag AND x.id <> y.id GROUP BY x.id, y.id) WHERE r <= 3 GROUP BY a", items=True)
+def cross_links(spark, sf_dir):
+    """What is appended to a bookmark: links to its three nearest. A search, as related_by_tags."""
+    r = related_by_tags(spark, sf_dir)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("shared")).alias("s"), "b"))), lambda x: F.concat(F.lit("- [["), x.b, F.lit("]]")))
+    return r.groupBy(F.col("a").alias("id")).agg(F.concat(F.lit("## Related\n"), F.array_join(lines, "\n")).alias("block"))

@@ -13,19 +13,19 @@ from cartulary.sources.records import items, table
 
 @query("SELECT category, count(*) AS total, count(*) FILTER (NOT excluded) AS active, count(*) FILTER (excluded) AS excluded_rows, count(*) FILTER (mtime >= 1700030000) AS recent FROM items GROUP BY ROLLUP (category)", items=True)
 def item_status(spark, sf_dir):
-    """Totals by category, and in all."""
+    """Totals by category, and in all."""
     return items(spark, sf_dir).rollup("category").agg(F.count(F.lit(1)).alias("total"), F.count_if(~F.col("excluded")).alias("active"), F.count_if("excluded").alias("excluded_rows"), F.count_if(F.col("mtime") >= 1700030000).alias("recent"))
 
 
 @query("SELECT lang, count(*) AS topics, sum(len(regexp_extract_all(text, chr(10))))::BIGINT AS lines, max(n_chars) AS longest, round(avg(n_chars), 4)::DOUBLE AS mean FROM documents GROUP BY lang")
 def topic_stats(spark, sf_dir):
-    """Lines and lengths by language."""
+    """Lines and lengths by language."""
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("topics"), F.sum(F.regexp_count("text", F.lit("\n")).cast("long")).alias("lines"), F.max("n_chars").alias("longest"), F.round(F.avg("n_chars"), 4).alias("mean"))
 
 
 @query("SELECT quality, toxic, count(*) AS n, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 4) AS share, (100 * count(*) // sum(count(*)) OVER ())::BIGINT AS whole FROM labels GROUP BY quality, toxic")
 def decision_rates(spark, sf_dir):
-    """Counts and rates of decisions."""
+    """Counts and rates of decisions."""
     c = table(spark, sf_dir, "labels").groupBy("quality", "toxic").agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n").over(Window.partitionBy())
     return c.select("quality", "toxic", "n", F.round(100.0 * F.col("n") / total, 4).alias("share"), F.floor(100 * F.col("n") / total).cast("long").alias("whole"))
@@ -55,7 +55,7 @@ def title_duplicates(spark, sf_dir):
 
 @query("SELECT count(*) AS n, round(100.0::DOUBLE * count(*) FILTER (summary <> '') / count(*), 4) AS coverage, count(*) FILTER (enriched) AS enriched_rows, count(*) FILTER (summary <> '') * 100 >= 70 * count(*) AS covered FROM items", items=True)
 def index_freshness(spark, sf_dir):
-    """Coverage and thresholds."""
+    """Coverage and thresholds."""
     has = F.count_if(F.col("summary") != "")
     n = F.count(F.lit(1))
     return items(spark, sf_dir).agg(n.alias("n"), F.round(100.0 * has / n, 4).alias("coverage"), F.count_if("enriched").alias("enriched_rows"), (has * 100 >= 70 * n).alias("covered"))
@@ -70,7 +70,7 @@ def top_words(spark, sf_dir):
 
 @query("SELECT role, count(*) AS n, count(DISTINCT conv_id) AS conversations, min(len(text)) AS shortest, max(len(text)) AS longest FROM conversations GROUP BY role")
 def review_stats(spark, sf_dir):
-    """Counts and ranges by status."""
+    """Counts and ranges by status."""
     n = F.length("text").cast("long")
     return table(spark, sf_dir, "conversations").groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("conv_id").alias("conversations"), F.min(n).alias("shortest"), F.max(n).alias("longest"))
 
@@ -88,7 +88,7 @@ def conversation_evidence(spark, sf_dir):
 
 @query("SELECT c.category, c.n FROM (SELECT category, count(*) AS n FROM items GROUP BY category) c WHERE c.n >= 5 AND c.category NOT IN ('en', 'de')", items=True)
 def topic_gaps(spark, sf_dir):
-    """Categories of five items and more that no topic covers."""
+    """Categories of five items and more that no topic covers."""
     known = spark.sql("SELECT * FROM VALUES ('en'), ('de') v(category)")
     return items(spark, sf_dir).groupBy("category").agg(F.count(F.lit(1)).alias("n")).where("n >= 5").join(known, "category", "left_anti")
 
@@ -112,7 +112,7 @@ def recall_coverage(spark, sf_dir):
 
 @query("SELECT id, CASE WHEN regexp_matches(lower(title || ' ' || array_to_string(tags, ' ') || ' ' || summary), 'the') THEN 'english' WHEN regexp_matches(lower(title || ' ' || array_to_string(tags, ' ') || ' ' || summary), 'der|und') THEN 'german' ELSE 'other' END AS category FROM items", items=True)
 def rule_categories(spark, sf_dir):
-    """Ordered keyword rules, the first that hits."""
+    """Ordered keyword rules, the first that hits."""
     text = F.lower(F.concat_ws(" ", "title", F.array_join("tags", " "), "summary"))
     return items(spark, sf_dir).select("id", F.when(text.rlike("the"), "english").when(text.rlike("der|und"), "german").otherwise("other").alias("category"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cartulary.functions import text as T
 from cartulary.plans.base import query
-from cartulary.sources.records import items, messages, notes, table
+from cartulary.sources.records import front_matter, items, messages, notes, table
 
 
 @query("SELECT item_id, len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_\\-]{2,}|[一-鿿]+'))) AS n_tokens, lower(regexp_extract(lower(text), '[a-z0-9_\\-]{2,}')) AS first_token FROM benchmark")
@@ -92,7 +92,7 @@ def vector_keys(spark, sf_dir):
 
 @query("SELECT id, CASE WHEN title <> '' AND NOT regexp_matches(title, '^[0-9]{10,}$') THEN title WHEN trim(summary) <> '' AND trim(summary) <> '待整理' THEN left(split_part(trim(summary), '.', 1), 60) ELSE title END AS shown, left(concat_ws('. ', title, nullif(summary, '')), 900) AS embed_text, CASE WHEN starts_with(source_url, 'https://github.com') THEN 'github' WHEN contains(source_url, 'x.com') THEN 'x' WHEN source_url = '' THEN 'none' ELSE 'web' END AS kind, split_part(path, '/', 3) AS folder FROM items", items=True)
 def derived_columns(spark, sf_dir):
-    """Shown title, embeddable text, kind, folder."""
+    """Shown title, embeddable text, kind, folder."""
     s = F.trim("summary")
     shown = F.when((F.col("title") != "") & ~F.col("title").rlike("^[0-9]{10,}$"), F.col("title")).when((s != "") & (s != "待整理"), F.left(F.split_part(s, F.lit("."), F.lit(1)), F.lit(60))).otherwise(F.col("title"))
     url = F.col("source_url")
@@ -102,7 +102,7 @@ def derived_columns(spark, sf_dir):
 
 @query("SELECT doc_id, round(least(1.0, n_chars / 10000.0), 6)::DOUBLE AS quality_score, ceil(least(n_chars, 72000) / 6000.0)::BIGINT AS chunks, greatest(1, least(12, ceil(n_chars / 6000.0)))::BIGINT AS capped FROM documents")
 def content_chunks(spark, sf_dir):
-    """Quality by length, chunks of 6,000 characters."""
+    """Quality by length, chunks of 6,000 characters."""
     n = F.col("n_chars")
     return table(spark, sf_dir, "documents").select("doc_id", F.round(F.least(F.lit(1.0), n / 10000.0), 6).alias("quality_score"), F.ceil(F.least(n, F.lit(72000)) / 6000.0).cast("long").alias("chunks"), F.greatest(F.lit(1), F.least(F.lit(12), F.ceil(n / 6000.0))).cast("long").alias("capped"))
 
@@ -163,3 +163,20 @@ def first_bullets(spark, sf_dir):
     """A page's first two bullets with their continuations."""
     b = notes(spark, sf_dir).select("doc_id", F.posexplode(T.take_bullets(F.col("body"), 2)).alias("p", "b"))
     return b.select("doc_id", (F.col("p") + 1).cast("long").alias("k"), F.md5("b").alias("bullet"))
+
+
+@query(
+    r"SELECT id, left(trim(regexp_replace(lower(trim(title)), '[^a-z0-9一-鿿]+', '-', 'g'), '-'), 48) AS category, coalesce(nullif(left(trim(regexp_replace(lower(title), '[^a-z0-9._:-]+', '_', 'g'), '_'), 200), ''), 'unknown') AS artifact, trim(regexp_replace(regexp_replace(lower(trim(title)), '\s+', '-', 'g'), '[^a-z0-9_\-一-鿿]', '', 'g'), '-_') AS tag, left(trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-'), 80) AS playlist FROM items",
+    items=True,
+)
+def slugs(spark, sf_dir):
+    """slugs of categories, artifacts, tags and playlists."""
+    t = F.col("title")
+    return items(spark, sf_dir).select("id", *[T.slug_of(t, kind).alias(kind) for kind in ("category", "artifact", "tag", "playlist")])
+
+
+@query(r"SELECT path, array_to_string(list_sort(list_distinct(regexp_extract_all(regexp_extract(body, '\A(?:<think>(?s:.*?)</think>\n)?---\n(?s:(.*?))\n---\n', 1), '(?m)^([A-Za-z_]+):', 1))), ',') AS keys, trim(regexp_extract(body, '(?m)^category:[ \t]*\"?([^\"\n]*)\"?[ \t]*$', 1)) AS category FROM notes".replace("\\\\", "\\").replace('\\"', '"'), views=("notes",))
+def front_matter_maps(spark, sf_dir):
+    """Front matter as a map, and one of its values."""
+    body = F.regexp_replace("body", r"\A<think>(?s:.*?)</think>\n", "")
+    return notes(spark, sf_dir).select("path", F.coalesce(F.array_join(F.array_sort(F.map_keys(front_matter(body))), ","), F.lit("")).alias("keys"), T.front_matter_value(F.col("body"), "category").alias("category"))

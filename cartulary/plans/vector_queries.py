@@ -29,7 +29,7 @@ def _against_all(e):
 
 @query(f"SELECT vec_id, round(sqrt(list_sum(list_transform({_V}, lambda x: x * x))), 6) AS norm, round(list_sum(list_transform({_V}, lambda x: x * x)) / list_sum(list_transform({_V}, lambda x: x * x)), 6) AS unit_norm, len(embedding) = 64 AS valid FROM embeddings")
 def vector_norms(spark, sf_dir):
-    """F13, F14, S09, S10, S17."""
+    """F13, F14."""
     v = F.col("embedding")
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(norm(v), 6).alias("norm"), F.round(dot(unit(v), unit(v)), 6).alias("unit_norm"), is_vector(v, 64).alias("valid"))
 
@@ -42,7 +42,7 @@ def semantic_topk(spark, sf_dir):
 
 @query(f"SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.{_V}, b.{_V}), 6) AS similarity FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND round(list_cosine_similarity(a.{_V}, b.{_V}), 6) >= {_PAIR} ORDER BY 3 DESC, 1, 2 LIMIT 10")
 def conflict_pairs(spark, sf_dir):
-    """The ten most alike pairs of a query vector and another. (The limit is the operator's; op5 links all rows.)"""
+    """The ten most alike pairs of a query vector and another. (The limit is the operator's; op5 links all rows.)"""
     pairs = _against_all(table(spark, sf_dir, "embeddings")).where(F.col("similarity") >= _PAIR)
     return pairs.select(F.col("q").alias("a"), F.col("vec_id").alias("b"), "similarity").orderBy(F.desc("similarity"), "a", "b").limit(10)
 

@@ -104,9 +104,9 @@ def read_markdown(spark: SparkSession, root: str, skip: tuple[str, ...] = ("INDE
     return meta.where(~name.startswith(".") & ~name.isin(*skip) & ~F.lower("path").contains("/inbox/")).dropDuplicates(["path"])
 
 
-def read_index(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of an index file: an object with items, or a bare list. Broken files give no rows."""
-    text = spark.read.text(path, wholetext=True)
+def read_index(spark: SparkSession, path: str, schema: str, most: int = 20 << 20) -> DataFrame:
+    """Rows of an index file: an object with items, or a bare list. Broken files, and those of over `most` bytes, give no rows."""
+    text = spark.read.text(path, wholetext=True).where(F.col("_metadata.file_size") <= most)
     rows = F.coalesce(F.from_json("value", f"struct<items:array<struct<{schema}>>>").getField("items"), F.from_json("value", f"array<struct<{schema}>>"))
     return text.select(F.explode(rows).alias("i")).select("i.*")
 

@@ -34,19 +34,30 @@ def windowed(events: DataFrame, size: str = "1 hour", delay: str = "1 hour") ->
     return events.withWatermark("ts", delay).groupBy(F.window("ts", size), "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def jobs(events: DataFrame) -> DataFrame:
-    """The job machine over (job_id, seq, status): the first terminal state is final, later events are refused and counted."""
+def jobs(events: DataFrame, keep_ms: int = 30 * 24 * 3_600_000) -> DataFrame:
+    """The job machine over (job_id, seq, status): the first terminal state is final, later events are refused and counted.
+
+    Within a batch events are taken by seq; one that comes in a later batch than a newer one of its
+    job is refused too, as what was applied is not undone. A job's state goes keep_ms after its
+    last event.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, applied, refused = state.get if state.exists else ("", 0, 0)
-        for frame in frames:
-            for new in frame.sort_values("seq")["status"]:
-                if status in TERMINAL:
-                    refused += 1
-                else:
-                    status, applied = new, applied + 1
-        state.update((status, applied, refused))
+        if state.hasTimedOut:
+            state.remove()
+            return
+        status, applied, refused, last = state.get if state.exists else ("", 0, 0, -(1 << 62))
+        new = pd.concat(list(frames)).sort_values("seq", kind="stable")
+        newest = last
+        for seq, told in zip(new["seq"].tolist(), new["status"].tolist()):
+            if status in TERMINAL or seq < last:
+                refused += 1
+            else:
+                status, applied = told, applied + 1
+            newest = max(newest, seq)
+        state.update((status, applied, refused, newest))
+        state.setTimeoutDuration(keep_ms)
         yield pd.DataFrame({"job_id": [key[0]], "status": [status], "applied": [applied], "refused": [refused]})
 
     kinds = "status string, applied long, refused long"
-    return events.groupBy("job_id").applyInPandasWithState(step, f"job_id long, {kinds}", kinds, "update", GroupStateTimeout.NoTimeout)
+    return events.groupBy("job_id").applyInPandasWithState(step, f"job_id long, {kinds}", f"{kinds}, last long", "update", GroupStateTimeout.ProcessingTimeTimeout)

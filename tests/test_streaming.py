@@ -26,3 +26,32 @@ def test_jobs(spark, tmp_path):
     got = run(spark, T.jobs(shape(T.event_stream(spark, SF))), "jobs", "update", tmp_path)
     want = job_states(shape(spark.read.parquet(f"{SF}/events.parquet")))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_once_and_windowed(spark, tmp_path):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    rows = T.event_stream(spark, SF).select("ts", "event_type", "user_id")
+    got = run(spark, T.once(rows, ["user_id", "event_type"], "400 days"), "once", "append", tmp_path)
+    assert got.count() == events.select("user_id", "event_type").distinct().count()
+    counted = run(spark, T.windowed(rows, "1 day", "1 hour").select("window.start", "event_type", "n"), "windowed", "complete", tmp_path)
+    want = events.groupBy(F.date_trunc("day", F.col("ts").cast("timestamp")).alias("start"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, want.select("start", "event_type", "n").collect()))
+
+
+def test_jobs_out_of_order(spark, tmp_path):
+    folder = tmp_path / "in"
+    for k, rows in enumerate([[(1, 5, "running"), (2, 1, "running")], [(1, 3, "failed"), (2, 2, "succeeded")], [(2, 3, "running"), (1, 6, "succeeded")]]):
+        spark.createDataFrame(rows, "job_id long, seq long, status string").coalesce(1).write.parquet(str(folder / f"p{k}"))
+    import shutil
+
+    flat = tmp_path / "flat"
+    flat.mkdir()
+    for k in range(3):
+        shutil.copy(next((folder / f"p{k}").glob("*.parquet")), flat / f"events{k}.parquet")
+    stream = spark.readStream.schema("job_id long, seq long, status string").option("maxFilesPerTrigger", 1).parquet(str(flat))
+    run(spark, T.jobs(stream), "jobs2", "update", tmp_path)
+    last = {}
+    for r in spark.table("jobs2").collect():
+        if r["applied"] + r["refused"] >= sum(last.get(r["job_id"], (0, 0, 0))[1:]):
+            last[r["job_id"]] = (r["status"], r["applied"], r["refused"])
+    assert last == {1: ("succeeded", 2, 1), 2: ("succeeded", 2, 1)}

@@ -85,3 +85,47 @@ def test_index_and_events(spark, tmp_path):
     (tmp_path / "e.jsonl").write_text('{"id": "a"}\nbroken\n')
     assert R.read_index(spark, str(tmp_path / "i.json"), "id: string").count() == 2
     assert R.read_events(spark, str(tmp_path / "e.jsonl"), "id string").collect()[0]["id"] == "a"
+
+
+def test_a_large_index_gives_no_rows(spark, tmp_path):
+    (tmp_path / "i.json").write_text('{"items": [{"id": "a"}]}')
+    assert R.read_index(spark, str(tmp_path / "i.json"), "id: string", most=10).count() == 0
+
+
+def test_settings_and_principals():
+    from cartulary.config import Principal, principal, resolved
+
+    assert [resolved("a", {"a": "1"}, {"a": "2"}, "3"), resolved("a", {"a": ""}, {"a": "2"}, "3"), resolved("a", {}, {}, "3")] == ["1", "2", "3"]
+    tokens = {"t": Principal("agent", frozenset({"read"}), "team-a"), "u": Principal("admin", frozenset({"read", "write"}))}
+    assert principal(tokens, "t", "read", "team-a").name == "agent" and principal(tokens, "u", "write", "any").name == "admin"
+    for token, scope, namespace in (("x", "read", "team-a"), ("t", "write", "team-a"), ("t", "read", "team-b")):
+        with pytest.raises(PermissionError):
+            principal(tokens, token, scope, namespace)
+
+
+def test_provider_cache_and_retries(spark):
+    from cartulary.operators.providers import answered, composed
+    from cartulary.operators.turns import BoundedCache
+
+    asked = []
+    cache = BoundedCache(lambda q: asked.append(q) or (1 / 0 if q == "bad" else q), most=2)
+    assert [cache("a"), cache("a"), cache("bad"), cache("bad"), cache("c"), cache("a")] == ["a", "a", None, None, "c", "a"] and asked == ["a", "bad", "c", "a"]
+
+    def busy(prompts):
+        if len(prompts) > 1 or prompts[0] == "never":
+            raise TimeoutError
+        return [p.upper() for p in prompts]
+
+    rows = spark.createDataFrame([("1", "x"), ("1", "x"), ("2", "never"), ("3", "z")], "k string, p string").coalesce(1)
+    assert {r["k"]: r["answer"] for r in answered(rows, "k", "p", busy).collect()} == {"1": "X", "2": None, "3": "Z"}
+    records = spark.createDataFrame([("t1", "a" * 30), ("t2", "b" * 4000)], "title string, text string")
+    assert composed("why", records, ["title"], 100) == "[t1]\n" + "a" * 30 + "\n\nQuestion: why"
+
+
+def test_damaged_vectors_are_not_read(spark):
+    from cartulary.sources.store import valid_vectors
+
+    v = spark.createDataFrame([([1.0, 2.0],), ([1.0],)], "embedding array<double>")
+    with pytest.raises(ValueError):
+        valid_vectors(v, 2)
+    assert valid_vectors(v.limit(1), 2, 1).count() == 1
