@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartulary.config import DEFAULT, Settings
-from cartulary.functions.text import clean_summary, text_or_empty
+from cartulary.functions.text import clean_summary, let, text_or_empty
 from cartulary.functions.vectors import cosine
 
 
@@ -51,8 +51,7 @@ def title_quality(title: Column, s: Settings = DEFAULT) -> Column:
 
 
 def summary_quality(summary: Column, s: Settings = DEFAULT) -> Column:
-    c = clean_summary(summary)
-    return F.when(c == "", -0.08).when(c.isin(*s.low_signal_summaries), -0.12).when(F.length(c) < 12, -0.05).when(F.length(c) >= 40, 0.05).otherwise(0.02)
+    return let(clean_summary(summary), lambda c: F.when(c == "", -0.08).when(c.isin(*s.low_signal_summaries), -0.12).when(F.length(c) < 12, -0.05).when(F.length(c) >= 40, 0.05).otherwise(0.02))
 
 
 def source_quality(source: Column, url: Column, title: Column, s: Settings = DEFAULT) -> Column:
