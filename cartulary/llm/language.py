@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartulary.llm.common import Workspace
+from cartulary.llm.common import tidy, Workspace
 
 #: Texts that the likelihoods are fitted on, at most: those whose ids hash lowest.
 SAMPLE = 4096
@@ -85,7 +85,7 @@ def identify_languages(
     work = Workspace(spark, "language")
     known = labelled.select(F.col(label_id).alias("id"), F.col(label_col).alias("lang"), F.col(label_text).alias("text")).where("lang is not null and id is not null")
     chosen = work.stage(known.select("id").orderBy(F.xxhash64("id"), "id").limit(SAMPLE), "chosen")
-    found = known.join(F.broadcast(chosen.distinct()), "id").select("lang", "text").mapInArrow(_counts, "lang string, bucket long, n long")
+    found = known.join(F.broadcast(chosen.distinct()), "id").select("lang", "text").mapInArrow(tidy(_counts), "lang string, bucket long, n long")
     found = found.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     counts: dict[str, np.ndarray] = {}
     for r in found.collect():  # BUCKETS for each language of the sample, at most
@@ -112,7 +112,7 @@ def identify_languages(
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), *(pa.array(out[:, k]) for k in range(len(langs)))], ["id", "host", "declared", *names])
 
     names = [f"l{k}" for k in range(len(langs))]
-    each = rows.mapInArrow(likelihoods, f"id {kind}, host string, declared string, " + ", ".join(f"{n} double" for n in names))
+    each = rows.mapInArrow(tidy(likelihoods), f"id {kind}, host string, declared string, " + ", ".join(f"{n} double" for n in names))
     parts = _softmax([F.col(n) for n in names])
     each = work.stage(each.select("*", *[p.alias(f"r{k}") for k, p in enumerate(parts)], F.element_at(F.split("host", r"\."), -1).alias("suffix")), "likelihoods")
     r = [f"r{k}" for k in range(len(langs))]
@@ -125,7 +125,7 @@ def identify_languages(
     by_suffix = each.where("suffix is not null").groupBy("suffix").agg(*sums, F.count(F.lit(1)).alias("n"))
     by_suffix = by_suffix.select("suffix", *[((F.col(c) + F.lit(SUFFIX_SMOOTHING * overall[k])) / (F.col("n") + SUFFIX_SMOOTHING)).alias(f"s{k}") for k, c in enumerate(r)])
     by_host = each.where("host is not null").groupBy("host", "suffix").agg(*[F.sum(c).alias(f"h{k}") for k, c in enumerate(r)], F.count(F.lit(1)).alias("n"))
-    by_host = by_host.join(by_suffix, "suffix").drop("suffix")
+    by_host = work.stage(by_host.join(by_suffix, "suffix").drop("suffix"), "hosts")  # so that Spark can split a hot host's pages
     joined = each.join(by_host, "host", "left")
     heard = spark.createDataFrame([(d, v.tolist()) for d, v in declares.items()], "declared string, d array<double>")
     joined = joined.join(F.broadcast(heard), "declared", "left")

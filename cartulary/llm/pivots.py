@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartulary.llm.common import Workspace, components, dealt, stars, tiled, whole_runs
+from cartulary.llm.common import components, dealt, stars, tidy, tiled, whole_runs, Workspace
 
 #: Reference points of a dimension, at most, from a sample of so many vectors (those that hash lowest).
 PIVOTS, SAMPLE = 1024, 4096
@@ -107,7 +107,7 @@ def pivot_links(
                     keys = np.repeat(part.column(0).to_numpy(), lists.shape[1])
                     yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(code.ravel())], ["key", "list"])
 
-    postings = classes.select("key", "dim", "v").mapInArrow(post, "key long, list long")
+    postings = classes.select("key", "dim", "v").mapInArrow(tidy(post), "key long, list long")
     met = tiled(postings, ["list"], ["key"], deal=False).join(classes.select("key", "v", "dim", "copies"), "key")
     met = dealt(met, ["list"])
 
@@ -144,7 +144,7 @@ def pivot_links(
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["key", "links", "root"])
 
-    found = work.stage(met.select("list", "_i", "_j", "_own", "key", "dim", "copies", "v").mapInArrow(compare, "key long, links long, root long"), "links")
+    found = work.stage(met.select("list", "_i", "_j", "_own", "key", "dim", "copies", "v").mapInArrow(tidy(compare), "key long, links long, root long"), "links")
     counts = found.groupBy("key").agg(F.sum("links").alias("links"))
     roots = work.stage(components(found.where("key <> root").select(F.col("key").alias("a"), F.col("root").alias("b")), work), "components")
     linked = classes.select("key", "first").join(roots, classes.key == roots.node)
@@ -152,6 +152,7 @@ def pivot_links(
     linked = linked.join(least, "root").select("key", "least")
     each = classes.select("key", "first", "copies").join(counts, "key", "left").join(linked, "key", "left")
     each = each.select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("least", "first").alias("component_id"))
+    each = work.stage(each, "each")  # so that both sides of the next join are plain shuffles, and Spark can split a crowd of copies
     keyed = rows.select("id", F.when(good, F.xxhash64("v")).alias("key"))
     out = keyed.join(each, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id"))
