@@ -158,12 +158,12 @@ def queue_written(spark, sf_dir):
     return store.write(rows, store.new_folder(spark, "queue"), kind="json")
 
 
-@query("SELECT d::DATE AS day, count(e.event_id) AS n FROM generate_series(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 1 DAY) g(d) LEFT JOIN events e ON e.ts::DATE = g.d::DATE GROUP BY 1")
+@query("SELECT d::DATE::VARCHAR AS day, count(e.event_id) AS n FROM generate_series(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 1 DAY) g(d) LEFT JOIN events e ON e.ts::DATE = g.d::DATE GROUP BY 1")
 def dated_jobs(spark, sf_dir):
     """A job for each day of a range, with what there is of the day."""
     days = spark.sql("SELECT explode(sequence(DATE '2024-01-01', DATE '2024-01-31')) AS day")
     n = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    return days.join(n, "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("n"))
+    return days.join(n, "day", "left").select(F.col("day").cast("string").alias("day"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("SELECT doc_id, row_number() OVER (PARTITION BY category ORDER BY len(summary) DESC, doc_id) AS place FROM items", items=True)

@@ -156,7 +156,7 @@ def page_parts(spark, sf_dir):
 
 
 @query(
-    r"SELECT doc_id, k, md5(string_agg(shown, ' ' ORDER BY i)) AS bullet FROM (SELECT doc_id, i, sum(starts::INT) OVER (PARTITION BY doc_id ORDER BY i) AS k, starts, CASE WHEN starts THEN rtrim(l) ELSE trim(l) END AS shown, l FROM (SELECT *, starts_with(trim(l), '- ') OR starts_with(trim(l), '* ') AS starts FROM (SELECT doc_id, unnest(string_split(body, chr(10))) AS l, unnest(range(len(string_split(body, chr(10))))) AS i FROM notes))) WHERE k BETWEEN 1 AND 2 AND (starts OR trim(l) <> '') GROUP BY doc_id, k",
+    r"SELECT doc_id, k, md5(string_agg(shown, ' ' ORDER BY i)) AS bullet FROM (SELECT doc_id, i, (sum(starts::INT) OVER (PARTITION BY doc_id ORDER BY i))::BIGINT AS k, starts, CASE WHEN starts THEN rtrim(l) ELSE trim(l) END AS shown, l FROM (SELECT *, starts_with(trim(l), '- ') OR starts_with(trim(l), '* ') AS starts FROM (SELECT doc_id, unnest(string_split(body, chr(10))) AS l, unnest(range(len(string_split(body, chr(10))))) AS i FROM notes))) WHERE k BETWEEN 1 AND 2 AND (starts OR trim(l) <> '') GROUP BY doc_id, k",
     views=("notes",),
 )
 def first_bullets(spark, sf_dir):
