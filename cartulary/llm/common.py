@@ -68,10 +68,21 @@ _RESIDENT: dict = {}
 def trim() -> None:
     """Gives memory that is free in this process back to the machine, where the C library can."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, which trims when it is done: between tasks a worker keeps what is resident, and no more."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
+
+    return tidied
+
+
 def resident(owner: str, key, make: Callable):
     """What an operator keeps in a worker between tasks (vocabularies, indexes, model slices). Only one operator's is kept: the worker outlives the operator."""
     if _RESIDENT.get("owner") != owner:

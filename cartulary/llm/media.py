@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartulary.llm.common import Workspace
+from cartulary.llm.common import tidy, Workspace
 from cartulary.llm.files import Reader, open_store, part_number, written_whole
 
 #: Payloads are padded to whole multiples of so many bytes.
@@ -115,7 +115,7 @@ def store_media(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, n_bytes long, payload_bytes long, digest binary, shard string, offset long, length long").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(run), f"id {kind}, n_bytes long, payload_bytes long, digest binary, shard string, offset long, length long").withColumnRenamed("id", id_col)
 
 
 def _in_order(places: DataFrame) -> DataFrame:
@@ -135,7 +135,7 @@ def media_headers(places: DataFrame, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in zip(*found))], ["digest", "width", "height", "bits"])
         reader.close()
 
-    return _in_order(places).mapInArrow(run, "digest binary, width long, height long, bits long")
+    return _in_order(places).mapInArrow(tidy(run), "digest binary, width long, height long, bits long")
 
 
 def media_features(places: DataFrame, folder: str) -> DataFrame:
@@ -154,7 +154,7 @@ def media_features(places: DataFrame, folder: str) -> DataFrame:
         reader.close()
 
     kinds = "digest binary, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return _in_order(places).mapInArrow(run, kinds)
+    return _in_order(places).mapInArrow(tidy(run), kinds)
 
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

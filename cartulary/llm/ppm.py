@@ -15,7 +15,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartulary.llm.common import Workspace, crc_fold
+from cartulary.llm.common import crc_fold, tidy, Workspace
 from cartulary.llm.files import open_store
 
 #: Bytes of context. With the predicted byte they fill 48 bits, which leaves 16 for a document's number in its chunk.
@@ -443,8 +443,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     slices = (max(1, grams // 4), grams)
     by = lambda df: df.repartition(2 * sum(slices), "kind", "slice").sortWithinPartitions("kind", "slice")
     root, answers = work.path("model"), work.path("answers")
-    counted = rows.where("not held_out").select("id", "text").mapInArrow(lambda batches: gather(batches, slices), "kind int, slice long, keys binary, n binary")
-    by(counted).mapInArrow(merge, "kind int, slice long, keys binary, n binary, v long, total long, pairs array<long>, counts array<long>").write.partitionBy("kind", "slice").parquet(root)
+    counted = rows.where("not held_out").select("id", "text").mapInArrow(tidy(lambda batches: gather(batches, slices)), "kind int, slice long, keys binary, n binary")
+    by(counted).mapInArrow(tidy(merge), "kind int, slice long, keys binary, n binary, v long, total long, pairs array<long>, counts array<long>").write.partitionBy("kind", "slice").parquet(root)
     model = spark.read.schema("keys binary, n binary, v long, total long, pairs array<long>, counts array<long>, kind int, slice long").parquet(root)
     sizes = {r["kind"]: (r["v"], r["n"]) for r in model.groupBy("kind").agg(F.sum("v").alias("v"), F.sum("total").alias("n")).collect()}
     (words, tokens), (grams, _) = sizes.get(0, (0, 0)), sizes.get(1, (0, 0))
@@ -475,7 +475,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         return _batches(replies(), {"kind": pa.int32(), "mark": pa.int64(), "keys": pa.binary(), "answers": pa.binary()})
 
-    replied = by(both.mapInArrow(ask, "kind int, slice long, mark long, keys binary")).mapInArrow(reply, "kind int, mark long, keys binary, answers binary").withColumn("bucket", F.col("mark") % buckets)
+    replied = by(both.mapInArrow(tidy(ask), "kind int, slice long, mark long, keys binary")).mapInArrow(tidy(reply), "kind int, mark long, keys binary, answers binary").withColumn("bucket", F.col("mark") % buckets)
     replied.repartition(buckets, "bucket").write.partitionBy("bucket").parquet(answers)
 
     def known(mark: int, kind: int) -> tuple[np.ndarray, np.ndarray]:
@@ -524,5 +524,5 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x) for x in (count.astype(np.int64), seen.astype(np.int64), base, ppm))], ["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = both.mapInArrow(score, f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    out = both.mapInArrow(tidy(score), f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartulary.llm.common import TILE, Workspace, components, dealt, pairs_in_runs, resident, stars, tiled, whole_runs, words_of
+from cartulary.llm.common import components, dealt, pairs_in_runs, resident, stars, tidy, TILE, tiled, whole_runs, words_of, Workspace
 
 #: Shingles whose bits are counted at once, so a very long text needs no more memory.
 _AT_ONCE = 16_384
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, word
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(table[:, k]) for k in range(words))], ["id", *(f"w{k}" for k in range(words))])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, " + ", ".join(f"w{k} long" for k in range(words)))
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), f"id {kind}, " + ", ".join(f"w{k} long" for k in range(words)))
 
 
 def _signed(x: int) -> int:
@@ -103,7 +103,7 @@ def links(prints: DataFrame, words: int, max_distance: int, blocks: int, agree:
                 a, b = stars(*(np.concatenate(x) for x in zip(*found)))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return tiled(rows, ["choice", "bits"], ["fid"]).mapInArrow(run, "a long, b long")
+    return tiled(rows, ["choice", "bits"], ["fid"]).mapInArrow(tidy(run), "a long, b long")
 
 
 def simhash_components(
@@ -198,7 +198,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     hashed = rows.where("text is not null").withColumn("h", F.xxhash64("text"))
     last = hashed.select("h").distinct().orderBy("h").limit(_SAMPLE).agg(F.max("h")).first()[0]
     chosen = hashed.where(F.col("h") <= F.lit(last).cast("long")).groupBy("h").agg(F.first("text").alias("text"))
-    sample = chosen.mapInArrow(whole, "fid long, hashes array<long>")
+    sample = chosen.mapInArrow(tidy(whole), "fid long, hashes array<long>")
     often = sample.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n >= 4").orderBy(F.desc("n"), "h").limit(_COMMON).collect()
     often.sort(key=lambda r: r["h"] % (1 << 64))
     common = spark.sparkContext.broadcast((np.array([r["h"] for r in often], np.int64).view(np.uint64), np.array([r["n"] for r in often], np.int64)))
@@ -217,7 +217,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             table = np.array([majority(h, _WORDS) for h in sets], np.uint64).reshape(-1, _WORDS).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), fid_of(sets), pa.array([len(h) for h in sets], pa.int64()), *(pa.array(table[:, k]) for k in range(_WORDS)), lists(first)], ["id", "text_key", "fid", "m", *names, "prefix"])
 
-    each = work.stage(keyed.mapInArrow(prints, f"id {kind}, text_key long, fid long, m long, {', '.join(f'{w} long' for w in names)}, prefix array<long>"), "prints")
+    each = work.stage(keyed.mapInArrow(tidy(prints), f"id {kind}, text_key long, fid long, m long, {', '.join(f'{w} long' for w in names)}, prefix array<long>"), "prints")
     one = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("first")
     distinct = work.stage(each.groupBy("fid").agg(one, *(F.first(c).alias(c) for c in ["m", *names, "prefix"])), "distinct")
     met = tiled(distinct.select("fid", F.explode("prefix").alias("key")), ["key"], ["fid"], deal=False)
@@ -236,11 +236,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 a, b = stars(*(np.concatenate(x) for x in zip(*found)))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    found = work.stage(met.mapInArrow(candidates, "a long, b long"), "found")
+    found = work.stage(met.mapInArrow(tidy(candidates), "a long, b long"), "found")
     groups = work.stage(components(found, work), "candidates")
     work.drop(found)
     wanted = each.join(groups, each.fid == groups.node, "left_semi").select(F.col("id").alias("wanted")).distinct()
-    sets = rows.join(wanted, F.col("id").eqNullSafe(F.col("wanted")), "left_semi").mapInArrow(whole, "fid long, hashes array<long>")
+    sets = rows.join(wanted, F.col("id").eqNullSafe(F.col("wanted")), "left_semi").mapInArrow(tidy(whole), "fid long, hashes array<long>")
     sets = sets.groupBy("fid").agg(F.first("hashes").alias("hashes"))
     sets = work.stage(sets.join(groups, sets.fid == groups.node).select("root", "fid", "hashes"), "sets")
 
@@ -265,7 +265,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 if len(out):
                     yield pa.RecordBatch.from_arrays([pa.array(fid[out]), pa.array(fid[group[out]])], ["a", "b"])
 
-    found = work.stage(tiled(sets, ["root"], ["fid"]).mapInArrow(verified, "a long, b long"), "verified")
+    found = work.stage(tiled(sets, ["root"], ["fid"]).mapInArrow(tidy(verified), "a long, b long"), "verified")
     roots = work.stage(components(found, work), "components")
     work.drop(found)
     linked = distinct.select("fid", "first").join(roots, F.col("fid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fid"))

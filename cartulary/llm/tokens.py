@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cartulary.llm.common import Workspace, bytes_of, resident, stretches, strings_of
+from cartulary.llm.common import bytes_of, resident, stretches, strings_of, tidy, Workspace
 from cartulary.llm.files import Reader, open_store, part_number, written_whole
 
 #: (ids in a word, bits of each) by selector: the selector takes the word's upper 4 bits.
@@ -252,7 +252,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, id_col: str = "d
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("text"))
-    return ordered.mapInArrow(run, "file string, docs long, ids long")
+    return ordered.mapInArrow(tidy(run), "file string, docs long, ids long")
 
 
 def _tokenizer(raw: bytes) -> _Words:
@@ -310,7 +310,7 @@ def read_tokens(files: DataFrame, folder: str, id_col: str = "doc_id") -> DataFr
         reader.close()
 
     listed = spark.createDataFrame(rows, "file string, base long").repartition(max(1, len(rows)))
-    return listed.mapInArrow(run, "id long, start long, n_tokens long, ids binary").withColumnRenamed("id", id_col)
+    return listed.mapInArrow(tidy(run), "id long, start long, n_tokens long, ids binary").withColumnRenamed("id", id_col)
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:

@@ -16,7 +16,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartulary.llm.common import Workspace, bytes_of, crc_fold, resident, stretches, strings_of, trim
+from cartulary.llm.common import bytes_of, crc_fold, resident, stretches, strings_of, tidy, trim, Workspace
 from cartulary.llm.files import open_store, written_whole
 
 #: Labelled rows that the classifier is fitted on, at most: those whose ids hash lowest.
@@ -27,6 +27,8 @@ CHI, LEAST = 30.0, 0.02
 NEIGHBOURS = 15
 #: Examples of a block. A term in more than one of _OFTEN examples is a dense column, with its maximum in each block.
 BLOCK, _OFTEN = 128, 32
+#: Columns by which the examples are ordered, those of the commonest terms.
+_ORDERED = 512
 #: Bytes at which words are also cut, so that a stem counts in every word that starts with it.
 _STEMS = (6, 7, 8)
 #: Bytes of text whose terms are counted at once, texts searched at once (255 at most, and an index of under 2^24 examples, as they are sorted packed), and results that a task keeps.
@@ -181,16 +183,22 @@ class BlockMaxIndex:
             counts = tuple(np.array(flat, np.int64).reshape(-1, 3).T)
         row, t, n = counts
         size, terms = len(labels), len(weight)
-        w = (1 + np.log(n)) * weight[t]
-        w = w / np.sqrt(np.bincount(row, w * w, size))[row]
+        w = np.log(n)
+        w += 1
+        w *= weight[t]
+        w /= np.sqrt(np.bincount(row, w * w, size))[row]
         df = np.bincount(t, minlength=terms)
         often = np.flatnonzero(df * _OFTEN > size)
         place = np.full(terms, -1, np.int32)
         place[often] = np.arange(len(often))
         thick = place[t] >= 0
-        dense = np.zeros((size, len(often)), np.float32)
-        dense[row[thick], place[t[thick]]] = w[thick]
-        order = _alike(dense)  # position -> example
+        some = np.flatnonzero(thick)
+        some = some[df[t[some]] >= np.sort(df)[-min(terms, _ORDERED)]] if terms else some  # the commonest tell languages and subjects apart
+        few = np.unique(t[some])
+        rows = np.zeros((size, len(few)), np.float32)
+        rows[row[some], np.searchsorted(few, t[some])] = w[some]
+        order = _alike(rows)  # position -> example
+        del rows
         at = np.empty(size, np.int32)
         at[order] = np.arange(size)
         # the common terms' weights by position, the rare terms' postings by term
@@ -200,7 +208,8 @@ class BlockMaxIndex:
         small = np.int16 if size <= 1 << 15 else np.int32
         starts = np.concatenate([[0], np.cumsum(np.where(place >= 0, 0, df))])
         blocks = -(-size // BLOCK)
-        dense = np.concatenate([dense[order], np.zeros((blocks * BLOCK - size, len(often)), np.float32)])
+        dense = np.zeros((blocks * BLOCK, len(often)), np.float32)
+        dense[np.repeat(np.arange(size), np.diff(common["ends"])), common["column"]] = common["weight"]
         most = dense.reshape(blocks, BLOCK, -1).max(1).T.copy() if size else np.zeros((len(often), 0), np.float32)
         self._set(line, k, labels=np.asarray(labels, np.float64), idf=weight, at=starts, row=at[row[by]].astype(small), w=w[by], place=place, order=order, dense=dense, most=most, **common)
         empty = np.bincount(counts[0], minlength=size) == 0
@@ -425,9 +434,9 @@ def score_toxicity(
             doc, h, n = counted(texts)
             ends = pa.array(np.searchsorted(doc, np.arange(len(texts) + 1)), pa.int32())
             digests = pa.array([hashlib.sha256((t or "").encode()).digest() for t in texts.to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], digests, *(pa.ListArray.from_arrays(ends, pa.array(x)) for x in (h, n))], ["id", "label", "digest", "h", "n"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], digests, *(pa.ListArray.from_arrays(ends, pa.array(x)) for x in (h, n.astype(np.int32)))], ["id", "label", "digest", "h", "n"])
 
-    terms = work.stage(texts.mapInArrow(listed, f"id {kind}, label int, digest binary, h array<long>, n array<long>"), "terms")
+    terms = work.stage(texts.mapInArrow(tidy(listed), f"id {kind}, label int, digest binary, h array<long>, n array<int>"), "terms")
     listed_at = terms._staged_at
 
     def table_of(root: str) -> pa.Table:
@@ -444,7 +453,7 @@ def score_toxicity(
                     trim()
                 yield batch
 
-        spark.range(0, 1, 1, 1).mapInArrow(run, "id long").collect()
+        spark.range(0, 1, 1, 1).mapInArrow(tidy(run), "id long").collect()
 
     def examples_of() -> dict[str, np.ndarray]:
         """Ids and labels of the distinct texts, in the order of their ids; the sorted hashes of all terms; and (example, term, n)."""
@@ -461,11 +470,18 @@ def score_toxicity(
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, ids.schema) as out:
             out.write_batch(ids)
-        h = found.column("h").combine_chunks()
-        row = np.repeat(np.arange(len(found), dtype=np.int32), h.value_lengths().to_numpy(zero_copy_only=False))
-        known, t = np.unique(h.flatten().to_numpy(), return_inverse=True) if len(row) else (_NONE, _NONE)
-        n = found.column("n").combine_chunks().flatten().to_numpy() if len(row) else _NONE
-        return {"ids": np.frombuffer(sink.getvalue(), np.uint8), "labels": np.array(list(label.values()), np.int64), "known": known, "row": row, "t": t.astype(np.int32), "n": n.astype(np.int32)}
+        row = np.repeat(np.arange(len(found), dtype=np.int32), found.column("h").combine_chunks().value_lengths().to_numpy(zero_copy_only=False))
+        h, n = (np.concatenate([_NONE, *(x.flatten().to_numpy() for x in found.column(c).chunks)]) for c in ("h", "n"))
+        del found
+        # the sorted distinct hashes, and each hash's number, with few copies of either
+        order = np.argsort(h)
+        h = h[order]
+        new = np.ones(len(h), bool)
+        new[1:] = h[1:] != h[:-1]
+        known, t = h[new], np.empty(len(h), np.int32)
+        del h
+        t[order] = np.cumsum(new, dtype=np.int32) - 1
+        return {"ids": np.frombuffer(sink.getvalue(), np.uint8), "labels": np.array(list(label.values()), np.int64), "known": known, "row": row, "t": t, "n": n.astype(np.int32)}
 
     in_one_task(lambda: {k: v for k, v in examples_of().items() if k in ("ids", "labels", "known")}, "examples")
 
@@ -484,7 +500,7 @@ def score_toxicity(
         for k in range(0, len(some), 200_000):
             yield pa.RecordBatch.from_arrays([pa.array(some[k : k + 200_000]), pa.array(df[some[k : k + 200_000]])], ["t", "df"])
 
-    df = work.stage(rows.select("text").mapInArrow(frequencies, "t long, df long").groupBy("t").agg(F.sum("df").alias("df")), "frequencies")
+    df = work.stage(rows.select("text").mapInArrow(tidy(frequencies), "t long, df long").groupBy("t").agg(F.sum("df").alias("df")), "frequencies")
     total, df_at = rows.count(), df._staged_at
 
     def index_of() -> dict[str, np.ndarray]:
@@ -515,7 +531,7 @@ def score_toxicity(
             v = own.votes(*own.search(doc, t, w, len(mine), skip), len(mine)) if mine else np.zeros(0)
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.float64()), pa.array(labels[skip].astype(np.int32))], ["vote", "label"])
 
-    line = calibrate([tuple(r) for r in terms.select("id", "h", "n").mapInArrow(votes, "vote double, label int").collect()])
+    line = calibrate([tuple(r) for r in terms.select("id", "h", "n").mapInArrow(tidy(votes), "vote double, label int").collect()])
     for used in (chosen, terms, df):
         work.drop(used)
 
@@ -547,7 +563,7 @@ def score_toxicity(
     places = [1 if c == text_col else 2 + others.index(c) for c in carry]
     kinds = {f"_{k}": docs.schema[c].dataType.simpleString() for k, c in enumerate(carry)}
     whole = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"_o{k}") for k, c in enumerate(others)])
-    scored = whole.mapInArrow(score, f"id {kind}, score double, nearest array<{kind}>, cosines array<double>" + "".join(f", {n} {t}" for n, t in kinds.items()))
+    scored = whole.mapInArrow(tidy(score), f"id {kind}, score double, nearest array<{kind}>, cosines array<double>" + "".join(f", {n} {t}" for n, t in kinds.items()))
     fold = F.coalesce(crc_fold(F.col("id"), folds) == held_out, F.lit(False))
     own = [F.col("id").alias(id_col), fold.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "nearest", "cosines"]
     return scored.select(*own, *[F.col(n).alias(c) for n, c in zip(kinds, carry)])
