@@ -34,12 +34,13 @@ def windowed(events: DataFrame, size: str = "1 hour", delay: str = "1 hour") ->
     return events.withWatermark("ts", delay).groupBy(F.window("ts", size), "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def jobs(events: DataFrame, keep_ms: int = 30 * 24 * 3_600_000) -> DataFrame:
+def jobs(events: DataFrame, keep_ms: int | None = None) -> DataFrame:
     """The job machine over (job_id, seq, status): the first terminal state is final, later events are refused and counted.
 
     Within a batch events are taken by seq; one that comes in a later batch than a newer one of its
-    job is refused too, as what was applied is not undone. A job's state goes keep_ms after its
-    last event.
+    job is refused too, as what was applied is not undone. With keep_ms a job's state goes that long
+    after its last event; that needs a stream that runs on, as one that ends when it has read all
+    there is would wait for the timeouts for ever.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -56,8 +57,9 @@ def jobs(events: DataFrame, keep_ms: int = 30 * 24 * 3_600_000) -> DataFrame:
                 status, applied = told, applied + 1
             newest = max(newest, seq)
         state.update((status, applied, refused, newest))
-        state.setTimeoutDuration(keep_ms)
+        if keep_ms is not None:
+            state.setTimeoutDuration(keep_ms)
         yield pd.DataFrame({"job_id": [key[0]], "status": [status], "applied": [applied], "refused": [refused]})
 
     kinds = "status string, applied long, refused long"
-    return events.groupBy("job_id").applyInPandasWithState(step, f"job_id long, {kinds}", f"{kinds}, last long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy("job_id").applyInPandasWithState(step, f"job_id long, {kinds}", f"{kinds}, last long", "update", GroupStateTimeout.NoTimeout if keep_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
