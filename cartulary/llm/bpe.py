@@ -27,7 +27,7 @@ _PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS
 #: Characters whose classes every Unicode version agrees on; others are cut by the tokenizers library.
 _OLD = re.compile("[\0-\u024f]*")
 #: Bytes of a generation of the caches of runs and of pieces, at about _ENTRY beside an entry's own; two generations are kept. Longer keys are not.
-_RUNS, _PIECES, _ENTRY, _LONG = 28 << 20, 8 << 20, 160, 1 << 10
+_RUNS, _PIECES, _ENTRY, _LONG = 48 << 20, 48 << 20, 160, 1 << 10
 #: Bytes of text in one output batch.
 _BATCH = 4 << 20
 
@@ -189,11 +189,6 @@ def _load(raw: bytes) -> BacktrackingBPE:
     return resident("bpe", hashlib.sha1(raw).hexdigest(), lambda: BacktrackingBPE(raw))
 
 
-def _rested(bpe: BacktrackingBPE) -> None:
-    """Between tasks the caches keep one generation."""
-    bpe.pieces.older = bpe.chunks.older = {}
-
-
 def bpe_round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", carry: list[str] = ()) -> DataFrame:
     """One row for each input row: id, the columns to carry, n_tokens, ids (little-endian unsigned 32-bit) and decoded (the text of the ids).
 
@@ -224,7 +219,6 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
                     arrays = [*(c.slice(first, len(ids)) for c in kept), pa.array(counts, pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())]
                     yield pa.RecordBatch.from_arrays(arrays, names)
                     ids, size, first = [], 0, i + 1
-        _rested(bpe)
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_{k}") for k, c in enumerate(carry)])
     kinds = {f: rows.schema[f].dataType.simpleString() for f in rows.columns if f != "_text"}
