@@ -28,6 +28,8 @@ _PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS
 _OLD = re.compile("[\0-\u024f]*")
 #: Bytes of a generation of the caches of runs and of pieces, at about _ENTRY beside an entry's own; two generations are kept. Longer keys are not.
 _RUNS, _PIECES, _ENTRY, _LONG = 48 << 20, 48 << 20, 160, 1 << 10
+#: The same where a worker has little room; between tasks only one generation is kept then.
+_LEAN = (28 << 20, 8 << 20)
 #: Bytes of text in one output batch.
 _BATCH = 4 << 20
 
@@ -71,7 +73,7 @@ class BacktrackingBPE:
     Tokens are numbered by rank: bytes first, then merges in order.
     """
 
-    def __init__(self, raw: bytes):
+    def __init__(self, raw: bytes, runs: int = _RUNS, pieces: int = _PIECES):
         spec = json.loads(raw)
         chars, vocab = _byte_chars(), spec["model"]["vocab"]
         text = lambda token: "".join(chr(chars[c]) for c in token)
@@ -103,8 +105,8 @@ class BacktrackingBPE:
         self.compatible = lru_cache(1 << 16)(self._compatible)
         self.cut = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
         self.chars = str.maketrans({c: chr(b) for c, b in chars.items()})
-        self.pieces = _Cache(self._encode_piece, _PIECES)
-        self.chunks = _Cache(self._encode_chunk, _RUNS)
+        self.pieces = _Cache(self._encode_piece, pieces)
+        self.chunks = _Cache(self._encode_chunk, runs)
 
     def _compatible(self, left: int, right: int) -> bool:
         """Whether the merges, run over the bytes of left and right together, keep the border between them.
@@ -185,14 +187,15 @@ class BacktrackingBPE:
         return b"".join(out)
 
 
-def _load(raw: bytes) -> BacktrackingBPE:
-    return resident("bpe", hashlib.sha1(raw).hexdigest(), lambda: BacktrackingBPE(raw))
+def _load(raw: bytes, lean: bool) -> BacktrackingBPE:
+    return resident("bpe", (hashlib.sha1(raw).hexdigest(), lean), lambda: BacktrackingBPE(raw, *(_LEAN if lean else ())))
 
 
-def bpe_round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", carry: list[str] = ()) -> DataFrame:
+def bpe_round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", carry: list[str] = (), *, lean: bool = False) -> DataFrame:
     """One row for each input row: id, the columns to carry, n_tokens, ids (little-endian unsigned 32-bit) and decoded (the text of the ids).
 
-    A column to carry that has the name of the id or of a result gives way to it.
+    A column to carry that has the name of the id or of a result gives way to it. lean keeps smaller
+    caches, for a worker that has run other operators: less memory for a third more time.
 
     vocabulary is the path of a byte-level BPE file; the file (a few MB, whatever the data) is
     broadcast. Strings of its added tokens in a text become their ids. A null or empty text has no
@@ -205,7 +208,7 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
         raw = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _load(raw.value)
+        bpe = _load(raw.value, lean)
         for batch in batches:
             ids: list[bytes] = []
             size = first = 0
@@ -219,6 +222,8 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
                     arrays = [*(c.slice(first, len(ids)) for c in kept), pa.array(counts, pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())]
                     yield pa.RecordBatch.from_arrays(arrays, names)
                     ids, size, first = [], 0, i + 1
+        if lean:
+            bpe.pieces.older, bpe.chunks.older = {}, {}
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_{k}") for k, c in enumerate(carry)])
     kinds = {f: rows.schema[f].dataType.simpleString() for f in rows.columns if f != "_text"}
