@@ -104,6 +104,16 @@ def crc_fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
+def pieces(data: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """A text whose separators are spaces, in parts of about size bytes cut at spaces, so that the words of a very long text are never all in memory."""
+    at = 0
+    while at < len(data):
+        end = data.find(b" ", at + size)
+        end = len(data) if end < 0 else end
+        yield data[at:end]
+        at = end
+
+
 def stretches(lo: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The numbers from lo on, size of them, of each pair, one after the other."""
     ends = np.cumsum(size)
@@ -126,14 +136,17 @@ def strings_of(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
 # --- groups too large for one task -------------------------------------------------------------
 
 
-def tiled(rows: DataFrame, keys: list[str], ident: list[str], tile: int = TILE, deal: bool = True) -> DataFrame:
+def tiled(rows: DataFrame, keys: list[str], ident: list[str], tile: int = TILE, deal: bool = True, work: Workspace | None = None) -> DataFrame:
     """Deal the rows of each group of two or more into tiles of at most about 2 * tile rows.
 
     A group of m rows is cut into c = ceil(m / tile) parts by a hash of ident, and every pair of
     parts meets in the tile (i, j), i <= j. Adds _i, _j and _own (the row's part). Rows of
     groups of one are gone: they meet nothing. With deal, each tile is in one task, in one run.
+    With work, the groups' sizes are staged before they are joined, so that both sides are plain
+    shuffles and Spark can split a hot group's rows.
     """
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m")).where("_m > 1")
+    sizes = work.stage(sizes, "sizes") if work else sizes
     parts = F.ceil(F.col("_m") / tile)
     out = rows.join(sizes, keys).withColumn("_own", F.pmod(F.xxhash64(*ident), parts).cast("int"))
     out = out.withColumn("_other", F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))))

@@ -7,15 +7,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartulary.llm.bpe import bpe_round_trip
+from cartulary.llm.divergence import AUDIT_SQL, audit_sources
 from cartulary.llm.language import identify_languages
 from cartulary.llm.media import media_columns
 from cartulary.llm.mixing import MIX_SQL, mix
 from cartulary.llm.pivots import pivot_links
 from cartulary.llm.ppm import score_texts
+from cartulary.llm.quality import score_quality
 from cartulary.llm.secrets import scan_secrets
 from cartulary.llm.simhash import simhash_components
 from cartulary.llm.tokens import tokens_round_trip
 from cartulary.llm.toxicity import score_toxicity
+from cartulary.llm.variants import group_variants, VARIANTS_SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +79,21 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(_table(spark, sf_dir, "documents")).select(*columns)
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_simhash, op3_language, op4_ppm, op5_pivots, op6_bpe, op7_tokens, op8_toxicity, op9_mix, op10_media)}
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language lie apart, and the terms that tell each from its language."""
+    return audit_sources(_table(spark, sf_dir, "documents"))
 
-ORACLES = {"op9_mix": MIX_SQL}
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words with their commonest near word and the root of their chain of forms."""
+    return group_variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores with the sizes that they follow from."""
+    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_simhash, op3_language, op4_ppm, op5_pivots, op6_bpe, op7_tokens, op8_toxicity, op9_mix, op10_media, op11_divergence, op12_variants, op13_quality)}
+
+ORACLES = {"op9_mix": MIX_SQL, "op11_divergence": AUDIT_SQL, "op12_variants": VARIANTS_SQL}
