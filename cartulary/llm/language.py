@@ -21,13 +21,34 @@ WEIGHT = 40.0
 #: Pages that a suffix counts as in its hosts' priors, and all pages in a suffix's.
 HOST_SMOOTHING, SUFFIX_SMOOTHING = 8.0, 32.0
 _FOLD = bytes(c + 32 if 65 <= c < 91 else 32 if c < 65 or 91 <= c < 97 or 123 <= c < 128 else c for c in range(256))
-_HIDDEN = re.compile(rb"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->")
+_BEGINS = {kind: rb"<!--" if kind == b"!--" else rb"<" + kind + rb"\b" for kind in (b"!--", b"script", b"style")}
+_ENDS = {kind: re.compile(rb"-->" if kind == b"!--" else rb"</" + kind + rb"\s*>") for kind in _BEGINS}
 _TAG = re.compile(rb"<[^>]*>")
 
 
 def page_text(html: bytes) -> bytes:
-    """What a page shows: without scripts, styles, comments and tags."""
-    return _TAG.sub(b" ", _HIDDEN.sub(b" ", html))
+    """What a page shows: without scripts, styles, comments and tags. What is never closed is shown.
+
+    One scan forward: once a kind's end has not been found, no later one of that kind can be closed
+    either, and none is looked for; behind the last > there are no tags. So the time grows with the
+    page's length, however broken it is.
+    """
+    low, shown, at, looked, kinds = html.lower(), [], 0, 0, list(_BEGINS)
+    while kinds:
+        begin = re.compile(b"|".join(b"(%s)" % _BEGINS[k] for k in kinds)).search(low, looked)
+        if begin is None:
+            break
+        kind = kinds[begin.lastindex - 1]
+        end = _ENDS[kind].search(low, begin.end())
+        if end is None:
+            kinds.remove(kind)
+            looked = begin.start()
+            continue
+        shown.append(html[at : begin.start()])
+        at = looked = end.end()
+    text = b" ".join([*shown, html[at:]])
+    last = text.rfind(b">") + 1
+    return _TAG.sub(b" ", text[:last]) + text[last:]
 
 
 def buckets(text: bytes) -> np.ndarray:
@@ -74,7 +95,8 @@ def identify_languages(
     declare themselves (html lang), the mix of each address suffix (the host's last label) smoothed
     to that of all pages, and the mix of each host smoothed to its suffix's. A page's posterior
     multiplies its likelihood, its declaration's and its host's prior; the page's own part is
-    left out of its host's sums.
+    left out of its host's sums, and stays in those of its suffix and its declaration, which are
+    over far more pages. A page declares what the first html tag says.
 
     A null or empty page has no say by its text; a null address no host, so the prior of all pages;
     no declaration, or one that is no language tag, none by that. Ties go to the language first in
@@ -94,7 +116,8 @@ def identify_languages(
     kind = pages.schema[id_col].dataType.simpleString()
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))
-    tag = F.lower(F.regexp_extract("html", r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})(?![A-Za-z])", 1))
+    opened = F.regexp_extract("html", r"(?i)<html\b([^>]*)", 1)  # the first, once, so that the time grows with the length
+    tag = F.lower(F.regexp_extract(opened, r"(?i)\blang\s*=\s*[\"']?([A-Za-z]{2,3})(?![A-Za-z])", 1))
     rows = rows.select("id", F.when(host != "", host).alias("host"), F.when(tag != "", tag).alias("declared"), "html")
     if not langs:
         return rows.select(F.col("id").alias(id_col), "host", "declared", *[F.lit(None).cast(t).alias(n) for n, t in (("text_lang", "string"), ("lang", "string"), ("posterior", "double"), ("host_prior", "double"))])

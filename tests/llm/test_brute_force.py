@@ -3,11 +3,14 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -127,6 +130,30 @@ def test_language_equals_brute_force(spark):
     assert Counter((str(r.page_id), r.host, r.declared, r.lang, round(r.posterior, 6)) for r in got) == want
 
 
+HIDDEN = re.compile(rb"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->")
+
+
+@given(st.lists(st.sampled_from(["<", ">", "<!--", "-->", "<script", "</script", "<STYLE", "</style", " ", "a", "\n", "<b>", "</Script >", "scripts", "é"]), max_size=40).map("".join))
+@settings(max_examples=400, deadline=None)
+def test_page_text_equals_patterns(html):
+    html = html.encode()
+    assert page_text(html) == re.sub(rb"<[^>]*>", b" ", HIDDEN.sub(b" ", html))
+
+
+@pytest.mark.parametrize("part", ["<", "<!-- ", "<script ", "<style><!--", "</script ", "<a ", "<script></style>", "-->", "< >"])
+def test_page_text_is_linear(part):
+    html = part.encode() * (10_000_000 // len(part))
+    began = time.perf_counter()
+    page_text(html)
+    assert time.perf_counter() - began < 4  # a second or less on an idle machine
+
+
+def test_long_broken_pages(spark):
+    pages = [(k, "http://a.de/x", p * (2_000_000 // len(p))) for k, p in enumerate(["<", "<html ", "<html lang  ", "<!-- ", "<script "])]
+    got = identify_languages(spark.createDataFrame(pages, "page_id long, url string, html string"), spark.createDataFrame([(1, "der die das", "de")], "doc_id long, text string, lang string")).collect()
+    assert sorted(r.page_id for r in got) == [0, 1, 2, 3, 4] and all(r.declared is None for r in got)
+
+
 # --- PPM ------------------------------------------------------------------------------------------
 
 
