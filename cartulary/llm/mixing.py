@@ -119,9 +119,28 @@ def mix(
     return placed.select(*own, *([] if id_col == source_col else [F.col("source").alias(source_col)]))
 
 
-#: The same in DuckDB's SQL, over the table documents, with the defaults above. Its seats are blocks of
-#: total / 2^20 words, so it is equal up to 2^20 words in all; beyond, it still rounds quotas down to blocks.
-MIX_SQL = r"""
+def _seats_sql(name: str, parts: str, keys: str, group: str, votes: str, order: str) -> str:
+    """Common table expressions that give each group's seats to its parts: those that are sure, and by rank the rest; as {name}."""
+    over = f"OVER (PARTITION BY {group})" if group else "OVER ()"
+    same = " AND ".join(f"a.{k} IS NOT DISTINCT FROM b.{k}" for k in keys.split(", "))
+    return f"""{name}_sums AS (
+  SELECT *, count(*) {over} / 2.0::DOUBLE + 1 AS half, sum({votes}::DOUBLE) {over} AS votes FROM {parts}
+), {name}_sure AS (
+  SELECT *, CASE WHEN seats > half AND votes > 0 THEN least(greatest(floor({votes} * (seats - half) / votes + 0.5::DOUBLE), 0), cap) ELSE 0 END::BIGINT AS sure,
+         CASE WHEN votes > 0 THEN least(floor({votes} * (seats + half) / votes + 0.5::DOUBLE) + 1, cap) ELSE 0 END::BIGINT AS some FROM {name}_sums
+), {name}_left AS (
+  SELECT *, seats - (sum(sure) {over})::BIGINT AS rest FROM {name}_sure
+), {name}_won AS (
+  SELECT {keys}, count(*) AS won FROM (
+    SELECT p.*, row_number() OVER ({f'PARTITION BY {group} ' if group else ''}ORDER BY {votes} / (2 * k.k + 1) DESC, {order}, k.k) AS r FROM {name}_left p, LATERAL (SELECT unnest(range(p.sure, p.some)) AS k) k
+  ) WHERE r <= rest GROUP BY {keys}
+), {name} AS (
+  SELECT a.* EXCLUDE (seats), a.sure + coalesce(b.won, 0) AS seats FROM {name}_left a LEFT JOIN {name}_won b ON {same}
+)"""
+
+
+#: The same in DuckDB's SQL, over the table documents, with the defaults above.
+MIX_SQL = rf"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
 ), src0 AS (
@@ -134,31 +153,21 @@ WITH sized AS (
 ), src3 AS (
   SELECT *, max(CASE WHEN lv * weight <= 3.0::DOUBLE * source_size THEN lv END) OVER () AS level FROM src2
 ), src4 AS (
-  SELECT source, source_size, n, total, CASE WHEN source_size = 0 THEN 0.0::DOUBLE ELSE least(3.0::DOUBLE * source_size, coalesce(level * weight, 3.0::DOUBLE * source_size)) END AS target,
-         greatest(1.0::DOUBLE, total / 1048576.0::DOUBLE) AS block FROM src3
+  SELECT source, source_size, n, CASE WHEN source_size = 0 THEN 0.0::DOUBLE ELSE least(3.0::DOUBLE * source_size, coalesce(level * weight, 3.0::DOUBLE * source_size)) END AS target FROM src3
 ), src5 AS (
-  SELECT *, round(sum(target) OVER () / block)::BIGINT AS seats, floor(3.0::DOUBLE * source_size / block)::BIGINT AS cap FROM src4
-), src_seat AS (
-  SELECT s.source, s.target / (2 * k.k + 1) AS q, k.k, s.seats FROM src5 s, LATERAL (SELECT unnest(range(0, s.cap)) AS k) k
-), src_won AS (
-  SELECT source, count(*) AS won FROM (SELECT source, seats, row_number() OVER (ORDER BY q DESC, source NULLS LAST, k) AS r FROM src_seat) WHERE r <= seats GROUP BY source
-), src AS (
-  SELECT a.source, a.source_size, a.target, a.block, coalesce(b.won, 0) AS seats, ceil(sqrt(a.n))::BIGINT AS shards
-  FROM src5 a LEFT JOIN src_won b ON a.source IS NOT DISTINCT FROM b.source
+  SELECT *, round(sum(target) OVER ())::BIGINT AS seats, floor(3.0::DOUBLE * source_size)::BIGINT AS cap FROM src4
+), {_seats_sql("src_seats", "src5", "source", "", "target", "source NULLS LAST")}, src AS (
+  SELECT source, source_size, target, seats, ceil(sqrt(n))::BIGINT AS shards FROM src_seats
 ), placed AS (
   SELECT d.doc_id, d.size, s.*, md5('7:' || coalesce(d.doc_id::VARCHAR, 'null')) AS key,
          ('0x' || substr(md5('7:' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 12))::BIGINT % s.shards AS shard
   FROM sized d JOIN src s ON d.source IS NOT DISTINCT FROM s.source
 ), sh0 AS (
-  SELECT source, shard, block, seats, sum(size)::BIGINT AS words, floor(3.0::DOUBLE * sum(size)::BIGINT / block)::BIGINT AS cap FROM placed GROUP BY source, shard, block, seats
-), sh_seat AS (
-  SELECT s.source, s.shard, s.seats, s.words::DOUBLE / (2 * k.k + 1) AS q, k.k FROM sh0 s, LATERAL (SELECT unnest(range(0, s.cap)) AS k) k
-), sh_won AS (
-  SELECT source, shard, count(*) AS won FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY q DESC, shard, k) AS r FROM sh_seat) WHERE r <= seats GROUP BY source, shard
-), sh AS (
-  SELECT a.source, a.shard, a.words, floor(coalesce(b.won, 0) * a.block)::BIGINT AS quota,
-         CASE WHEN a.words > 0 THEN ('0x' || substr(md5('7:' || coalesce(a.source, 'null') || ':' || a.shard::VARCHAR), 1, 12))::BIGINT % a.words END AS start
-  FROM sh0 a LEFT JOIN sh_won b ON a.source IS NOT DISTINCT FROM b.source AND a.shard = b.shard
+  SELECT source, shard, seats, sum(size)::BIGINT AS words, floor(3.0::DOUBLE * sum(size)::BIGINT)::BIGINT AS cap FROM placed GROUP BY source, shard, seats
+), {_seats_sql("sh_seats", "sh0", "source, shard", "source", "words", "shard")}, sh AS (
+  SELECT source, shard, words, seats AS quota,
+         CASE WHEN words > 0 THEN ('0x' || substr(md5('7:' || coalesce(source, 'null') || ':' || shard::VARCHAR), 1, 12))::BIGINT % words END AS start
+  FROM sh_seats
 ), ring AS (
   SELECT *, (sum(size) OVER (PARTITION BY source, shard ORDER BY key, size ROWS UNBOUNDED PRECEDING))::BIGINT AS stop FROM placed
 )
