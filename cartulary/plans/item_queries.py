@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cartulary.functions import predicates as P
 from cartulary.operators.items import canonical_score, first_seen, fuzzy_lookup, identity, index_score, keep_best, mark_duplicates
+from cartulary.operators.overlap import top_overlaps
 from cartulary.plans.base import query
 from cartulary.sources.records import items, messages, notes, table
 
@@ -293,10 +294,9 @@ def turns_with_sessions(spark, sf_dir):
 @query("SELECT a, b, shared FROM (SELECT x.id AS a, y.id AS b, count(*) AS shared, row_number() OVER (PARTITION BY x.id ORDER BY count(*) DESC, y.id) AS r FROM (SELECT id, unnest(tags) AS tag FROM items WHERE doc_id % 100 = 0) x JOIN (SELECT id, unnest(tags) AS tag FROM items) y ON x.tag = y.tag AND x.id <> y.id GROUP BY x.id, y.id) WHERE r <= 3", items=True)
 def related_by_tags(spark, sf_dir):
     """The three items that share most tags. A search: queries are the items whose id is divisible by 100."""
-    t = items(spark, sf_dir).select("doc_id", "id", F.explode("tags").alias("tag"))
-    pairs = t.where("doc_id % 100 = 0").select(F.col("id").alias("a"), "tag").join(t.select(F.col("id").alias("b"), "tag"), "tag").where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    w = Window.partitionBy("a").orderBy(F.desc("shared"), "b")
-    return pairs.withColumn("r", F.row_number().over(w)).where("r <= 3").select("a", "b", "shared")
+    t = items(spark, sf_dir)
+    found = top_overlaps(t.where("doc_id % 100 = 0").select(F.col("id").alias("query"), F.col("tags").alias("elements")), t.select("id", F.col("tags").alias("elements")), 3)
+    return found.select(F.col("query").alias("a"), F.col("id").alias("b"), F.col("shared").cast("long").alias("shared"))
 
 
 _ASKED_KEYS = "SELECT doc_id AS k, CASE doc_id % 6 WHEN 0 THEN path WHEN 1 THEN substr(path, 8) WHEN 2 THEN substr(path, 8, length(path) - 10) WHEN 3 THEN path WHEN 4 THEN 'old/' || stem || '.md' ELSE 'none-' || stem END AS key FROM notes"

@@ -265,14 +265,14 @@ def relevance_swap(spark, sf_dir):
 
 @query(
     r"""SELECT query, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS r FROM (SELECT q.id AS query, i.id, count(*) AS score FROM (
-    SELECT id, unnest(list_distinct(regexp_extract_all(lower(title), '[A-Za-z0-9_\-]{2,}'))) AS token FROM items WHERE doc_id % 100 = 0) q JOIN (SELECT id, string_split(array_to_string(regexp_extract_all(lower(title || ' ' || summary || ' ' || array_to_string(tags, ' ')), '[A-Za-z0-9_\-]{2,}|[一-鿿]{2,}'), chr(1)), chr(1)) AS words FROM items) i
+    SELECT id, unnest(list_distinct(regexp_extract_all(lower(title || ' ' || summary), '[A-Za-z0-9_\-]{2,}'))) AS token FROM items WHERE doc_id % 100 = 0) q JOIN (SELECT id, string_split(array_to_string(regexp_extract_all(lower(title || ' ' || summary || ' ' || array_to_string(tags, ' ')), '[A-Za-z0-9_\-]{2,}|[一-鿿]{2,}'), chr(1)), chr(1)) AS words FROM items) i
     ON len(list_filter(i.words, lambda w: contains(w, q.token))) > 0 AND q.id <> i.id GROUP BY 1, 2) WHERE score >= 2) WHERE r <= 3""",
     items=True,
 )
 def related_cards(spark, sf_dir):
-    """The three items that contain most of a title's words, two at least. A search: queries are the items whose id is divisible by 100."""
+    """The three items that contain most of the words of a title and summary, two at least. A search: queries are the items whose id is divisible by 100."""
     i = items(spark, sf_dir)
-    q = i.where("doc_id % 100 = 0").select(F.col("id").alias("query"), F.regexp_extract_all(F.lower("title"), F.lit(r"[A-Za-z0-9_\-]{2,}"), F.lit(0)).alias("tokens"))
+    q = i.where("doc_id % 100 = 0").select(F.col("id").alias("query"), F.regexp_extract_all(F.lower(F.concat_ws(" ", "title", "summary")), F.lit(r"[A-Za-z0-9_\-]{2,}"), F.lit(0)).alias("tokens"))
     return R.related(q, i, "id", 3, 2)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cartulary.functions.vectors import cosine, dot, is_vector, norm, unit
-from cartulary.operators.ranking import top_in_group
+from cartulary.operators.nearest import nearest_vectors
 from cartulary.plans.base import query
 from cartulary.sources.records import table
 
@@ -15,16 +15,9 @@ _V = "embedding::DOUBLE[]"
 _PAIR, _NEAR = 0.3, 0.2
 
 
-_BLOCK = 256
-
-
-def _against_all(e):
-    """(q, vec_id, similarity) of the query vectors, those whose id is divisible by 100, against all others, in blocks of at most about _BLOCK query vectors."""
-    q = e.where("vec_id % 100 = 0").select(F.struct(F.col("vec_id").alias("q"), unit(F.col("embedding")).alias("v")).alias("x"), F.floor(F.col("vec_id") / (100 * _BLOCK)).alias("block"))
-    blocks = q.groupBy("block").agg(F.collect_list("x").alias("xs"))
-    pairs = e.select("vec_id", unit(F.col("embedding")).alias("u")).crossJoin(blocks)
-    near = F.filter(F.transform("xs", lambda x: F.struct(x.q.alias("q"), F.round(dot(x.v, F.col("u")), 6).alias("similarity"))), lambda x: (x.q != F.col("vec_id")) & (x.similarity >= _NEAR))
-    return pairs.select("vec_id", F.inline(near)).select("q", "vec_id", "similarity")
+def _asked(e, *columns):
+    """The query vectors, those whose id is divisible by 100."""
+    return e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), *columns, "embedding")
 
 
 @query(f"SELECT vec_id, round(sqrt(list_sum(list_transform({_V}, lambda x: x * x))), 6) AS norm, round(list_sum(list_transform({_V}, lambda x: x * x)) / list_sum(list_transform({_V}, lambda x: x * x)), 6) AS unit_norm, len(embedding) = 64 AS valid FROM embeddings")
@@ -37,13 +30,15 @@ def vector_norms(spark, sf_dir):
 @query(f"SELECT q, vec_id, similarity FROM (SELECT a.vec_id AS q, b.vec_id, round(list_cosine_similarity(a.{_V}, b.{_V}), 6) AS similarity, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.{_V}, b.{_V}), 6) DESC, b.vec_id) AS r FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND round(list_cosine_similarity(a.{_V}, b.{_V}), 6) >= {_NEAR}) WHERE r <= 10")
 def semantic_topk(spark, sf_dir):
     """The ten nearest vectors of each query above a floor."""
-    return top_in_group(_against_all(table(spark, sf_dir, "embeddings")), ["q"], 10, F.desc("similarity"), "vec_id").select("q", "vec_id", "similarity")
+    e = table(spark, sf_dir, "embeddings")
+    return nearest_vectors(_asked(e), e, 10, _NEAR)
 
 
 @query(f"SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.{_V}, b.{_V}), 6) AS similarity FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND round(list_cosine_similarity(a.{_V}, b.{_V}), 6) >= {_PAIR} ORDER BY 3 DESC, 1, 2 LIMIT 10")
 def conflict_pairs(spark, sf_dir):
     """The ten most alike pairs of a query vector and another. (The limit is the operator's; op5 links all rows.)"""
-    pairs = _against_all(table(spark, sf_dir, "embeddings")).where(F.col("similarity") >= _PAIR)
+    e = table(spark, sf_dir, "embeddings")
+    pairs = nearest_vectors(_asked(e), e, 10, _PAIR)  # the ten best of all are among the ten best of each
     return pairs.select(F.col("q").alias("a"), F.col("vec_id").alias("b"), "similarity").orderBy(F.desc("similarity"), "a", "b").limit(10)
 
 
@@ -61,10 +56,12 @@ _ABSORB = f"""SELECT c.vec_id, c.label, max(CASE WHEN s.vec_id % 4 <> 0 THEN rou
 
 
 def _absorbed(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", unit(F.col("embedding")).alias("u"))
-    s = e.where("vec_id % 100 <> 0").select(F.col("vec_id").alias("sid"), "label", F.col("u").alias("su"))
-    sim = F.round(dot(F.col("u"), F.col("su")), 6)
-    return e.where("vec_id % 100 = 0").join(s, "label").groupBy("vec_id", "label").agg(F.max(F.when(F.col("sid") % 4 != 0, sim)).alias("relevance"), F.max(F.when(F.col("sid") % 4 == 0, sim)).alias("redundancy"))
+    e = table(spark, sf_dir, "embeddings")
+    kind = F.col("kind")
+    rows = e.where("vec_id % 100 <> 0").select("label", (F.col("vec_id") % 4 == 0).alias("kind"), "vec_id", "embedding")
+    asked = _asked(e, "label", F.explode(F.array(F.lit(True), F.lit(False))).alias("kind"))
+    best = nearest_vectors(asked, rows, 1, by=("label", "kind"))
+    return best.groupBy(F.col("q").alias("vec_id"), "label").agg(F.max(F.when(~kind, F.col("similarity"))).alias("relevance"), F.max(F.when(kind, F.col("similarity"))).alias("redundancy"))
 
 
 @query(f"SELECT * EXCLUDE r, CASE WHEN relevance IS NULL THEN 'skip' WHEN relevance < 0.1 THEN 'off_topic' WHEN redundancy > 0.25 THEN 'redundant' WHEN r > 25 THEN 'over_cap' ELSE 'allow' END AS decision FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY relevance DESC NULLS LAST, vec_id) AS r FROM ({_ABSORB}))")
