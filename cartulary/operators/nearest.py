@@ -14,7 +14,7 @@ from cartulary.functions.vectors import doubles
 from cartulary.sources import store
 
 #: Centres (a bounded sample of the rows), rings of angles around each, rows of a block and queries that visit one together, about.
-CENTRES, RINGS, BLOCK = 64, 48, 1024
+CENTRES, RINGS, BLOCK = 64, 16, 1024
 
 
 def _units(values: pa.Array) -> np.ndarray:
@@ -52,7 +52,8 @@ def nearest_vectors(queries: DataFrame, rows: DataFrame, k: int, floor: float =
     spark = rows.sparkSession
     path = store.new_folder(spark, "nearest")
     by = list(by)
-    sample = rows.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(ident), ident).limit(CENTRES).select(doubles(F.col(vector)).alias("v")).collect()  # CENTRES vectors
+    many = max(1, min(CENTRES, rows.count() // block))  # few rows need few centres
+    sample = rows.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(ident), ident).limit(many).select(doubles(F.col(vector)).alias("v")).collect()  # CENTRES vectors
     dims = max((len(r["v"]) for r in sample), default=1)
     centres = np.array([r["v"] for r in sample if len(r["v"]) == dims and np.any(r["v"])] or [np.eye(1, dims)[0]])
     centres /= np.sqrt((centres * centres).sum(1, keepdims=True))
@@ -90,9 +91,12 @@ def nearest_vectors(queries: DataFrame, rows: DataFrame, k: int, floor: float =
         order = Window.partitionBy(*by, query).orderBy(F.desc("similarity"), ident)
         return store.write(found.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k), f"{path}/{name}")
 
-    first = asked.select(*by, query, "_v", F.inline(F.slice(F.array_sort("_rings"), 1, 2)))
-    best = scored(first, "first").groupBy(*by, query).agg(F.max(F.when(F.col("_rank") == k, F.col("similarity"))).alias("kth"))
-    reach = asked.join(best, [*by, query], "left").withColumn("bar", F.greatest(F.coalesce("kth", F.lit(floor)), F.lit(floor)) - 1e-6)
+    if many > 1:
+        first = asked.select(*by, query, "_v", F.inline(F.slice(F.array_sort("_rings"), 1, 2)))
+        best = scored(first, "first").groupBy(*by, query).agg(F.max(F.when(F.col("_rank") == k, F.col("similarity"))).alias("kth"))
+        reach = asked.join(best, [*by, query], "left").withColumn("bar", F.greatest(F.coalesce("kth", F.lit(floor)), F.lit(floor)) - 1e-6)
+    else:  # one centre's rings are nearly all there is
+        reach = asked.withColumn("bar", F.lit(floor - 1e-6))
     visits = reach.select(*by, query, "_v", F.inline(F.filter("_rings", lambda x: -x.o >= F.col("bar"))))
     if visits_only:
         return visits.groupBy(*by, query).agg(F.sum("_n").alias("rows"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,8 @@ from cartulary.functions.predicates import allowed, hidden_result
 from cartulary.functions.vectors import cosine
 from cartulary.operators.overlap import top_overlaps
 from cartulary.operators.ranking import adjustments, top
+from cartulary.sources import store
+from cartulary.sources.records import sections as sections_of
 
 # fixed values: what contradicts or warns
 CONTRARIAN = (
@@ -125,13 +128,31 @@ def continuity_sections(sections: DataFrame, tokens: list[str], limit: int = 3,
     return top(rows, limit, F.desc("score"), "doc_id", "section_no").withColumn("excerpt", T.best_window(F.col("body"), t))
 
 
-def continuity_topics(topics: DataFrame, sections: DataFrame, tokens: list[str], limit: int = 2, floor: float = 0.4) -> DataFrame:
-    """Topics (doc_id, title, tags, body): 3 of the title's score, 1.5 of the tags', 0.4 of the body's; with the best section's heading."""
-    t = _tokens(tokens)
-    score = F.round(3.0 * T.phrase_score(t, F.col("title")) + 1.5 * T.phrase_score(t, F.col("tags")) + 0.4 * T.phrase_score(t, F.col("body")), 3)
-    best = top(topics.withColumn("score", score).where(F.col("score") >= floor), limit, F.desc("score"), "doc_id")
-    own = (2.0 * T.phrase_score(t, F.col("heading")) + T.phrase_score(t, F.col("body"))).alias("own")
-    named = sections.join(F.broadcast(best.select("doc_id")), "doc_id").select("doc_id", "section_no", "heading", own).where("own > 0")  # `limit` rows
+def phrase_points(tokens: list[str], low: Column, bonus: float = 0.5) -> Column:
+    """text.phrase_score for tokens that are known and a text in lower case: a sum of searches, which Spark compiles."""
+    held = {t: F.contains(low, F.lit(t)) for t in tokens}
+    cjk = re.compile(f"^{T.CJK}+$")
+    of: dict[str, list[str]] = {}
+    for t in held:
+        for unit in t if cjk.match(t) else [t]:
+            of.setdefault(unit, []).append(t)
+    any_of = lambda ts: reduce(lambda a, b: a | b, [held[t] for t in ts]).cast("int")
+    units = reduce(lambda a, b: a + b, [any_of(ts) for ts in of.values()], F.lit(0))
+    pairs = reduce(lambda a, b: a + b, [(F.contains(low, F.lit(a + b)) | F.contains(low, F.lit(f"{a} {b}"))).cast("int") for a, b in zip(tokens, tokens[1:])], F.lit(0))
+    return units / F.lit(max(1, len(of))) + F.lit(bonus) * pairs
+
+
+def continuity_topics(topics: DataFrame, tokens: list[str], limit: int = 2, floor: float = 0.4) -> DataFrame:
+    """Topics (doc_id, title, tags, body): 3 of the title's score, 1.5 of the tags', 0.4 of the body's; with the best section's heading.
+
+    The score is computed once, the floor is put to the best alone, and only these are kept and cut into sections.
+    """
+    p = lambda c: phrase_points(tokens, _low(F.col(c)))
+    score = F.round(3.0 * p("title") + 1.5 * p("tags") + 0.4 * p("body"), 3)
+    best = top(topics.withColumn("score", score), limit, F.desc("score"), "doc_id").where(F.col("score") >= floor)
+    best = store.write(best, store.new_folder(topics.sparkSession, "topics"))
+    own = (2.0 * p("heading") + p("body")).alias("own")
+    named = sections_of(best.select("doc_id", "body"), ["doc_id"]).select("doc_id", "section_no", "heading", own).where("own > 0")
     named = named.groupBy("doc_id").agg(F.max_by("heading", F.struct("own", (-F.col("section_no")).alias("o"))).alias("heading"))
     return best.join(named, "doc_id", "left").withColumn("section", F.coalesce(F.nullif("heading", F.lit("")), F.col("title"))).drop("heading")
 
@@ -180,8 +201,6 @@ def action_recall(scripts: DataFrame, sections: DataFrame, plans: DataFrame, tok
 
 def question_tokens(text: str, stopwords: tuple[str, ...] = ()) -> list[str]:
     """Words of two characters and more, then neighbouring pairs of CJK characters, repeats kept."""
-    import re
-
     runs = re.findall("[一-鿿]{2,}", text.lower())
     return [t for t in [*re.findall(r"[A-Za-z0-9_\-]{2,}", text.lower()), *(r[i : i + 2] for r in runs for i in range(len(r) - 1))] if t not in stopwords]
 

@@ -11,6 +11,7 @@ from cartulary.operators.ranking import card_score, top
 from cartulary.plans.base import query
 from cartulary.plans.note_queries import _ROWS
 from cartulary.plans.rank_queries import _ADJUST, _CLEAN
+from cartulary.sources import store
 from cartulary.sources.records import items, note_sections, notes, table
 
 _TOKENS = ["the", "src1", "en"]
@@ -111,7 +112,8 @@ def _topics(spark, sf_dir):
 )
 def topic_recall(spark, sf_dir):
     """Topics by title, tags and body, with their best section."""
-    return R.continuity_topics(_topics(spark, sf_dir), note_sections(spark, sf_dir), _T3, 20).select("doc_id", "score", "section")
+    topics = store.write(_topics(spark, sf_dir), store.new_folder(spark, "notes"))  # the view's strings are put together once
+    return R.continuity_topics(topics, _T3, 20).select("doc_id", "score", "section")
 
 
 _SIGNALS = "(?i)(?:" + "|".join(R.CONTRARIAN) + "|sch)"
