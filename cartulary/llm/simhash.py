@@ -150,18 +150,23 @@ NEAR, SHINGLE = (4, 5), 5
 #: Bits of 512 within which a pair is compared exactly. A pair of Jaccard 0.8 differs in 78 on
 #: average (SD 8), at worst, four shingles of five, in 96 (SD 9): 150 loses none in practice.
 RADIUS, _WORDS = 150, 8
+#: Without a radius: parts of the hashes' range in which a text's distinct shingles are counted; counts beyond _MOST are not relied on.
+PARTS, _MOST = 128, 65_535
 #: Texts sampled for the shingles that are common, and common shingles at most.
 _SAMPLE, _COMMON = 4_096, 65_536
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, radius: int | None = RADIUS) -> DataFrame:
     """One row for each input row: id, text_key, component_id and kept, where pairs are linked whose shingle sets have Jaccard NEAR or more.
 
     Candidates come from prefixes: with shingles in one order for all texts, two sets of Jaccard j
     share one of the first m - ceil(j m) + 1 of their m each, so no pair is lost. The order puts
     shingles that are common in a sample last, so few texts meet in a shared passage. Fingerprints
-    only drop candidates beyond RADIUS; those that are left are compared exactly by their shingle
-    hashes, so every link is one. Equal sets are one row from the start, and large groups are dealt
+    drop candidates beyond radius; those that are left are compared exactly by their shingle
+    hashes, so every link is one. With radius None no fingerprint is taken, and a candidate goes
+    only where it cannot be a pair: two sets share no more hashes than the smaller of their counts
+    in each of PARTS parts of the range add up to, and a pair of sizes a and b shares j / (1 + j) *
+    (a + b) at least. That loses no pair whatever the texts, and takes longer. Equal sets are one row from the start, and large groups are dealt
     in tiles.
 
     Texts without words are copies of one another. component_id is the smallest id reachable; null
@@ -175,7 +180,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     keyed = rows.withColumn("text_key", F.xxhash64("text"))
-    names = [f"w{k}" for k in range(_WORDS)]
+    names = ["counts"] if radius is None else [f"w{k}" for k in range(_WORDS)]
     this = work.root
 
     def sets_of(batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -214,10 +219,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 else:
                     order = np.arange(len(h))
                 first.append(h[order[: len(h) + (-num * len(h) // den) + 1]] if len(h) else h)
-            table = np.array([majority(h, _WORDS) for h in sets], np.uint64).reshape(-1, _WORDS).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), fid_of(sets), pa.array([len(h) for h in sets], pa.int64()), *(pa.array(table[:, k]) for k in range(_WORDS)), lists(first)], ["id", "text_key", "fid", "m", *names, "prefix"])
-
-    each = work.stage(keyed.mapInArrow(tidy(prints), f"id {kind}, text_key long, fid long, m long, {', '.join(f'{w} long' for w in names)}, prefix array<long>"), "prints")
+            if radius is None:
+                counts = [np.minimum(np.bincount((h >> np.uint64(57)).astype(np.int64), minlength=PARTS), _MOST).astype(np.uint16).tobytes() for h in sets]
+                sketch = [pa.array(counts, pa.binary())]
+            else:
+                table = np.array([majority(h, _WORDS) for h in sets], np.uint64).reshape(-1, _WORDS).view(np.int64)
+                sketch = [pa.array(table[:, k]) for k in range(_WORDS)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), fid_of(sets), pa.array([len(h) for h in sets], pa.int64()), *sketch, lists(first)], ["id", "text_key", "fid", "m", *names, "prefix"])
+
+    each = work.stage(keyed.mapInArrow(tidy(prints), f"id {kind}, text_key long, fid long, m long, {', '.join(f'{w} long' for w in names) if radius is not None else 'counts binary'}, prefix array<long>"), "prints")
     one = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("first")
     distinct = work.stage(each.groupBy("fid").agg(one, *(F.first(c).alias(c) for c in ["m", *names, "prefix"])), "distinct")
     met = tiled(distinct.select("fid", F.explode("prefix").alias("key")), ["key"], ["fid"], deal=False)
@@ -225,11 +235,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns, starts in whole_runs(batches, ["key", "_i", "_j"]):
-            w, m = [columns[k].view(np.uint64) for k in names], columns["m"]
+            m = columns["m"]
+            w = np.frombuffer(b"".join(columns["counts"]), np.uint16).reshape(-1, PARTS) if radius is None else [columns[k].view(np.uint64) for k in names]
 
             def near(a, b, w=w, m=m):
-                far = sum(np.bitwise_count(x[a] ^ x[b]).astype(np.int32) for x in w)
-                return (far <= RADIUS) & (den * np.minimum(m[a], m[b]) >= num * np.maximum(m[a], m[b]))
+                like = den * np.minimum(m[a], m[b]) >= num * np.maximum(m[a], m[b])
+                if radius is not None:
+                    return like & (sum(np.bitwise_count(x[a] ^ x[b]).astype(np.int32) for x in w) <= radius)
+                at = np.flatnonzero(like)
+                for k in range(0, len(at), 1 << 15):
+                    i = at[k : k + (1 << 15)]
+                    x, y = a[i], b[i]
+                    most = np.minimum(w[x], w[y]).sum(1, dtype=np.int64)
+                    like[i] = ((num + den) * most >= num * (m[x] + m[y])) | (np.maximum(m[x], m[y]) > _MOST)
+                return like
 
             found = [(columns["fid"][a], columns["fid"][b]) for a, b in pairs_in_runs(starts, near) if len(a)]
             if found:

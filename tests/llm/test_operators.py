@@ -99,9 +99,10 @@ def test_near_copies_equal_brute_force(spark):
                 root[b] = a
     rows = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in [*enumerate(texts), (0, texts[0])]], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     assert {r.doc_id for r in keep_distinct(spark, rows, "").collect()} == {i for i in range(len(texts)) if top(i) == i}
-    got = simhash.jaccard_components(rows).collect()
-    assert len(got) == len(texts) + 1
-    assert {r.doc_id: r.component_id for r in got} == {i: top(i) for i in range(len(texts))}
+    for radius in (simhash.RADIUS, None):
+        got = simhash.jaccard_components(rows, radius=radius).collect()
+        assert len(got) == len(texts) + 1
+        assert {r.doc_id: r.component_id for r in got} == {i: top(i) for i in range(len(texts))}
 
 
 def test_components_of_chains_and_stars(spark):
