@@ -118,3 +118,28 @@ def without_internal(text: Column) -> Column:
     marked = F.split(F.regexp_replace(text, r"(?m)^(#{1,3} )", "\u0001$1"), "\u0001")
     own = r"(?i)\A#{1,3}\s*(?:未解決|待辦|TODO|這頁自身|系統狀態|治理|已知問題|open issue|roadmap 備注)"  # fixed values: such headings
     return F.array_join(F.filter(marked, lambda x: ~x.rlike(own)), "")
+
+
+def topic_page(page: Column, name: Column) -> Column:
+    """(title, description, sections): a topic page as a struct.
+
+    The title is the front matter's, else the first heading's of one or two marks, else the name;
+    the description the first paragraph that is no heading, 200 characters without marks. A section
+    of two marks has its heading, its items (bold headlines of 4 to 80 characters with the line
+    below, six at most), and its plain text of 300 characters.
+    """
+    bare = lambda c: F.regexp_replace(c, "[*`]", "")
+    body = F.regexp_replace(page, r"\A---(?s:.*?)---\n", "")
+    own, head = F.trim(F.regexp_extract(page, r"(?m)^title:\s*(.+)$", 1)), F.trim(F.regexp_extract(page, r"(?m)^#{1,2}\s+(.+)$", 1))
+    title = F.when(own != "", own).when(head != "", head).otherwise(name)
+    paragraphs = F.filter(F.transform(F.split(body, r"\n{2,}"), lambda p: F.btrim(p, F.lit("\n "))), lambda p: (p != "") & ~F.startswith(p, F.lit("#")))
+    parts = F.split(F.regexp_replace(F.concat(F.lit("\n"), body), r"\n##\s+", "\u0001"), "\u0001")
+
+    def section(part: Column) -> Column:
+        first = F.split(part, "\n", 2)
+        content = F.btrim(F.coalesce(F.get(first, 1), F.lit("")), F.lit("\n "))
+        items = F.slice(F.regexp_extract_all(content, F.lit(r"\*\*([^*\n]{4,80})\*\*\n+([^\n#*][^\n]*)"), F.lit(0)), 1, 6)
+        return F.struct(F.trim(first[0]).alias("heading"), items.alias("items"), F.left(bare(content), F.lit(300)).alias("plain"))
+
+    sections = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), section)
+    return F.struct(title.alias("title"), F.left(bare(F.coalesce(F.get(paragraphs, 0), F.lit(""))), F.lit(200)).alias("description"), sections.alias("sections"))

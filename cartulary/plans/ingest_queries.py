@@ -94,7 +94,7 @@ def new_repositories(spark, sf_dir):
     return rows.where(G.wanted_repository(F.col("archived"), F.col("description"), F.col("topics"))).join(known, "key", "left_anti").select("doc_id", "key")
 
 
-_PAPER = "SELECT doc_id, 'p_' || doc_id AS stem, CASE doc_id % 3 WHEN 0 THEN '# Head ' || doc_id || chr(10) || '**Authors:** A and B' || chr(10) || text WHEN 1 THEN text ELSE left(text, 250) END AS body FROM documents"
+_PAPER = "SELECT doc_id, 'p_' || doc_id AS stem, CASE doc_id % 3 WHEN 0 THEN '# Head ' || doc_id || chr(10) || '**Authors:** A and B' || chr(10) || text ELSE text END AS body FROM documents"
 
 
 @query(

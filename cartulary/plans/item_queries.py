@@ -87,8 +87,8 @@ def _number(of: str, marks: tuple[str, ...]) -> str:
     return "(" + " + ".join(f"contains({of}, '{m.replace(chr(39), chr(39) * 2)}')::INT" for m in marks) + ")"
 
 
-#: Pages and exports, some of them with what stands on pages without an article.
-_EXPORTS = "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'Log in to X ' || html WHEN 1 THEN 'Create account Trending now ' || html WHEN 2 THEN '---' || chr(10) || 'a: Sign in to X' || chr(10) || '---' || html WHEN 3 THEN left(html, 60) ELSE html END AS text FROM pages"
+#: Pages and exports, some of them with what stands on pages without an article, some with their titles alone.
+_EXPORTS = "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'Log in to X ' || html WHEN 1 THEN 'Create account Trending now ' || html WHEN 2 THEN '---' || chr(10) || 'a: Sign in to X' || chr(10) || '---' || html WHEN 3 THEN regexp_extract(html, '<title>([^<]*)</title>', 1) ELSE html END AS text FROM pages"
 
 
 @query(f"SELECT page_id, {_any('body', P.JUNK)} AS junk, {_number('text', P.BAD_EXPORT)} >= 2 OR len(trim(text)) < 80 AS low_value, {_any('text', P.BAD_EXPORT)} AS bad_export FROM (SELECT *, CASE WHEN starts_with(text, '---') THEN regexp_replace(text, '\\A---(?s:.*?)---', '') ELSE text END AS body FROM ({_EXPORTS}))".replace("\\\\", "\\"))
