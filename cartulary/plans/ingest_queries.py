@@ -1,4 +1,4 @@
-"""Ingest and injected providers (S21-S30, S32, S35, S36, S39, S43, P09, D18, D20, D34, D40, D41, D49, F21, F28, F38, F41, R24, R26, R27, X01, X02, X05, X07, M20, I01-I08, I11)."""
+"""Ingest and injected providers (S21-S30, S32, S35, S36, S39, P09, D18, D20, D34, D40, D41, D49, F21, F28, F38, F41, R24, R26, R27, X01, X02, X05, X07, M20, I01-I08, I11)."""
 
 from __future__ import annotations
 
@@ -222,7 +222,7 @@ def head_stub(prompts: list[str]) -> list:
     "SELECT doc_id, md5(CASE WHEN len(text) <= 2000 THEN text ELSE '（以下為長文件分段濃縮，原文 ' || len(text) || ' 字元）' || chr(10) || chr(10) || array_to_string(list_transform(range(0, least(12, ceil(len(text) / 2000.0)::BIGINT)), lambda i: trim(left(substr(text, i * 2000 + 1, 2000), 20))), chr(10) || chr(10)) || chr(10) || chr(10) || '--- 原文開頭 ---' || chr(10) || left(text, 800) END) AS text FROM documents"
 )
 def condensed_texts(spark, sf_dir):
-    """Long texts as the summaries of their pieces, twelve at most, and their start. (The limit is the operator's.)"""
+    """Long texts as the summaries of their pieces, twelve at most, and their start. (The limit is the operator's.)"""
     c = V.condensed(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", head_stub, 2000)
     return c.select("doc_id", F.md5("text").alias("text"))
 

@@ -1,4 +1,4 @@
-"""Recall over items, notes, sections and vectors."""
+"""Recall over items, notes, sections and vectors."""
 
 from __future__ import annotations
 
