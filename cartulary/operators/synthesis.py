@@ -12,8 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartulary.functions.text import let, take_bullets
-from cartulary.operators.providers import answered, json_object
+from cartulary.functions.text import let, normal_title, take_bullets
+from cartulary.operators.providers import answered, json_object, relation
 from cartulary.sources import store
 
 Provider = Callable[[list[str]], list]
@@ -168,3 +168,37 @@ def composed_answers(questions: DataFrame, hits: DataFrame, provider: Provider,
     prompt = F.when(F.col("grounded"), F.concat("_told", F.when(F.size("_offered") > 0, F.concat(F.lit("\n\nLinks:\n"), F.array_join("_offered", "\n"))).otherwise(""), F.lit("\n\nQuestion: "), "question")).otherwise(F.col("question"))
     q = q.select("id", "grounded", F.size("_offered").cast("long").alias("links"), prompt.alias("_prompt")).withColumn("_key", F.sha2("_prompt", 256))
     return q.join(answered(q, "_key", "_prompt", provider), "_key", "left").select("id", "grounded", "links", F.col("answer").alias("text"))
+
+
+def judged_pairs(pairs: DataFrame, cards: DataFrame, provider: Provider, *, head: str = "") -> DataFrame:
+    """(a, b, similarity, relation, reason, notable) of pairs (a, b, similarity): what a provider says of the two cards (id, title, summary).
+
+    An answer states each in a line of its own: an unstated relation is UNKNOWN, other things are empty. Pairs of a card that is missing,
+    and pairs whose call fails, are left out.
+    """
+    card = lambda s: cards.select(F.col("id").alias(s), F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit(""))).alias(f"_{s}"))
+    both = pairs.join(card("a"), "a").join(card("b"), "b").withColumn("_prompt", F.concat(F.lit(head), "_a", F.lit("\n\n"), "_b")).withColumn("_key", F.sha2("_prompt", 256))
+    both = both.select("a", "b", "similarity", "_key", "_prompt")
+    said = both.join(answered(both, "_key", "_prompt", provider), "_key").where("answer is not null")
+    line = lambda name: F.trim(F.regexp_extract("answer", rf"{name}:\s*(.+)", 1))
+    return said.select("a", "b", "similarity", relation(F.col("answer")).alias("relation"), line("REASON").alias("reason"), line("NOTABLE").alias("notable"))
+
+
+def health_report(cards: DataFrame, conflicts: DataFrame, gaps: DataFrame, *, examples: int = 5) -> DataFrame:
+    """(category, cards, judged, conflicts, duplicates, examples, gaps): the report of each category.
+
+    cards have id, category and title; conflicts are judged pairs, counted where both cards are of the category; gaps (category, text). duplicates are
+    titles that more than one card has (but for case and marks; blank ones aside), examples the first of them in the alphabet. A category without any of these has zeros, no examples and null gaps.
+    """
+    c = cards.where("category is not null")
+    total = c.groupBy("category").agg(F.count(F.lit(1)).alias("cards"))
+    title = normal_title(F.col("title"))
+    twice = c.where(title != "").groupBy("category", title.alias("_t")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    rank = twice.withColumn("_r", F.row_number().over(Window.partitionBy("category").orderBy("_t")))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_r") <= examples, F.struct("_r", "_t")))), lambda x: x["_t"]), "; ")
+    doubles = rank.groupBy("category").agg(F.count(F.lit(1)).alias("duplicates"), listed.alias("examples"))
+    of = lambda s: c.select(F.col("id").alias(s), F.col("category").alias(f"_{s}"))
+    within = conflicts.join(of("a"), "a").join(of("b"), "b").where("_a = _b")
+    found = within.groupBy(F.col("_a").alias("category")).agg(F.count(F.lit(1)).alias("judged"), F.count_if(F.col("relation") == "CONFLICT").alias("conflicts"))
+    out = total.join(found, "category", "left").join(doubles, "category", "left").join(gaps.select("category", F.col("text").alias("gaps")), "category", "left")
+    return out.na.fill(0, ["judged", "conflicts", "duplicates"]).na.fill("", ["examples"])

@@ -1,4 +1,4 @@
-"""What a provider says of whole groups (X06, X07, D50, I14), with deterministic stand-ins for it."""
+"""What a provider says of whole groups (R26, X06, X07, D50, I14), with deterministic stand-ins for it."""
 
 from __future__ import annotations
 
@@ -9,7 +9,8 @@ import re
 from pyspark.sql import functions as F
 
 from cartulary.operators import synthesis as S
-from cartulary.plans.base import query
+from cartulary.plans.base import ORACLES, query
+from cartulary.plans.vector_queries import conflict_pairs
 from cartulary.sources.records import items, table
 
 
@@ -92,3 +93,37 @@ def composed_answers(spark, sf_dir):
     i = items(spark, sf_dir)
     hits = i.select(F.floor(F.col("doc_id") / 7).alias("id"), F.when(F.col("source_type") == "wiki", "wiki").otherwise("card").alias("kind"), F.col("doc_id").alias("rank"), "title", F.col("searchable").alias("text"), F.col("source_url").alias("url"))
     return S.composed_answers(q, hits, digest_stub)
+
+
+def verdict_stub(prompts: list[str]) -> list:
+    return [None if len(p) % 5 == 4 else f"RELATION: {('CONFLICT', 'DUPLICATE')[len(p) % 2]}\nREASON: of {len(p)}\nNOTABLE: " + ("much" if len(p) % 3 else "") for p in prompts]
+
+
+#: The pairs of conflict_pairs, with what the stand-in says of their cards.
+_JUDGED = f"""pairs AS ({ORACLES["conflict_pairs"]}), cards AS (SELECT doc_id, category, title, coalesce(title, '') || chr(10) || coalesce(summary, '') AS told FROM items),
+judged AS (SELECT a, b, similarity, ca, cb, CASE WHEN n % 2 = 0 THEN 'CONFLICT' ELSE 'DUPLICATE' END AS relation, 'of ' || n AS reason, CASE WHEN n % 3 > 0 THEN 'much' ELSE '' END AS notable FROM (
+  SELECT a, b, similarity, x.category AS ca, y.category AS cb, len(x.told) + 2 + len(y.told) AS n FROM pairs JOIN cards x ON x.doc_id = a JOIN cards y ON y.doc_id = b) WHERE n % 5 <> 4)"""
+
+
+def _judged(spark, sf_dir):
+    cards = items(spark, sf_dir).select(F.col("doc_id").alias("id"), "title", "summary")
+    return S.judged_pairs(conflict_pairs(spark, sf_dir), cards, verdict_stub)
+
+
+@query(f"{_JUDGED} SELECT a, b, similarity, relation, reason, notable FROM judged", items="more")
+def judged_pairs(spark, sf_dir):
+    """What a model says of the most alike pairs; a pair whose call fails is left out."""
+    return _judged(spark, sf_dir)
+
+
+@query(
+    rf"""{_JUDGED}, doubles AS (SELECT category, t FROM (SELECT category, trim(regexp_replace(lower(trim(title)), '[^\p{{L}}\p{{N}}_\s]', '', 'g')) AS t FROM items) WHERE t <> '' AND category IS NOT NULL GROUP BY ALL HAVING count(*) > 1),
+  digests AS (SELECT category, max(n) AS n, string_agg('- ' || left(coalesce(title, ''), 80) || ' [' || array_to_string(list_slice(list_filter(tags, lambda x: x IS NOT NULL), 1, 5), ', ') || ']', chr(10) ORDER BY doc_id) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY doc_id) AS k, count(*) OVER (PARTITION BY category) AS n FROM items) WHERE k <= 20 AND category IS NOT NULL GROUP BY category)
+  SELECT category, n AS cards, (SELECT count(*) FROM judged WHERE ca = category AND cb = category) AS judged, (SELECT count(*) FROM judged WHERE ca = category AND cb = category AND relation = 'CONFLICT') AS conflicts,
+    (SELECT count(*) FROM doubles d WHERE d.category = g.category) AS duplicates, coalesce((SELECT array_to_string(list(t ORDER BY t)[1:5], '; ') FROM doubles d WHERE d.category = g.category), '') AS examples, md5(n || chr(10) || digest) AS gaps FROM digests g""",
+    items="more",
+)
+def health_report(spark, sf_dir):
+    """Of each category its conflicts among the judged pairs, its titles that come twice, and what is missing."""
+    cards = items(spark, sf_dir).select(F.col("doc_id").alias("id"), "category", "title")
+    return S.health_report(cards, _judged(spark, sf_dir), S.knowledge_gaps(items(spark, sf_dir), "category", digest_stub, ["doc_id"]))

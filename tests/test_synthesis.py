@@ -85,3 +85,19 @@ def test_answers_by_situation(spark):
     assert got[1].text == told + links + "\n\nQuestion: why" and got[1].links == 5
     assert got[2].text == told + "\n\nQuestion: why" and got[2].links == 0
     assert (got[3].text, got[4].text, got[3].grounded, got[5].text) == ("why", "how", False, "")
+
+
+def test_judged_pairs_and_their_report(spark):
+    cards = spark.createDataFrame([(1, "a", "One"), (2, "a", "one!"), (3, "a", None), (4, "b", "Two"), (5, "b", ""), (6, "b", ""), (7, None, "x")], "id int, category string, title string").withColumn("summary", F.lit(None).cast("string"))
+    pairs = spark.createDataFrame([(1, 2, 0.9), (1, 3, 0.8), (3, 4, 0.8), (4, 5, 0.7), (1, 99, 0.7)], "a int, b int, similarity double")
+
+    def answer(prompts):
+        return [None if p.startswith("Two") else "RELATION: CONFLICT\nREASON:  they differ \n" if "one!" in p else "RELATION: CONFLICT" if "Two" in p else "well" for p in prompts]
+
+    judged = S.judged_pairs(pairs, cards, answer)
+    assert {(r.a, r.b): (r.relation, r.reason, r.notable) for r in judged.collect()} == {(1, 2): ("CONFLICT", "they differ", ""), (1, 3): ("UNKNOWN", "", ""), (3, 4): ("CONFLICT", "", "")}
+    gaps = spark.createDataFrame([("a", "much")], "category string, text string")
+    report = {r.category: tuple(r)[1:] for r in S.health_report(cards, judged, gaps).collect()}
+    assert report == {"a": (3, 2, 1, 1, "one", "much"), "b": (3, 0, 0, 0, "", None)}
+    empty = S.health_report(cards.limit(0), judged.limit(0), gaps)
+    assert empty.columns == ["category", "cards", "judged", "conflicts", "duplicates", "examples", "gaps"] and empty.collect() == []
