@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import re
 from functools import reduce
 
@@ -86,13 +88,26 @@ def semantic_recall(vectors: DataFrame, items: DataFrame, query: list[float], to
     return top(rows, limit, F.desc("score"), "path")
 
 
-def first_backend(backends: list[tuple[str, DataFrame]]) -> DataFrame:
-    """The first result that has rows, with its name as mode; the last where none has."""
-    for name, rows in backends[:-1]:
-        if not rows.isEmpty():
-            return rows.withColumn("mode", F.lit(name))
-    name, rows = backends[-1]
-    return rows.withColumn("mode", F.lit(name))
+def first_backend(backends: list[tuple[str, DataFrame | Callable[[], DataFrame]]]) -> DataFrame:
+    """The first result that has rows, with its name as mode, and as passed what came before it: 'name: empty' or 'name: error'.
+
+    Each rung is computed once, and staged; a callable is not called before its turn. A rung that raises, when it is planned or
+    when it runs, is passed over; if the last one raises, so does this. Where none has rows, the last is given.
+    """
+    passed: list[str] = []
+    for k, (name, rows) in enumerate(backends):
+        try:
+            made = rows() if callable(rows) else rows
+            made = store.write(made, f"{store.new_folder(made.sparkSession, 'backend')}/{name}")
+        except Exception as e:  # noqa: BLE001 - a backend may fail in any way
+            if k + 1 == len(backends):
+                raise
+            passed.append(f"{name}: {type(e).__name__}")
+            continue
+        if k + 1 == len(backends) or not made.isEmpty():
+            return made.withColumn("mode", F.lit(name)).withColumn("passed", F.lit(", ".join(passed)))
+        passed.append(f"{name}: empty")
+    raise ValueError("no backends")
 
 
 def section_scores(sections: DataFrame, tokens: list[str], floor: int = 4) -> DataFrame:

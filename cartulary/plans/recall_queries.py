@@ -56,7 +56,7 @@ def semantic_cards(spark, sf_dir):
     return _semantic(spark, sf_dir)
 
 
-@query(f"SELECT *, 'semantic' AS mode FROM ({_SEMANTIC})", items=True)
+@query(f"SELECT *, 'semantic' AS mode, 'hybrid: empty' AS passed FROM ({_SEMANTIC})", items=True)
 def backend_ladder(spark, sf_dir):
     """The hybrid backend finds nothing, so the semantic one answers, and says so."""
     cards = _semantic(spark, sf_dir)
@@ -64,6 +64,21 @@ def backend_ladder(spark, sf_dir):
     return R.first_backend([("hybrid", cards.where("similarity > 2")), ("semantic", cards), ("keyword", keyword)])
 
 
+@query("SELECT path, n AS score, 'keyword' AS mode, 'hybrid: PythonException, semantic: empty' AS passed FROM (SELECT path, len(title) AS n FROM items ORDER BY n DESC, path LIMIT 10)", items=True)
+def backend_failures(spark, sf_dir):
+    """The hybrid backend's service fails in its task, the semantic one finds nothing above its cut, so keywords answer, and the result says why."""
+
+    def refused(batches):
+        for _ in batches:
+            raise ConnectionError("no service")
+        yield from ()
+
+    i = items(spark, sf_dir)
+    hits = i.select("path", F.length("title").cast("long").alias("score"))
+    backends = [("hybrid", lambda: hits.mapInArrow(refused, hits.schema)), ("semantic", lambda: hits.where("score > 1000000")), ("keyword", lambda: top(hits, 10, F.desc("score"), "path"))]
+    return R.first_backend(backends)
+
+
 _T2 = ["the", "notes", "tion"]
 _SECSCORE = " + ".join(f"CASE WHEN contains(lower(heading), '{t}') THEN 6 WHEN contains(lower(heading || ' ' || body), '{t}') THEN 2 ELSE 0 END" for t in _T2)
 _LINES = "trim(left(array_to_string(list_filter(string_split(body, chr(10)), lambda l: trim(l) <> '' AND NOT regexp_matches(trim(l), '^-{3,}$')), ' '), 240))"
