@@ -89,7 +89,7 @@ def completion_outcomes(requests: DataFrame, turns: DataFrame) -> DataFrame:
 
 def candidate_key(namespace: Column, answer: Column) -> Column:
     """What was said, in its normal form, within the namespace: so that it gathers evidence from many turns."""
-    return F.concat(F.lit("conversation:"), namespace, F.lit(":"), digest({"value": json_text(normal_statement(answer))}, 32))
+    return F.concat(F.lit("conversation:"), namespace, F.lit(":"), digest({"value": json_text(normal_statement(F.coalesce(answer, F.lit(""))))}, 32))
 
 
 def candidates_of(completed: DataFrame, state: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cartulary.functions.predicates import promotable
+from cartulary.functions.text import simple_upper
 from cartulary.operators import state as S
 from cartulary.operators.evidence import append_new
 from cartulary.plans.base import query
@@ -65,7 +66,8 @@ _STATEMENTS = "SELECT 'n' || (conv_id % 2) AS namespace, CASE conv_id % 3 WHEN 0
 @query(f"SELECT namespace, lower(trim(regexp_replace(statement, '\\s+', ' ', 'g'))) AS key, count(DISTINCT episode) AS episodes, count(DISTINCT trace) AS traces, CASE WHEN max((status = 'rejected')::INT) = 1 THEN 'rejected' WHEN max((status = 'promoted')::INT) = 1 THEN 'promoted' ELSE 'pending' END AS status FROM ({_STATEMENTS}) GROUP BY 1, 2")
 def candidate_accumulation(spark, sf_dir):
     """The same statement in another case or spacing is one candidate; a rejected one stays so."""
-    return S.accumulate_candidates(spark.sql(_STATEMENTS.replace("FROM conversations", "FROM {c}"), c=table(spark, sf_dir, "conversations")))
+    c = table(spark, sf_dir, "conversations").withColumn("_upper", simple_upper(F.split_part("text", F.lit(" "), F.lit(1))))
+    return S.accumulate_candidates(spark.sql(_STATEMENTS.replace("upper(split_part(text, ' ', 1))", "_upper").replace("FROM conversations", "FROM {c}"), c=c))
 
 
 _GATED = "SELECT conv_id, turn, CASE WHEN conv_id % 5 = 0 THEN 'rejected' ELSE 'pending' END AS status, 'e' || (conv_id % 2) AS e1, 'e' || (turn % 2) AS e2, 't' || (conv_id % 3) AS t1, 't' || (turn % 3) AS t2, turn % 4 = 3 AS one FROM conversations"
