@@ -16,6 +16,8 @@ from cartulary.llm.common import components, dealt, pairs_in_runs, resident, sta
 
 #: Shingles whose bits are counted at once, so a very long text needs no more memory.
 _AT_ONCE = 16_384
+#: Bits in which linked fingerprints differ at most; the blocks of 64 bits, and how many of them a key keeps: BLOCKS - DISTANCE agree at least.
+DISTANCE, BLOCKS, AGREE = 4, 7, 3
 
 
 def _spread(h: np.ndarray, words: int) -> np.ndarray:
@@ -113,9 +115,9 @@ def simhash_components(
     *,
     shingle: int = 4,
     words: int = 1,
-    max_distance: int = 4,
-    blocks: int = 7,
-    agree: int = 3,
+    max_distance: int = DISTANCE,
+    blocks: int = BLOCKS,
+    agree: int = AGREE,
 ) -> DataFrame:
     """One row for each input row: id, fingerprint (hex) and component_id.
 
@@ -159,11 +161,13 @@ _SAMPLE, _COMMON = 4_096, 65_536
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, radius: int | None = RADIUS) -> DataFrame:
     """One row for each input row: id, text_key, component_id and kept, where pairs are linked whose shingle sets have Jaccard NEAR or more.
 
-    Candidates come from prefixes: with shingles in one order for all texts, two sets of Jaccard j
+    Candidates come from SimHash as in simhash_components: a fingerprint of 64 bits over a text's
+    distinct shingles, keys of AGREE of BLOCKS blocks, and at most DISTANCE differing bits. Pairs of
+    Jaccard NEAR often differ in more bits, so prefixes bring up the rest: with shingles in one order for all texts, two sets of Jaccard j
     share one of the first m - ceil(j m) + 1 of their m each, so no pair is lost. The order puts
     shingles that are common in a sample last, so few texts meet in a shared passage. Fingerprints
-    drop candidates beyond radius; those that are left are compared exactly by their shingle
-    hashes, so every link is one. With radius None no fingerprint is taken, and a candidate goes
+    of 512 bits drop candidates of prefixes beyond radius; those that are left, and SimHash's, are compared exactly by their shingle
+    hashes, so every link is one. With radius None no such fingerprint is taken, and a candidate of prefixes goes
     only where it cannot be a pair: two sets share no more hashes than the smaller of their counts
     in each of PARTS parts of the range add up to, and a pair of sizes a and b shares j / (1 + j) *
     (a + b) at least. That loses no pair whatever the texts, and takes longer. Equal sets are one row from the start, and large groups are dealt
@@ -180,7 +184,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     keyed = rows.withColumn("text_key", F.xxhash64("text"))
-    names = ["counts"] if radius is None else [f"w{k}" for k in range(_WORDS)]
+    names = ["w0", "counts"] if radius is None else [f"w{k}" for k in range(_WORDS)]
     this = work.root
 
     def sets_of(batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -221,13 +225,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 first.append(h[order[: len(h) + (-num * len(h) // den) + 1]] if len(h) else h)
             if radius is None:
                 counts = [np.minimum(np.bincount((h >> np.uint64(57)).astype(np.int64), minlength=PARTS), _MOST).astype(np.uint16).tobytes() for h in sets]
-                sketch = [pa.array(counts, pa.binary())]
+                sketch = [pa.array(np.array([majority(h, 1)[0] for h in sets], np.uint64).view(np.int64)), pa.array(counts, pa.binary())]
             else:
                 table = np.array([majority(h, _WORDS) for h in sets], np.uint64).reshape(-1, _WORDS).view(np.int64)
                 sketch = [pa.array(table[:, k]) for k in range(_WORDS)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), fid_of(sets), pa.array([len(h) for h in sets], pa.int64()), *sketch, lists(first)], ["id", "text_key", "fid", "m", *names, "prefix"])
 
-    each = work.stage(keyed.mapInArrow(tidy(prints), f"id {kind}, text_key long, fid long, m long, {', '.join(f'{w} long' for w in names) if radius is not None else 'counts binary'}, prefix array<long>"), "prints")
+    each = work.stage(keyed.mapInArrow(tidy(prints), f"id {kind}, text_key long, fid long, m long, {', '.join('counts binary' if w == 'counts' else f'{w} long' for w in names)}, prefix array<long>"), "prints")
     one = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("first")
     distinct = work.stage(each.groupBy("fid").agg(one, *(F.first(c).alias(c) for c in ["m", *names, "prefix"])), "distinct")
     met = tiled(distinct.select("fid", F.explode("prefix").alias("key")), ["key"], ["fid"], deal=False)
@@ -255,7 +259,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 a, b = stars(*(np.concatenate(x) for x in zip(*found)))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    found = work.stage(met.mapInArrow(tidy(candidates), "a long, b long"), "found")
+    # SimHash: sets of one fingerprint, and fingerprints that differ in a few bits, which share a key of blocks; then what only prefixes bring up
+    heads = distinct.groupBy("w0").agg(F.min("fid").alias("head"))
+    alike = distinct.join(heads, "w0").where("fid <> head").select(F.col("fid").alias("a"), F.col("head").alias("b"))
+    close = links(heads.select(F.col("head").alias("fid"), "w0"), 1, DISTANCE, BLOCKS, AGREE)
+    found = work.stage(alike.unionByName(close).unionByName(met.mapInArrow(tidy(candidates), "a long, b long")), "found")
     groups = work.stage(components(found, work), "candidates")
     work.drop(found)
     wanted = each.join(groups, each.fid == groups.node, "left_semi").select(F.col("id").alias("wanted")).distinct()

@@ -177,42 +177,52 @@ class BlockMaxIndex:
     ARRAYS = ("labels", "idf", "at", "row", "w", "place", "dense", "most", "ends", "column", "weight", "order")
 
     def __init__(self, counts, labels, weight: np.ndarray, k: int = NEIGHBOURS, line: tuple[float, float] = (1.0, 0.0)):
-        """counts: of each example its (term, n) pairs, or all at once as arrays (example, term, n)."""
+        """counts: of each example its (term, n) pairs, or all at once as arrays (example, term, n), or a function that gives these and keeps none, so that each goes as soon as it is used."""
         if isinstance(counts, list):
             flat = [(row, *c) for row, of in enumerate(counts) for c in of]
             counts = tuple(np.array(flat, np.int64).reshape(-1, 3).T)
-        row, t, n = counts
+        row, t, n = counts() if callable(counts) else counts
+        del counts
         size, terms = len(labels), len(weight)
+        empty = np.bincount(row, minlength=size) == 0
         w = np.log(n)
+        del n
         w += 1
-        w *= weight[t]
+        for k in range(0, len(w), 1 << 20):
+            w[k : k + (1 << 20)] *= weight[t[k : k + (1 << 20)]]
         w /= np.sqrt(np.bincount(row, w * w, size))[row]
         df = np.bincount(t, minlength=terms)
         often = np.flatnonzero(df * _OFTEN > size)
         place = np.full(terms, -1, np.int32)
         place[often] = np.arange(len(often))
         thick = place[t] >= 0
-        some = np.flatnonzero(thick)
-        some = some[df[t[some]] >= np.sort(df)[-min(terms, _ORDERED)]] if terms else some  # the commonest tell languages and subjects apart
+        some = np.flatnonzero(thick & (df >= np.sort(df)[-min(terms, _ORDERED)])[t]) if terms else _NONE  # the commonest tell languages and subjects apart
         few = np.unique(t[some])
         rows = np.zeros((size, len(few)), np.float32)
         rows[row[some], np.searchsorted(few, t[some])] = w[some]
+        del some
         order = _alike(rows)  # position -> example
         del rows
         at = np.empty(size, np.int32)
         at[order] = np.arange(size)
+        row = at[row]
         # the common terms' weights by position, the rare terms' postings by term
-        by = np.flatnonzero(thick)[np.lexsort((place[t[thick]], at[row[thick]]))]
-        common = {"ends": np.searchsorted(at[row[by]], np.arange(size + 1)), "column": place[t[by]], "weight": w[by]}
-        by = np.flatnonzero(~thick)[np.argsort(t[~thick], kind="stable")]
+        own, column = row[thick], place[t[thick]]
+        by = np.lexsort((column, own))
+        common = {"ends": np.searchsorted(own[by], np.arange(size + 1)), "column": column[by], "weight": w[thick][by]}
+        del own, column, by
+        row, t, w = row[~thick], t[~thick], w[~thick]
+        by = np.argsort(t, kind="stable")
+        del t
+        w, row = w[by], row[by]
+        del by
         small = np.int16 if size <= 1 << 15 else np.int32
         starts = np.concatenate([[0], np.cumsum(np.where(place >= 0, 0, df))])
         blocks = -(-size // BLOCK)
         dense = np.zeros((blocks * BLOCK, len(often)), np.float32)
         dense[np.repeat(np.arange(size), np.diff(common["ends"])), common["column"]] = common["weight"]
         most = dense.reshape(blocks, BLOCK, -1).max(1).T.copy() if size else np.zeros((len(often), 0), np.float32)
-        self._set(line, k, labels=np.asarray(labels, np.float64), idf=weight, at=starts, row=at[row[by]].astype(small), w=w[by], place=place, order=order, dense=dense, most=most, **common)
-        empty = np.bincount(counts[0], minlength=size) == 0
+        self._set(line, k, labels=np.asarray(labels, np.float64), idf=weight, at=starts, row=row.astype(small), w=w, place=place, order=order, dense=dense, most=most, **common)
         # A text without a term has no neighbours: the rate among such examples stands for it.
         self.none = (self.labels[empty].sum() + self.rate) / (empty.sum() + 1)
 
@@ -439,9 +449,12 @@ def score_toxicity(
     terms = work.stage(texts.mapInArrow(tidy(listed), f"id {kind}, label int, digest binary, h array<long>, n array<int>"), "terms")
     listed_at = terms._staged_at
 
-    def table_of(root: str) -> pa.Table:
+    hashes = work.stage(terms.select(F.explode("h").alias("h")).distinct(), "hashes")
+    hashes_at = hashes._staged_at
+
+    def table_of(root: str, columns: list[str] | None = None) -> pa.Table:
         store, path = open_store(root)
-        return ds.dataset(path, filesystem=store, format="parquet").to_table()
+        return ds.dataset(path, filesystem=store, format="parquet").to_table(columns)
 
     def in_one_task(make: Callable[[], dict[str, np.ndarray]], name: str) -> None:
         """Has one task write arrays that are bounded by the examples."""
@@ -455,9 +468,8 @@ def score_toxicity(
 
         spark.range(0, 1, 1, 1).mapInArrow(tidy(run), "id long").collect()
 
-    def examples_of() -> dict[str, np.ndarray]:
-        """Ids and labels of the distinct texts, in the order of their ids; the sorted hashes of all terms; and (example, term, n)."""
-        found = table_of(listed_at)
+    def distinct_of(found: pa.Table) -> tuple[list[int], list[int]]:
+        """The rows of the distinct texts, in the order of their ids, and their labels."""
         names, digests = found.column("id").to_pylist(), found.column("digest").to_pylist()
         first: dict[bytes, int] = {}
         for r in sorted(range(len(found)), key=[str(x) for x in names].__getitem__):
@@ -465,25 +477,42 @@ def score_toxicity(
         label = dict.fromkeys(first, 0)
         for d, y in zip(digests, found.column("label").to_pylist()):
             label[d] = max(label[d], int(y > 0))
-        found = found.take(pa.array(list(first.values()), pa.int64()))
-        ids = pa.RecordBatch.from_arrays([found.column("id").combine_chunks()], ["id"])
+        return list(first.values()), list(label.values())
+
+    def examples_of() -> dict[str, np.ndarray]:
+        """Ids and labels of the distinct texts, in the order of their ids, and the sorted hashes of all terms."""
+        found = table_of(listed_at, ["id", "label", "digest"])
+        rows, label = distinct_of(found)
+        ids = pa.RecordBatch.from_arrays([found.column("id").take(pa.array(rows, pa.int64())).combine_chunks()], ["id"])
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, ids.schema) as out:
             out.write_batch(ids)
-        row = np.repeat(np.arange(len(found), dtype=np.int32), found.column("h").combine_chunks().value_lengths().to_numpy(zero_copy_only=False))
-        h, n = (np.concatenate([_NONE, *(x.flatten().to_numpy() for x in found.column(c).chunks)]) for c in ("h", "n"))
+        return {"ids": np.frombuffer(sink.getvalue(), np.uint8), "labels": np.array(label, np.int64), "known": np.sort(table_of(hashes_at).column("h").to_numpy())}
+
+    def postings_of() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(example, term, n) of all examples, in their order. The lists are read part by part, so that no more than a part of the hashes is held."""
+        store, path = open_store(listed_at)
+        table = ds.dataset(path, filesystem=store, format="parquet")
+        found = table.to_table({"id": ds.field("id"), "label": ds.field("label"), "digest": ds.field("digest"), "size": pc.list_value_length(ds.field("h"))})
+        rows, _ = distinct_of(found)
+        size = found.column("size").to_numpy()
+        at = np.full(len(size), -1, np.int64)
+        at[rows] = np.cumsum(size[rows]) - size[rows]
+        row = np.repeat(np.arange(len(rows), dtype=np.int32), size[rows])
+        t, n, r, known = np.empty(len(row), np.int32), np.empty(len(row), np.int32), 0, sample()["known"]
         del found
-        # the sorted distinct hashes, and each hash's number, with few copies of either
-        order = np.argsort(h)
-        h = h[order]
-        new = np.ones(len(h), bool)
-        new[1:] = h[1:] != h[:-1]
-        known, t = h[new], np.empty(len(h), np.int32)
-        del h
-        t[order] = np.cumsum(new, dtype=np.int32) - 1
-        return {"ids": np.frombuffer(sink.getvalue(), np.uint8), "labels": np.array(list(label.values()), np.int64), "known": known, "row": row, "t": t, "n": n.astype(np.int32)}
-
-    in_one_task(lambda: {k: v for k, v in examples_of().items() if k in ("ids", "labels", "known")}, "examples")
+        for batch in table.to_batches(columns=["h", "n"], batch_size=256, batch_readahead=1, fragment_readahead=1, use_threads=False):
+            own, k = np.searchsorted(known, batch.column(0).flatten().to_numpy()).astype(np.int32), 0
+            many = batch.column(1).flatten().to_numpy()
+            for r in range(r, r + batch.num_rows):
+                if at[r] >= 0:
+                    t[at[r] : at[r] + size[r]], n[at[r] : at[r] + size[r]] = own[k : k + size[r]], many[k : k + size[r]]
+                k += size[r]
+            r += batch.num_rows > 0
+        trim()
+        return row, t, n
+
+    in_one_task(examples_of, "examples")
 
     def sample() -> dict[str, np.ndarray]:
         return resident(f"toxicity {this}", "examples", lambda: load_arrays(this, "examples"))
@@ -504,14 +533,15 @@ def score_toxicity(
     total, df_at = rows.count(), df._staged_at
 
     def index_of() -> dict[str, np.ndarray]:
-        own, found = examples_of(), table_of(df_at)
-        labels, t = own["labels"], own["t"]
-        df = np.zeros(len(own["known"]))
+        labels, known, held = sample()["labels"], sample()["known"], [postings_of()]
+        df, found = np.zeros(len(known)), table_of(df_at)
         if len(found):
             df[found.column("t").to_numpy()] = found.column("df").to_numpy()
-        toxic = np.bincount(t, labels[own["row"]], len(df))
+        row, t, _ = held[0]
+        toxic = np.bincount(t[labels[row] > 0], minlength=len(df)).astype(np.float64)
         gain = gains(np.bincount(t, minlength=len(df)) - toxic, toxic, len(labels), int(labels.sum()))
-        return BlockMaxIndex((own["row"], t, own["n"]), labels, (np.log((1 + total) / (1 + df)) + 1) * gain).arrays()
+        del found, row, t
+        return BlockMaxIndex(held.pop, labels, (np.log((1 + total) / (1 + df)) + 1) * gain).arrays()
 
     in_one_task(index_of, "index")
 
@@ -532,7 +562,7 @@ def score_toxicity(
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.float64()), pa.array(labels[skip].astype(np.int32))], ["vote", "label"])
 
     line = calibrate([tuple(r) for r in terms.select("id", "h", "n").mapInArrow(tidy(votes), "vote double, label int").collect()])
-    for used in (chosen, terms, df):
+    for used in (chosen, terms, hashes, df):
         work.drop(used)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

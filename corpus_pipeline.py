@@ -30,6 +30,9 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group of near copies stays; of null ids alone, that of one text.
 
+    Near copies are found by SimHash (fingerprints, blocks, differing bits) and by prefixes, for those
+    whose fingerprints differ in more bits; an exact comparison of shingles decides on both.
+
     Rows of one id and text stay or go together. The texts are dealt by both at every size, once.
     """
     gone = Workspace(spark, "distinct").stage(jaccard_components(docs).where("not kept").select("doc_id", "text_key").distinct(), "gone")
