@@ -16,11 +16,16 @@ from cartulary.sources import paged, store
 from cartulary.sources.records import table
 
 
+#: Pages that lie in one folder of a shelf: of a listing, whose pages tasks ask for side by side, and of a feed, which is asked for in order.
+LISTED, FED = 8, 64
+
+
 class Shelf:
     """Tables in folders name=value, as a service would hold them."""
 
     def __init__(self, folder: str):
         self.folder = folder
+        self.held: tuple[str, dict[int, list[dict]]] = "", {}
 
     def at(self) -> tuple[fs.FileSystem, str]:
         return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", self.folder))
@@ -29,12 +34,16 @@ class Shelf:
         disk, root = self.at()
         return ds.dataset(root, filesystem=disk, format="parquet", partitioning="hive")
 
-    def rows(self, part: str) -> list[dict]:
-        """The rows of a part, one page; none if there is no such part."""
-        disk, root = self.at()
-        if disk.get_file_info(f"{root}/{part}").type == fs.FileType.NotFound:
-            return []
-        return pq.read_table(f"{root}/{part}", filesystem=disk, partitioning=None).to_pylist()
+    def rows(self, part: str, page: int) -> list[dict]:
+        """The rows of a page, which a part holds with others; none if there is no such page. The last part read is kept, as the next page is most often in it."""
+        if self.held[0] != part:
+            disk, root = self.at()
+            found: dict[int, list[dict]] = {}
+            if disk.get_file_info(f"{root}/{part}").type != fs.FileType.NotFound:
+                for row in pq.read_table(f"{root}/{part}", filesystem=disk, partitioning=None).to_pylist():
+                    found.setdefault(row["page"], []).append(row)
+            self.held = part, found
+        return self.held[1].get(page, [])
 
     def parts(self) -> list[str]:
         disk, root = self.at()
@@ -72,11 +81,12 @@ class Repositories(Shelf):
 
     def __call__(self, request: dict) -> dict:
         if request["size"] == 0:
-            return {"total": 100 * (1 + max((int(p.split("=")[1]) for p in self.parts()), default=-1))}
+            last = max((int(p.split("=")[1]) for p in self.parts()), default=None)
+            return {"total": 0 if last is None else 100 * (1 + max(b.column(0).to_numpy().max() for b in self.open().to_batches(filter=ds.field("shelf") == last, columns=["page"]) if b.num_rows))}
         page = request["start"] // 100
         if page % 5 == 3:
             raise TimeoutError("busy")
-        return {"items": [{"id": r["doc_id"], "content": r["content"]} for r in self.rows(f"page={page}")]}
+        return {"items": [{"id": r["doc_id"], "content": r["content"]} for r in self.rows(f"shelf={page // LISTED}", page)]}
 
 
 @query(
@@ -84,11 +94,12 @@ class Repositories(Shelf):
   UNION ALL SELECT DISTINCT doc_id // 100, NULL::BIGINT, NULL, 'TimeoutError: busy' FROM documents WHERE doc_id // 100 % 5 = 3"""
 )
 def paged_repositories(spark, sf_dir):
-    """All pages of a listing, a task each, with previews of READMEs in base64; a page that does not come is a row that says so, and a README that is broken is empty."""
+    """All pages of a listing, each asked for by itself, with previews of READMEs in base64; a page that does not come is a row that says so, and a README that is broken is empty."""
     folder = store.new_folder(spark, "repositories")
     text = F.concat(F.lit("# "), "source", F.lit(" ["), "lang", F.lit("](http://x.y/"), F.col("doc_id").cast("string"), F.lit(")\n"), "text")
     content = F.when(F.col("doc_id") % 11 == 0, "~broken~").otherwise(F.base64(F.encode(text, "UTF-8")))
-    store.write(table(spark, sf_dir, "documents").select("doc_id", content.alias("content"), F.floor(F.col("doc_id") / 100).alias("page")), folder, by=["page"])
+    page = F.floor(F.col("doc_id") / 100)
+    store.write(table(spark, sf_dir, "documents").select("doc_id", content.alias("content"), page.alias("page"), F.floor(page / LISTED).alias("shelf")), folder, by=["shelf"])
     found = paged.read_pages(spark, Repositories(folder), {})
     item = F.from_json("body", "id long, content string")
     return found.withColumn("item", item).select(
@@ -107,7 +118,7 @@ class Timelines(Shelf):
         page = int(request.get("cursor", 0))
         if self.flaky and page == 2 and int(request["feed"].split("-")[1]) % 5 == 0:
             raise ConnectionError("gone")
-        rows = self.rows(f"feed={request['feed']}/page={page}")
+        rows = self.rows(f"feed={request['feed']}/shelf={page // FED}", page)
         entries = [{"entryId": f"tweet-{r['post']}", "content": {}} for r in rows]
         if rows and rows[0]["more"]:
             entries.append({"entryId": "cursor-bottom-1", "content": {"entryType": "TimelineTimelineCursor", "value": str(page + 1)}})
@@ -124,7 +135,7 @@ def crawled_feeds(spark, sf_dir):
     c = c.withColumn("n", F.row_number().over(w.orderBy("post")) - 1).withColumn("all", F.count(F.lit(1)).over(w))
     page = F.floor(F.col("n") / 20)
     folder = store.new_folder(spark, "timelines")
-    posts = store.write(c.select("feed", page.alias("page"), "post", (F.col("all") > 20 * (page + 1)).alias("more")), f"{folder}/served", by=["feed", "page"])
+    posts = store.write(c.select("feed", page.alias("page"), F.floor(page / FED).alias("shelf"), "post", (F.col("all") > 20 * (page + 1)).alias("more")), f"{folder}/served", by=["feed", "shelf"])
     feeds = posts.select("feed").distinct()
     paged.crawl(feeds, Timelines(f"{folder}/served", True), f"{folder}/kept", most=4)
     pages = paged.crawl(feeds, Timelines(f"{folder}/served", False), f"{folder}/kept", most=100_000)

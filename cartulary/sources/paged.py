@@ -19,6 +19,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 Transport = Callable[[dict], object]
 #: Most results that one search may ask for, and how many it asks for each one that is wanted.
 SEARCH_MOST, SEARCH_TIMES = 500, 3
+#: Partitions of a collection, at most: where it has more pages, a task asks for several, one after another.
+PARTITIONS = 256
 PAGE_SCHEMA = "page int, position int, body string, error string"
 CHAIN_SCHEMA = "feed string, page int, ids array<string>, next string, error string"
 
@@ -45,8 +47,8 @@ def article_search(query: str, limit: int, since_year: int | None = None) -> dic
 
 
 class _Page(InputPartition):
-    def __init__(self, page: int):
-        super().__init__(page)
+    def __init__(self, pages: range):
+        super().__init__(pages)
 
 
 class _Pages(DataSourceReader):
@@ -56,12 +58,18 @@ class _Pages(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         total = int(tried(self.transport, {**self.request, "start": 0, "size": 0}, self.tries, self.wait)["total"])
         total = min(total, int(self.request.get("retmax", total)))
-        return [_Page(k) for k in range(-(-total // self.size))]
+        pages = -(-total // self.size)
+        each = max(1, -(-pages // PARTITIONS))
+        return [_Page(range(k, min(k + each, pages))) for k in range(0, pages, each)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         if partition is None:  # what Spark passes where there are no partitions
             return
-        page, start = partition.value, partition.value * self.size
+        for page in partition.value:
+            yield from self.page(page)
+
+    def page(self, page: int) -> Iterator[tuple]:
+        start = page * self.size
         size = min(self.size, int(self.request.get("retmax", start + self.size)) - start)
         try:
             items = tried(self.transport, {**self.request, "start": start, "size": size}, self.tries, self.wait)["items"]
@@ -75,7 +83,8 @@ class _Pages(DataSourceReader):
 def page_source(transport: Transport, name: str = "pages") -> type[DataSource]:
     """A data source of numbered pages over a transport, to be registered with spark.dataSource.register.
 
-    Options: request (JSON), size (results a page), tries, wait. Each page is a partition. The
+    Options: request (JSON), size (results a page), tries, wait. Each page is a partition, or up to
+    PARTITIONS of them hold the pages, in order. The
     transport answers {"total"} to a request of size 0 and {"items"} to others. A row is an item, a
     string or JSON; a page that fails after all tries is one row with its error, and the others stay.
     A collection of no results has no rows.
