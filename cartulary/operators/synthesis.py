@@ -57,8 +57,11 @@ def packed(rows: DataFrame, group: str, order: list[str], text: str, folder: str
     at = placed(parts, group, order, F.length("_part") + 1, folder).withColumn("prompt", F.floor(F.col("_at") / (budget - most)))
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_part"))), lambda x: x["_part"]), "\n")
     packs = at.groupBy(group, "prompt").agg(F.count(F.lit(1)).alias("parts"), lines.alias("text"))
-    number = F.row_number().over(Window.partitionBy(group).orderBy("prompt")) - 1  # a long text may begin where no other does
-    return packs.select(group, number.cast("long").alias("prompt"), "parts", "text")
+    packs = store.write(packs, f"{folder}/packed")
+    # a long text may begin where no other does; numbers are given to places alone, so that no task has the texts of a group
+    number = F.row_number().over(Window.partitionBy(group).orderBy("prompt")) - 1
+    numbered = packs.select(group, "prompt").withColumn("_number", number.cast("long"))
+    return packs.join(numbered, [group, "prompt"]).select(group, F.col("_number").alias("prompt"), "parts", "text")
 
 
 def synthesised(rows: DataFrame, group: str, order: list[str], text: str, provider: Provider, *, head: str = "", budget: int = BUDGET) -> DataFrame:
