@@ -14,7 +14,7 @@ from cartulary.config import DEFAULT, Settings
 from cartulary.functions import text as T
 from cartulary.functions.predicates import allowed, hidden_result
 from cartulary.functions.vectors import cosine
-from cartulary.operators.overlap import top_overlaps
+from cartulary.operators.overlap import held_in, top_overlaps
 from cartulary.operators.ranking import adjustments, top
 from cartulary.sources import store
 from cartulary.sources.records import sections as sections_of
@@ -283,16 +283,13 @@ def relevant(rows: DataFrame, similarity: str, floor: float = DEFAULT.relevance_
 def related(queries: DataFrame, items: DataFrame, ident: str, limit: int = 3, least: int = 1) -> DataFrame:
     """The items whose title, summary and tags contain most of a query's distinct tokens (query, tokens): `least` at least, `limit` of each.
 
-    A token counts in each word that contains it; words of the vocabulary are met by grams of two
-    characters. So an item becomes the set of the tokens that it contains, and the items that share
-    most of a query's are found by the rarest of them (top_overlaps).
+    A token counts in each word that contains it (held_in). So an item becomes the set of the
+    tokens that it contains, and is compared with a query by the rarest of them (top_overlaps).
     """
     text = F.lower(F.concat_ws(" ", "title", "summary", F.array_join("tags", " ")))
     words = items.select(F.col(ident).alias("_id"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9_\-]{2,}|[一-鿿]{2,}"), F.lit(0)))).alias("word"))
-    vocabulary = words.select("word").distinct()
     tokens = queries.select(F.explode("tokens").alias("token")).distinct()
-    grams = vocabulary.select("word", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substr("word", i, F.lit(2))))).alias("g"))
-    holds = tokens.withColumn("g", F.left("token", F.lit(2))).join(grams, "g").where(F.contains("word", F.col("token"))).select("token", "word")
-    sets = words.join(holds, "word").groupBy("_id").agg(F.collect_set("token").alias("elements"))  # an item's own words
+    holds = held_in(tokens, words.select("word").distinct()).groupBy("word").agg(F.collect_list("token").alias("tokens"))  # parts of one word
+    sets = words.join(holds, "word").groupBy("_id").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("elements"))  # an item's own words
     found = top_overlaps(queries.select("query", F.col("tokens").alias("elements")), sets.select(F.col("_id").alias("id"), "elements"), limit, least)
     return found.select("query", F.col("id").alias(ident), F.col("shared").cast("long").alias("score"))

@@ -99,6 +99,26 @@ def test_a_hot_element_is_not_joined(spark, monkeypatch):
     assert len(got) == 120 and "hot" not in {r.element for r in written["prefix"].select("element").distinct().collect()}
 
 
+def test_pairs_of_a_hot_element_are_never_rows(spark, monkeypatch):
+    """Sets that share one element alone with a query are counted in their block, which sends on the best few."""
+    monkeypatch.setattr(overlap, "BLOCK", 200)
+    sent, matched = [], overlap._matched
+    monkeypatch.setattr(overlap, "_matched", lambda *a: sent.append(matched(*a)) or sent[-1])
+    rows = spark.range(1000).select(F.col("id").cast("string").alias("id"), F.array(F.lit("hot"), F.concat(F.lit("own"), F.col("id").cast("string"))).alias("elements"))
+    got = top_overlaps(rows.where("id % 100 = 0").withColumnRenamed("id", "query"), rows, 3, seed=50).collect()
+    ids = sorted(map(str, range(1000)))
+    assert sorted((r.query, r.id, r.shared) for r in got) == sorted((str(q), i, 1) for q in range(0, 1000, 100) for i in [x for x in ids if x != str(q)][:3])
+    assert sent[-1].count() <= 10 * 5 * 4 < 10 * 1000
+
+
+def test_tokens_meet_the_words_that_hold_them(spark):
+    words = ["schule", "hochschule", "schulenburg-schulen", "ab", "abc", "目前進度", "x" * 300, "schulden"]
+    tokens = ["sch", "schule", "schulen", "schulenburg", "ab", "abc", "abcd", "進度", "xx", "x" * 20, "hochschulen"]
+    of = lambda name, values: spark.createDataFrame([(v,) for v in values], f"{name} string")
+    got = overlap.held_in(of("token", tokens), of("word", words)).collect()
+    assert sorted(map(tuple, got)) == sorted((t, w) for t in tokens for w in words if t in w)
+
+
 def test_nearest_equals_plain_and_prunes(spark):
     rng = np.random.default_rng(5)
     centre = rng.normal(size=(12, 16))
