@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from cartulary.operators.state import job_states
+from cartulary.streaming import machines as M
 from cartulary.streaming import state as T
 
 SF = "/root/testdata/sf0.001"
@@ -55,3 +56,22 @@ def test_jobs_out_of_order(spark, tmp_path):
         if r["applied"] + r["refused"] >= sum(last.get(r["job_id"], (0, 0, 0))[1:]):
             last[r["job_id"]] = (r["status"], r["applied"], r["refused"])
     assert last == {1: ("succeeded", 2, 1), 2: ("succeeded", 2, 1)}
+
+
+def test_jobs_of_a_bucket_share_a_key(spark):
+    """Jobs come and end as each alone would, some over several runs, and the state has a key for each bucket and none for each job."""
+    keys, at = 3, lambda d: f"2024-01-{d:02d} 00:00:00"
+    schema = "job_id long, ts string, seq long, status string"
+    days = [
+        [(j, at(5), 2, "succeeded" if j % 2 else "running") for j in range(40)] + [(j, at(2), 1, "running") for j in range(40)] + [(50, at(3), 1, "failed"), (None, at(3), 9, "running")],
+        [(j, at(4), 3, "failed") for j in range(0, 40, 4)] + [(j, at(20), 4, "running") for j in range(40)] + [(50, at(21), 2, "running"), (None, at(20), 8, "failed")],
+        [(-1, at(31), 0, "running")],
+    ]
+    parts = [spark.createDataFrame(rows, schema).withColumn("ts", F.col("ts").cast("timestamp")) for rows in days]
+    got, seen = {}, []
+    made = M.ordered_jobs
+    for r in M.fed(spark, parts, lambda s: seen.append(made(s, "10 days", keys)) or seen[-1], "update").orderBy(F.col("applied") + F.col("refused")).collect():
+        got[r.job_id] = (r.status, r.applied, r.refused)
+    want = {j: ("succeeded", 2, 1) if j % 2 else ("failed", 2, 2) if j % 4 == 0 else ("running", 3, 0) for j in range(40)} | {50: ("failed", 1, 1), None: ("failed", 2, 0)}
+    assert {k: v for k, v in got.items() if k != -1} == want
+    assert "[bucket" in seen[0]._jdf.queryExecution().logical().toString()
