@@ -1,4 +1,4 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index of all their terms."""
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over an inverted index of all their terms, bounded by projections."""
 
 from __future__ import annotations
 
@@ -25,10 +25,10 @@ EXAMPLES = 12_288
 #: terms tried. Below, the weight falls with its square, to LEAST for terms that tell nothing.
 CHI, LEAST = 30.0, 0.02
 NEIGHBOURS = 15
-#: Examples of a block. A term in more than one of _OFTEN examples is a dense column, with its maximum in each block.
-BLOCK, _OFTEN = 128, 32
-#: Columns by which the examples are ordered, those of the commonest terms.
-_ORDERED = 512
+#: A term in more than one of _OFTEN examples is common. Axes that the common terms of examples and texts are projected on, for bounds.
+_OFTEN, _AXES = 32, 256
+#: Postings lie in runs of _RUN, the last of a term's filled up. Examples, for each neighbour, whose sums give a text's bar, and beyond which all are summed at once.
+_RUN, _FIRST, _MANY = 8, 2, 32
 #: Bytes at which words are also cut, so that a stem counts in every word that starts with it.
 _STEMS = (6, 7, 8)
 #: Bytes of text whose terms are counted at once, texts searched at once (255 at most, and an index of under 2^24 examples, as they are sorted packed), and results that a task keeps.
@@ -97,12 +97,20 @@ def term_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return *_summed(doc, own.indices.to_numpy().astype(np.int64), np.ones(len(doc), np.int64)), *term_hashes(own.dictionary)
 
 
+def places_of(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """np.searchsorted(known, h), with the hashes looked up in order: known is far larger than a processor's caches."""
+    by = np.argsort(h)
+    at = np.empty(len(h), np.int64)
+    at[by] = np.searchsorted(known, h[by])
+    return at
+
+
 def counted(texts: pa.Array, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, term, n) in order: the term's hash, or its number in the sorted hashes that are known, without others."""
     doc, word, n, h, owner = term_counts(texts)
     keep = h != 0
     if known is not None:
-        at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
+        at = np.minimum(places_of(h, known), max(0, len(known) - 1))
         keep &= known[at] == h if len(known) else False
     order = np.flatnonzero(keep)
     order = order[np.argsort(owner[order], kind="stable")]
@@ -145,36 +153,34 @@ def gains(clean: np.ndarray, toxic: np.ndarray, n: int, p: int) -> np.ndarray:
     return LEAST + (1 - LEAST) * np.where(tells, np.minimum(1, chi / CHI) ** 2, 0)
 
 
-def _alike(rows: np.ndarray) -> np.ndarray:
-    """An order of the rows in which like ones are near: halves by the direction of the greatest spread, again and again."""
-    rng, todo, out = np.random.default_rng(7), [np.arange(len(rows))], []
-    while todo:
-        own = todo.pop()
-        if len(own) <= BLOCK or not rows.shape[1]:
-            out.append(own)
-            continue
-        x = rows[own]
-        x -= x.mean(0)
-        v = rng.standard_normal(x.shape[1]).astype(rows.dtype)
-        for _ in range(4):
-            v = x.T @ (x @ v)
-            v /= np.linalg.norm(v) + 1e-30
-        own = own[np.argsort(x @ v, kind="stable")]
-        todo += [own[len(own) // 2 :], own[: len(own) // 2]]
-    return np.concatenate([_NONE, *out])
+def _projected(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Orthonormal axes near those of the greatest spread, and each row's part along each of them, then the length of what is left."""
+    axes = np.random.default_rng(7).standard_normal((rows.shape[1], min(_AXES, *rows.shape)))
+    for _ in range(4):
+        axes = np.linalg.qr(axes)[0]
+        axes = (rows.T @ (rows @ axes.astype(np.float32))).astype(np.float64)
+    axes = np.linalg.qr(axes)[0]
+    drawn = np.empty((len(rows), axes.shape[1] + 1), np.float32)
+    for k in range(0, len(rows), 512):
+        own = rows[k : k + 512].astype(np.float64)
+        part = own @ axes
+        drawn[k : k + 512] = np.column_stack([part, np.sqrt(np.maximum((own * own).sum(1) - (part * part).sum(1), 0))])
+    return axes, drawn
 
 
 class BlockMaxIndex:
-    """Examples by term, in blocks of like ones.
-
-    Postings of rare terms are summed for all examples; of common terms each block has the
-    maxima, which bound what its examples can add. The two blocks of the highest bounds are summed
-    whole, and then every block whose bound reaches the k-th best cosine so far; the others hold
-    nothing better. Those sums are in single precision, so all within its error of the k-th best
-    are summed again in double: the result is the exact top k (ties: the lower example first).
+    """Examples by term.
+
+    Postings of rare terms are summed for all examples. What the common terms can add is bounded:
+    texts and examples are projected on a few axes, and beside their parts along these nothing
+    exceeds the product of the lengths that are left (Cauchy-Schwarz). The examples that promise
+    most are summed, and then every one whose bound reaches the k-th best of these; the others are
+    no better. Sums are rounded to single precision to be sorted, so all within its error of the
+    k-th best are summed again in double: the result is the exact top k (ties: the lower example
+    first).
     """
 
-    ARRAYS = ("labels", "idf", "at", "row", "w", "place", "dense", "most", "ends", "column", "weight", "order")
+    ARRAYS = ("labels", "idf", "at", "row", "w", "place", "axes", "drawn", "ends", "column", "weight")
 
     def __init__(self, counts, labels, weight: np.ndarray, k: int = NEIGHBOURS, line: tuple[float, float] = (1.0, 0.0)):
         """counts: of each example its (term, n) pairs, or all at once as arrays (example, term, n), or a function that gives these and keeps none, so that each goes as soon as it is used."""
@@ -188,41 +194,37 @@ class BlockMaxIndex:
         w = np.log(n)
         del n
         w += 1
-        for k in range(0, len(w), 1 << 20):
-            w[k : k + (1 << 20)] *= weight[t[k : k + (1 << 20)]]
+        for at in range(0, len(w), 1 << 20):
+            w[at : at + (1 << 20)] *= weight[t[at : at + (1 << 20)]]
         w /= np.sqrt(np.bincount(row, w * w, size))[row]
         df = np.bincount(t, minlength=terms)
         often = np.flatnonzero(df * _OFTEN > size)
         place = np.full(terms, -1, np.int32)
         place[often] = np.arange(len(often))
         thick = place[t] >= 0
-        some = np.flatnonzero(thick & (df >= np.sort(df)[-min(terms, _ORDERED)])[t]) if terms else _NONE  # the commonest tell languages and subjects apart
-        few = np.unique(t[some])
-        rows = np.zeros((size, len(few)), np.float32)
-        rows[row[some], np.searchsorted(few, t[some])] = w[some]
-        del some
-        order = _alike(rows)  # position -> example
-        del rows
-        at = np.empty(size, np.int32)
-        at[order] = np.arange(size)
-        row = at[row]
-        # the common terms' weights by position, the rare terms' postings by term
+        # the common terms' weights by example, all terms' postings by term
         own, column = row[thick], place[t[thick]]
         by = np.lexsort((column, own))
         common = {"ends": np.searchsorted(own[by], np.arange(size + 1)), "column": column[by], "weight": w[thick][by]}
-        del own, column, by
-        row, t, w = row[~thick], t[~thick], w[~thick]
+        del own, column, by, thick
+        dense = np.zeros((size, len(often)), np.float32)
+        dense[np.repeat(np.arange(size), np.diff(common["ends"])), common["column"]] = common["weight"]
+        axes, drawn = _projected(dense)
+        del dense
         by = np.argsort(t, kind="stable")
         del t
-        w, row = w[by], row[by]
+        row = row[by].astype(np.int16 if size < 1 << 15 else np.int32)
+        w = w[by]
         del by
-        small = np.int16 if size <= 1 << 15 else np.int32
-        starts = np.concatenate([[0], np.cumsum(np.where(place >= 0, 0, df))])
-        blocks = -(-size // BLOCK)
-        dense = np.zeros((blocks * BLOCK, len(often)), np.float32)
-        dense[np.repeat(np.arange(size), np.diff(common["ends"])), common["column"]] = common["weight"]
-        most = dense.reshape(blocks, BLOCK, -1).max(1).T.copy() if size else np.zeros((len(often), 0), np.float32)
-        self._set(line, k, labels=np.asarray(labels, np.float64), idf=weight, at=starts, row=row.astype(small), w=w, place=place, order=order, dense=dense, most=most, **common)
+        starts = np.concatenate([[0], np.cumsum(-(-df // _RUN))])
+        to = stretches(starts[:-1] * _RUN, df)
+        rows = np.full((starts[-1], _RUN), size, row.dtype)
+        rows.ravel()[to] = row
+        del row
+        values = np.zeros((starts[-1], _RUN))
+        values.ravel()[to] = w
+        del to, w
+        self._set(line, k, labels=np.asarray(labels, np.float64), idf=weight, at=starts, row=rows, w=values, place=place, axes=axes, drawn=drawn, **common)
         # A text without a term has no neighbours: the rate among such examples stands for it.
         self.none = (self.labels[empty].sum() + self.rate) / (empty.sum() + 1)
 
@@ -248,11 +250,9 @@ class BlockMaxIndex:
         """All weights, an example a row."""
         size = len(self.labels)
         out = np.zeros((size, len(self.idf)))
-        out[np.repeat(np.arange(size), np.diff(self.ends)), np.flatnonzero(self.place >= 0)[self.column]] = self.weight
-        out[self.row, np.repeat(np.arange(len(self.idf)), np.diff(self.at))] = self.w
-        back = np.empty(size, np.int64)
-        back[self.order] = np.arange(size)
-        return out[back]
+        real = self.row < size
+        out[self.row[real], np.repeat(np.arange(len(self.idf)), np.diff(self.at) * _RUN)[real.ravel()]] = self.w[real]
+        return out
 
     def unit(self, doc: np.ndarray, t: np.ndarray, n: np.ndarray) -> np.ndarray:
         """The weights of texts' terms, each text's of length 1."""
@@ -261,7 +261,7 @@ class BlockMaxIndex:
 
     def search(self, doc: np.ndarray, t: np.ndarray, w: np.ndarray, m: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, example, cosine) of the k examples of the highest cosine above zero of each of m texts, best first. skip: an example that a text passes over."""
-        size, (dims, blocks) = len(self.labels), self.most.shape
+        size, dims = len(self.labels), len(self.axes)
         if not size or not m:
             return _NONE, _NONE, np.zeros(0)
         error = np.float32((dims + 16) * 2.0**-23)
@@ -269,43 +269,63 @@ class BlockMaxIndex:
         thick = place >= 0
         query = np.zeros((m, dims))
         query[doc[thick], place[thick]] = w[thick]
-        single = query.astype(np.float32)
-        rare = np.full((m, blocks * BLOCK), -9.0)
-        doc, t, w = doc[~thick], t[~thick], w[~thick]
-        ends = np.searchsorted(doc, np.arange(m + 1))
-        lo = self.at[t]
-        n = self.at[t + 1] - lo
-        for q in range(m):
-            own = slice(ends[q], ends[q + 1])
-            at = stretches(lo[own], n[own])
-            rare[q, :size] = np.bincount(self.row[at], np.repeat(w[own], n[own]) * self.w[at], size)
+
+        def sums(doc: np.ndarray, t: np.ndarray, w: np.ndarray) -> Iterator[np.ndarray]:
+            """What terms add to the cosines of all examples, text by text."""
+            ends, lo = np.searchsorted(doc, np.arange(m + 1)), self.at[t]
+            n = self.at[t + 1] - lo
+            for q in range(m):
+                own = slice(ends[q], ends[q + 1])
+                at = stretches(lo[own], n[own])
+                # a run is copied at once; take checks no bounds in this mode
+                each = self.w.take(at, axis=0, mode="clip")
+                each *= np.repeat(w[own], n[own])[:, None]
+                yield np.bincount(self.row.take(at, axis=0, mode="clip").ravel(), each.ravel(), size + 1)[:size]
+
+        def common(q: int, at: np.ndarray) -> np.ndarray:
+            """What the common terms of a text add to its cosines with some examples."""
+            sizes = self.ends[at + 1] - self.ends[at]
+            own = stretches(self.ends[at], sizes)
+            each = query[q].take(self.column.take(own, mode="clip"), mode="clip")
+            each *= self.weight.take(own, mode="clip")
+            return np.bincount(np.repeat(np.arange(len(at)), sizes), each, len(at))
+
+        rare = np.empty((m, size))
+        for q, added in enumerate(sums(doc[~thick], t[~thick], w[~thick])):
+            rare[q] = added
         if skip is not None:
-            back = np.empty(size, np.int64)
-            back[self.order] = np.arange(size)
-            rare[np.arange(m), back[skip]] = -9.0
-        near = rare.astype(np.float32).reshape(m, blocks, BLOCK)
-        bound = near.max(2) + single @ self.most + error
-
-        def fill(these: np.ndarray) -> None:
-            for b in np.flatnonzero(these.any(0)):
-                own = np.flatnonzero(these[:, b])
-                near[own, b] += single[own] @ self.dense[b * BLOCK : (b + 1) * BLOCK].T
-
-        some = min(2, blocks)
-        first = np.argpartition(-bound, some - 1, axis=1)[:, :some]
-        live = np.zeros((m, blocks), bool)
-        live[np.arange(m)[:, None], first] = True
-        fill(live)
-        best = near[np.arange(m)[:, None], first].reshape(m, -1)
-        low = np.maximum(np.partition(best, -self.k, axis=1)[:, -self.k], 0) - 2 * error
-        more = (bound >= low[:, None]) & ~live
-        fill(more)
-        text, block = np.nonzero(live | more)
-        kept = near[text, block]
-        pair, row = np.nonzero((kept >= low[text][:, None]) & (kept > -1))
+            rare[np.arange(m), skip] = -9.0
+        part = query @ self.axes
+        beside = np.sqrt(np.maximum(np.einsum("ij,ij->i", query, query) - np.einsum("ij,ij->i", part, part), 0))
+        bound = np.column_stack([part, beside]).astype(np.float32) @ self.drawn.T
+        bound += rare
+        bound += error
+        # the k-th best of any sums is a bar that the k-th best of all reaches
+        some = min(_FIRST * self.k, size)
+        high = np.partition(bound, size - some, axis=1)[:, size - some]
+        low = np.full(m, -2 * error)
+        found = []
+        for q in range(m):
+            at = np.flatnonzero(bound[q] >= high[q])[:some]
+            kept = rare[q, at] + common(q, at)
+            if size >= self.k:
+                low[q] += np.maximum(np.partition(kept, -self.k)[-self.k], 0)
+            bound[q, at] = -9
+            more = np.flatnonzero(bound[q] >= low[q])
+            if len(more) > _MANY * self.k:
+                own = slice(*np.searchsorted(doc, [q, q + 1]))
+                own = np.flatnonzero(thick[own]) + own.start
+                more_kept = rare[q, more] + next(sums(doc[own] - q, t[own], w[own]))[more]
+            else:
+                more_kept = rare[q, more] + common(q, more)
+            at, kept = np.concatenate([at, more]), np.concatenate([kept, more_kept]).astype(np.float32)
+            live = kept >= low[q]
+            found.append((at[live], kept[live]))
+        text = np.repeat(np.arange(m), [len(at) for at, _ in found])
+        at, kept = (np.concatenate(c) for c in zip(*found))
         # of each text, those within the error of its k-th best; a cosine's bits, as those above zero, sort like it
-        bits = np.maximum(kept[pair, row], np.float32(0)).view(np.int32).astype(np.int64)
-        packed = np.sort((((text[pair] << 31) | (0x7FFFFFFF - bits)) << 24) | (block[pair] * BLOCK + row))
+        bits = np.maximum(kept, np.float32(0)).view(np.int32).astype(np.int64)
+        packed = np.sort((((text << 31) | (0x7FFFFFFF - bits)) << 24) | at)
         text, at, value = packed >> 55, packed & 0xFFFFFF, (0x7FFFFFFF - ((packed >> 24) & 0x7FFFFFFF)).astype(np.int32).view(np.float32)
         starts = np.searchsorted(text, np.arange(m + 1))
         last = value[np.minimum(starts[:-1] + self.k, np.maximum(starts[1:], 1)) - 1] if len(value) else np.zeros(m, np.float32)
@@ -316,10 +336,9 @@ class BlockMaxIndex:
         own = stretches(self.ends[at], sizes)
         pair = np.repeat(np.arange(len(at)), sizes)
         cosine += np.bincount(pair, query[text[pair], self.column[own]] * self.weight[own], len(at))
-        example = self.order[at]
-        by = np.lexsort((example, -np.round(cosine, 12), text))
+        by = np.lexsort((at, -np.round(cosine, 12), text))
         by = by[cosine[by] > 0]
-        text, example, cosine = text[by], example[by], np.minimum(cosine[by], 1.0)
+        text, example, cosine = text[by], at[by], np.minimum(cosine[by], 1.0)
         keep = np.arange(len(text)) - np.searchsorted(text, text) < self.k
         return text[keep], example[keep], cosine[keep]
 

@@ -4,8 +4,8 @@ import tracemalloc
 
 import numpy as np
 
-from cartulary.llm import simhash
-from cartulary.llm.toxicity import BlockMaxIndex
+from cartulary.llm import simhash, toxicity
+from cartulary.llm.toxicity import BlockMaxIndex, NEIGHBOURS, places_of
 
 
 def test_simhash_finds_near_copies_without_prefixes(spark, monkeypatch):
@@ -32,3 +32,53 @@ def test_toxicity_index_holds_few_copies():
     assert tracemalloc.get_traced_memory()[1] < 43 * size * each  # bytes for each posting, its 12 included
     tracemalloc.stop()
     assert all(np.array_equal(want[k], got[k]) for k in want)
+
+
+def test_toxicity_index_sums_few_examples():
+    """Of examples in 40 subjects, the common terms are summed for few, and the nearest are those of all sums."""
+    rng = np.random.default_rng(5)
+    subjects = [rng.choice(2000, 100, replace=False) for _ in range(40)]
+    counts = [[(int(t), int(rng.integers(1, 4))) for t in np.sort(rng.choice(subjects[k % 40], 60, replace=False))] for k in range(2000)]
+    weight = rng.random(2000) + 0.5
+    index = BlockMaxIndex(counts, [k % 2 for k in range(2000)], weight)
+    assert index.k == NEIGHBOURS
+    flat, read = index.weights, []
+
+    class Seen(np.ndarray):
+        def take(self, at, **how):
+            read.append(len(at))
+            return np.asarray(self).take(at, **how)
+
+    index.column = index.column.view(Seen)
+    for q in counts[:40]:
+        t, w = index.vector(q)
+        s = flat[:, t] @ w
+        want = np.lexsort((np.arange(len(s)), -np.round(s, 12)))[:NEIGHBOURS]
+        rows, cosines = index.nearest(q)
+        assert rows.tolist() == want.tolist()
+        assert np.allclose(cosines, s[want], atol=1e-12, rtol=0)
+    assert 0 < sum(read) < 0.1 * 40 * len(index.column)
+
+
+def test_toxicity_index_without_axes_sums_all(monkeypatch):
+    """Where the bounds tell nothing, all examples are summed from the postings, with the same result."""
+    counts = [[(k % 7, 1), (7 + k % 11, 1), (18, 1)] for k in range(1500)]
+    monkeypatch.setattr(toxicity, "_AXES", 0)
+    index = BlockMaxIndex(counts, [k % 2 for k in range(1500)], np.ones(19))
+    place = np.arange(1500)
+    for k in range(20):
+        t, w = index.vector(counts[k])
+        s = np.where(place == k, -1, index.weights[:, t] @ w)
+        want = np.lexsort((place, -np.round(s, 12)))[:NEIGHBOURS]
+        rows, cosines = index.nearest(counts[k], k)
+        assert rows.tolist() == want.tolist()
+        assert np.allclose(cosines, s[want], atol=1e-12, rtol=0)
+
+
+def test_hashes_are_looked_up_in_order():
+    rng = np.random.default_rng(6)
+    known = np.unique(rng.integers(-50, 50, 60))
+    for size in (0, 1, 500):
+        h = rng.integers(-60, 60, size)
+        assert np.array_equal(places_of(h, known), np.searchsorted(known, h))
+        assert np.array_equal(places_of(h, known[:0]), np.zeros(size, np.int64))
