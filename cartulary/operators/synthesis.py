@@ -19,6 +19,8 @@ from cartulary.sources import store
 Provider = Callable[[list[str]], list]
 #: Characters of a prompt, at most.
 BUDGET = 6000
+#: Levels without fewer prompts after which a group is given up.
+PATIENCE = 3
 #: Notes of one call, bullets that are kept of its answer, and characters of the page that it is shown.
 BATCH, BULLETS, SHOWN = 40, 8, 1500
 #: Titles of a category shown for suggestions; cards shown for gaps, with so much of a title and so many tags.
@@ -28,7 +30,7 @@ LINKS = 5
 
 
 def placed(rows: DataFrame, group: str, order: list[str], size: Column, folder: str) -> DataFrame:
-    """rows with _n (rows before it in its group) and _at (their sizes together), in the given order.
+    """rows with _n (rows before it in its group), _at (their sizes together) and _all (the sizes of the whole group), in the given order.
 
     Rows are dealt by ranges of group and order, and staged, so a hot group lies in many tasks;
     what precedes each range is a sum over a row for each group and range. The order must tell the
@@ -39,22 +41,35 @@ def placed(rows: DataFrame, group: str, order: list[str], size: Column, folder:
     totals = ranged.groupBy(group, "_p").agg(F.sum("_size").alias("_s"), F.count(F.lit(1)).alias("_c"))
     earlier = Window.partitionBy(group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     summed = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
-    before = totals.select(group, "_p", summed("_s", earlier).alias("_s"), summed("_c", earlier).alias("_c"))
+    before = totals.select(group, "_p", summed("_s", earlier).alias("_s"), summed("_c", earlier).alias("_c"), F.sum("_s").over(Window.partitionBy(group)).alias("_all"))
     own = Window.partitionBy(group, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     out = ranged.join(before, [group, "_p"])
     out = out.withColumn("_n", F.col("_c") + summed(F.lit(1), own)).withColumn("_at", F.col("_s") + summed("_size", own))
     return out.drop("_p", "_s", "_c", "_size")
 
 
+def pieces(rows: DataFrame, group: str, order: list[str], text: str, most: int) -> DataFrame:
+    """rows (group, order, _piece, text) whose texts have `most` characters at most: all of each text, in the order of _piece.
+
+    A longer text is parted before white space, which stays, or within a word that is longer itself.
+    What goes on begins with a space or other white space, so it is not taken for the start of a text.
+    """
+    parted = F.regexp_extract_all(F.col(text), F.lit(rf"(?s).{{1,{most - 1}}}(?=\s|\z)|.{{{most - 1}}}"), F.lit(0))
+    parted = F.transform(parted, lambda x, i: F.when((i > 0) & ~x.rlike(r"^\s"), F.concat(F.lit(" "), x)).otherwise(x))
+    return rows.select(group, *order, F.posexplode(F.when(F.length(text) > most, parted).otherwise(F.array(text))).alias("_piece", text))
+
+
 def packed(rows: DataFrame, group: str, order: list[str], text: str, folder: str, budget: int = BUDGET) -> DataFrame:
     """(group, prompt, parts, text): the texts of each group in order, a line each, in prompts of `budget` characters at most, numbered from 0.
 
-    A text counts with its first quarter of a budget. A prompt takes the texts that begin in its three
-    quarters of a budget, so that it depends on nothing but what comes before. Null and empty texts go.
+    A text of more than a quarter of a budget counts with its beginning, so hand in `pieces` of such texts: all of them are used then.
+    A prompt takes the texts that begin in its three quarters of a budget, so that it depends on nothing but what comes before; a group
+    that fits the budget is one prompt. Null and empty texts go.
     """
     most = budget // 4
     parts = rows.where(F.col(text) != "").withColumn("_part", F.left(text, F.lit(most - 1)))
-    at = placed(parts, group, order, F.length("_part") + 1, folder).withColumn("prompt", F.floor(F.col("_at") / (budget - most)))
+    at = placed(parts, group, order, F.length("_part") + 1, folder)
+    at = at.withColumn("prompt", F.when(F.col("_all") - 1 <= budget, F.lit(0).cast("long")).otherwise(F.floor(F.col("_at") / (budget - most))))
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_part"))), lambda x: x["_part"]), "\n")
     packs = at.groupBy(group, "prompt").agg(F.count(F.lit(1)).alias("parts"), lines.alias("text"))
     packs = store.write(packs, f"{folder}/packed")
@@ -65,27 +80,33 @@ def packed(rows: DataFrame, group: str, order: list[str], text: str, folder: str
 
 
 def synthesised(rows: DataFrame, group: str, order: list[str], text: str, provider: Provider, *, head: str = "", budget: int = BUDGET) -> DataFrame:
-    """(group, text, levels, prompts, lost): one answer for each group, over all its texts.
+    """(group, text, levels, prompts, lost): one answer for each group, over all of all its texts.
 
     A tree of calls: the texts are packed into prompts (after `head`), the answers to these are packed
-    again, until one prompt holds what is left of a group. An answer counts with its first quarter of
-    a budget, so each level has at most a third of the prompts of the one before, or one. prompts counts the calls; lost those without an
+    again, until one prompt holds what is left of a group. Texts and answers longer than a prompt's share go
+    into several in pieces. prompts counts the calls; lost those without an
     answer, whose texts are not in the answer. A group whose calls all fail has a null text; one
-    without texts has no row.
+    without texts has no row. Answers shorter than half a budget always come to an end; a group that has
+    no fewer prompts than PATIENCE levels before is given up: its text is null, and its last prompts are all lost.
     """
     folder = store.new_folder(rows.sparkSession, "synthesis")
     now, by, ends, tolls = rows.select(group, *order, text), order, [], []
     while True:
         at = f"{folder}/level-{len(tolls)}"
-        packs = packed(now, group, by, text, at, budget).withColumn("key", F.sha2("text", 256))
+        parted = pieces(now.where(F.col(text) != ""), group, by, text, budget // 4 - 1)
+        packs = packed(parted, group, [*by, "_piece"], text, at, budget).withColumn("key", F.sha2("text", 256))
         packs = store.write(packs, f"{at}/packs")
         asked = packs.select("key", F.concat(F.lit(head), "text").alias("said"))
         last = packs.groupBy(group).agg(F.max("prompt").alias("last"))
         replies = packs.join(answered(asked, "key", "said", provider), "key", "left").join(last, group)
         replies = store.write(replies.select(group, "prompt", "last", F.nullif(F.trim("answer"), F.lit("")).alias(text)), f"{at}/replies")
-        tolls.append(replies.groupBy(group).agg(F.count(F.lit(1)).alias("prompts"), F.count_if(F.col(text).isNull()).alias("lost")))
+        toll = replies.groupBy(group).agg(F.count(F.lit(1)).alias("prompts"), F.count_if(F.col(text).isNull()).alias("lost"))
+        before = tolls[-PATIENCE].select(group, F.col("prompts").alias("_before")) if len(tolls) >= PATIENCE else toll.select(group, (F.col("prompts") + 1).alias("_before"))
+        over = (F.col("prompts") > 1) & (F.col("prompts") >= F.col("_before"))
+        toll = toll.join(before, group).select(group, "prompts", F.when(over, F.col("prompts")).otherwise(F.col("lost")).alias("lost"), over.alias("_over"))
+        tolls.append(store.write(toll, f"{at}/toll"))
         ends.append(replies.where("last = 0").select(group, F.col(text).alias("text")))
-        now, by = replies.where("last > 0").select(group, "prompt", text), ["prompt"]
+        now, by = replies.where("last > 0").join(tolls[-1].where("not _over").select(group), group, "left_semi").select(group, "prompt", text), ["prompt"]
         if now.isEmpty():
             break
     toll = reduce(DataFrame.unionByName, tolls).groupBy(group).agg(F.count(F.lit(1)).alias("levels"), F.sum("prompts").alias("prompts"), F.sum("lost").alias("lost"))

@@ -44,6 +44,38 @@ def test_a_tree_holds_every_text_once(rows):
     assert got["one"].levels == 1 and got["hot"].levels >= 3 and not any(r.lost for r in got.values())
 
 
+def test_long_texts_and_answers_are_used_to_their_ends(spark):
+    """Every word is in a prompt, and so is every word of an answer that the next level is asked about."""
+    texts = [("a", 1, " ".join(f"w{k}" for k in range(900))), ("a", 2, "w900"), ("cjk", 1, "進" * 3001), ("line", 1, "n=1 " + "x" * 94 + "n=5" * 99)]
+    told = spark.createDataFrame(texts, "topic string, i int, text string")
+
+    def counting(prompts):
+        """How many words and characters of a prompt are distinct words, or 進, with those that its lines count; of a length that no quarter of a budget holds."""
+        assert all(len(p) <= 400 for p in prompts)
+        n = [len(re.findall(r"\bw\d+\b", p)) + p.count("進") + sum(int(x) for x in re.findall(r"#(\d+)#", p)) + sum(int(x) for x in re.findall(r"(?m)^n=(\d+)", p)) for p in prompts]
+        return ["." * 120 + f" #{x}#" for x in n]
+
+    got = {r.topic: (r.text.strip(". "), r.lost) for r in S.synthesised(told, "topic", ["i"], "text", counting, budget=400).collect()}
+    assert got == {"a": ("#901#", 0), "cjk": ("#3001#", 0), "line": ("#1#", 0)}
+
+
+def test_pieces_are_the_whole_text(spark):
+    texts = ["", "ab", "one two three four", "one  two\n three", "x" * 31, "ab " + "x" * 25 + " cd", " " * 25, "\U0001f600" * 12]
+    rows = S.pieces(spark.createDataFrame([("g", k, t) for k, t in enumerate(texts)], "g string, i int, t string"), "g", ["i"], "t", 10).collect()
+    for k, t in enumerate(texts):
+        own = [r.t for r in sorted((r for r in rows if r.i == k), key=lambda r: r["_piece"])]
+        assert all(len(x) <= 10 for x in own) and all(x[0].isspace() for x in own[1:])
+        joined = "".join(own)
+        assert joined == t if max(map(len, t.split()), default=0) < 9 else re.sub(r"\s", "", joined) == re.sub(r"\s", "", t)
+
+
+def test_answers_that_do_not_get_shorter_end(rows):
+    """They are no endless tree and no silent cut: the group has no text, and its prompts count as lost."""
+    got = {r.topic: r for r in S.synthesised(rows, "topic", ["i"], "text", lambda prompts: [p if len(p) > 10 else "ok" for p in prompts], budget=400).collect()}
+    assert got["one"].text == "ok" and got["one"].lost == 0
+    assert got["hot"].text is None and got["hot"].lost > 1 and got["long"].text is None
+
+
 def test_calls_that_fail_are_counted(rows):
     fails = lambda prompts: [None if "y" in p or "n=7" == p else "n=0" for p in prompts]
     got = {r.topic: (r.text, r.lost > 0) for r in S.synthesised(rows, "topic", ["i"], "text", fails, budget=400).collect()}
