@@ -68,6 +68,19 @@ def test_batched_recall_equals_plain(spark, monkeypatch, share, least, whole, ti
     assert sorted((r.layer, r.query, r.doc, r.score, r["rank"]) for r in got) == plain_topk(queries, layer, docs)
 
 
+def test_postings_of_a_hot_term_are_never_rows(spark, monkeypatch):
+    """A block sends on the best records of a query alone, and ties at its last place go by doc over all blocks."""
+    monkeypatch.setattr(B, "TILE", 500)
+    sizes, write = {}, store.write
+    docs = spark.range(2000, numPartitions=1).select(F.format_string("d%05d", F.col("id")).alias("doc"), F.lit(0.0).alias("static"), F.lit("the then other").alias("body"))
+    layer = B.Layer("l", docs, {"body": (0.5, 0.25)}, "units", 0.3, 3)
+    postings = B.build_postings([layer], store.new_folder(spark, "test"))
+    monkeypatch.setattr(B.store, "write", lambda df, path, *a, **k: sizes.setdefault(path.rsplit("/", 1)[1], write(df, path, *a, **k)))
+    got = B.batched_topk(spark.createDataFrame([("l", "the other"), ("l", "zz")], "layer string, query string"), [layer], postings).collect()
+    assert sorted((r.query, r.doc, r.score, r["rank"]) for r in got) == [("the other", f"d{k:05d}", 0.5, k + 1) for k in range(3)]
+    assert max(x.count() for x in sizes.values()) <= 3 * 2000 / 500
+
+
 def test_results_need_a_score_and_an_excerpt(spark):
     rows = spark.createDataFrame([(0.3, 15), (0.3, 14), (0.29, 99), (0.9, None)], "s double, n int")
     assert [r[0] for r in rows.select(B.valued(F.col("s"), F.col("n"), F.lit(0.3))).collect()] == [True, False, False, False]
